@@ -5,16 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenweave.llm import decontam, linededup, quality
+from tokenweave.llm import decontam, linededup, quality, repair, unigram
 from tokenweave.llm.common import table
 
 
+def tokenizer_file(spark: SparkSession, name: str) -> str:
+    """A public tokenizer's file: spark.tokenweave.tokenizers names their folder, else the installed package's."""
+    folder = spark.conf.get("spark.tokenweave.tokenizers", None)
+    if folder:
+        return f"{folder.rstrip('/')}/{name}"
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer_file(spark, "piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = unigram.decode(unigram.encode(docs, model), model)
+    return out.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = linededup.line_dedup(docs, min_docs=10, min_chars=1, keep="none", stats=("n_lines", "n_dropped"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = repair.shard_path(spark)
+    repair.write_shards(table(spark, sf_dir, "documents"), path, tokenizer_file(spark, "word_bpe_49k.json"), end_id=2)
+    return repair.read_shards(spark, path)
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontam.contamination(docs, table(spark, sf_dir, "benchmark"), window=10).drop("text", "longest_match")
@@ -28,4 +51,4 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op4_line_dedup, op9_decontamination, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op4_line_dedup, op7_token_shards, op9_decontamination, op10_quality_classifier)}
