@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenweave.llm import decontam, linededup, quality, repair, unigram
+from tokenweave.llm import decontam, linededup, quality, repair, suffixdedup, unigram
 from tokenweave.llm.common import table
 
 
@@ -26,6 +26,12 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = suffixdedup.suffix_dedup(docs, length=100)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = linededup.line_dedup(docs, min_docs=10, min_chars=1, keep="none", stats=("n_lines", "n_dropped"))
@@ -51,4 +57,4 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op4_line_dedup, op7_token_shards, op9_decontamination, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_suffix_dedup, op4_line_dedup, op7_token_shards, op9_decontamination, op10_quality_classifier)}
