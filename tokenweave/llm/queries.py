@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenweave.llm import decontam, linededup, quality, repair, suffixdedup, unigram
+from tokenweave.llm import decontam, linededup, neardup, quality, repair, suffixdedup, unigram
 from tokenweave.llm.common import table
 
 
@@ -38,6 +38,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), n_words=5, threshold=0.8)
+    return out.withColumn("kept", F.col("class_id") == F.col("doc_id"))
+
+
 def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = repair.shard_path(spark)
     repair.write_shards(table(spark, sf_dir, "documents"), path, tokenizer_file(spark, "word_bpe_49k.json"), end_id=2)
@@ -57,4 +62,4 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_suffix_dedup, op4_line_dedup, op7_token_shards, op9_decontamination, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_suffix_dedup, op4_line_dedup, op5_near_dedup, op7_token_shards, op9_decontamination, op10_quality_classifier)}
