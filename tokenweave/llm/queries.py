@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenweave.llm import chat, decontam, linededup, neardup, quality, repair, suffixdedup, unigram
+from tokenweave.llm import chat, decontam, licenses, linededup, neardup, quality, repair, suffixdedup, unigram
 from tokenweave.llm.common import table
 
 
@@ -51,6 +51,10 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("kept", F.col("class_id") == F.col("doc_id"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents").select("doc_id", "text"), threshold=0.8)
+
+
 def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = repair.shard_path(spark)
     repair.write_shards(table(spark, sf_dir, "documents"), path, tokenizer_file(spark, "word_bpe_49k.json"), end_id=2)
@@ -70,4 +74,4 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_suffix_dedup, op3_chat_windows, op4_line_dedup, op5_near_dedup, op7_token_shards, op9_decontamination, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_suffix_dedup, op3_chat_windows, op4_line_dedup, op5_near_dedup, op6_license_scan, op7_token_shards, op9_decontamination, op10_quality_classifier)}

@@ -1,5 +1,7 @@
 """DuckDB statements with the results of the queries that SQL can express."""
 
+from tokenweave.llm.licenses import TEMPLATES
+
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP4 = f"""
@@ -53,4 +55,34 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-ORACLE = {"op2_suffix_dedup": OP2, "op4_line_dedup": OP4, "op9_decontamination": OP9}
+_TEMPLATE_VALUES = ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k in sorted(TEMPLATES) for t in TEMPLATES[k])
+
+OP6 = f"""
+WITH tn AS (
+  SELECT license, row_number() OVER () AS template, trim(regexp_replace({LOWER.format("txt")}, '[^a-z0-9]+', ' ', 'g')) AS u
+  FROM (VALUES {_TEMPLATE_VALUES}) v(license, txt)
+),
+tg AS (SELECT license, template, w[i] || ' ' || w[i + 1] AS gram, len(w) - 1 AS b
+       FROM (SELECT license, template, w, unnest(range(1, len(w))) AS i FROM (SELECT license, template, string_split(u, ' ') AS w FROM tn))),
+tc AS (SELECT license, template, b, gram, count(*) AS times FROM tg GROUP BY ALL),
+d AS (SELECT doc_id, regexp_replace({LOWER.format("text")}, '[^a-z0-9\\n]+', ' ', 'g') AS t FROM documents WHERE text IS NOT NULL),
+us AS (
+  SELECT DISTINCT doc_id, trim(u) AS u FROM (
+    SELECT doc_id, regexp_replace(t, '\\s+', ' ', 'g') AS u FROM d
+    UNION ALL SELECT doc_id, regexp_replace(unnest(string_split_regex(t, '\\n *\\n')), '\\s+', ' ', 'g') FROM d
+    UNION ALL SELECT doc_id, unnest(string_split(t, chr(10))) FROM d)
+),
+uw AS (SELECT doc_id, u, string_split(u, ' ') AS w FROM us WHERE u <> ''),
+ug AS (SELECT doc_id, u, len(w) - 1 AS a, w[i] || ' ' || w[i + 1] AS gram FROM (SELECT doc_id, u, w, unnest(range(1, len(w))) AS i FROM uw)),
+uc AS (SELECT doc_id, u, a, gram, count(*) AS n FROM ug GROUP BY ALL),
+dice AS (
+  SELECT doc_id, u, license, template, 2 * sum(least(n, times))::BIGINT / (a + b)::DOUBLE AS score
+  FROM uc JOIN tc USING (gram) GROUP BY doc_id, u, license, template, a, b
+),
+ok AS (SELECT * FROM dice WHERE score >= 0.8),
+best AS (SELECT doc_id, max(score) AS score, count(DISTINCT u) AS n_units, arg_min(license, {{'s': -score, 'l': license}}) AS license FROM ok GROUP BY doc_id)
+SELECT doc_id, license, coalesce(score, 0.0)::DOUBLE AS score, coalesce(n_units, 0)::BIGINT AS n_units
+FROM documents LEFT JOIN best USING (doc_id)
+"""
+
+ORACLE = {"op6_license_scan": OP6, "op2_suffix_dedup": OP2, "op4_line_dedup": OP4, "op9_decontamination": OP9}
