@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenweave.llm import chat, decontam, licenses, linededup, neardup, quality, repair, suffixdedup, unigram
+from tokenweave.llm import chat, decontam, licenses, linededup, neardup, quality, repair, suffixdedup, unigram, vectordedup
 from tokenweave.llm.common import table
 
 
@@ -61,6 +61,10 @@ def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.read_shards(spark, path)
 
 
+def op8_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectordedup.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontam.contamination(docs, table(spark, sf_dir, "benchmark"), window=10).drop("text", "longest_match")
@@ -74,4 +78,4 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_suffix_dedup, op3_chat_windows, op4_line_dedup, op5_near_dedup, op6_license_scan, op7_token_shards, op9_decontamination, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_suffix_dedup, op3_chat_windows, op4_line_dedup, op5_near_dedup, op6_license_scan, op7_token_shards, op8_vector_dedup, op9_decontamination, op10_quality_classifier)}

@@ -55,6 +55,22 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+OP8 = """
+WITH RECURSIVE e AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0
+),
+link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.98
+),
+reach(a, b) AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id, vec_id <= coalesce(low, vec_id) AS kept
+FROM embeddings LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM link GROUP BY a) USING (vec_id)
+LEFT JOIN (SELECT a AS vec_id, min(b) AS low FROM reach GROUP BY a) USING (vec_id)
+"""
+
 _TEMPLATE_VALUES = ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k in sorted(TEMPLATES) for t in TEMPLATES[k])
 
 OP6 = f"""
@@ -85,4 +101,4 @@ SELECT doc_id, license, coalesce(score, 0.0)::DOUBLE AS score, coalesce(n_units,
 FROM documents LEFT JOIN best USING (doc_id)
 """
 
-ORACLE = {"op6_license_scan": OP6, "op2_suffix_dedup": OP2, "op4_line_dedup": OP4, "op9_decontamination": OP9}
+ORACLE = {"op8_vector_dedup": OP8, "op6_license_scan": OP6, "op2_suffix_dedup": OP2, "op4_line_dedup": OP4, "op9_decontamination": OP9}
