@@ -38,6 +38,11 @@ def model(spark, sf_dir, k: int, tok=T.PROSE) -> DataFrame:
     return chain.count(chain.transitions(doc_runs(spark, sf_dir, tok).select("words"), k))
 
 
+def long(*names: str) -> list:
+    """Columns as bigint."""
+    return [F.col(n).cast("bigint").alias(n) for n in names]
+
+
 def flat(m: DataFrame, *more: str) -> DataFrame:
     """A model with its states as texts."""
     return m.select(F.array_join("state", " ").alias("state"), "follow", "n", *more)
@@ -51,23 +56,23 @@ def benchmark_model(spark, sf_dir, k: int) -> DataFrame:
 
 
 def split_sentences(spark, sf_dir):
-    return T.units(documents(spark, sf_dir), "text", T.sentence_array, ["doc_id"]).select("doc_id", "pos", F.col("s").alias("sentence"))
+    return T.units(documents(spark, sf_dir), "text", T.sentence_array, ["doc_id"]).select("doc_id", *long("pos"), F.col("s").alias("sentence"))
 
 
 def split_lines(spark, sf_dir):
-    return T.units(documents(spark, sf_dir), "text", T.line_array, ["doc_id"]).select("doc_id", "pos", F.col("s").alias("line"))
+    return T.units(documents(spark, sf_dir), "text", T.line_array, ["doc_id"]).select("doc_id", *long("pos"), F.col("s").alias("line"))
 
 
 def split_words(spark, sf_dir):
-    return doc_runs(spark, sf_dir).select("doc_id", "pos", F.size("words").alias("n_words"), F.array_join("words", "|").alias("words"))
+    return doc_runs(spark, sf_dir).select("doc_id", *long("pos"), F.size("words").cast("bigint").alias("n_words"), F.array_join("words", "|").alias("words"))
 
 
 def split_words_normalized(spark, sf_dir):
-    return doc_runs(spark, sf_dir, T.PROSE_NORMALIZED).select("doc_id", "pos", F.size("words").alias("n_words"), F.array_join("words", "|").alias("words"))
+    return doc_runs(spark, sf_dir, T.PROSE_NORMALIZED).select("doc_id", *long("pos"), F.size("words").cast("bigint").alias("n_words"), F.array_join("words", "|").alias("words"))
 
 
 def rejoin_sentences(spark, sf_dir):
-    return doc_runs(spark, sf_dir).select("doc_id", "pos", T.PROSE.join(F.col("words")).alias("sentence"))
+    return doc_runs(spark, sf_dir).select("doc_id", *long("pos"), T.PROSE.join(F.col("words")).alias("sentence"))
 
 
 # ---- training
@@ -75,7 +80,7 @@ def rejoin_sentences(spark, sf_dir):
 
 def transitions_k(k: int, spark, sf_dir):
     out = chain.transitions(doc_runs(spark, sf_dir), k)
-    return out.select("doc_id", "pos", "i", F.array_join("state", " ").alias("state"), "follow")
+    return out.select("doc_id", *long("pos", "i"), F.array_join("state", " ").alias("state"), "follow")
 
 
 def model_k(k: int, spark, sf_dir):
@@ -135,7 +140,7 @@ def successor_states(spark, sf_dir):
 
 
 def state_repr(spark, sf_dir):
-    return model(spark, sf_dir, 2).select(chain.state_text(F.col("state")).alias("repr"), F.size("state").alias("length"), F.get("state", F.lit(0)).alias("first")).distinct()
+    return model(spark, sf_dir, 2).select(chain.state_text(F.col("state")).alias("repr"), F.size("state").cast("bigint").alias("length"), F.get("state", F.lit(0)).alias("first")).distinct()
 
 
 def model_totals(spark, sf_dir):
@@ -304,7 +309,7 @@ def _tried(spark, sf_dir) -> tuple[MarkovModel, DataFrame]:
 
 def overlap_grams(spark, sf_dir):
     _, got = _tried(spark, sf_dir)
-    return got.select("walk_id", F.posexplode(overlap.grams(F.col("words"), 15, 0.7)).alias("i", "gram"))
+    return got.select("walk_id", F.posexplode(overlap.grams(F.col("words"), 15, 0.7)).alias("i", "gram")).select("walk_id", *long("i"), "gram")
 
 
 def overlap_reject(spark, sf_dir):
@@ -369,7 +374,7 @@ def stream_equals_batch(spark, sf_dir):
 
 
 def zipf_corpus(spark, sf_dir):
-    return zipf.corpus(spark, 2000, 500, 6, 16, 42)
+    return zipf.corpus(spark, 2000, 500, 6, 16, 42).select("run", *long("pos"), "word")
 
 
 QUERIES = {f.__name__: f for f in (
