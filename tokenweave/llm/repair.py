@@ -20,6 +20,7 @@ neighbours, ordered by a hash of their texts; an empty table writes no block. Ot
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -49,6 +50,10 @@ for _b in b" \t\n\v\f\r":
     _KIND[_b] = 0
 
 
+#: Runs of ASCII punctuation that are one word: all but ' < | >
+_SIGNS = re.compile(r"[!-&(-/:;=?@\[-`{}~]+")
+
+
 class WordTokenizer:
     """A tokenizers file whose white space is dropped and whose words split between letters, digits and punctuation.
 
@@ -64,12 +69,31 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache = U.ChunkCache(self._new)
+        self.last = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)  # ids that end a word
+        self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
 
     def _new(self, keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast([k.decode() for k in keys], add_special_tokens=False)]
-        off = np.concatenate(([0], np.cumsum([len(g) for g in got]))).astype(np.int64)
-        flat = np.fromiter((i for g in got for i in g), np.int32, int(off[-1]))
-        return flat, off
+        """Ids of chunks: one call for many chunks that are one word each, whose ids end with an end of word; else a call each."""
+        texts = [k.decode() for k in keys]
+        one = np.array([t.isalpha() or _SIGNS.fullmatch(t) is not None for t in texts], bool)
+        parts, sizes = [np.zeros(0, np.int64)] * 2, np.zeros(len(texts), np.int64)
+        for k, which in enumerate((np.flatnonzero(one), np.flatnonzero(~one))):
+            if k == 0:
+                groups = [" ".join([texts[i] for i in which[a : a + 200]]) for a in range(0, len(which), 200)]
+            else:
+                groups = [texts[i] for i in which]
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(groups, add_special_tokens=False)]
+            flat = np.fromiter((i for g in got for i in g), np.int64, sum(map(len, got)))
+            n = np.diff(np.flatnonzero(self.last[flat]) + 1, prepend=0) if k == 0 else np.array([len(g) for g in got], np.int64)
+            if len(n) != len(which):  # a word that is not one word to this tokenizer
+                got = [e.ids for e in self.tokenizer.encode_batch_fast([texts[i] for i in which], add_special_tokens=False)]
+                flat, n = np.array([i for g in got for i in g], np.int64), np.array([len(g) for g in got], np.int64)
+            parts[k], sizes[which] = flat, n
+        off = np.concatenate(([0], np.cumsum(sizes)))
+        ids = np.zeros(int(off[-1]), np.int32)
+        for which, flat in zip((one, ~one), parts):
+            ids[C.ranges(off[:-1][which], sizes[which])] = flat
+        return ids, off
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         low = data if b"<|" in data.tobytes() else C._LOWER[data]
@@ -117,9 +141,9 @@ def compress(seq: np.ndarray, end: int, *, rounds: int = 6, min_count: int = 8,
             bucket = ((a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(44)).astype(np.int64)
         bucket[(a == end) | (b == end)] = 1 << 20
         count = np.bincount(bucket, minlength=(1 << 20) + 1)[: 1 << 20]
-        top = np.argpartition(count, -2 * pairs)[-2 * pairs :]
-        wanted = np.zeros((1 << 20) + 1, bool)
-        wanted[top[count[top] >= min_count]] = True
+        often = count[count >= min_count]
+        least = np.partition(often, -2 * pairs)[-2 * pairs] if len(often) > 2 * pairs else min_count
+        wanted = np.append(count >= max(least, min_count), False)
         at = np.flatnonzero(wanted[bucket])
         if not len(at):
             break
@@ -263,7 +287,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer_file: str, *, id_col: str
             return pa.RecordBatch.from_arrays(row, names=["shard", "block", "start", "ids", "n_tokens", "payload"])
 
         for b in batches:
-            for lo, hi in C.pieces(b.column(1)):
+            for lo, hi in C.pieces(b.column(1), 8 << 20):
                 got, off = tok.encode(*C.texts(b.column(1).slice(lo, hi - lo)))
                 out = np.full(len(got) + hi - lo, end_id, np.int32)
                 body = np.ones(len(out), bool)
