@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tokenweave.sources.shared import written
+
 #: The sentinels around a run.
 BEGIN, END = "___BEGIN__", "___END__"
 
@@ -84,7 +86,7 @@ def totals(model: DataFrame) -> DataFrame:
 
 def ranked(df: DataFrame, col: str, out: str) -> DataFrame:
     """df (distinct in col) with the 0-based rank of col, without one task sorting all: ranks by range, then offsets."""
-    parts = df.repartitionByRange(col).withColumn("__p", F.spark_partition_id())
+    parts = written(df.repartitionByRange(col).withColumn("__p", F.spark_partition_id()), "ranked")  # partition numbers differ between two runs of a plan
     local = parts.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(col)))
     sizes = local.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
     before = sizes.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
