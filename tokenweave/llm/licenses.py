@@ -4,12 +4,14 @@ A document's units are its whole text, its paragraphs (between blank lines) and
 count once. A unit is normalised - A-Z lower-cased, everything but [a-z0-9] a separator - and its bigrams are a bag, so
 a unit of n words has n - 1 of them and Dice = 2 * shared / (a + b). Size bounds prune first: Dice >= t needs
 a >= b * t / (2 - t) and a <= b * (2 - t) / t, so a unit whose size fits no template ends in its row, before any bigram
-is made, and a bigram meets only the templates that its unit's size allows. Templates are a small literal table, at most
+is made, and a bigram meets only the templates that its unit's size allows. A unit with Dice >= t shares at least
+b * t / (2 - t) bigrams of the template; so a few words that lie in all but fewer of its bigrams are chosen for each
+template, and a text or unit without any of them can't match it and ends there too. Templates are a small literal table, at most
 ``MAX_TEMPLATE_BIGRAMS`` bigrams, checked, and broadcast; counts are summed before the one shuffle by unit.
 
 DataFrame operations only. Defined results: null and empty texts, and texts whose units have fewer than two words, match
-nothing (null license, score 0); ties go to the alphabetically first license; every input row is scored apart, so
-repeated rows give repeated results; other columns are not read, an empty table gives an empty result.
+nothing (null license, score 0); ties go to the alphabetically first license; a row is its id and text, so repeated
+rows give repeated results, and rows of one id with different texts are scored apart; other columns are not read, an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -58,15 +60,34 @@ def template_rows(templates: dict[str, list[str]], threshold: float) -> list[tup
     return out
 
 
-def _sizes(rows, threshold: float) -> str:
-    """An SQL condition on the size a: it fits a template. Neighbouring ranges are united."""
-    spans: list[list[float]] = []
-    for lo, hi in sorted({(r[5], r[6]) for r in rows}):
-        if spans and lo <= spans[-1][1]:
-            spans[-1][1] = max(spans[-1][1], hi)
-        else:
-            spans.append([lo, hi])
-    return " or ".join(f"(n >= {lo!r}D and n <= {hi!r}D)" for lo, hi in spans)
+def telling_words(bigrams: dict[str, int], threshold: float) -> list[str]:
+    """Words of a template (bigram -> count) of which every unit with at least the threshold has one.
+
+    Such a unit shares at least b * t / (2 - t) of the b bigrams; the words are taken greedily, long ones first among
+    equals, until fewer than that many bigrams have none of them.
+    """
+    left, need, out = dict(bigrams), sum(bigrams.values()) * threshold / (2 - threshold), []
+    while sum(left.values()) >= need - 1e-9:
+        gain: dict[str, float] = {}
+        for gram, n in left.items():
+            for w in set(gram.split()):
+                gain[w] = gain.get(w, 0) + n * min(len(w), 8) ** 2
+        out.append(max(sorted(gain), key=gain.get))
+        left = {g: n for g, n in left.items() if out[-1] not in g.split()}
+    return out
+
+
+def _fits(rows, threshold: float) -> tuple[str, str]:
+    """SQL conditions: on a text t, that it has a telling word; on x.u and x.n, that size and words fit some template."""
+    by: dict[int, dict[str, int]] = {}
+    bounds = {}
+    for _, number, gram, times, _, lo, hi in rows:
+        by.setdefault(number, {})[gram] = times
+        bounds[number] = (lo, hi)
+    words = {k: telling_words(g, threshold) for k, g in by.items()}
+    has = lambda col, ws: " or ".join(f"contains({col}, '{w}')" for w in ws)
+    any_word = sorted({w for ws in words.values() for w in ws}, key=lambda w: (-len(w), w))
+    return f"exists(array(lower(t)), x -> {has('x', any_word)})", " or ".join(f"(x.n >= {lo!r}D and x.n <= {hi!r}D and ({has('x.u', words[k])}))" for k, (lo, hi) in bounds.items())
 
 
 def license_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, list[str]] | None = None, threshold: float = 0.8) -> DataFrame:
@@ -76,10 +97,14 @@ def license_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     spark: SparkSession = docs.sparkSession
     rows = template_rows(TEMPLATES if templates is None else templates, threshold)
     grams = spark.createDataFrame(rows, "license string, template int, gram string, times int, b int, lo double, hi double")
-    fits = _sizes(rows, threshold).replace("n >=", "(length(u) - length(replace(u, ' ', '')))  >=").replace("n <=", "(length(u) - length(replace(u, ' ', ''))) <=")
-    src = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("t"))
-    flat = src.select("row", F.expr(f"regexp_replace(translate(t, '{UPPER}', '{LOWER}'), '[^a-z0-9\\n]+', ' ')").alias("t")).where("t is not null")
-    units = flat.select("row", F.expr(f"array_distinct(filter(transform(concat(array(regexp_replace(t, ' *\\n[ \\n]*', ' ')), transform(split(t, '\\n *\\n'), p -> regexp_replace(p, ' *\\n[ \\n]*', ' ')), split(t, '\\n')), u -> trim(u)), u -> {fits}))").alias("units")).where("size(units) > 0")
+    telling, fits = _fits(rows, threshold)
+    src = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("t"))
+    row = F.md5(F.concat(F.coalesce(F.concat(F.lit("i"), F.col("id").cast("string")), F.lit("n")), F.lit(":"), F.coalesce("t", F.lit(""))))
+    some = src.where(telling).select(row.alias("row"), "t").distinct()  # equal rows are scored once
+    flat = some.select("row", F.expr(f"regexp_replace(translate(t, '{UPPER}', '{LOWER}'), '[^a-z0-9\\n]+', ' ')").alias("t"))
+    parts = "concat(array(regexp_replace(t, ' *\\n[ \\n]*', ' ')), transform(split(t, '\\n *\\n'), p -> regexp_replace(p, ' *\\n[ \\n]*', ' ')), split(t, '\\n'))"
+    sized = f"transform(transform({parts}, u -> trim(u)), u -> struct(u, octet_length(u) - octet_length(replace(u, ' ', '')) as n))"
+    units = flat.select("row", F.expr(f"array_distinct(transform(filter({sized}, x -> {fits}), x -> x.u))").alias("units")).where("size(units) > 0")
     words = units.select("row", F.posexplode("units").alias("unit", "u")).select("row", "unit", F.split("u", " ").alias("w"))
     pairs = words.select("row", "unit", (F.size("w") - 1).alias("a"), F.explode(F.expr("transform(sequence(0, size(w) - 2), i -> concat(w[i], ' ', w[i + 1]))")).alias("gram"))
     met = pairs.join(F.broadcast(grams), "gram").where("a >= lo and a <= hi")
@@ -87,5 +112,5 @@ def license_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     dice = times.groupBy("row", "unit", "a", "license", "template", "b").agg(F.sum(F.least("n", F.col("times").cast("bigint"))).alias("m")).select("row", "unit", "license", (2 * F.col("m") / (F.col("a") + F.col("b"))).alias("score")).where(F.col("score") >= threshold)
     best = dice.groupBy("row").agg(F.max(F.struct("score")).alias("top"), F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("first"), F.countDistinct("unit").alias("n_units"))
     best = best.select("row", F.col("first.license").alias("license"), F.col("top.score").alias("score"), "n_units")
-    out = src.select("row", "id").join(best, "row", "left")
+    out = src.select(row.alias("row"), "id").join(best, "row", "left")
     return out.select(F.col("id").alias(id_col), "license", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("n_units", F.lit(0)).cast("bigint").alias("n_units"))
