@@ -20,8 +20,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tokenweave.llm import common as C
 
@@ -310,37 +312,42 @@ class Sent:
         return self.bc.value
 
 
+def _mapped(df: DataFrame, col: str, out: str, kind: T.DataType, limit: int, size, make) -> DataFrame:
+    """df with column out made from column col; batches leave in parts of about limit, so memory stays small."""
+    keep = [c for c in df.columns if c != out]
+    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(out, kind)])
+
+    def go(batches):
+        for b in batches:
+            ends, lo = np.cumsum(size(b.column(b.num_columns - 1))), 0
+            while lo < b.num_rows:
+                base = ends[lo - 1] if lo else 0
+                hi = min(b.num_rows, max(lo + 1, int(np.searchsorted(ends, base + limit, "right"))))
+                part = b.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], make(part.column(b.num_columns - 1))], names=[*keep, out])
+                lo = hi
+
+    return df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{col}`").alias("__in")).mapInArrow(go, schema)
+
+
 def encode(docs: DataFrame, model_file: str, *, text_col: str = "text", out: str = "ids") -> DataFrame:
     """docs with the ids of the whole text in column out (array<int>)."""
     sent = Sent(docs.sparkSession, model_file)
 
-    @F.arrow_udf("array<int>")
-    def apply(col: pa.Array) -> pa.Array:
-        v = _vocabulary(sent)
-        parts = []
-        for lo, hi in C.pieces(col):
-            ids, off = encode_texts(v, *C.texts(col.slice(lo, hi - lo)))
-            parts.append(pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids, pa.int32())))
-        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
+    def make(col):
+        ids, off = encode_texts(_vocabulary(sent), *C.texts(col))
+        return pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids, pa.int32()))
 
-    return docs.withColumn(out, apply(F.col(f"`{text_col}`")))
+    return _mapped(docs, text_col, out, T.ArrayType(T.IntegerType()), C.PIECE_BYTES, lambda c: np.asarray(pc.fill_null(pc.binary_length(c), 0)), make)
 
 
 def decode(df: DataFrame, model_file: str, *, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """df with the text of the ids in column out; null ids decode to an empty text."""
     sent = Sent(df.sparkSession, model_file)
 
-    @F.arrow_udf("string")
-    def apply(col: pa.Array) -> pa.Array:
-        v = _vocabulary(sent)
-        col = col.fill_null([]) if col.null_count else col
-        off = np.asarray(col.offsets).astype(np.int64) if len(col) else np.zeros(1, np.int64)
+    def make(col):
+        n = np.asarray(pc.fill_null(pc.list_value_length(col), 0)).astype(np.int64)
         flat = np.asarray(col.flatten().fill_null(-1))
-        texts, a = [], 0
-        while a < len(col):  # a few MB of text at a time
-            z = min(len(col), max(a + 1, int(np.searchsorted(off, off[a] + 500_000, "right")) - 1))
-            texts += decode_ids(v, flat[off[a] - off[0] : off[z] - off[0]], off[a : z + 1] - off[a])
-            a = z
-        return pa.array(texts, pa.string())
+        return pa.array(decode_ids(_vocabulary(sent), flat, np.concatenate(([0], np.cumsum(n)))), pa.string())
 
-    return df.withColumn(out, apply(F.col(f"`{ids_col}`")))
+    return _mapped(df, ids_col, out, T.StringType(), 500_000, lambda c: np.asarray(pc.fill_null(pc.list_value_length(c), 0)), make)
