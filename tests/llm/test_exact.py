@@ -169,6 +169,36 @@ def test_longest_matches(spark):
     assert [r.longest_match for r in got] == [3, 0, 10, 0]
 
 
+def spans_by_force(text, items, window):
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    w, longest, spans = words(text), 0, set()
+    for v in map(words, (t for _, t in items)):
+        for a in range(len(w)):
+            for b in range(len(v)):
+                n = 0
+                while a + n < len(w) and b + n < len(v) and w[a + n] == v[b + n]:
+                    n += 1
+                longest = max(longest, n)
+                if n >= window or n == len(v):
+                    spans.add((a, n))
+    return longest, sorted(s for s in spans if not any(t != s and t[0] <= s[0] and sum(t) >= sum(s) for t in spans))
+
+
+@pytest.mark.parametrize("block", [4 << 20, 100])
+def test_longest_spans(spark, block):
+    r = random.Random(6)
+    long = " ".join(f"w{r.randrange(900)}" for _ in range(200))
+    items = [(1, "a b c d e f g h i j k l"), (2, long), (3, "b a " * 12), (4, "x9 y9"), (5, None), (6, long + " more")]
+    texts = ["d e f", "J k l", "l", "a b c d e f g h i j k", f"so {long} and {long[:300]} end", f"{long} more and {long}", "u x9 y9 z", "a b " * 20, "nothing", None]
+    texts += [" ".join(r.choice("abcdefgh") for _ in range(60)) for _ in range(3)] + [long[40:500] + " q " + long[300:]]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = decontam.contamination(docs_of(spark, texts), bench, block_bytes=block).orderBy("doc_id").collect()
+    assert [(x.longest_span, [(s.start, s.n_words) for s in x.spans]) for x in got] == [spans_by_force(t, items, 10) for t in texts]
+    assert got[4].longest_span == 200 and got[5].longest_span == 201
+    by, words = {str(i): (t or "").split() for i, t in items}, [(t or "").lower().split() for t in texts]
+    assert all(by[s.item][s.item_start : s.item_start + s.n_words] == words[x.doc_id][s.start : s.start + s.n_words] for x in got for s in x.spans)
+
+
 # ---- near-duplicates
 
 
