@@ -1,9 +1,16 @@
+import bisect
+import collections
+import hashlib
+import random
+from itertools import accumulate
+
 import pytest
 from pyspark.sql import functions as F
 
 from tokenweave import MarkovModel
 from tokenweave.operators import generate, overlap
 from tokenweave.operators.generate import Limits
+from tokenweave.plans import queries
 
 PROSE = "The cat saw the dog. The dog saw the bird. The bird saw the cat. A cat ran home. A dog ran away. The bird flew home."
 
@@ -111,3 +118,42 @@ def test_rejoined_source(spark):
 
 def test_zero_tries(spark):
     assert text_model(spark, PROSE).make_sentences(2, limits=Limits(tries=0)).where("sentence is null").count() == 2
+
+
+def test_queries_over_documents(spark, tmp_path):
+    """The corpus is model and source; another table's words do not come in."""
+    r = random.Random(3)
+    texts = [" ".join(f"{r.choice(['The', 'A'])} {' '.join(r.choice('abcdefgh') for _ in range(r.randrange(3, 9)))} end." for _ in range(4)) + " The the a." for _ in range(12)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "Other words.")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    runs = [s.split() for t in texts for s in t.replace("end. ", "end.|").replace("a. ", "a.|").split("|")]
+    model = collections.defaultdict(collections.Counter)
+    for w in runs:
+        for a, b in zip(["", *w], [*w, "\0"]):
+            model[a][b] += 1
+
+    def walk(walk_id, attempt):
+        state, out = "", []
+        while True:
+            follow = sorted(model[state], key=lambda w: "___END__" if w == "\0" else w)
+            sums = list(accumulate(model[state][w] for w in follow))
+            u = int(hashlib.md5(f"{queries.SEED}:{walk_id}:{attempt}:{len(out)}".encode()).hexdigest()[:13], 16) / 2**52
+            state = follow[bisect.bisect_right(sums, u * sums[-1])]
+            if state == "\0":
+                return out
+            out.append(state)
+
+    def bad(words):
+        over = min(15, int(len(words) * 0.7 + 0.5))
+        return any(" ".join(words[i : i + over + 1]) in t + " " for i in range(max(len(words) - over, 1)) for t in texts)
+
+    got = {x.walk_id: x.rejected for x in queries.QUERIES["overlap_reject_documents"](spark, str(tmp_path)).collect()}
+    assert got == {i: bad(walk(i, 0)) for i in range(queries.WALKS)} and len(set(got.values())) == 2
+    tried = {i: [walk(i, a) for a in range(10)] for i in range(50)}
+    first = lambda i, ok: next((" ".join(w) for w in tried[i] if ok(w)), None)
+    made = lambda name: {x.walk_id: x.sentence for x in queries.QUERIES[name](spark, str(tmp_path)).collect()}
+    assert made("make_sentence_documents") == {i: first(i, lambda w: not bad(w)) for i in range(50)}
+    assert made("make_short_mapped_documents") == {i: first(i, lambda w: 30 <= len(" ".join(w)) <= 80) for i in range(50)}
+    ranks = {x.state: x.rank for x in queries.QUERIES["start_candidates_documents"](spark, str(tmp_path)).collect()}
+    states = sorted({f"the {w[i + 1]}" for w in runs for i in range(len(w) - 1) if w[i] == "the"} | {"___BEGIN__ the" for w in runs if w[0] == "the"}, key=lambda s: hashlib.md5(f"{queries.SEED}:{s}".encode()).hexdigest())
+    assert ranks == {s: k for k, s in enumerate(states)}

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokenweave.operators.chain import BEGIN
+from tokenweave.operators.chain import BEGIN, ranked
 from tokenweave.operators.overlap import rejected
 from tokenweave.operators.walk import walk
 from tokenweave.sources.shared import written
@@ -86,11 +86,9 @@ def start_states(model: DataFrame, k: int, beginning: list[str], strict: bool =
         words = [BEGIN] * (k - m) + beginning
         return model.sparkSession.range(1).select(F.array(*map(F.lit, words)).alias("state"), F.lit(0).cast("bigint").alias("rank"))
     said = F.slice(F.filter("state", lambda w: w != BEGIN), 1, m)
-    from pyspark.sql import Window
-
     found = model.where(said == F.array(*map(F.lit, beginning))).select("state").distinct()
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.array_join("state", " ")))
-    return found.select("state", (F.row_number().over(Window.orderBy(key, "state")) - 1).cast("bigint").alias("rank"))
+    return ranked(found.select("state", F.struct(key.alias("key"), "state").alias("order")), "order", "rank").select("state", F.col("rank").cast("bigint").alias("rank"))
 
 
 def sentence_with_start(model: DataFrame, k: int, beginning: list[str], source: DataFrame | None, join, strict: bool = True, limits: Limits = Limits(), temperature: float = 1.0, seed: int = 0, max_steps: int = 1000, strategy: str = "auto") -> DataFrame:

@@ -244,8 +244,8 @@ def _by_total():
     return Window.orderBy(F.col("t").desc(), F.array_join("state", " "))  # of the 20 states at hand
 
 
-def walk_mapped(spark, sf_dir):
-    m = MarkovModel.from_text(read(spark, sf_dir, "benchmark"), 1, key="item_id", retain=False, temperature=TEMPERATURE)
+def walk_mapped(spark, sf_dir, of="benchmark"):
+    m = MarkovModel.from_text(_texts(spark, sf_dir, of), 1, key=KEYS[of], retain=False, temperature=TEMPERATURE)
     path = _path(spark, "mapped")
     tables.save(m, path)
     got = tables.load(spark, path).walk(WALKS, SEED)
@@ -259,62 +259,70 @@ def _path(spark, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def _benchmark(spark, sf_dir, k=1) -> MarkovModel:
-    m = MarkovModel.from_text(read(spark, sf_dir, "benchmark"), k, key="item_id")
+#: The tables that generation can be trained on and tested against, with their ids.
+KEYS = {"benchmark": "item_id", "documents": "doc_id"}
+
+
+def _texts(spark, sf_dir, of: str) -> DataFrame:
+    return documents(spark, sf_dir) if of == "documents" else read(spark, sf_dir, of)
+
+
+def _retained(spark, sf_dir, of: str, k=1) -> MarkovModel:
+    m = MarkovModel.from_text(_texts(spark, sf_dir, of), k, key=KEYS[of])
     from dataclasses import replace
 
     return replace(m, transitions=written(m.transitions, "model"), source=written(m.source, "source"))
 
 
-def make_sentence(spark, sf_dir):
-    return _benchmark(spark, sf_dir).make_sentences(50, SEED)
+def make_sentence(spark, sf_dir, of="benchmark"):
+    return _retained(spark, sf_dir, of).make_sentences(50, SEED)
 
 
-def make_sentence_bounded(spark, sf_dir):
-    return _benchmark(spark, sf_dir).make_sentences(50, SEED, limits=generate.Limits(tries=5, min_words=8, max_words=16))
+def make_sentence_bounded(spark, sf_dir, of="benchmark"):
+    return _retained(spark, sf_dir, of).make_sentences(50, SEED, limits=generate.Limits(tries=5, min_words=8, max_words=16))
 
 
-def make_short_sentence(spark, sf_dir):
-    return _benchmark(spark, sf_dir).make_short_sentences(50, max_chars=60, min_chars=20, seed=SEED)
+def make_short_sentence(spark, sf_dir, of="benchmark"):
+    return _retained(spark, sf_dir, of).make_short_sentences(50, max_chars=60, min_chars=20, seed=SEED)
 
 
-def make_sentence_mapped(spark, sf_dir):
-    return _benchmark(spark, sf_dir).make_sentences(50, SEED, limits=generate.Limits(test_output=False, max_words=12))
+def make_sentence_mapped(spark, sf_dir, of="benchmark"):
+    return _retained(spark, sf_dir, of).make_sentences(50, SEED, limits=generate.Limits(test_output=False, max_words=12))
 
 
-def make_short_mapped(spark, sf_dir):
-    return _benchmark(spark, sf_dir).make_short_sentences(50, max_chars=80, min_chars=30, seed=SEED, test_output=False)
+def make_short_mapped(spark, sf_dir, of="benchmark"):
+    return _retained(spark, sf_dir, of).make_short_sentences(50, max_chars=80, min_chars=30, seed=SEED, test_output=False)
 
 
-def start_candidates(spark, sf_dir):
-    out = generate.start_states(benchmark_model(spark, sf_dir, 2), 2, ["the"], strict=False, seed=SEED)
+def start_candidates(spark, sf_dir, of="benchmark"):
+    out = generate.start_states(model(spark, sf_dir, 2) if of == "documents" else benchmark_model(spark, sf_dir, 2), 2, ["the"], strict=False, seed=SEED)
     return out.select(F.array_join("state", " ").alias("state"), "rank")
 
 
-def start_strict(spark, sf_dir):
-    m = _benchmark(spark, sf_dir, 2)
+def start_strict(spark, sf_dir, of="benchmark"):
+    m = _retained(spark, sf_dir, of, 2)
     return m.make_sentence_with_start("The", True, SEED, generate.Limits(tries=10, test_output=False))
 
 
-def start_loose(spark, sf_dir):
-    m = _benchmark(spark, sf_dir, 2)
+def start_loose(spark, sf_dir, of="benchmark"):
+    m = _retained(spark, sf_dir, of, 2)
     return m.make_sentence_with_start("the", False, SEED, generate.Limits(tries=3, test_output=False, max_words=12))
 
 
-def _tried(spark, sf_dir) -> tuple[MarkovModel, DataFrame]:
-    m = _benchmark(spark, sf_dir)
+def _tried(spark, sf_dir, of: str) -> tuple[MarkovModel, DataFrame]:
+    m = _retained(spark, sf_dir, of)
     got = walk.walk(walk.requests(spark, WALKS), m.transitions, 1, 1.0, SEED)
     return m, written(got, "candidates")
 
 
-def overlap_grams(spark, sf_dir):
-    _, got = _tried(spark, sf_dir)
+def overlap_grams(spark, sf_dir, of="benchmark"):
+    _, got = _tried(spark, sf_dir, of)
     return got.select("walk_id", F.posexplode(overlap.grams(F.col("words"), 15, 0.7)).alias("i", "gram")).select("walk_id", *long("i"), "gram")
 
 
-def overlap_reject(spark, sf_dir):
+def overlap_reject(spark, sf_dir, of="benchmark"):
     """Which candidates overlap the source."""
-    m, got = _tried(spark, sf_dir)
+    m, got = _tried(spark, sf_dir, of)
     bad = overlap.rejected(got, m.source, ["walk_id"])
     return got.select("walk_id").join(bad.withColumn("rejected", F.lit(True)), "walk_id", "left").select("walk_id", F.coalesce("rejected", F.lit(False)).alias("rejected"))
 
@@ -387,3 +395,6 @@ QUERIES = {f.__name__: f for f in (
 QUERIES |= {f"transitions_k{k}": partial(transitions_k, k) for k in (1, 2, 3)} | {f"model_k{k}": partial(model_k, k) for k in (1, 2, 3)}
 QUERIES |= {"combine_default": partial(combine_with, None), "combine_weighted": partial(combine_with, [1.0, 2.0]), "combine_fractional": partial(combine_with, [0.5, 1.5])}
 QUERIES |= {"cdf_t1": partial(cdf_t, 1.0), "cdf_t0_5": partial(cdf_t, 0.5), "cdf_t2": partial(cdf_t, 2.0)}
+#: The same over the corpus, as model and as source; without SQL.
+CORPUS = (walk_mapped, make_sentence, make_sentence_bounded, make_short_sentence, make_sentence_mapped, make_short_mapped, start_candidates, start_strict, start_loose, overlap_grams, overlap_reject)
+QUERIES |= {f"{f.__name__}_documents": partial(f, of="documents") for f in CORPUS}
