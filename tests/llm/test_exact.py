@@ -346,6 +346,21 @@ def test_vectors(spark):
     assert vectordedup.near_vectors(none).count() == 0
 
 
+def test_links_are_counted_beyond_the_nearest_centroid(spark):
+    r = np.random.default_rng(11)
+    x = r.normal(size=(1000, 64))
+    y = x / np.linalg.norm(x, axis=1, keepdims=True) + r.normal(size=x.shape) * 0.0225
+    vectors = np.concatenate((x, y))
+    df = spark.createDataFrame([(i, "l", v) for i, v in enumerate(vectors.tolist())], "vec_id bigint, label string, embedding array<double>")
+    got = vectordedup.near_vectors(df, shard_size=2, least_recall=0).collect()
+    size = collections.Counter(g.component_id for g in got)
+    assert all((g.n_links > 0) == (size[g.component_id] > 1) for g in got)
+    u = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    links = ((u @ u.T) >= 0.98).sum(1) - 1
+    assert links.sum() > 1000
+    assert sum(g.n_links for g in got) >= 0.98 * links.sum()
+
+
 def test_graph_search_recall():
     r = np.random.default_rng(3)
     x = np.concatenate([r.normal(size=(1, 32)) + r.normal(size=(40, 32)) * 0.09 for _ in range(20)] + [r.normal(size=(400, 32))])

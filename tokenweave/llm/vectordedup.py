@@ -3,12 +3,13 @@
 1. Equal vectors of a label are one vector with a count. Up to ``MAX_CENTROIDS`` vectors, a hashed sample of one in
    ``shard_size``, are centroids; of centroids of a label that are near each other the first stays, so a dense group is
    not cut up. Each vector goes to the shards of its ``overlap`` nearest centroids, as far as they are within ``margin``
-   of the nearest; the nearest is its home.
+   of the nearest.
 2. A shard's graph: for each vector, the nearest others, some others at random and the shard's medoid, thinned by
    robust pruning, with the reverse edges. In a shard, a vector's list is the union of these.
 3. A greedy beam search from the medoid (and the query's own node) finds each vector's neighbourhood, and a range
    expansion follows edges as long as the similarity stays within ``slack`` of the threshold. Similarities are computed
-   in double precision from the vectors, so every link is verified. A vector's links are counted in its home shard only.
+   in double precision from the vectors, so every link is verified. A link is found from either end and counts for both, in
+   the smallest shard that both are in and nowhere else.
 4. Links of a shard become a star for each of its components; stars of all shards are joined to components.
 5. Audit: for a hashed sample of vectors, links are counted by brute force over all rows. If recall is below
    ``least_recall``, the shards are built anew with more overlap, up to all centroids of the label.
@@ -232,6 +233,19 @@ def _by_key(b):
     return [(key, np.array(rows)) for key, rows in groups.items()]
 
 
+def _smaller(shards, shard: int) -> np.ndarray:
+    """Which shards before this one each vector is in, as bits."""
+    if isinstance(shards, pa.ChunkedArray):
+        shards = shards.combine_chunks()
+    row, at = np.repeat(np.arange(len(shards)), np.diff(shards.offsets.to_numpy())), shards.flatten().to_numpy()
+    row, at = row[at < shard], at[at < shard]
+    some, at = np.unique(at, return_inverse=True)
+    width = -(-len(some) // 8)
+    bits = np.zeros((len(shards), width), np.uint8)
+    np.bitwise_or.at(bits, (row, at >> 3), (1 << (at & 7)).astype(np.uint8))
+    return bits
+
+
 def _shards(own: DataFrame, sent, threshold: float, overlap: int, margin: float, slack: float, max_block: int) -> tuple[DataFrame, DataFrame]:
     """(i, n) links of each vector, and (i, root) stars."""
 
@@ -242,17 +256,20 @@ def _shards(own: DataFrame, sent, threshold: float, overlap: int, margin: float,
                 x = _units(np.array(b.column("v").take(rows_pa).to_pylist()))
                 m = sent.value.get(key)
                 if m is None or len(m) == 1:
-                    who, shard, home = np.arange(len(rows)), np.zeros(len(rows), int), np.ones(len(rows), bool)
+                    who, shard = np.arange(len(rows)), np.zeros(len(rows), int)
                 else:
                     d = np.sqrt(np.maximum(0, 2 - 2 * (x @ m.T)))
                     near = np.argsort(d, 1, kind="stable")[:, :overlap]
                     dn = np.take_along_axis(d, near, 1)
                     who, c = np.nonzero(dn <= dn[:, :1] + margin)
-                    shard, home = near[who, c], c == 0
+                    shard = near[who, c]
                 sel = pa.array(rows[who])
-                yield pa.RecordBatch.from_arrays([b.column("l").take(sel), pa.array(np.full(len(who), key[1]), pa.int32()), pa.array(shard, pa.int32()), pa.array(home), b.column("i").take(sel), b.column("times").take(sel), b.column("v").take(sel)], names=["l", "dim", "shard", "home", "i", "times", "v"])
+                n = np.bincount(who, minlength=len(rows))
+                all_of = C.ranges((np.cumsum(n) - n)[who], n[who])
+                shards = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n[who]))), pa.int32()), pa.array(shard[all_of], pa.int32()))
+                yield pa.RecordBatch.from_arrays([b.column("l").take(sel), pa.array(np.full(len(who), key[1]), pa.int32()), pa.array(shard, pa.int32()), shards, b.column("i").take(sel), b.column("times").take(sel), b.column("v").take(sel)], names=["l", "dim", "shard", "shards", "i", "times", "v"])
 
-    rows = C.written(own.select("l", "v", "i", "times").mapInArrow(assign, "l string, dim int, shard int, home boolean, i bigint, times bigint, v array<double>"), "shards")
+    rows = C.written(own.select("l", "v", "i", "times").mapInArrow(assign, "l string, dim int, shard int, shards array<int>, i bigint, times bigint, v array<double>"), "shards")
     keys = ["l", "dim", "shard"]
     big = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > max_block)
     rows = rows.join(big, keys, "left").withColumn("blocks", F.coalesce(F.ceil(F.col("m") / max_block), F.lit(1)).cast("int"))
@@ -263,14 +280,20 @@ def _shards(own: DataFrame, sent, threshold: float, overlap: int, margin: float,
         t = t.combine_chunks().sort_by("i")
         x = _units(np.array(t.column("v").to_pylist()))
         ids, times, block = (t.column(c).to_numpy() for c in ("i", "times", "block"))
-        home = np.asarray(t.column("home"))
+        smaller = _smaller(t.column("shards"), key[2].as_py())
         a, b = search(x, build_graph(x), np.arange(len(x)), threshold, slack)
         if key[3] != key[4]:
             cross = block[a] != block[b]
             a, b = a[cross], b[cross]
         root = _roots(len(x), a, b, ids)
-        n = np.bincount(a, times[b].astype(float), len(x)).astype(np.int64)
-        return pa.table({"i": pa.array(ids, pa.int64()), "root": pa.array(root, pa.int64()), "n": pa.array(np.where(home, n, 0), pa.int64())})
+        code = np.unique(np.minimum(a, b) * len(x) + np.maximum(a, b))
+        n, step = np.zeros(len(x)), max(1, (16 << 20) // max(1, smaller.shape[1]))
+        for c in range(0, len(code), step):
+            a, b = code[c : c + step] // len(x), code[c : c + step] % len(x)
+            here = ~(smaller[a] & smaller[b]).any(1)
+            a, b = a[here], b[here]
+            n += np.bincount(a, times[b], len(x)) + np.bincount(b, times[a], len(x))
+        return pa.table({"i": pa.array(ids, pa.int64()), "root": pa.array(root, pa.int64()), "n": pa.array(n.astype(np.int64), pa.int64())})
 
     found = C.written(rows.groupBy(*keys, "p", "q").applyInArrow(one, "i bigint, root bigint, n bigint"), "vector-links")
     return found.groupBy("i").agg(F.sum("n").alias("n")), found.where("i <> root").select("i", "root")
