@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tokenweave.llm import chat, decontam, licenses, linededup, neardup, quality, repair, suffixdedup, unigram, vectordedup
 from tokenweave.llm import common as C
@@ -361,6 +362,41 @@ def test_links_are_counted_beyond_the_nearest_centroid(spark):
     assert sum(g.n_links for g in got) >= 0.98 * links.sum()
 
 
+def test_audit_is_not_drowned_by_a_dense_group():
+    exact = {i: 1000 for i in range(80)} | {i: 2 for i in range(100, 140)} | {i: 0 for i in range(200, 300)}
+    assert vectordedup._recall(exact, {i: 1000 for i in range(80)}, 500) == 0
+    assert vectordedup._recall(exact, exact, 500) == 1 and vectordedup._recall({1: 0}, {1: 0}, 500) == 1
+    assert vectordedup._recall(exact, {i: n for i, n in exact.items() if i >= 100}, 500) == 0
+
+
+def test_audit_goes_on_until_vectors_are_linked(spark):
+    r = np.random.default_rng(12)
+    hot = r.normal(size=(1, 32)) + r.normal(size=(300, 32)) * 0.02
+    x = r.normal(size=(100, 32))
+    vectors = np.concatenate((hot, x, x + r.normal(size=x.shape) * 0.02))
+    df = spark.createDataFrame([(i, "l", v, 1) for i, v in enumerate(vectors.tolist())], "i bigint, l string, v array<double>, times int")
+    u = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    links = ((u @ u.T) >= 0.98).sum(1) - 1
+    few = vectordedup._audited(df, len(vectors), 0.98, 16, 100)
+    assert all(links[i] == n for i, n in few.items()) and sum(0 < n <= 100 for n in few.values()) >= vectordedup.LINKED
+
+
+def test_last_audit_round_takes_all_centroids(spark, monkeypatch):
+    seen, shards = [], vectordedup._shards
+
+    def spy(own, sent, threshold, overlap, margin, *more):
+        seen.append((overlap, margin))
+        links, stars = shards(own, sent, threshold, overlap, margin, *more)
+        return links.withColumn("n", F.lit(0).cast("bigint")), stars
+
+    monkeypatch.setattr(vectordedup, "_shards", spy)
+    x = np.random.default_rng(13).normal(size=(20, 16))
+    df = spark.createDataFrame([(i, "l", v) for i, v in enumerate(np.concatenate((x, x * 2 + 0.01)).tolist())], "vec_id bigint, label string, embedding array<double>")
+    with pytest.warns(RuntimeWarning, match="below 0.95"):
+        vectordedup.near_vectors(df).count()
+    assert seen == [(3, 0.15), (6, np.inf)]
+
+
 def test_graph_search_recall():
     r = np.random.default_rng(3)
     x = np.concatenate([r.normal(size=(1, 32)) + r.normal(size=(40, 32)) * 0.09 for _ in range(20)] + [r.normal(size=(400, 32))])

@@ -11,8 +11,11 @@
    in double precision from the vectors, so every link is verified. A link is found from either end and counts for both, in
    the smallest shard that both are in and nowhere else.
 4. Links of a shard become a star for each of its components; stars of all shards are joined to components.
-5. Audit: for a hashed sample of vectors, links are counted by brute force over all rows. If recall is below
-   ``least_recall``, the shards are built anew with more overlap, up to all centroids of the label.
+5. Audit: for a hashed sample of vectors, links are counted by brute force over all rows. The sample grows, to 16 times
+   its size at most, until ``LINKED`` of its vectors outside dense groups (more than ``shard_size`` links) have links.
+   Recall is the mean over vectors with links, by itself for those in dense groups and for the others; the lower one
+   counts. If it is below ``least_recall``, the shards are built anew with more overlap, in the last round with all
+   centroids of the label and no margin. What stays below, or could not be measured, is reported as a warning.
 
 A shard of more than ``max_block`` vectors is cut into blocks by hash, and each pair of blocks is a task of its own, so
 no task holds more than two blocks. Pairs of vectors are never emitted.
@@ -25,6 +28,8 @@ stay out of the result.
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,6 +39,7 @@ from tokenweave.llm import common as C
 from tokenweave.llm.components import components
 
 MAX_CENTROIDS = 16384
+LINKED = 32
 DEGREE, NEAR, FAR, BEAM, ALPHA = 24, 24, 8, 16, 1.2
 
 
@@ -185,17 +191,21 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
         centroids[key] = m[keep]
     sent = spark.sparkContext.broadcast(centroids)
     most = max([len(m) for m in centroids.values()], default=1)
-    sample = own.orderBy(F.xxhash64("i", F.lit(23)), "i").limit(audit_queries).select("i", "l", "v").toArrow()
-    exact = _brute(own, sample, threshold)
+    exact = _audited(own, n, threshold, audit_queries, shard_size)
+    if not any(exact.values()) and len(exact) < n:
+        warnings.warn(f"recall is not measured: none of {len(exact)} sampled vectors has links", RuntimeWarning, stacklevel=2)
 
     while True:
         links, stars = _shards(own, sent, threshold, overlap, margin, slack, max_block)
-        counts = links.where(F.col("i").isin(list(exact))).collect() if exact else []
-        want = sum(exact.values())
-        recall = sum(min(r.n, exact[r.i]) for r in counts) / want if want else 1.0
-        if recall >= least_recall or overlap >= most:
+        recall = _recall(exact, {r.i: r.n for r in links.where(F.col("i").isin(list(exact))).collect()}, shard_size) if exact else 1.0
+        if recall >= least_recall:
+            break
+        if overlap >= most and margin == np.inf:
+            warnings.warn(f"recall of links is {recall:.4f}, below {least_recall}, with all centroids", RuntimeWarning, stacklevel=2)
             break
         overlap, margin = overlap * 2, margin * 2
+        if overlap >= most:
+            margin = np.inf
     comp = components(stars, "i", "root")
     per = own.select("l", "v", F.col("i").alias("rep"), "times")
     good = src.where(fit).join(per, ["l", "v"]).select("i", "rep", "times").distinct()
@@ -205,6 +215,24 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
     return out.select(F.col("i").alias(id_col), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"), F.coalesce("component_id", "i").alias("component_id"), (F.col("i") == F.coalesce("component_id", "i")).alias("kept"))
 
 
+def _audited(own: DataFrame, n: int, threshold: float, size: int, dense: int) -> dict[int, int]:
+    """Exact links of a hashed sample that has LINKED vectors with some, outside groups of more than dense links."""
+    exact, done = {}, 0
+    for most in (size, 4 * size, 16 * size):
+        sample = own.orderBy(F.xxhash64("i", F.lit(23)), "i").limit(most).select("i", "l", "v").toArrow()
+        exact |= _brute(own, sample.slice(done), threshold)
+        done = len(sample)
+        if most >= n or sum(0 < x <= dense for x in exact.values()) >= LINKED:
+            break
+    return exact
+
+
+def _recall(exact: dict[int, int], found: dict[int, int], dense: int) -> float:
+    """The lower of the mean recalls of the vectors in dense groups and of the others; 1 where none has links."""
+    parts = [[min(found.get(i, 0), x) / x for i, x in exact.items() if x and (x > dense) == hot] for hot in (False, True)]
+    return min((sum(p) / len(p) for p in parts if p), default=1.0)
+
+
 def _brute(own: DataFrame, sample: pa.Table, threshold: float) -> dict[int, int]:
     """Links of the sampled vectors (to other vectors, with counts) against all rows."""
     queries: dict = {}
