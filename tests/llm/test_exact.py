@@ -362,6 +362,17 @@ def test_links_are_counted_beyond_the_nearest_centroid(spark):
     assert sum(g.n_links for g in got) >= 0.98 * links.sum()
 
 
+def test_repair_goes_on_until_no_pair_is_frequent():
+    r = np.random.default_rng(14)
+    passage = r.integers(0, 5000, 2000)
+    seq = np.concatenate([np.append(passage, 9000) for _ in range(40)] + [r.integers(5000, 8000, 5000)])
+    got, rules, first = repair.compress(seq, 9000)
+    assert (repair.expand(got, rules, first) == seq).all()
+    pairs = collections.Counter((a, b) for a, b in zip(got[:-1].tolist(), got[1:].tolist()) if 9000 not in (a, b) and a != b)
+    assert max(pairs.values()) < 8
+    assert repair.expansion_lengths(rules, first).max() == 2000 and (got == 9000).sum() == 40 and len(got) < 5100
+
+
 def test_audit_is_not_drowned_by_a_dense_group():
     exact = {i: 1000 for i in range(80)} | {i: 2 for i in range(100, 140)} | {i: 0 for i in range(200, 300)}
     assert vectordedup._recall(exact, {i: 1000 for i in range(80)}, 500) == 0

@@ -123,19 +123,18 @@ def tokenizer(path: str, content: bytes | None = None) -> WordTokenizer:
 # ---- Re-Pair ----------------------------------------------------------------------------------------------------
 
 
-def compress(seq: np.ndarray, end: int, *, rounds: int = 6, min_count: int = 8, pairs: int = 1024) -> tuple[np.ndarray, np.ndarray, int]:
+def compress(seq: np.ndarray, end: int, *, rounds: int | None = None, min_count: int = 8, pairs: int = 1024) -> tuple[np.ndarray, np.ndarray, int]:
     """Symbols, rules (n, 2) and the first nonterminal of the ids seq; pairs with the symbol end are never replaced.
 
     A round counts all pairs, takes up to ``pairs`` of the most frequent ones so that no symbol is the left part of one
-    and the right part of another, and replaces all their occurrences. It ends after ``rounds``, or when no pair occurs
-    min_count times, or when a round saves less than 1 %.
+    and the right part of another, and replaces all their occurrences. It ends when no pair occurs min_count times, or after
+    ``rounds`` if given.
     """
     seq = seq.astype(np.int64)
     first = int(seq.max(initial=end)) + 1
     rules: list[tuple[int, int]] = []
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+    while len(seq) > 1 and rounds != 0:
+        rounds = rounds and rounds - 1
         a, b = seq[:-1], seq[1:]
         with np.errstate(over="ignore"):
             bucket = ((a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(44)).astype(np.int64)
@@ -177,11 +176,8 @@ def compress(seq: np.ndarray, end: int, *, rounds: int = 6, min_count: int = 8,
         seq[at] = base + where
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
-        before = len(seq)
         seq = seq[stay]
         rules += [(c >> 32, c & 0xFFFFFFFF) for c in chosen]
-        if len(seq) > 0.99 * before:
-            break
     return seq, np.array(rules, np.int64).reshape(-1, 2), first
 
 
