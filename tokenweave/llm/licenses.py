@@ -5,8 +5,8 @@ count once. A unit is normalised - A-Z lower-cased, everything but [a-z0-9] a se
 a unit of n words has n - 1 of them and Dice = 2 * shared / (a + b). Size bounds prune first: Dice >= t needs
 a >= b * t / (2 - t) and a <= b * (2 - t) / t, so a unit whose size fits no template ends in its row, before any bigram
 is made, and a bigram meets only the templates that its unit's size allows. A unit with Dice >= t shares at least
-b * t / (2 - t) bigrams of the template; so a few words that lie in all but fewer of its bigrams are chosen for each
-template, and a text or unit without any of them can't match it and ends there too. Templates are a small literal table, at most
+b * t / (2 - t) bigrams of the template; so of any set of words that lie in all but fewer of its bigrams it has one. Several
+disjoint such sets are chosen for each template, and a text or unit that lacks all words of one can't match it and ends there too. Templates are a small literal table, at most
 ``MAX_TEMPLATE_BIGRAMS`` bigrams, checked, and broadcast; counts are summed before the one shuffle by unit.
 
 DataFrame operations only. Defined results: null and empty texts, and texts whose units have fewer than two words, match
@@ -60,34 +60,54 @@ def template_rows(templates: dict[str, list[str]], threshold: float) -> list[tup
     return out
 
 
-def telling_words(bigrams: dict[str, int], threshold: float) -> list[str]:
-    """Words of a template (bigram -> count) of which every unit with at least the threshold has one.
+def telling_words(bigrams: dict[str, int], threshold: float) -> list[list[str]]:
+    """Disjoint sets of words of a template (bigram -> count); every unit with at least the threshold has a word of each set.
 
-    Such a unit shares at least b * t / (2 - t) of the b bigrams; the words are taken greedily, long ones first among
+    Such a unit shares at least b * t / (2 - t) of the b bigrams; a set's words are taken greedily, long ones first among
     equals, until fewer than that many bigrams have none of them.
     """
-    left, need, out = dict(bigrams), sum(bigrams.values()) * threshold / (2 - threshold), []
-    while sum(left.values()) >= need - 1e-9:
+    need, out, used = sum(bigrams.values()) * threshold / (2 - threshold), [], set()
+    while True:
+        left, words = dict(bigrams), []
+        while sum(left.values()) >= need - 1e-9:
+            gain: dict[str, float] = {}
+            for gram, n in left.items():
+                for w in set(gram.split()) - used:
+                    gain[w] = gain.get(w, 0) + n * min(len(w), 8) ** 2
+            if not gain:
+                return out
+            words.append(max(sorted(gain), key=gain.get))
+            left = {g: n for g, n in left.items() if words[-1] not in g.split()}
+        out.append(words)
+        used |= set(words)
+
+
+def first_words(templates: list[dict[str, int]], threshold: float) -> list[str]:
+    """A few words of which every unit that reaches the threshold with any of the templates holds one, if only inside another."""
+    left = [dict(t) for t in templates]
+    need = [sum(t.values()) * threshold / (2 - threshold) for t in templates]
+    out: list[str] = []
+    while open_ := [k for k, t in enumerate(left) if sum(t.values()) >= need[k] - 1e-9]:
         gain: dict[str, float] = {}
-        for gram, n in left.items():
-            for w in set(gram.split()):
-                gain[w] = gain.get(w, 0) + n * min(len(w), 8) ** 2
-        out.append(max(sorted(gain), key=gain.get))
-        left = {g: n for g, n in left.items() if out[-1] not in g.split()}
+        for w in sorted({w for k in open_ for g in left[k] for w in g.split()}):
+            gain[w] = sum(min(1.0, sum(n for g, n in left[k].items() if w in g) / (sum(left[k].values()) - need[k] + 1e-6)) for k in open_) * min(len(w), 8) ** 2
+        out.append(max(gain, key=gain.get))
+        left = [{g: n for g, n in t.items() if out[-1] not in g} for t in left]
     return out
 
 
-def _fits(rows, threshold: float) -> tuple[str, str]:
-    """SQL conditions: on a text t, that it has a telling word; on x.u and x.n, that size and words fit some template."""
+def _fits(rows, threshold: float) -> tuple[str, str, str]:
+    """SQL conditions: on a text t, that it has some template's telling words; on a unit's size n, and on x and n, that they fit some template."""
     by: dict[int, dict[str, int]] = {}
     bounds = {}
     for _, number, gram, times, _, lo, hi in rows:
         by.setdefault(number, {})[gram] = times
         bounds[number] = (lo, hi)
-    words = {k: telling_words(g, threshold) for k, g in by.items()}
-    has = lambda col, ws: " or ".join(f"contains({col}, '{w}')" for w in ws)
-    any_word = sorted({w for ws in words.values() for w in ws}, key=lambda w: (-len(w), w))
-    return f"exists(array(lower(t)), x -> {has('x', any_word)})", " or ".join(f"(x.n >= {lo!r}D and x.n <= {hi!r}D and ({has('x.u', words[k])}))" for k, (lo, hi) in bounds.items())
+    has = lambda sets: " and ".join("(" + " or ".join(f"contains(x, '{w}')" for w in ws) + ")" for ws in sets)
+    sets = {k: has(telling_words(g, threshold)) for k, g in by.items()}
+    size = f"n >= {min(lo for lo, _ in bounds.values())!r}D and n <= {max(hi for _, hi in bounds.values())!r}D"
+    first = " or ".join(f"contains(x, '{w}')" for w in first_words(list(by.values()), threshold))
+    return f"exists(array(lower(t)), x -> ({first}) and ({' or '.join(f'({c})' for c in dict.fromkeys(sets.values()))}))", size, " or ".join(f"(n >= {lo!r}D and n <= {hi!r}D and {sets[k]})" for k, (lo, hi) in bounds.items())
 
 
 def license_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, list[str]] | None = None, threshold: float = 0.8) -> DataFrame:
@@ -97,16 +117,17 @@ def license_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     spark: SparkSession = docs.sparkSession
     rows = template_rows(TEMPLATES if templates is None else templates, threshold)
     grams = spark.createDataFrame(rows, "license string, template int, gram string, times int, b int, lo double, hi double")
-    telling, fits = _fits(rows, threshold)
+    telling, size, fits = _fits(rows, threshold)
     src = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("t"))
     row = F.md5(F.concat(F.coalesce(F.concat(F.lit("i"), F.col("id").cast("string")), F.lit("n")), F.lit(":"), F.coalesce("t", F.lit(""))))
-    some = src.where(telling).select(row.alias("row"), "t").distinct()  # equal rows are scored once
-    flat = some.select("row", F.expr(f"regexp_replace(translate(t, '{UPPER}', '{LOWER}'), '[^a-z0-9\\n]+', ' ')").alias("t"))
-    parts = "concat(array(regexp_replace(t, ' *\\n[ \\n]*', ' ')), transform(split(t, '\\n *\\n'), p -> regexp_replace(p, ' *\\n[ \\n]*', ' ')), split(t, '\\n'))"
-    sized = f"transform(transform({parts}, u -> trim(u)), u -> struct(u, octet_length(u) - octet_length(replace(u, ' ', '')) as n))"
-    units = flat.select("row", F.expr(f"array_distinct(transform(filter({sized}, x -> {fits}), x -> x.u))").alias("units")).where("size(units) > 0")
-    words = units.select("row", F.posexplode("units").alias("unit", "u")).select("row", "unit", F.split("u", " ").alias("w"))
-    pairs = words.select("row", "unit", (F.size("w") - 1).alias("a"), F.explode(F.expr("transform(sequence(0, size(w) - 2), i -> concat(w[i], ' ', w[i + 1]))")).alias("gram"))
+    flat = src.where(telling).select(row.alias("row"), F.lower(F.regexp_replace("t", "[^A-Za-z0-9\\n]+", " ")).alias("t"))
+    joined = "x -> trim(regexp_replace(x, ' *\\n[ \\n]*', ' '))"
+    parts = f"concat(transform(filter(array(t), x -> contains(x, '\\n')), {joined}), transform(filter(split(t, '\\n *\\n'), x -> contains(x, '\\n')), {joined}), transform(split(t, '\\n'), x -> trim(x)))"
+    # An outer explode: of an inner one the optimiser infers a filter on the array, and pushes a copy of all this work below.
+    units = flat.select("row", F.explode_outer(F.expr(parts)).alias("u"))
+    units = units.where(F.expr(f"exists(array(octet_length(u) - octet_length(replace(u, ' ', ''))), n -> {size} and exists(array(u), x -> {fits}))")).distinct()  # equal units of a row, and equal rows, are scored once
+    words = units.select("row", F.xxhash64("u").alias("unit"), F.split("u", " ").alias("w"))
+    pairs = words.select("row", "unit", (F.size("w") - 1).alias("a"), F.explode_outer(F.expr("transform(sequence(0, size(w) - 2), i -> concat(w[i], ' ', w[i + 1]))")).alias("gram"))
     met = pairs.join(F.broadcast(grams), "gram").where("a >= lo and a <= hi")
     times = met.groupBy("row", "unit", "a", "license", "template", "b", "gram", "times").agg(F.count(F.lit(1)).alias("n"))
     dice = times.groupBy("row", "unit", "a", "license", "template", "b").agg(F.sum(F.least("n", F.col("times").cast("bigint"))).alias("m")).select("row", "unit", "license", (2 * F.col("m") / (F.col("a") + F.col("b"))).alias("score")).where(F.col("score") >= threshold)
