@@ -46,7 +46,7 @@ def texts(arr) -> tuple[np.ndarray, np.ndarray]:
         arr = arr.combine_chunks()
     if arr.null_count:
         arr = pc.fill_null(arr, "")
-    if not pa.types.is_string(arr.type):
+    if not (pa.types.is_string(arr.type) or pa.types.is_binary(arr.type)):
         arr = arr.cast(pa.string())
     bufs = arr.buffers()
     off = np.frombuffer(bufs[1], np.int32)[arr.offset : arr.offset + len(arr) + 1].astype(np.int64) if len(arr) else np.zeros(1, np.int64)

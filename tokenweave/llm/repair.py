@@ -2,7 +2,7 @@
 
 ``write_shards`` range-partitions the documents by id, sorts each partition, encodes whole texts with a given
 tokenizer, appends the end id to each document and packs blocks of about ``block_tokens`` ids. A block is compressed by
-Re-Pair: rounds of counting adjacent id pairs and replacing the frequent ones by new symbols. Files are Parquet, one
+Re-Pair: adjacent id pairs are counted, the frequent ones replaced by new symbols and the counts mended, until no pair repeats often. Files are Parquet, one
 row a block, so that commits, retries of lost executors and remote stores work as for any Spark output:
 
     shard int, block int, start long (ids of the shard before the block), ids array (document ids, in order),
@@ -20,6 +20,8 @@ neighbours, ordered by a hash of their texts; an empty table writes no block. Ot
 
 from __future__ import annotations
 
+import itertools
+import json
 import re
 import struct
 import uuid
@@ -27,6 +29,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,14 +54,22 @@ for _b in b" \t\n\v\f\r":
 
 
 #: Runs of ASCII punctuation that are one word: all but ' < | >
-_SIGNS = re.compile(r"[!-&(-/:;=?@\[-`{}~]+")
+_SIGNS = r"^[!-&(-/:;=?@\[-`{}~]+$"
+
+
+#: The normaliser and pre-tokenizer that the cuts are made for, as a tokenizers file names them.
+SPLITS_FOR = {
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    "pattern": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+}
 
 
 class WordTokenizer:
     """A tokenizers file whose white space is dropped and whose words split between letters, digits and punctuation.
 
     Texts are cut where that tokenizer always cuts (white space; between ASCII letters, digits and punctuation other
-    than ' < | >, which its patterns or special tokens can span), and each distinct chunk is encoded once.
+    than ' < | >, which its patterns or special tokens can span), and each distinct chunk is encoded once. A file with
+    another normaliser or pre-tokenizer, or special tokens not in <| |>, would be cut wrongly and is refused.
     """
 
     def __init__(self, path: str):
@@ -68,26 +79,29 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            shape = json.load(f)
+        split = (shape.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        pattern = split[0].get("pattern", {}).get("Regex"), split[0].get("behavior"), split[0].get("invert")
+        odd = [t["content"] for t in shape.get("added_tokens", []) if not re.fullmatch(r"<\|[a-z]+\|>", t["content"])]
+        if (shape.get("normalizer") or {}).get("normalizers") != SPLITS_FOR["normalizers"] or pattern != (SPLITS_FOR["pattern"], "Removed", True) or shape["model"].get("end_of_word_suffix") != "</w>" or odd:
+            raise ValueError(f"{path} splits words in another way than this tokenizer is made for")
         self.cache = U.ChunkCache(self._new)
         self.last = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)  # ids that end a word
         self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
 
-    def _new(self, keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def _new(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of chunks: one call for many chunks that are one word each, whose ids end with an end of word; else a call each."""
-        texts = [k.decode() for k in keys]
-        one = np.array([t.isalpha() or _SIGNS.fullmatch(t) is not None for t in texts], bool)
-        parts, sizes = [np.zeros(0, np.int64)] * 2, np.zeros(len(texts), np.int64)
+        words = chunks.cast(pa.string())
+        one = np.asarray(pc.or_(pc.utf8_is_alpha(words), pc.match_substring_regex(words, _SIGNS)))
+        parts, sizes = [np.zeros(0, np.int64)] * 2, np.zeros(len(words), np.int64)
         for k, which in enumerate((np.flatnonzero(one), np.flatnonzero(~one))):
+            some = words.take(pa.array(which))
+            flat, n = self._encode(pc.binary_join(pa.ListArray.from_arrays(pa.array([*range(0, len(some), 200), len(some)], pa.int32()), some), " ") if k == 0 else some)
             if k == 0:
-                groups = [" ".join([texts[i] for i in which[a : a + 200]]) for a in range(0, len(which), 200)]
-            else:
-                groups = [texts[i] for i in which]
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(groups, add_special_tokens=False)]
-            flat = np.fromiter((i for g in got for i in g), np.int64, sum(map(len, got)))
-            n = np.diff(np.flatnonzero(self.last[flat]) + 1, prepend=0) if k == 0 else np.array([len(g) for g in got], np.int64)
-            if len(n) != len(which):  # a word that is not one word to this tokenizer
-                got = [e.ids for e in self.tokenizer.encode_batch_fast([texts[i] for i in which], add_special_tokens=False)]
-                flat, n = np.array([i for g in got for i in g], np.int64), np.array([len(g) for g in got], np.int64)
+                n = np.diff(np.flatnonzero(self.last[flat]) + 1, prepend=0)
+                if len(n) != len(which):  # a word that is not one word to this tokenizer
+                    flat, n = self._encode(some)
             parts[k], sizes[which] = flat, n
         off = np.concatenate(([0], np.cumsum(sizes)))
         ids = np.zeros(int(off[-1]), np.int32)
@@ -95,6 +109,11 @@ class WordTokenizer:
             ids[C.ranges(off[:-1][which], sizes[which])] = flat
         return ids, off
 
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+        n = np.fromiter(map(len, got), np.int64, len(got))
+        return np.fromiter(itertools.chain.from_iterable(got), np.int64, int(n.sum())), n
+
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         low = data if b"<|" in data.tobytes() else C._LOWER[data]
         kind = _KIND[low]
@@ -106,8 +125,8 @@ class WordTokenizer:
             cut[off[:-1][off[:-1] < len(low)]] = True
         cut &= keep
         starts = np.flatnonzero(cut)
-        new_at = np.cumsum(keep) - 1
-        return U.encode_chunks(self.cache, low[keep], new_at[starts], np.searchsorted(starts, off))
+        new_at = np.cumsum(keep, dtype=np.int32 if len(low) < 1 << 31 else np.int64)[starts] - 1
+        return U.encode_chunks(self.cache, low[keep], new_at, np.searchsorted(starts, off))
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -123,76 +142,106 @@ def tokenizer(path: str, content: bytes | None = None) -> WordTokenizer:
 # ---- Re-Pair ----------------------------------------------------------------------------------------------------
 
 
-def compress(seq: np.ndarray, end: int, *, rounds: int | None = None, min_count: int = 8, pairs: int = 1024) -> tuple[np.ndarray, np.ndarray, int]:
+#: Counters of pairs, by a hash of the pair.
+COUNTERS = 1 << 19
+
+
+def _counter(a: np.ndarray, b: np.ndarray, end: int) -> np.ndarray:
+    """The counter of each pair; COUNTERS for a pair with the symbol end."""
+    with np.errstate(over="ignore"):
+        h = a.astype(np.uint32) * np.uint32(0x9E3779B1) + b.astype(np.uint32) * np.uint32(0x85EBCA77)
+        h = (h ^ (h >> np.uint32(15))) * np.uint32(0xC2B2AE3D)
+    out = (h >> np.uint32(13)).astype(np.int32)
+    out[(a == end) | (b == end)] = COUNTERS
+    return out
+
+
+def compress(seq: np.ndarray, end: int, *, min_count: int = 8, pairs: int = 4096) -> tuple[np.ndarray, np.ndarray, int]:
     """Symbols, rules (n, 2) and the first nonterminal of the ids seq; pairs with the symbol end are never replaced.
 
-    A round counts all pairs, takes up to ``pairs`` of the most frequent ones so that no symbol is the left part of one
-    and the right part of another, and replaces all their occurrences. It ends when no pair occurs min_count times, or after
-    ``rounds`` if given.
+    Pairs are counted once; then each round replaces all occurrences of the ``pairs`` most frequent pairs, chosen so that
+    no symbol is the left part of one and the right part of another, and mends the counters around the replaced places.
+    It ends when no pair occurs ``min_count`` times: a rule takes 12 bytes, so rarer pairs would not pay for theirs.
     """
-    seq = seq.astype(np.int64)
+    seq = seq.astype(np.int32)
     first = int(seq.max(initial=end)) + 1
-    rules: list[tuple[int, int]] = []
-    while len(seq) > 1 and rounds != 0:
-        rounds = rounds and rounds - 1
-        a, b = seq[:-1], seq[1:]
-        with np.errstate(over="ignore"):
-            bucket = ((a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(44)).astype(np.int64)
-        bucket[(a == end) | (b == end)] = 1 << 20
-        count = np.bincount(bucket, minlength=(1 << 20) + 1)[: 1 << 20]
+    rules, n_rules, floor = [np.zeros((0, 2), np.int64)], 0, False
+    if not len(seq):
+        return seq.astype(np.int64), rules[0], first
+    pair = np.append(_counter(seq[:-1], seq[1:], end), np.int32(COUNTERS))  # the last symbol has no pair
+    count = np.bincount(pair, minlength=COUNTERS + 1)
+    number = np.full(COUNTERS + 1, -1, np.int32)  # of the chosen pair of a counter
+    while True:
+        count[COUNTERS] = 0
         often = count[count >= min_count]
-        least = np.partition(often, -2 * pairs)[-2 * pairs] if len(often) > 2 * pairs else min_count
-        wanted = np.append(count >= max(least, min_count), False)
-        at = np.flatnonzero(wanted[bucket])
-        if not len(at):
+        if not len(often):
             break
-        code = a[at] << 32 | b[at]
+        least = min_count if floor or len(often) <= 2 * pairs else int(np.partition(often, -2 * pairs)[-2 * pairs])
+        at = np.flatnonzero((count >= least)[pair])
+        code = seq[at].astype(np.int64) << 32 | seq[at + 1]
         codes, n = np.unique(code, return_counts=True)
+        codes, n = codes[n >= min_count], n[n >= min_count]
         left, right, chosen = set(), set(), []
-        for c in codes[np.lexsort((codes, -n))][: 2 * pairs].tolist():
+        for c in codes[np.lexsort((codes, -n))[: 2 * pairs]].tolist():
             x, y = c >> 32, c & 0xFFFFFFFF
-            if len(chosen) == pairs:
-                break
             if x in right or y in left or x == y and (x in left or y in right):
                 continue
             left.add(x)
             right.add(y)
             chosen.append(c)
-        count_of = dict(zip(codes.tolist(), n.tolist()))
-        chosen = sorted(c for c in chosen if count_of[c] >= min_count)
-        if not chosen:
-            break
-        pick = np.array(chosen, np.int64)
-        where = np.minimum(np.searchsorted(pick, code), len(pick) - 1)
-        ok = pick[where] == code
+            if len(chosen) == pairs:
+                break
+        if not chosen:  # those counters are sums over several rare pairs
+            if least == min_count:
+                break
+            floor = True
+            continue
+        floor = False
+        chosen = np.array(chosen, np.int64)
+        slot = _counter(chosen >> 32, chosen & 0xFFFFFFFF, end)
+        slot, first_of = np.unique(slot, return_index=True)
+        chosen = chosen[first_of]  # of two pairs with one counter, the other waits for a later round
+        number[slot] = np.arange(len(chosen))
+        where = number[pair[at]]
+        ok = (where >= 0) & (chosen[where] == code)
+        number[slot] = -1
         at, where = at[ok], where[ok]
-        if any(c >> 32 == c & 0xFFFFFFFF for c in chosen):  # in a run of one symbol, every second pair
+        new = np.stack([chosen >> 32, chosen & 0xFFFFFFFF], 1)
+        if (new[:, 0] == new[:, 1]).any():  # in a run of one symbol, every second pair
             head = np.concatenate(([True], np.diff(at) > 1))
             start = np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))
             ok = (np.arange(len(at)) - start) % 2 == 0
             at, where = at[ok], where[ok]
-        base = first + len(rules)
-        seq = seq.copy()
-        seq[at] = base + where
+        changed = np.zeros(len(seq), bool)
+        changed[at] = changed[at + 1] = True
+        changed[at[at > 0] - 1] = True
+        count -= np.bincount(pair[changed], minlength=COUNTERS + 1)
+        seq[at] = first + n_rules + where
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
-        seq = seq[stay]
-        rules += [(c >> 32, c & 0xFFFFFFFF) for c in chosen]
-    return seq, np.array(rules, np.int64).reshape(-1, 2), first
-
-
-def expand(seq: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
-    seq = seq.astype(np.int64, copy=True)
+        seq, pair, again = seq[stay], pair[stay], np.flatnonzero(changed[stay])
+        if again[-1] == len(seq) - 1:
+            pair[-1], again = COUNTERS, again[:-1]
+        pair[again] = _counter(seq[again], seq[again + 1], end)
+        count += np.bincount(pair[again], minlength=COUNTERS + 1)
+        rules.append(new)
+        n_rules += len(new)
+    return seq.astype(np.int64), np.concatenate(rules), first
+
+
+def expand(seq: np.ndarray, rules: np.ndarray, first: int, lengths: np.ndarray | None = None) -> np.ndarray:
+    """The ids that the symbols seq stand for; each symbol is written at its place, or its rule's pair put there instead."""
+    lengths = expansion_lengths(rules, first) if lengths is None else lengths
+    size = np.concatenate((np.ones(first, np.int64), lengths))
+    seq, rules = seq.astype(np.int64), rules.astype(np.int64)
+    ends = np.cumsum(size[seq])
+    place, out = ends - size[seq], np.zeros(int(ends[-1]) if len(seq) else 0, np.int64)
     while len(seq):
         deep = seq >= first
-        if not deep.any():
-            break
-        at = np.cumsum(1 + deep) - (1 + deep)
-        out = np.repeat(seq, 1 + deep)
-        pair = rules[seq[deep] - first]
-        out[at[deep]], out[at[deep] + 1] = pair[:, 0], pair[:, 1]
-        seq = out
-    return seq
+        out[place[~deep]] = seq[~deep]
+        place, pair = place[deep], rules[seq[deep] - first]
+        seq, place = pair.T.ravel(), np.concatenate((place, place + size[pair[:, 0]]))
+    return out
 
 
 def expansion_lengths(rules: np.ndarray, first: int) -> np.ndarray:
@@ -240,7 +289,7 @@ class Block:
         return out
 
     def _ids(self, seq: np.ndarray) -> np.ndarray:
-        out = expand(seq, self.rules, self.first)
+        out = expand(seq, self.rules, self.first, self.lengths)
         out[out == self.first - 1] = self.end_id
         return out
 
@@ -283,7 +332,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer_file: str, *, id_col: str
             return pa.RecordBatch.from_arrays(row, names=["shard", "block", "start", "ids", "n_tokens", "payload"])
 
         for b in batches:
-            for lo, hi in C.pieces(b.column(1), 8 << 20):
+            for lo, hi in C.pieces(b.column(1), 3 << 20):
                 got, off = tok.encode(*C.texts(b.column(1).slice(lo, hi - lo)))
                 out = np.full(len(got) + hi - lo, end_id, np.int32)
                 body = np.ones(len(out), bool)

@@ -27,7 +27,7 @@ from tokenweave.llm import common as C
 
 UNK_PENALTY = 10.0
 #: Chunks and their bytes that a worker's cache holds before it starts anew; longer chunks are not cached.
-CACHE_CHUNKS, CACHE_LONGEST = 400_000, 64
+CACHE_CHUNKS, CACHE_LONGEST = 1_000_000, 64
 
 
 def double_array(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -207,32 +207,77 @@ def gather(flat: np.ndarray, off: np.ndarray, which: np.ndarray) -> tuple[np.nda
 
 
 class ChunkCache:
-    """Ids of chunks seen before, in flat arrays; starts anew when it holds too many."""
+    """Ids of chunks seen before, in flat arrays under an open-addressed table; starts anew when it holds too many.
+
+    A chunk is found by a 64-bit hash and then compared by its bytes, so a collision only means that it isn't kept.
+    """
 
     def __init__(self, encode):
-        self.encode, self.known = encode, {}
+        self.encode = encode
+        self._clear()
+
+    def _clear(self) -> None:
+        self.slot = np.full(1 << 16, -1, np.int32)
+        self.hash = np.zeros(0, np.uint64)
+        self.raw, self.raw_off = np.zeros(0, np.uint8), np.zeros(1, np.int64)
         self.ids, self.off = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Numbers of the chunks with the hashes h; -1: none."""
+        mask = np.uint64(len(self.slot) - 1)
+        at, place, live = np.full(len(h), -1, np.int64), (h & mask).astype(np.int64), np.arange(len(h))
+        while len(live):
+            e = self.slot[place[live]]
+            live, e = live[e >= 0], e[e >= 0]
+            same = self.hash[e] == h[live]
+            at[live[same]] = e[same]
+            live = live[~same]
+            place[live] = (place[live] + 1) & int(mask)
+        return at
+
+    def _enter(self, first: int) -> None:
+        """Put the chunks from number first on into the table, at most half full."""
+        if 2 * len(self.hash) > len(self.slot):
+            self.slot, first = np.full(1 << int(4 * len(self.hash)).bit_length(), -1, np.int32), 0
+        mask = len(self.slot) - 1
+        who = np.arange(first, len(self.hash))
+        place = (self.hash[who] & np.uint64(mask)).astype(np.int64)
+        while len(who):
+            free = self.slot[place] < 0
+            self.slot[place[free]] = who[free]
+            left = self.slot[place] != who
+            who, place = who[left], (place[left] + 1) & mask
+
     def lookup(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the distinct chunks (a binary array), end to end, with offsets."""
-        keys = chunks.to_pylist()
-        if len(self.known) > CACHE_CHUNKS:
-            self.__init__(self.encode)
-        at = np.array([self.known.get(k, -1) for k in keys], np.int64)
+        if len(self.hash) > CACHE_CHUNKS:
+            self._clear()
+        data, off = C.texts(chunks)
+        size = np.diff(off)
+        h = C.span_hash(C.prefix_hash(data), off[:-1], off[1:])
+        at = self._find(h)
+        known = np.flatnonzero(at >= 0)
+        other = np.diff(self.raw_off)[at[known]] != size[known]
+        at[known[other]], known = -1, known[~other]
+        same = self.raw[C.ranges(self.raw_off[at[known]], size[known])] == data[C.ranges(off[known], size[known])]
+        if not same.all():
+            at[np.repeat(known, size[known])[~same]] = -1
         new = np.flatnonzero(at < 0)
-        if len(new):
-            fresh, fresh_off = self.encode([keys[i] for i in new])
-            at[new] = len(self.off) - 1 + np.arange(len(new))
-            ids, off = np.concatenate((self.ids, fresh)), np.concatenate((self.off, fresh_off[1:] + self.off[-1]))
-            long = np.array([len(keys[i]) for i in new]) > CACHE_LONGEST
-            out = gather(ids, off, at)
-            keep = np.flatnonzero(~long)
-            kept, n = gather(fresh, fresh_off, keep)
-            first = len(self.off) - 1
-            self.known.update((keys[i], first + j) for j, i in enumerate(new[keep]))
-            self.ids, self.off = np.concatenate((self.ids, kept)), np.concatenate((self.off, self.off[-1] + np.cumsum(n)))
-        else:
+        if not len(new):
             out = gather(self.ids, self.off, at)
+            return out[0], np.concatenate(([0], np.cumsum(out[1])))
+        fresh, fresh_off = self.encode(chunks.take(pa.array(new)))
+        at[new] = len(self.off) - 1 + np.arange(len(new))
+        out = gather(np.concatenate((self.ids, fresh)), np.concatenate((self.off, fresh_off[1:] + self.off[-1])), at)
+        keep = np.flatnonzero((size[new] <= CACHE_LONGEST) & (self._find(h[new]) < 0))
+        keep = keep[np.unique(h[new[keep]], return_index=True)[1]]
+        kept, n = gather(fresh, fresh_off, keep)
+        text, m = gather(data, off, new[keep])
+        first = len(self.hash)
+        self.hash = np.concatenate((self.hash, h[new[keep]]))
+        self.raw, self.raw_off = np.concatenate((self.raw, text)), np.concatenate((self.raw_off, self.raw_off[-1] + np.cumsum(m)))
+        self.ids, self.off = np.concatenate((self.ids, kept)), np.concatenate((self.off, self.off[-1] + np.cumsum(n)))
+        self._enter(first)
         return out[0], np.concatenate(([0], np.cumsum(out[1])))
 
 
@@ -265,11 +310,7 @@ def encode_texts(v: Vocabulary, data: np.ndarray, off: np.ndarray) -> tuple[np.n
         cut[new_off[:-1][full]] = True
     starts = np.flatnonzero(cut)
     if "chunks" not in v.cache:
-        def new(keys):
-            raw = np.frombuffer(b"".join(keys), np.uint8)
-            return viterbi(v, raw, np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int64))
-
-        v.cache["chunks"] = ChunkCache(new)
+        v.cache["chunks"] = ChunkCache(lambda chunks: viterbi(v, *C.texts(chunks)))
     return encode_chunks(v.cache["chunks"], buf, starts, np.searchsorted(starts, new_off))
 
 
