@@ -116,6 +116,36 @@ def test_suffix_dedup_null_ids_repeated_rows_and_nothing(spark):
     assert suffixdedup.suffix_dedup(docs_of(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("length", [8, 287, 400, 1000])
+def test_suffix_dedup_of_short_and_long_strings(spark, monkeypatch, length):
+    monkeypatch.setattr(suffixdedup, "HOT", 2)
+    r = random.Random(length)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(3 * length))
+    texts = [passage, passage[length // 2 :], "x" + passage + "y", "z" * (3 * length)] + [f"{i} {passage[r.randrange(length) :]} {i}" for i in range(12)]
+    got = suffixdedup.suffix_dedup(docs_of(spark, texts), length=length).collect()
+    want = spans_by_force(list(enumerate(texts)), length)
+    assert {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in got} == want
+
+
+@pytest.mark.parametrize("hot", [2, 1000])
+def test_suffix_dedup_of_a_common_passage(spark, monkeypatch, hot):
+    """Every text has the passage, between neighbours of its own, and of a few hundred variants of it many are alike."""
+    monkeypatch.setattr(suffixdedup, "HOT", hot)
+    monkeypatch.setattr(suffixdedup, "PORTION", 50)
+    r = random.Random(8)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(260))
+    texts = [f"{r.random()}{passage[: 260 - i % 7]}{r.random()}" for i in range(300)]
+    got = suffixdedup.suffix_dedup(docs_of(spark, texts).repartition(5), length=100).collect()
+    want = spans_by_force(list(enumerate(texts)), 100)
+    assert {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in got} == want
+
+
+def test_suffix_dedup_refuses_lengths_it_cannot_hold(spark):
+    for length in (7, suffixdedup.MAX_LENGTH + 1):
+        with pytest.raises(ValueError):
+            suffixdedup.suffix_dedup(docs_of(spark, ["a"]), length=length)
+
+
 def test_multikey_sort():
     w = np.random.default_rng(1).integers(0, 3, (500, 4)).astype(">u8")
     order, group = suffixdedup.multikey_sort(w)
@@ -170,7 +200,7 @@ def test_longest_matches(spark):
     assert [r.longest_match for r in got] == [3, 0, 10, 0]
 
 
-def spans_by_force(text, items, window):
+def matches_by_force(text, items, window):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
     w, longest, spans = words(text), 0, set()
     for v in map(words, (t for _, t in items)):
@@ -194,7 +224,7 @@ def test_longest_spans(spark, block):
     texts += [" ".join(r.choice("abcdefgh") for _ in range(60)) for _ in range(3)] + [long[40:500] + " q " + long[300:]]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     got = decontam.contamination(docs_of(spark, texts), bench, block_bytes=block).orderBy("doc_id").collect()
-    assert [(x.longest_span, [(s.start, s.n_words) for s in x.spans]) for x in got] == [spans_by_force(t, items, 10) for t in texts]
+    assert [(x.longest_span, [(s.start, s.n_words) for s in x.spans]) for x in got] == [matches_by_force(t, items, 10) for t in texts]
     assert got[4].longest_span == 200 and got[5].longest_span == 201
     by, words = {str(i): (t or "").split() for i, t in items}, [(t or "").lower().split() for t in texts]
     assert all(by[s.item][s.item_start : s.item_start + s.n_words] == words[x.doc_id][s.start : s.start + s.n_words] for x in got for s in x.spans)

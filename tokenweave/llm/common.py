@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,7 +17,7 @@ U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INV = pow(BASE, -1, 1 << 64)
 #: Bytes of text that the vectorised kernels take at once; a longer single text is taken alone.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 
 _powers: dict[str, np.ndarray] = {}
 
@@ -68,6 +69,15 @@ def pieces(arr, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
+def release() -> None:
+    """Give memory that is free in this Python worker back to the system: workers are reused, and would keep what their largest task took."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def column(batch: pa.RecordBatch, name: str):
     return batch.column(batch.schema.get_field_index(name))
 
