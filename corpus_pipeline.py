@@ -36,10 +36,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their piece ids, and the digest of the text that the ids decode to."""
+    """Documents with their piece ids, and the digest of the text that the ids decode to; columns of these names are replaced."""
     model = tokenizer_file(spark, "piece_bpe_32k.model")
-    out = unigram.decode(unigram.encode(docs, model), model)
-    return out.withColumns({"n_pieces": F.size("ids").cast("bigint"), "decoded_sha256": F.sha2(F.col("decoded").cast("binary"), 256)}).drop("decoded")
+    out = unigram.decode(unigram.encode(docs, model), model, out="__decoded")
+    return out.withColumns({"n_pieces": F.size("ids").cast("bigint"), "decoded_sha256": F.sha2(F.col("__decoded").cast("binary"), 256)}).drop("__decoded")
 
 
 STAGES = [
