@@ -1,21 +1,24 @@
 """SentencePiece encoding and decoding: Unigram Viterbi over a double-array trie, with byte fallback.
 
-The pieces and their log scores come from a SentencePiece model file (never trained here). A text gets a whitespace
+The pieces come from a SentencePiece model file (never trained here) with their log scores, or, if the file holds merge
+ranks instead, with the log scores that Zipf's law gives to those ranks. A text gets a whitespace
 marker in front, and each space is one; inside, the marker is the byte 0x20, so that a literal U+2581 of a text goes to
 byte fallback and decoding gives every text back exactly. ``encode`` cuts texts where no piece can reach across (a byte
 pair that no piece contains), numbers the distinct chunks of a batch, and runs the Viterbi recurrence over all new
-chunks at once: position by position, all chunks walk the trie together. Chunks' results are kept in a bounded cache of
+chunks at once: position by position, all chunks walk the trie together. In a long chunk all places walk it together. Chunks' results are kept in a bounded cache of
 each Python worker. A character that no path of pieces reaches becomes its UTF-8 bytes as byte pieces.
 
 All work is narrow: one pass, no shuffle; the vocabulary is broadcast (its size is that of the model file).
 
 Defined results: a null or empty text has no ids, and no ids decode to an empty text; ids outside the vocabulary and
 control ids decode to nothing; bytes that are not UTF-8 after decoding become U+FFFD. Ties: of equal scores the earlier
-start (the longer last piece) wins. Other columns of the input stay.
+start (the longer last piece) wins. Rows that repeat are encoded alike. Other columns of the input stay, but a column of the
+name that the result gets is replaced.
 """
 
 from __future__ import annotations
 
+from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,6 +29,10 @@ from pyspark.sql import functions as F
 from tokenweave.llm import common as C
 
 UNK_PENALTY = 10.0
+#: Longest chunk that advances together with others, and places of a longer one that walk the trie at once.
+LONG, STRETCH = 256, 1 << 16
+#: Places of the byte pieces, which come before all others where pieces are ranked.
+BYTES = 256
 #: Chunks and their bytes that a worker's cache holds before it starts anew; longer chunks are not cached.
 CACHE_CHUNKS, CACHE_LONGEST = 1_000_000, 64
 
@@ -123,7 +130,26 @@ class Vocabulary:
                 pieces.append(None if sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) else piece.replace("▁", " ").encode())
         if len(set(byte_ids.tolist())) < 256:
             raise ValueError("the model has no byte pieces")
-        return Vocabulary(pieces, np.array([sp.get_score(i) for i in range(sp.get_piece_size())], np.float64), byte_ids)
+        scores = np.array([sp.get_score(i) for i in range(sp.get_piece_size())], np.float64)
+        return Vocabulary(pieces, log_scores(scores, np.array([bool(p) for p in pieces])), byte_ids)
+
+
+def log_scores(scores: np.ndarray, normal: np.ndarray) -> np.ndarray:
+    """The scores of a model, as log probabilities of its normal pieces.
+
+    A BPE model's scores are merge ranks (whole numbers, each piece its own), whose sums say nothing about a text: by
+    Zipf's law the piece of rank r, after the byte pieces, has a probability in proportion to 1 / (BYTES + r). Nothing is
+    trained. A unigram model's scores stay as they are.
+    """
+    own = scores[normal]
+    if not len(own) or (own != np.rint(own)).any() or len(np.unique(own)) * 2 < len(own):
+        return scores
+    rank = np.empty(len(own))
+    rank[np.argsort(-own, kind="stable")] = np.arange(1, len(own) + 1)
+    weight = 1 / (BYTES + rank)
+    out = scores.copy()
+    out[normal] = np.log(weight / weight.sum())
+    return out
 
 
 _CHAR_BYTES = np.ones(256, np.int64)
@@ -131,8 +157,18 @@ _CHAR_BYTES[0xC0:0xE0], _CHAR_BYTES[0xE0:0xF0], _CHAR_BYTES[0xF0:] = 2, 3, 4
 
 
 def viterbi(v: Vocabulary, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Best ids of the chunks data[off[i]:off[i+1]], end to end, and their offsets; all chunks advance together."""
+    """Best ids of the chunks data[off[i]:off[i+1]], end to end, and their offsets; all but long chunks advance together."""
     n = np.diff(off)
+    if (n > LONG).any():
+        short = np.flatnonzero(n <= LONG)
+        text, size = gather(data, off, short)
+        ids, ends = viterbi(v, text, np.concatenate(([0], np.cumsum(size))))
+        parts: list = [None] * len(n)
+        for k, a, z in zip(short.tolist(), ends[:-1].tolist(), ends[1:].tolist()):
+            parts[k] = ids[a:z]
+        for k in np.flatnonzero(n > LONG).tolist():
+            parts[k] = viterbi_of_one(v, data[off[k] : off[k + 1]])
+        return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(x) for x in parts])))
     order = np.argsort(-n, kind="stable")
     size, start = n[order], off[:-1][order]
     cell = np.concatenate(([0], np.cumsum(size + 1)))[:-1]  # DP cells of a chunk: one for each byte boundary
@@ -200,6 +236,52 @@ def viterbi(v: Vocabulary, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarra
     return ids.astype(np.int32), np.concatenate(([0], np.cumsum(np.bincount(chunk, count, len(n))))).astype(np.int64)
 
 
+def viterbi_of_one(v: Vocabulary, data: np.ndarray) -> np.ndarray:
+    """Best ids of one long chunk: its places walk the trie together, stretch by stretch, and the recurrence goes over the matches found.
+
+    Time and memory (14 bytes a byte of text) grow with the length; nothing is cut, so the result is that of the whole chunk.
+    """
+    n, unk, inf = len(data), v.unk, float("-inf")
+    best, step, piece = array("d", [inf]) * (n + 1), array("H", [0]) * (n + 1), array("i", [-1]) * (n + 1)
+    best[0] = 0.0
+    for a in range(0, n, STRETCH):
+        at = np.arange(a, min(n, a + STRETCH))
+        state, who, size, found = np.ones(len(at), np.int64), at, 0, []
+        while len(who):
+            nxt = v.base[state].astype(np.int64) + data[who + size]
+            ok = v.check[nxt] == state
+            who, state, size = who[ok], nxt[ok], size + 1
+            end = v.value[state] >= 0
+            found.append((who[end], np.full(int(end.sum()), size), v.value[state[end]]))
+            more = who + size < n
+            who, state = who[more], state[more]
+        where, long, ids = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((long, where))
+        first = np.searchsorted(where[order], np.append(at, at[-1] + 1)).tolist()
+        worth, long, ids = v.scores[ids[order]].tolist(), long[order].tolist(), ids[order].tolist()
+        width = np.minimum(_CHAR_BYTES[data[at]], n - at).tolist()
+        for k, p in enumerate(range(a, a + len(at))):
+            here = best[p]
+            if here == inf:  # inside a character
+                continue
+            w, single = width[k], False
+            for j in range(first[k], first[k + 1]):
+                to, m = here + worth[j], long[j]
+                single |= m == w
+                if to > best[p + m]:
+                    best[p + m], step[p + m], piece[p + m] = to, m, ids[j]
+            if not single and here + unk > best[p + w]:
+                best[p + w], step[p + w], piece[p + w] = here + unk, w, -1
+    out, p = array("i"), n
+    while p:
+        if piece[p] >= 0:
+            out.append(piece[p])
+        else:
+            out.extend(int(v.byte_ids[x]) for x in data[p - step[p] : p][::-1])
+        p -= step[p]
+    return np.frombuffer(out, np.int32)[::-1] if len(out) else np.zeros(0, np.int32)
+
+
 def gather(flat: np.ndarray, off: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """flat[off[w]:off[w+1]] for each w, end to end, and the lengths."""
     n = off[which + 1] - off[which]
