@@ -67,6 +67,8 @@ def pieces(arr, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
         hi = max(lo + 1, int(np.searchsorted(ends, base + limit, "right")))
         yield lo, min(hi, n)
         lo = hi
+    if n:
+        release()
 
 
 def release() -> None:

@@ -109,7 +109,7 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
 def signatures(docs: DataFrame, id_col: str, text_col: str, n_words: int, bands: int, rows: int) -> DataFrame:
     def sign(batches):
         for b in batches:
-            for lo, hi in C.pieces(b.column(1), 4 << 20):
+            for lo, hi in C.pieces(b.column(1)):
                 doc, key, weight, digest = shingles(*C.texts(b.column(1).slice(lo, hi - lo)), n_words)
                 n = hi - lo
                 keys = band_keys(prob_minhash(doc, key, weight, n, bands * rows), bands, rows)
@@ -128,13 +128,14 @@ def verify(pairs: DataFrame, cand: DataFrame, n_words: int, threshold: float) ->
     @F.arrow_udf("double")
     def similarity(x: pa.Array, y: pa.Array) -> pa.Array:
         out = []
-        for lo in range(0, len(x), 256):
-            sides = []
-            for col in (x.slice(lo, 256), y.slice(lo, 256)):
-                doc, key, weight, _ = shingles(*C.texts(col), n_words)
-                cut = np.searchsorted(doc, np.arange(len(col) + 1))
-                sides.append([(key[p:q], weight[p:q]) for p, q in zip(cut[:-1], cut[1:])])
-            out += [probability_jaccard(p, q) for p, q in zip(*sides)]
+        for lo, hi in C.pieces(x):
+            for a, z in C.pieces(y.slice(lo, hi - lo)):  # neither side's texts are long together
+                sides = []
+                for col in (x.slice(lo + a, z - a), y.slice(lo + a, z - a)):
+                    doc, key, weight, _ = shingles(*C.texts(col), n_words)
+                    cut = np.searchsorted(doc, np.arange(len(col) + 1))
+                    sides.append([(key[p:q], weight[p:q]) for p, q in zip(cut[:-1], cut[1:])])
+                out += [probability_jaccard(p, q) for p, q in zip(*sides)]
         return pa.array(out, pa.float64())
 
     both = pairs.join(cand.select(F.col("i").alias("b"), F.col("t").alias("tb")), "b").join(cand.select(F.col("i").alias("a"), F.col("t").alias("ta")), "a")
@@ -227,7 +228,7 @@ def large_groups(named: DataFrame, cand: DataFrame, n_words: int, threshold: flo
             text = t.column("t").slice(0, cut[done])
             sets, at = [], 0
             arr = text.combine_chunks() if isinstance(text, pa.ChunkedArray) else text
-            for lo, hi in C.pieces(arr, 4 << 20):
+            for lo, hi in C.pieces(arr):
                 doc, key, weight, _ = shingles(*C.texts(arr.slice(lo, hi - lo)), n_words)
                 at = np.searchsorted(doc, np.arange(hi - lo + 1))
                 sets += [(key[p:q], weight[p:q]) for p, q in zip(at[:-1], at[1:])]

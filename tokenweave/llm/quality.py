@@ -118,7 +118,7 @@ def fit_rows(rows: list[np.ndarray], labels: np.ndarray, cost: float = 4.0, roun
 
 def fit(docs: DataFrame, labels: DataFrame, keep: Column | None = None, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 2500, seed: int = 11) -> Model:
     """Fit on at most per_class labelled rows of each class; keep: a condition on id_col of the rows to learn from."""
-    known = labels.select(F.col(id_col).alias("i"), F.col(label_col).alias("y")).where("i is not null and y is not null")
+    known = labels.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{label_col}`").alias("y")).where("i is not null and y is not null")
     if keep is not None:
         known = known.where(keep)
     known = known.groupBy("i").agg(F.min("y").alias("y"))
@@ -138,7 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column | None = None, *, id_co
                 out.append(features(data).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["y", "f"])
 
-    found = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(some), "i").select("y", "t").mapInArrow(featurise, "y int, f binary").orderBy(F.xxhash64("f"), "y").limit(2 * per_class).toArrow()
+    found = docs.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").alias("t")).join(F.broadcast(some), "i").select("y", "t").mapInArrow(featurise, "y int, f binary").orderBy(F.xxhash64("f"), "y").limit(2 * per_class).toArrow()
     feats = [np.frombuffer(f.as_py(), np.int32) for f in found.column("f")]
     return fit_rows(feats, found.column("y").to_numpy().astype(int))
 
@@ -149,13 +149,15 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", out: str = "
 
     @F.arrow_udf("double")
     def apply(col: pa.Array) -> pa.Array:
-        m = Model(*sent.value)
-        data, off = C.texts(col)
-        return pa.array([m.score(features(data[a:b])) for a, b in zip(off[:-1], off[1:])], pa.float64())
+        m, out = Model(*sent.value), []
+        for lo, hi in C.pieces(col):
+            data, off = C.texts(col.slice(lo, hi - lo))
+            out += [m.score(features(data[a:b])) for a, b in zip(off[:-1], off[1:])]
+        return pa.array(out, pa.float64())
 
     return docs.withColumn(out, apply(F.col(f"`{text_col}`")))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo 3, is 1 (null id: no)."""
-    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
+    return F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string")) % 3 == 1, F.lit(False))
