@@ -2,7 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tokenweave import MarkovModel
-from tokenweave.operators import algebra, chain, sampling, walk
+from tokenweave.functions.tokenize import Tokenizer
+from tokenweave.operators import algebra, chain, generate, sampling, walk
 
 B, E = chain.BEGIN, chain.END
 
@@ -209,3 +210,31 @@ def test_keyed_rows_equal_runs(spark):
 
 def test_requests(spark):
     assert walk.requests(spark, 3, 2).count() == 6
+
+
+def test_sparse_rows_hold_cumulative_weights_and_ids_walk_as_words(spark):
+    runs = spark.createDataFrame([("a b c".split(),), ("a b d".split(),), ("a c d b".split(),), ("a b c".split(),)], "words array<string>")
+    m = chain.count(chain.transitions(runs, 1))
+    vocab = chain.vocabulary(m)
+    rows = chain.csr(chain.encode(m, vocab, 1), lambda n: sampling.weight(n, 2.0)).collect()
+    for r in rows:
+        total = 0.0
+        for f in r.followers:
+            total += f.n**0.5
+            assert abs(f.cum - total) < 1e-12
+    ids = {r.word: r.word_id for r in vocab.collect()}
+    words = {i: w for w, i in ids.items()}
+    req = walk.requests(spark, 30)
+    want = {r.walk_id: (r.words, r.status) for r in walk.walk(req, m, 1, 1.5, 3).collect()}
+    for strategy in ("broadcast", "superstep"):
+        got = walk.id_walk(req, chain.encode(m, vocab, 1), 1, ids[chain.BEGIN], ids[chain.END], 1.5, 3, strategy=strategy).collect()
+        assert {r.walk_id: ([words[i] for i in r.words], r.status) for r in got} == want
+
+
+def test_own_tokenizer_in_training_and_generation(spark):
+    own = Tokenizer(lambda text: F.split(text, ";"), lambda unit: F.filter(F.split(unit, "-"), lambda w: w != ""), lambda words: F.array_join(words, "-"))
+    docs = spark.createDataFrame([(1, "a-b-c;a-b-d")], "doc_id bigint, text string")
+    m = MarkovModel.from_text(docs, 1, tokenizer=own)
+    assert {(r.state[0], r.follow): r.n for r in m.transitions.collect()} == {(chain.BEGIN, "a"): 2, ("a", "b"): 2, ("b", "c"): 1, ("b", "d"): 1, ("c", chain.END): 1, ("d", chain.END): 1}
+    said = {r.sentence for r in m.make_sentences(5, limits=generate.Limits(test_output=False)).collect()}
+    assert said <= {"a-b-c", "a-b-d"} and said

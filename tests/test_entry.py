@@ -21,7 +21,7 @@ def test_entry(spark):
 
 
 @needs_data
-@pytest.mark.parametrize("name", ["split_sentences", "model_k2", "combine_fractional", "walk_begin", "make_sentence", "start_loose", "overlap_reject", "csr_rows", "stream_equals_batch"])
+@pytest.mark.parametrize("name", ["split_sentences", "model_k2", "combine_fractional", "walk_begin", "make_sentence", "start_loose", "overlap_reject", "model_int_ids", "walk_int_ids", "csr_rows", "walk_mapped", "make_sentence_mapped", "make_short_mapped", "stream_equals_batch"])
 def test_query_equals_sql(spark, name):
     import __spark_entry__ as e
 

@@ -99,18 +99,31 @@ def vocabulary(model: DataFrame) -> DataFrame:
     return ranked(words, "word", "word_id")
 
 
-def encode(model: DataFrame, vocab: DataFrame, k: int) -> DataFrame:
-    """(key array<bigint>, follow_id, n): the model with word ids."""
-    out = model.withColumn("s", F.col("state"))
-    for j in range(k):
-        out = out.join(vocab.select(F.col("word").alias(f"w{j}"), F.col("word_id").alias(f"i{j}")), F.col("s")[j] == F.col(f"w{j}")).drop(f"w{j}")
-    out = out.join(vocab.select(F.col("word").alias("wf"), F.col("word_id").alias("follow_id")), F.col("follow") == F.col("wf"))
-    return out.select(F.array(*[f"i{j}" for j in range(k)]).alias("key"), "follow_id", "n")
+#: Words of a vocabulary that may be broadcast; a larger one is joined by shuffles.
+BROADCAST_WORDS = 500_000
 
 
-def csr(encoded: DataFrame) -> DataFrame:
-    """(key, state_id, row_start, degree, followers array<struct<follow_id, n>>): compressed sparse rows."""
-    rows = encoded.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("follow_id", "n"))).alias("followers"))
+def encode(model: DataFrame, vocab: DataFrame, k: int) -> DataFrame:
+    """(key array<bigint>, follow_id, n): the model with word ids. A counted, small vocabulary is broadcast, and the model doesn't move."""
+    vocab = written(vocab.select("word", F.col("word_id").cast("bigint").alias("word_id")), "vocabulary")
+    if vocab.count() <= BROADCAST_WORDS:
+        vocab = F.broadcast(vocab)
+    out = model.select(*[F.col("state")[j].alias(f"w{j}") for j in range(k)], F.col("follow").alias(f"w{k}"), "n")
+    for j in range(k + 1):
+        out = out.join(vocab.select(F.col("word").alias(f"w{j}"), F.col("word_id").alias(f"i{j}")), f"w{j}")
+    return out.select(F.array(*[f"i{j}" for j in range(k)]).alias("key"), F.col(f"i{k}").alias("follow_id"), "n")
+
+
+def csr(encoded: DataFrame, weight=None) -> DataFrame:
+    """(key, state_id, row_start, degree, followers array<struct<follow_id, n>>): compressed sparse rows.
+
+    With weight, a function of the column n, the followers also hold cum, the sum of the weights up to them.
+    """
+    entry = ["follow_id", "n"]
+    if weight is not None:
+        upto = F.sum(weight(F.col("n")).cast("double")).over(Window.partitionBy("key").orderBy("follow_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        encoded, entry = encoded.withColumn("cum", upto), [*entry, "cum"]
+    rows = encoded.groupBy("key").agg(F.array_sort(F.collect_list(F.struct(*entry))).alias("followers"))
     rows = ranked(rows.withColumn("degree", F.size("followers").cast("bigint")), "key", "state_id")
     parts = rows.withColumn("__b", F.expr("state_id div 65536"))
     sums = parts.groupBy("__b").agg(F.sum("degree").alias("__n")).withColumn("__s", F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

@@ -36,10 +36,10 @@ def utf16_length(c: Column) -> Column:
     return (F.octet_length(F.encode(c, "UTF-16BE")) / 2).cast("int")
 
 
-def candidates(requests: DataFrame, model: DataFrame, k: int, temperature: float, seed: int, limits: Limits, join, max_steps: int, strategy: str) -> DataFrame:
+def candidates(requests: DataFrame, model: DataFrame, k: int, temperature: float, seed: int, limits: Limits, join, max_steps: int, strategy: str, walker=None) -> DataFrame:
     """walk_id, attempt, words (with the initial state's), status, sentence of every attempt of requests (walk_id, init)."""
     tried = requests.select("walk_id", "init", F.explode(F.sequence(F.lit(0), F.lit(limits.tries - 1))).alias("attempt"))
-    got = walk(tried, model, k, temperature, seed, max_steps, strategy)
+    got = walker(tried) if walker else walk(tried, model, k, temperature, seed, max_steps, strategy)
     prefix = F.filter(F.coalesce("init", F.array().cast("array<string>")), lambda w: w != BEGIN)
     out = got.join(requests.select("walk_id", prefix.alias("prefix")), "walk_id").withColumn("words", F.concat("prefix", "words")).drop("prefix")
     return out.withColumn("sentence", join(F.col("words")))
@@ -69,11 +69,11 @@ def first_success(judged: DataFrame, requests: DataFrame, dead_ends: bool = True
     return requests.select("walk_id").join(best, "walk_id", "left").select("walk_id", F.when(F.col("b.accepted"), F.col("b.sentence")).alias("sentence"))
 
 
-def make_sentences(requests: DataFrame, model: DataFrame, k: int, source: DataFrame | None, join, limits: Limits = Limits(), temperature: float = 1.0, seed: int = 0, max_steps: int = 1000, strategy: str = "auto") -> DataFrame:
-    """walk_id, sentence (null: none acceptable) of requests (walk_id, init)."""
+def make_sentences(requests: DataFrame, model: DataFrame, k: int, source: DataFrame | None, join, limits: Limits = Limits(), temperature: float = 1.0, seed: int = 0, max_steps: int = 1000, strategy: str = "auto", walker=None) -> DataFrame:
+    """walk_id, sentence (null: none acceptable) of requests (walk_id, init); walker: another way to walk than through model."""
     if limits.tries < 1:
         return requests.select("walk_id", F.lit(None).cast("string").alias("sentence"))
-    tried = written(candidates(requests, model, k, temperature, seed, limits, join, max_steps, strategy), "attempts")
+    tried = written(candidates(requests, model, k, temperature, seed, limits, join, max_steps, strategy, walker), "attempts")
     return first_success(judge(tried, source, limits), requests, dead_ends=limits.max_chars is None)
 
 

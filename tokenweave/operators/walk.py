@@ -15,46 +15,75 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenweave.operators.chain import BEGIN, END, begin_state, shift
+from tokenweave.operators.chain import BEGIN, END, shift
 from tokenweave.operators.sampling import cdf, move, roll
 from tokenweave.sources.shared import written
 
 #: Transitions of a model that may be broadcast; a larger one is joined step by step.
 BROADCAST_TRANSITIONS = 3_000_000
+#: Live walks that are broadcast to a larger model's rows.
+BROADCAST_WALKS = 100_000
 SCHEMA = "walk_id bigint, attempt int, words array<string>, status string"
 
 
+class Unknown(Exception):
+    """A state whose rows are not at hand."""
+
+
 class Table:
-    """A model as compressed sparse rows: the payload of the broadcast walker."""
-
-    def __init__(self, rows, k: int):
-        states, follow, hi = rows.column("state").to_pylist(), rows.column("follow"), rows.column("hi").to_numpy()
-        enc = follow.combine_chunks().dictionary_encode()
-        self.k, self.words = k, enc.dictionary.to_pylist()
-        self.follow, self.hi = np.asarray(enc.indices), hi
-        self.rows: dict[tuple[str, ...], tuple[int, int]] = {}
-        first, last = 0, None
-        for i, s in enumerate(map(tuple, states)):
-            if s != last:
-                if last is not None:
-                    self.rows[last] = (first, i)
-                first, last = i, s
-        if last is not None:
-            self.rows[last] = (first, len(states))
-
-    def walk(self, seed: int, walk_id, attempt: int, init, max_steps: int) -> tuple[list[str], str]:
-        state, out = tuple(init) if init is not None else (BEGIN,) * self.k, []
-        for step in range(max_steps + 1):
-            at = self.rows.get(state)
-            if at is None:
+    """A model's rows by hashed state, as flat arrays: the payload of the broadcast walker."""
+
+    def __init__(self, rows, k: int, temperature: float, begin: str = BEGIN, end: str = END):
+        high, low = rows.column("high").to_numpy(), rows.column("low").to_numpy()
+        enc = rows.column("follow").combine_chunks().dictionary_encode()
+        order = np.lexsort((low, high))
+        self.k, self.begin, self.end, self.power = k, begin, end, 1.0 / temperature
+        self.words, self.follow, self.n = enc.dictionary.to_pylist(), np.asarray(enc.indices)[order], rows.column("n").to_numpy()[order]
+        high, low = high[order], low[order]
+        self.first = np.flatnonzero(np.concatenate(([True], (high[1:] != high[:-1]) | (low[1:] != low[:-1])))) if len(high) else np.zeros(0, np.int64)
+        self.high, self.low, self.stop = high[self.first], low[self.first], np.append(self.first[1:], len(high))
+        self.opened: dict = {}
+
+    def _rows(self, state: tuple[str, ...]):
+        digest = hashlib.md5("\x1f".join(state).encode()).hexdigest()
+        high, low = int(digest[:15], 16), int(digest[15:30], 16)
+        a, z = np.searchsorted(self.high, high, "left"), np.searchsorted(self.high, high, "right")
+        at = a + np.flatnonzero(self.low[a:z] == low)
+        if not len(at):
+            return None
+        part = slice(self.first[at[0]], self.stop[at[0]])
+        return [self.words[i] for i in self.follow[part]], self.n[part]
+
+    def followers(self, state: tuple[str, ...]):
+        """(words in their order, cumulative weights) of a state, or None; summed once for each state that is met."""
+        if state not in self.opened:
+            got = self._rows(state)
+            if got is not None:
+                words, n = got
+                order = sorted(range(len(words)), key=words.__getitem__)
+                n = n[order].astype(np.float64)
+                got = [words[i] for i in order], np.cumsum(n if self.power == 1.0 else n**self.power)
+            self.opened[state] = got
+        return self.opened[state]
+
+    def walk(self, seed: int, walk_id, attempt: int, init, max_steps: int, out: list[str] | None = None) -> tuple[list[str], str]:
+        """The words drawn, after those of out, and the status; "open" if a state is not at hand."""
+        out = list(out) if out else []
+        state = ((*init,) if init is not None else (self.begin,) * self.k) + tuple(out)
+        state = state[len(state) - self.k :]
+        for step in range(len(out), max_steps + 1):
+            try:
+                got = self.followers(state)
+            except Unknown:
+                return out, "open"
+            if got is None:
                 return out, "dead"
-            a, z = at
-            if z - a == 1:  # any roll picks it
-                word = self.words[self.follow[a]]
-            else:
+            words, hi = got
+            word = words[0]
+            if len(words) > 1:  # of one, any roll picks it
                 u = int(hashlib.md5(f"{seed}:{walk_id}:{attempt}:{step}".encode()).hexdigest()[:13], 16) / 4503599627370496
-                word = self.words[self.follow[min(a + int(np.searchsorted(self.hi[a:z], u * self.hi[z - 1], "right")), z - 1)]]
-            if word == END:
+                word = words[min(int(np.searchsorted(hi, u * hi[-1], "right")), len(words) - 1)]
+            if word == self.end:
                 return out, "end"
             if step == max_steps:
                 break
@@ -63,10 +92,15 @@ class Table:
         return out, "cut"
 
 
-def broadcast_walk(requests: DataFrame, model: DataFrame, k: int, temperature: float, seed: int, max_steps: int) -> DataFrame:
-    spark = requests.sparkSession
-    rows = cdf(model, temperature).select("state", "follow", "hi").orderBy("state", "follow").toArrow()
-    sent = spark.sparkContext.broadcast(Table(rows, k))
+def hashed(model: DataFrame) -> DataFrame:
+    """high, low (60 bits of the state's digest each), follow, n: what the broadcast walker takes."""
+    digest = F.md5(F.array_join("state", "\x1f"))
+    part = lambda at: F.conv(F.substring("d", at, 15), 16, 10).cast("bigint")
+    return model.select(digest.alias("d"), "follow", F.col("n").cast("bigint").alias("n")).select(part(1).alias("high"), part(16).alias("low"), "follow", "n")
+
+
+def broadcast_walk(requests: DataFrame, model: DataFrame, k: int, temperature: float, seed: int, max_steps: int, begin: str = BEGIN, end: str = END) -> DataFrame:
+    sent = requests.sparkSession.sparkContext.broadcast(Table(hashed(model).toArrow(), k, temperature, begin, end))
 
     def go(frames):
         table = sent.value
@@ -77,16 +111,24 @@ def broadcast_walk(requests: DataFrame, model: DataFrame, k: int, temperature: f
     return requests.select("walk_id", "attempt", "init").mapInPandas(go, SCHEMA)
 
 
-def superstep_walk(requests: DataFrame, model: DataFrame, k: int, temperature: float, seed: int, max_steps: int) -> DataFrame:
-    """One equi-join on the state a step for all live walks; each step is written, so lineage stays short."""
+def superstep_walk(requests: DataFrame, model: DataFrame, k: int, temperature: float, seed: int, max_steps: int, begin: str = BEGIN, end: str = END) -> DataFrame:
+    """One equi-join on the state a step for all live walks; each step is written, so lineage stays short.
+
+    As long as at most BROADCAST_WALKS walks are live they go to the model's rows, which then don't move.
+    """
     table = written(cdf(model, temperature).select("state", "follow", "lo", "hi", "total"), "cdf")
-    live = requests.select("walk_id", "attempt", F.coalesce("init", begin_state(k)).alias("state"), F.array().cast("array<string>").alias("words"))
+    live = requests.select("walk_id", "attempt", F.coalesce("init", F.array_repeat(F.lit(begin), k)).alias("state"), F.array().cast("array<string>").alias("words"))
+    live = written(live, "walk-step")
     done = None
     for step in range(max_steps + 1):
-        moved = move(live.withColumn("u", roll(seed, F.col("walk_id"), F.col("attempt"), F.lit(step))), table, "left")
-        status = F.when(F.col("follow").isNull(), "dead").when(F.col("follow") == END, "end").when(F.lit(step == max_steps), "cut")
+        rolled = live.withColumn("u", roll(seed, F.col("walk_id"), F.col("attempt"), F.lit(step)))
+        if live.limit(BROADCAST_WALKS + 1).count() <= BROADCAST_WALKS:
+            rolled = F.broadcast(rolled)
+        moved = move(rolled, table)
+        status = F.when(F.col("follow") == end, "end").when(F.lit(step == max_steps), "cut")
         moved = written(moved.withColumn("status", status), "walk-step")
-        ended = moved.where("status is not null").select("walk_id", "attempt", "words", "status")
+        dead = live.join(moved.select("walk_id", "attempt"), ["walk_id", "attempt"], "left_anti").select("walk_id", "attempt", "words", F.lit("dead").alias("status"))
+        ended = moved.where("status is not null").select("walk_id", "attempt", "words", "status").unionByName(dead)
         done = ended if done is None else done.unionByName(ended)
         live = moved.where("status is null").select("walk_id", "attempt", shift(F.col("state"), F.col("follow"), k).alias("state"), F.array_append("words", F.col("follow")).alias("words"))
         if live.isEmpty():
@@ -94,14 +136,73 @@ def superstep_walk(requests: DataFrame, model: DataFrame, k: int, temperature: f
     return done
 
 
-def walk(requests: DataFrame, model: DataFrame, k: int, temperature: float = 1.0, seed: int = 0, max_steps: int = 1000, strategy: str = "auto") -> DataFrame:
-    """Walks of all requests; strategy: "broadcast", "superstep", or by the counted size of the model."""
+class Pages(Table):
+    """The rows of the states met so far, of a model that stays in its tables."""
+
+    def __init__(self, k: int, temperature: float, begin: str = BEGIN, end: str = END):
+        self.k, self.begin, self.end, self.power, self.rows, self.opened = k, begin, end, 1.0 / temperature, {}, {}
+
+    def _rows(self, state):
+        if state not in self.rows:
+            raise Unknown
+        return self.rows[state]
+
+
+def paged_walk(requests: DataFrame, look_up, k: int, temperature: float, seed: int, max_steps: int, begin: str = BEGIN, end: str = END) -> DataFrame:
+    """Walks through a model that is never loaded: in rounds, each walk goes on until it meets a state not looked up yet.
+
+    look_up(states DataFrame (state)) gives the rows (state, follow, n) of these states. What is broadcast are the rows
+    of the states that the walks of these requests have met.
+    """
+    spark, pages, done, schema = requests.sparkSession, Pages(k, temperature, begin, end), None, f"{SCHEMA}, init array<string>"
+    live = requests.select("walk_id", F.col("attempt").cast("int").alias("attempt"), F.array().cast("array<string>").alias("words"), F.lit("open").alias("status"), F.col("init").cast("array<string>").alias("init"))
+    while True:
+        whole = F.concat(F.coalesce("init", F.array_repeat(F.lit(begin), k)), "words")
+        states = live.select(F.slice(whole, F.size(whole) - k + 1, k).alias("state")).distinct()
+        wanted = [tuple(r.state) for r in states.toLocalIterator()]  # one a live walk at most
+        found: dict = {}
+        for r in look_up(spark.createDataFrame([(list(w),) for w in wanted], "state array<string>")).toLocalIterator():
+            found.setdefault(tuple(r.state), ([], []))
+            found[tuple(r.state)][0].append(r.follow)
+            found[tuple(r.state)][1].append(r.n)
+        pages.rows |= {w: (found[w][0], np.array(found[w][1])) if w in found else None for w in wanted}
+        sent = spark.sparkContext.broadcast(pages)
+
+        def go(frames, sent=sent):
+            table = sent.value
+            for f in frames:
+                got = [table.walk(seed, w, int(a), i, max_steps, list(o)) for w, a, i, o in zip(f["walk_id"], f["attempt"], f["init"], f["words"])]
+                yield pd.DataFrame({"walk_id": f["walk_id"], "attempt": f["attempt"].astype("int32"), "words": [g[0] for g in got], "status": [g[1] for g in got], "init": f["init"]})
+
+        moved = written(live.mapInPandas(go, schema), "walk-round")
+        sent.destroy()
+        ended = moved.where("status <> 'open'").select("walk_id", "attempt", "words", "status")
+        done = ended if done is None else done.unionByName(ended)
+        live = moved.where("status = 'open'")
+        if live.isEmpty():
+            return done
+
+
+def id_walk(requests: DataFrame, encoded: DataFrame, k: int, begin_id: int, end_id: int, temperature: float = 1.0, seed: int = 0, max_steps: int = 1000, strategy: str = "auto") -> DataFrame:
+    """Walks over word ids: encoded (key, follow_id, n) as chain.encode gives it; words is array<bigint>, init an array of ids.
+
+    Ids that are ranks of the words give the walks that the words' own model gives.
+    """
+    text = lambda c: F.lpad(c.cast("string"), 19, "0")  # noqa: E731  in the order of the numbers
+    model = encoded.select(F.transform("key", text).alias("state"), text(F.col("follow_id")).alias("follow"), "n")
+    asked = requests.withColumn("init", F.transform("init", text)) if dict(requests.dtypes)["init"] != "array<string>" else requests
+    ends = {"begin": str(begin_id).zfill(19), "end": str(end_id).zfill(19)}
+    return walk(asked, model, k, temperature, seed, max_steps, strategy, **ends).withColumn("words", F.transform("words", lambda w: w.cast("bigint")))
+
+
+def walk(requests: DataFrame, model: DataFrame, k: int, temperature: float = 1.0, seed: int = 0, max_steps: int = 1000, strategy: str = "auto", **ends: str) -> DataFrame:
+    """Walks of all requests; strategy: "broadcast", "superstep", or by the counted size of the model; ends: other sentinels."""
     if strategy == "auto":
         strategy = "broadcast" if model.limit(BROADCAST_TRANSITIONS + 1).count() <= BROADCAST_TRANSITIONS else "superstep"
     if strategy == "broadcast":
-        return broadcast_walk(requests, model, k, temperature, seed, max_steps)
+        return broadcast_walk(requests, model, k, temperature, seed, max_steps, **ends)
     if strategy == "superstep":
-        return superstep_walk(requests, model, k, temperature, seed, max_steps)
+        return superstep_walk(requests, model, k, temperature, seed, max_steps, **ends)
     raise ValueError("strategy is 'auto', 'broadcast' or 'superstep'")
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +11,7 @@ from tokenweave.functions import tokenize as T
 from tokenweave.operators import algebra, chain, generate, overlap, sampling, walk
 from tokenweave.plans.model import MarkovModel
 from tokenweave.sources import files, json_model, tables, zipf
-from tokenweave.sources.shared import written
+from tokenweave.sources.shared import new_path, written
 from tokenweave.streaming import train
 
 #: Sizes that are part of a query: walks, tries and bounds. Their SQL uses the same.
@@ -161,6 +160,17 @@ def model_int_ids(spark, sf_dir):
     return out.select(F.col("key")[0].alias("id0"), F.col("key")[1].alias("id1"), "follow_id", "n")
 
 
+def walk_int_ids(spark, sf_dir):
+    """The walks of walk_begin, over word ids."""
+    m = written(model(spark, sf_dir, 2), "model")
+    vocab = written(chain.vocabulary(m), "vocabulary")
+    ends = {r.word: r.word_id for r in vocab.where(F.col("word").isin(chain.BEGIN, chain.END)).collect()}
+    got = walk.id_walk(walk.requests(spark, WALKS), chain.encode(m, vocab, 2), 2, ends[chain.BEGIN], ends[chain.END], TEMPERATURE, SEED)
+    words = got.select("walk_id", "status", F.posexplode_outer("words").alias("i", "word_id")).join(vocab, "word_id", "left")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "word"))), lambda x: x["word"]), " ")
+    return words.groupBy("walk_id", "status").agg(text.alias("sentence"), F.count("word").alias("n_words")).select("walk_id", "sentence", "n_words", "status")
+
+
 def csr_rows(spark, sf_dir):
     m = written(model(spark, sf_dir, 2), "model")
     out = chain.csr(chain.encode(m, chain.vocabulary(m), 2))
@@ -246,19 +256,12 @@ def _by_total():
 
 def walk_mapped(spark, sf_dir, of="benchmark"):
     m = MarkovModel.from_text(_texts(spark, sf_dir, of), 1, key=KEYS[of], retain=False, temperature=TEMPERATURE)
-    path = _path(spark, "mapped")
+    path = new_path(spark, "mapped")
     tables.save(m, path)
-    got = tables.load(spark, path).walk(WALKS, SEED)
+    got = tables.walk(spark, path, walk.requests(spark, WALKS), SEED)
     return got.select("walk_id", F.array_join("words", " ").alias("sentence"), "status")
 
 
-def _path(spark, name: str) -> str:
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tokenweave-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 #: The tables that generation can be trained on and tested against, with their ids.
 KEYS = {"benchmark": "item_id", "documents": "doc_id"}
 
@@ -286,12 +289,19 @@ def make_short_sentence(spark, sf_dir, of="benchmark"):
     return _retained(spark, sf_dir, of).make_short_sentences(50, max_chars=60, min_chars=20, seed=SEED)
 
 
+def _from_tables(spark, sf_dir, of: str, limits: generate.Limits) -> DataFrame:
+    """Sentences of a model that is saved as tables and not loaded again."""
+    path = new_path(spark, "mapped")
+    tables.save(MarkovModel.from_text(_texts(spark, sf_dir, of), 1, key=KEYS[of], retain=False), path)
+    return tables.make_sentences(spark, path, 50, SEED, limits)
+
+
 def make_sentence_mapped(spark, sf_dir, of="benchmark"):
-    return _retained(spark, sf_dir, of).make_sentences(50, SEED, limits=generate.Limits(test_output=False, max_words=12))
+    return _from_tables(spark, sf_dir, of, generate.Limits(test_output=False, max_words=12))
 
 
 def make_short_mapped(spark, sf_dir, of="benchmark"):
-    return _retained(spark, sf_dir, of).make_short_sentences(50, max_chars=80, min_chars=30, seed=SEED, test_output=False)
+    return _from_tables(spark, sf_dir, of, generate.Limits(test_output=False, max_chars=80, min_chars=30))
 
 
 def start_candidates(spark, sf_dir, of="benchmark"):
@@ -345,7 +355,7 @@ def json_model_meta(spark, sf_dir):
 
 
 def mapped_state_lookup(spark, sf_dir):
-    path = _path(spark, "model-table")
+    path = new_path(spark, "model-table")
     tables.save(MarkovModel(model(spark, sf_dir, 2), 2), path)
     return flat(tables.lookup(spark, path, [chain.BEGIN, "The"]))
 
@@ -376,7 +386,7 @@ def stream_equals_batch(spark, sf_dir):
     # A stream reads folders; a single file is matched by its own name.
     src = spark.readStream.schema(batch.schema).parquet(path if len(batch.inputFiles()) > 1 else path.rsplit("/", 1)[0] + "/conversations.parque[t]")
     out = train.stream_counts(src.select("text"), 1)
-    q = out.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).option("checkpointLocation", _path(spark, "stream")).start()
+    q = out.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).option("checkpointLocation", new_path(spark, "stream")).start()
     q.awaitTermination()
     return flat(spark.table(name))
 
@@ -388,7 +398,7 @@ def zipf_corpus(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     split_sentences, split_lines, split_words, split_words_normalized, rejoin_sentences, model_normalized_k2, train_text_k2, train_newline_k1, train_from_sentences,
     chain_events_k1, chain_orders_k2, followers_nested, follower_lookup, state_stats, begin_followers, successor_states, state_repr, model_totals, vocab_encode,
-    model_int_ids, csr_rows, combine_sources, prune_2, prune_removed, dangling_after_prune, weights_t1_5, move_grid, move_missing, walk_begin, walk_from_state, walk_mapped,
+    model_int_ids, walk_int_ids, csr_rows, combine_sources, prune_2, prune_removed, dangling_after_prune, weights_t1_5, move_grid, move_missing, walk_begin, walk_from_state, walk_mapped,
     make_sentence, make_sentence_bounded, make_short_sentence, make_sentence_mapped, make_short_mapped, start_candidates, start_strict, start_loose, overlap_grams,
     overlap_reject, source_rejoined, json_roundtrip, json_model_meta, mapped_state_lookup, binary_roundtrip, mapped_roundtrip, stream_equals_batch, zipf_corpus,
 )}

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tokenweave.functions.tokenize import PROSE, Tokenizer
+from tokenweave.operators import generate
+from tokenweave.operators.walk import paged_walk
 from tokenweave.plans.model import MarkovModel
 
 VERSION = 1
@@ -37,3 +40,29 @@ def load(spark: SparkSession, path: str, with_source: bool = False) -> MarkovMod
 def lookup(spark: SparkSession, path: str, state: list[str]) -> DataFrame:
     """The followers of one state: the filter on the sorted key reaches the scan."""
     return spark.read.parquet(f"{path}/transitions").where(F.col("key") == " ".join(state)).select("state", "follow", "n")
+
+
+#: Keys that a lookup names in its filter; more are joined.
+NAMED_KEYS = 1000
+
+
+def lookup_all(spark: SparkSession, path: str, states: DataFrame) -> DataFrame:
+    """The rows of the given states (column state), from the tables."""
+    rows = spark.read.parquet(f"{path}/transitions")
+    keys = states.select(key_text(F.col("state")).alias("key")).distinct()
+    some = [r.key for r in keys.limit(NAMED_KEYS + 1).collect()]
+    found = rows.where(F.col("key").isin(some)) if len(some) <= NAMED_KEYS else rows.join(keys, "key", "left_semi")
+    return found.select("state", "follow", "n")
+
+
+def walk(spark: SparkSession, path: str, requests: DataFrame, seed: int = 0, max_steps: int = 1000) -> DataFrame:
+    """Walks through the tables of a model: states are looked up as the walks meet them, the model is not loaded."""
+    meta = spark.read.parquet(f"{path}/meta").first()
+    return paged_walk(requests, lambda states: lookup_all(spark, path, states), meta.state_size, meta.temperature, seed, max_steps)
+
+
+def make_sentences(spark: SparkSession, path: str, n: int = 1, seed: int = 0, limits: generate.Limits = generate.Limits(), tokenizer: Tokenizer = PROSE, max_steps: int = 1000) -> DataFrame:
+    """walk_id, sentence of n requests, generated from the tables; overlap is tested against the saved source, if there is one."""
+    requests = spark.range(n).select(F.col("id").alias("walk_id"), F.lit(None).cast("array<string>").alias("init"))
+    source = load(spark, path, True).source if limits.test_output else None
+    return generate.make_sentences(requests, None, 0, source, tokenizer.join, limits, seed=seed, walker=lambda tried: walk(spark, path, tried, seed, max_steps))
