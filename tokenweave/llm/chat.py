@@ -155,7 +155,7 @@ def format_chats(chats: DataFrame, *, conv_col: str = "conv_id", turn_col: str =
         for b in batches:
             rows = []
             convs, roles, texts = (b.column(k).to_pylist() for k in range(3))
-            for c, r, t, n in zip(convs, roles, texts, (count(texts) + 4).tolist()):  # 4: the template's own tokens
+            for c, r, t, n in zip(convs, roles, texts, count([render(r, t)[0] for r, t in zip(roles, texts)]).tolist()):  # as formatted: with role, template and escapes
                 if state is None or c != conv:
                     if state is not None and state.new:
                         rows.append((conv, *state.close()))
@@ -177,7 +177,10 @@ def format_chats(chats: DataFrame, *, conv_col: str = "conv_id", turn_col: str =
 
 
 def _arrow_type(kind: str):
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(kind, pa.string())
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import _parse_datatype_string
+
+    return to_arrow_type(_parse_datatype_string(kind))
 
 
 def read_back(windows: DataFrame, *, conv_col: str = "conv_id") -> DataFrame:
