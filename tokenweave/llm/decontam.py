@@ -3,9 +3,9 @@
 The benchmark's words are numbered; a text's word outside that vocabulary is 0 and matches nothing. Every Arrow batch
 of training texts (2 MB at most, or one longer text) is a shard: its word suffixes that can match at all - those whose
 leading words are a benchmark n-gram, of any test suffix - are sorted into a suffix array by their first ``window``
-words, and all windows are binary-searched in it together: the shard's occurrences of every window, with their places.
-For the longest matches the training suffixes are searched among all test suffixes, the last of each item too; those
-that match a whole window are searched again in the tests' full suffix array, without any bound on the length. Matches
+words, and every test suffix, the last of each item too, is binary-searched in it, all together: the shard's occurrences
+of every window with their places, and the longest match of every training suffix, which is with one of its neighbours among
+the test suffixes. Matches of a whole window go on, in the tests' full suffix array, without any bound on the length. Matches
 never cross documents. No shuffle, one pass over whole texts.
 
 The test side is read in blocks of at most ``block_bytes`` of text and each block is broadcast by itself; with more than
@@ -65,9 +65,10 @@ class Tests:
         self.sufs = np.zeros((len(sufs), window), np.int64)
         for r, s in enumerate(sufs):
             self.sufs[r, : len(s)] = s
-        self.win_rows = np.zeros((len(self.windows), window), np.int64)
-        for r, s in enumerate(self.windows):
-            self.win_rows[r, : len(s)] = s
+        place = {s: r for r, s in enumerate(sufs)}
+        self.win_at = np.array([place[w] for w in self.windows], np.int64)
+        self.suf_keys = self.pack(self.sufs)  # from the least to the greatest suffix that begins with the words of a row
+        self.suf_ends = self.pack(np.where(self.sufs > 0, self.sufs, (1 << self.bits) - 1))
         self.win_len = np.array([len(w) for w in self.windows], np.int64)
         self.names = [str(i) for i, _ in split]
         self.starts = np.cumsum([0, *map(len, coded)])
@@ -170,13 +171,13 @@ def search(tests: Tests, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray,
     keys = tests.pack(rows)
     order = np.lexsort(keys.T[::-1])
     sa, keys, rows = suf[order], keys[order], rows[order]  # the suffix array of the shard
-    # Longest matches: the best neighbour of every test suffix's place, then for each training suffix its own neighbours.
-    test_keys = tests.pack(tests.sufs)
-    place = _bisect(test_keys, keys, False)
+    # Every test suffix is searched in the array: what lies between two of them has them for neighbours, the nearest of all.
+    lo, hi = _bisect(keys, tests.suf_keys, False), _bisect(keys, tests.suf_ends, True)
+    place = np.searchsorted(lo, np.arange(len(sa)), "right")
     best = np.zeros(len(sa), np.int64)
     for near in (place - 1, place):
-        okn = (near >= 0) & (near < len(test_keys))
-        same = (tests.sufs[np.clip(near, 0, len(test_keys) - 1)] == rows) & (rows > 0)
+        okn = (near >= 0) & (near < len(tests.sufs))
+        same = (tests.sufs[np.clip(near, 0, len(tests.sufs) - 1)] == rows) & (rows > 0)
         best = np.maximum(best, np.where(okn, np.cumprod(same, 1).sum(1), 0))
     np.maximum.at(longest, doc[sa], best)
     # What matches a whole window goes on as far as known words of the text do.
@@ -191,10 +192,7 @@ def search(tests: Tests, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray,
     np.maximum.at(full, doc[sa], best)
     size = np.zeros(len(doc), np.int64)
     size[p] = best[long]
-    low_keys = tests.pack(tests.win_rows)
-    high = tests.win_rows.copy()
-    high[np.arange(w) >= tests.win_len[:, None]] = (1 << tests.bits) - 1
-    lo, hi = _bisect(keys, low_keys, False), _bisect(keys, tests.pack(high), True)
+    lo, hi = lo[tests.win_at], hi[tests.win_at]
     hit_at = sa[C.ranges(lo, hi - lo)]  # every occurrence of every window
     which = np.repeat(np.arange(len(lo)), hi - lo)
     flags = np.zeros(len(doc), bool)
