@@ -477,6 +477,20 @@ def test_chat_windows(spark):
         chat.format_chats(chats, budget=10, history_tokens=10)
 
 
+def test_chat_budget_counts_the_formatted_turn(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(1, n, "user" * (1 + 60 * (n % 2)), "<|" * 40 + f" {n}") for n in range(12)] + [(None, 1, "user", "a"), (None, 2, "assistant", None)]
+    chats = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string").withColumn("window", F.lit(5)).withColumn("first", F.lit(6))
+    out = chat.format_chats(chats, budget=600, history_tokens=100, tokenizer_file=path)
+    got = out.collect()
+    count = chat.token_counter(path)
+    for r in got:
+        n = sum(count(["".join((chat.render(a, b)[0],))])[0] for a, b, _, _ in chat.parse(r.text))
+        assert r.n_tokens == n and (n <= 600 or r.n_new == 1)
+    back = {r.conv_id: (r.n_turns, r.loss_chars) for r in chat.read_back(out).collect()}
+    assert back == {1: (12, 0), None: (2, 0)} and out.schema["conv_id"].dataType.simpleString() == "int"
+
+
 def test_chat_escapes():
     r = random.Random(3)
     for _ in range(5000):
@@ -617,6 +631,33 @@ def test_quality(spark):
     assert all(x.h == (x.doc_id is not None and zlib.crc32(str(x.doc_id).encode()) % 3 == 1) for x in out)
 
 
+def test_quality_equals_a_dense_reference():
+    """Ratios by counting, the hinge loss by plain subgradient steps over dense rows."""
+    r = random.Random(3)
+    texts = [" ".join(r.choice(["good", "fine", "well", "text", "of"] if k % 2 else ["bad", "spam", "buy", "text", "of"]) for _ in range(r.randrange(3, 9))) for k in range(120)]
+    rows, y = [quality.features(np.frombuffer(t.encode(), np.uint8)) for t in texts], np.array([k % 2 for k in range(120)])
+    assert all((quality.unpack(quality.pack(x)) == x).all() for x in [*rows, np.arange(0, 1 << quality.BITS, 3, dtype=np.int32), np.zeros(0, np.int32)])
+    seen = np.unique(np.concatenate(rows))
+    dense = np.array([np.isin(seen, x) for x in rows], float)
+    size = 1 << quality.BITS
+    p, q = 1 + dense[y == 1].sum(0), 1 + dense[y == 0].sum(0)
+    ratio = np.log(p / (p.sum() + size - len(seen)) / (q / (q.sum() + size - len(seen))))
+    ratio[p + q <= 4] = 0
+    x = np.hstack((dense * ratio / np.sqrt((dense * ratio**2).sum(1, keepdims=True)), np.ones((120, 1))))
+    w, sign, cost = np.zeros(x.shape[1]), 2.0 * y - 1, 4.0
+    loss = lambda w: 0.5 * w @ w + cost * np.maximum(0, 1 - sign * (x @ w)).sum()
+    best, total = w, np.zeros_like(w)
+    for t in range(1, 20001):
+        w = w - (w - cost * (sign * (sign * (x @ w) < 1)) @ x) / (t + 10)
+        best = min(best, w, key=loss)
+    model = quality.fit_rows(rows, y, cost=cost, rounds=2000)
+    own = np.append(np.divide(model.w[seen], ratio, out=np.zeros(len(seen)), where=ratio != 0), model.bias)
+    assert loss(own) <= loss(best) * 1.01 + 1e-6
+    scores = [model.score(x) for x in rows]
+    want = [1 / (1 + np.exp(-model.slope * (a @ best))) for a in x]
+    assert max(abs(a - b) for a, b in zip(scores, want)) < 0.02
+
+
 def test_dual_descent_reaches_the_margin():
     rows = [np.array([0, 2]), np.array([0, 3]), np.array([1, 2]), np.array([1, 3])]
     w, b = quality.dual_descent(rows, np.ones(4), np.array([1.0, 1, -1, -1]), np.full(4, 100.0), 200, 1)

@@ -1,7 +1,7 @@
 """Quality classifier: n-gram indicators scaled by class log-count ratios, and a linear hinge-loss model.
 
 ``fit`` takes at most ``per_class`` labelled rows of each class (the rows whose hashed id is smallest), turns their
-whole texts into hashed n-gram indicators on the executors, and fits on the driver: the log-count ratio r of every
+whole texts into hashed n-gram indicators on the executors (32 KB a row at most), and fits on the driver: the log-count ratio r of every
 feature, then a support vector machine over r-scaled, length-normalised indicators by dual coordinate descent.
 ``score`` applies it to whole texts in one narrow pass, without a shuffle.
 
@@ -57,6 +57,21 @@ def features(data: np.ndarray) -> np.ndarray:
     return np.flatnonzero(flags).astype(np.int32)
 
 
+def pack(idx: np.ndarray) -> bytes:
+    """Feature numbers in at most 2**BITS / 8 bytes: as they are, or as bits where these are shorter."""
+    if 4 * len(idx) < 1 << BITS - 3:
+        return idx.astype("<i4").tobytes()
+    flags = np.zeros(1 << BITS, bool)
+    flags[idx] = True
+    return np.packbits(flags).tobytes()
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    if len(raw) < 1 << BITS - 3:
+        return np.frombuffer(raw, "<i4")
+    return np.flatnonzero(np.unpackbits(np.frombuffer(raw, np.uint8))).astype(np.int32)
+
+
 @dataclass
 class Model:
     """w: weight of each feature, already scaled; r2: its share of the squared length; score = sigmoid(slope * margin)."""
@@ -134,12 +149,11 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column | None = None, *, id_co
         for b in batches:
             out = []
             for v in b.column(1):
-                data = np.frombuffer((v.as_py() or "").encode(), np.uint8)
-                out.append(features(data).tobytes())
+                out.append(pack(features(np.frombuffer((v.as_py() or "").encode(), np.uint8))))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["y", "f"])
 
     found = docs.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").alias("t")).join(F.broadcast(some), "i").select("y", "t").mapInArrow(featurise, "y int, f binary").orderBy(F.xxhash64("f"), "y").limit(2 * per_class).toArrow()
-    feats = [np.frombuffer(f.as_py(), np.int32) for f in found.column("f")]
+    feats = [unpack(f.as_py()) for f in found.column("f")]
     return fit_rows(feats, found.column("y").to_numpy().astype(int))
 
 
