@@ -4,10 +4,10 @@
    ``shard_size``, are centroids; of centroids of a label that are near each other the first stays, so a dense group is
    not cut up. Each vector goes to the shards of its ``overlap`` nearest centroids, as far as they are within ``margin``
    of the nearest.
-2. A shard's graph: for each vector, the nearest others, some others at random and the shard's medoid, thinned by
-   robust pruning, with the reverse edges. In a shard, a vector's list is the union of these.
-3. A greedy beam search from the medoid (and the query's own node) finds each vector's neighbourhood, and a range
-   expansion follows edges as long as the similarity stays within ``slack`` of the threshold. Similarities are computed
+2. A shard's graph: for each vector, near others (from the cells of a few pivots), some others at random and the shard's
+   medoid, thinned by robust pruning, with the reverse edges. The lists of a vector in all its shards are united.
+3. In each shard, on the united lists, a greedy beam search from the medoid (and the query's own node) finds each vector's
+   neighbourhood, and a range expansion follows edges as long as the similarity stays within ``slack`` of the threshold. Similarities are computed
    in double precision from the vectors, so every link is verified. A link is found from either end and counts for both, in
    the smallest shard that both are in and nowhere else.
 4. Links of a shard become a star for each of its components; stars of all shards are joined to components.
@@ -41,6 +41,34 @@ from tokenweave.llm.components import components
 MAX_CENTROIDS = 16384
 LINKED = 32
 DEGREE, NEAR, FAR, BEAM, ALPHA = 24, 24, 8, 16, 1.2
+#: Pivots' cells that a vector goes to when a graph is built, and vectors of a cell that are compared.
+LAYERS, CELL = 3, 256
+
+
+def candidates(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Near neighbours of each vector (its own number where there are fewer), without comparing all pairs.
+
+    Each vector goes to the cells of its LAYERS nearest of about sqrt(n) pivots; a cell is compared within itself, and cut at
+    random if it holds more than CELL vectors. So n vectors take about n * sqrt(n) comparisons, however dense they are.
+    """
+    n = len(x)
+    pivots = rng.choice(n, int(np.ceil(np.sqrt(n))) if n > CELL else 1, replace=False)
+    layers = min(LAYERS, len(pivots))
+    near = np.argsort(-(x @ x[pivots].T), 1, kind="stable")[:, :layers]
+    each = NEAR // layers
+    out = np.repeat(np.arange(n)[:, None], layers * each, 1)
+    for layer in range(layers):
+        cell = near[:, layer]
+        order = np.lexsort((rng.random(n), cell))
+        cuts = np.flatnonzero(np.diff(cell[order], prepend=-1))
+        for a, z in zip(cuts, np.append(cuts[1:], n)):
+            for g in np.array_split(order[a:z], -(-(z - a) // CELL)):
+                k = min(each, len(g) - 1)
+                if k > 0:
+                    s = x[g] @ x[g].T
+                    np.fill_diagonal(s, -2)
+                    out[g, layer * each : layer * each + k] = g[np.argpartition(-s, k - 1, 1)[:, :k]]
+    return out
 
 
 def build_graph(x: np.ndarray, seed: int = 5) -> tuple[np.ndarray, np.ndarray, int]:
@@ -50,13 +78,10 @@ def build_graph(x: np.ndarray, seed: int = 5) -> tuple[np.ndarray, np.ndarray, i
     if n == 1:
         return np.zeros(2, np.int64), np.zeros(0, np.int64), 0
     rng = np.random.default_rng(seed)
-    near, src, dst = min(NEAR, n - 1), [], []
+    near, src, dst = candidates(x, rng), [], []
     for a in range(0, n, 512):
-        s = x[a : a + 512] @ x.T
-        s[np.arange(len(s)), np.arange(a, a + len(s))] = -2
-        cand = np.argpartition(-s, near - 1, 1)[:, :near]
-        rows = np.arange(a, a + len(s))
-        cand = np.concatenate((cand, rng.integers(0, n, (len(s), FAR)), np.full((len(s), 1), medoid)), 1)
+        rows = np.arange(a, min(n, a + 512))
+        cand = np.concatenate((near[rows], rng.integers(0, n, (len(rows), FAR)), np.full((len(rows), 1), medoid)), 1)
         kept = robust_prune(x[rows], x[cand], rows, cand)
         r, k = np.nonzero(kept >= 0)
         src.append(rows[r])
@@ -261,6 +286,17 @@ def _by_key(b):
     return [(key, np.array(rows)) for key, rows in groups.items()]
 
 
+def _local(node: np.ndarray, near) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and targets of the united lists (node numbers), as far as they stay among these vectors."""
+    if isinstance(near, pa.ChunkedArray):
+        near = near.combine_chunks()
+    order = np.argsort(node)
+    src, to = np.repeat(np.arange(len(node)), np.diff(near.offsets.to_numpy())), near.flatten().to_numpy()
+    at = order[np.minimum(np.searchsorted(node, to, sorter=order), len(node) - 1)]
+    here = node[at] == to
+    return np.searchsorted(src[here], np.arange(len(node) + 1)), at[here]
+
+
 def _smaller(shards, shard: int) -> np.ndarray:
     """Which shards before this one each vector is in, as bits."""
     if isinstance(shards, pa.ChunkedArray):
@@ -304,12 +340,23 @@ def _shards(own: DataFrame, sent, threshold: float, overlap: int, margin: float,
     rows = rows.withColumn("block", F.pmod(F.xxhash64("i"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     rows = rows.withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other")).drop("m", "blocks", "other")
 
+    rows = C.written(rows.withColumn("node", F.xxhash64("l", "i", "v")), "shard-rows")
+
+    def build(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks().sort_by("node")
+        node = t.column("node").to_numpy()
+        off, dst, _ = build_graph(_units(np.array(t.column("v").to_pylist())))
+        return pa.table({"node": pa.array(node, pa.int64()), "near": pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(node[dst], pa.int64()))})
+
+    graph = rows.groupBy(*keys, "p", "q").applyInArrow(build, "node bigint, near array<bigint>")
+    united = graph.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # lists of one vector, in the few shards it is in
+
     def one(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        t = t.combine_chunks().sort_by("i")
+        t = t.combine_chunks().sort_by([("i", "ascending"), ("node", "ascending")])
         x = _units(np.array(t.column("v").to_pylist()))
-        ids, times, block = (t.column(c).to_numpy() for c in ("i", "times", "block"))
+        ids, times, block, node = (t.column(c).to_numpy() for c in ("i", "times", "block", "node"))
         smaller = _smaller(t.column("shards"), key[2].as_py())
-        a, b = search(x, build_graph(x), np.arange(len(x)), threshold, slack)
+        a, b = search(x, _local(node, t.column("near")) + (int(np.argmax(x @ x.mean(0))),), np.arange(len(x)), threshold, slack)
         if key[3] != key[4]:
             cross = block[a] != block[b]
             a, b = a[cross], b[cross]
@@ -323,5 +370,6 @@ def _shards(own: DataFrame, sent, threshold: float, overlap: int, margin: float,
             n += np.bincount(a, times[b], len(x)) + np.bincount(b, times[a], len(x))
         return pa.table({"i": pa.array(ids, pa.int64()), "root": pa.array(root, pa.int64()), "n": pa.array(n.astype(np.int64), pa.int64())})
 
+    rows = rows.join(united, "node")
     found = C.written(rows.groupBy(*keys, "p", "q").applyInArrow(one, "i bigint, root bigint, n bigint"), "vector-links")
     return found.groupBy("i").agg(F.sum("n").alias("n")), found.where("i <> root").select("i", "root")
