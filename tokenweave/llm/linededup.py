@@ -13,7 +13,7 @@ broadcast, and a filter that is too small for the input only makes more lines su
 
 Defined results: a text is split at every \\n, so a null or empty text is one empty line (and a null becomes an empty
 text in the output); a key is the line stripped of [\\x20\\x09-\\x0D] and lower-cased (A-Z); keys shorter than
-``min_chars`` code points never count; a row is a document, so rows with one id count apiece; ``keep="first"`` keeps
+``min_chars`` code points never count; rows with one id are one document, and so are those with a null id; ``keep="first"`` keeps
 the line with the smallest (id, line number), nulls first, of each repeated key in all rows where these are equal. All
 other columns of the input stay.
 """
@@ -126,7 +126,8 @@ def repeated_keys(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array(sel)), b.column(0).slice(lo, hi - lo).take(pa.array(doc)), pa.array(sel - off[doc], pa.int64())], names=["key", "i", "line"])
 
     kind = dict(src.dtypes)["i"]
-    keys = src.mapInArrow(suspects, f"key string, i {kind}, line bigint").groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.min(F.struct("i", "line")).alias("first")).where(F.col("n_docs") >= min_docs)
+    own = src.mapInArrow(suspects, f"key string, i {kind}, line bigint").groupBy("key", "i").agg(F.min("line").alias("line"))  # rows of one id are one document
+    keys = own.groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"), F.min(F.struct("i", "line")).alias("first")).where(F.col("n_docs") >= min_docs)
     return keys, sent
 
 
