@@ -673,3 +673,109 @@ def test_hashes():
     assert list(C.pieces(pa.array(["aa", "b" * 10, None, "c"]), 4)) == [(0, 1), (1, 2), (2, 4)]
     low, s, e, before = C.words(*C.texts(pa.array(["Ab", "cD é_1", None, "x"])))
     assert [low.tobytes()[a:z].decode() for a, z in zip(s, e)] == ["ab", "cd", "é", "1", "x"] and before.tolist() == [0, 1, 4, 4, 5]
+
+
+# ---- nulls, repeated rows, clashing names
+
+
+def test_rows_of_one_id_are_one_document_for_lines(spark):
+    texts = ["same\nown 1"] * 3 + [f"same\nown {k}" for k in range(2, 6)]
+    got = linededup.line_dedup(docs_of(spark, texts, [1, 1, 1, 2, 3, None, None]), min_docs=4, stats=("a", "b")).collect()
+    assert [r.b for r in got] == [1] * 7  # ids 1, 2, 3 and none
+    got = linededup.line_dedup(docs_of(spark, texts, [1, 1, 1, 2, 3, None, None]), min_docs=5, stats=("a", "b")).collect()
+    assert [r.b for r in got] == [0] * 7
+
+
+def test_token_shards_with_null_and_equal_ids(spark, tmp_path):
+    path, texts = public_tokenizers.path("word_bpe_49k.json"), ["b text", None, "a text", "", "c " * 50, "a text"]
+    ids = [3, None, 3, 1, None, 3]
+    repair.write_shards(docs_of(spark, texts, ids).withColumn("n_tokens", F.lit(1)), f"{tmp_path}/s", path)
+    got = sorted(((r.doc_id is not None, r.doc_id or 0), r.start, r.n_tokens, r.ids_crc32) for r in repair.read_shards(spark, f"{tmp_path}/s").collect())
+    lib = repair.tokenizer(path).tokenizer
+    coded = [[*lib.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    crc = lambda c: zlib.crc32(np.array(c, "<u4").tobytes())
+    assert sorted((g[0][1], g[2], g[3]) for g in got) == sorted((i or 0, len(c), crc(c)) for i, c in zip(ids, coded))
+    at = 0
+    for g in sorted(got, key=lambda g: g[1]):
+        assert g[1] == at
+        at += g[2]
+    assert [g[0] for g in sorted(got, key=lambda g: g[1])] == sorted((i is not None, i or 0) for i in ids)
+
+
+def test_tokenizer_files_that_split_otherwise_are_refused():
+    with pytest.raises(ValueError, match="splits words"):
+        repair.WordTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_licenses_with_null_and_equal_ids(spark):
+    texts = ["Released under the MIT License.", "Released under the MIT License.", "no license", None, "Licensed under CC BY 4.0."]
+    got = licenses.license_scan(docs_of(spark, texts, [1, 1, 1, None, None])).collect()
+    assert sorted((r.doc_id or 0, r.license or "", r.n_units) for r in got) == [(0, "", 0), (0, "CC-BY-4.0", 1), (1, "", 0), (1, "MIT", 1), (1, "MIT", 1)]
+
+
+def test_licenses_normalise_a_text_once(spark):
+    plan = licenses.license_scan(docs_of(spark, ["a"]))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(t#") <= 1
+
+
+def test_vectors_with_null_and_equal_ids(spark):
+    rows = [(1, [1.0, 0.0], "l"), (1, [0.0, 1.0], "l"), (1, [1.0, 0.0], "l"), (None, [1.0, 0.0], "l"), (2, [1.0, 0.01], "l"), (3, [0.01, 1.0], "l"), (4, [-1.0, 0.0], "l")]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label string").withColumn("n_links", F.lit(9)).withColumn("node", F.lit(9))
+    got = vectordedup.near_vectors(df).collect()
+    assert sorted((r.vec_id or 0, r.component_id or 0) for r in got) == [(0, 0), (1, 1), (1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+    assert {r.vec_id: r.n_links for r in got}[4] == 0 and {r.vec_id: r.n_links for r in got}[None] == 0
+
+
+def test_contamination_with_null_and_equal_ids(spark):
+    bench = spark.createDataFrame([(1, "a b c d e f g h i j k"), (2, "p q r s t u v w x y z")], "item_id bigint, text string")
+    df = docs_of(spark, ["x a b c d e f g h i j k", "p q r s t u v w x y", "nothing", None], [5, None, None, 5]).withColumn("n_words", F.lit("own"))
+    for size in (4 << 20, 10):  # one block, and one for each item: then rows of an id are judged together
+        got = sorted((r.doc_id or 0, r.x_n_words, r.x_contaminated) for r in decontam.contamination(df, bench, block_bytes=size, prefix="x_").collect())
+        assert [g[:2] for g in got] == [(0, 1), (0, 10), (5, 0), (5, 12)] and [g[2] for g in got] == ([False, True, False, True] if size > 10 else [True] * 4)
+
+
+def test_near_duplicates_of_an_id_column_named_like_the_result(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    df = spark.createDataFrame([(2, text), (1, text), (None, text), (3, "else " * 9)], "class_id bigint, text string")
+    assert sorted(r.class_id or 0 for r in neardup.keep_one(df, id_col="class_id").collect()) == [0, 1, 3]
+
+
+def test_pieces_replace_columns_of_their_names_and_keep_repeated_rows(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    df = docs_of(spark, ["a b", "a b", None]).withColumn("ids", F.lit("x"))
+    got = unigram.decode(unigram.encode(df, path), path, out="key").orderBy("doc_id").collect()
+    assert got[0].ids == got[1].ids and [r.key for r in got] == ["a b", "a b", ""]
+
+
+def test_long_chunks_equal_chunks_that_advance_together(monkeypatch):
+    v = unigram.Vocabulary.load(public_tokenizers.path("piece_bpe_32k.model"))
+    r = random.Random(9)
+    monkeypatch.setattr(unigram, "STRETCH", 64)
+    for _ in range(40):
+        data, off = C.texts(pa.array(["".join(r.choice("aabcée 日\n-") for _ in range(r.randrange(1, 600)))]))
+        monkeypatch.setattr(unigram, "LONG", 1 << 30)
+        want = unigram.viterbi(v, data, off)[0].tolist()
+        monkeypatch.setattr(unigram, "LONG", 8)
+        assert unigram.viterbi(v, data, off)[0].tolist() == want
+
+
+def test_log_scores_of_ranks_give_as_few_pieces_as_merges():
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    v, sp = unigram.Vocabulary.load(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    text = "The quick brown fox jumps over international cooperation"
+    ids, _ = unigram.encode_texts(v, *C.texts(pa.array([text])))
+    assert len(ids) <= len(sp.encode(text)) and (v.scores[[i for i, p in enumerate(v.pieces) if p]] < 0).all()
+    own = np.array([0.0, -1.5, -2.25])
+    assert unigram.log_scores(own, np.ones(3, bool)) is own
+
+
+def test_graph_of_cells_finds_links_without_all_pairs():
+    r = np.random.default_rng(17)
+    x = np.concatenate([r.normal(size=(1, 64)) + r.normal(size=(3, 64)) * 0.08 for _ in range(700)] + [r.normal(size=(1, 64)) + r.normal(size=(900, 64)) * 0.05])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    a, b = vectordedup.search(x, vectordedup.build_graph(x), np.arange(len(x)), 0.98, 0.02)
+    s = (x @ x.T) >= 0.98
+    np.fill_diagonal(s, False)
+    assert s[a, b].all() and len(a) >= 0.99 * s.sum() > 0

@@ -286,7 +286,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return ids.distinct().join(classes, "i", "left").select(F.col("i").alias(id_col), F.coalesce("class_id", "i").alias("class_id"))
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs without the documents whose class has a smaller id; rows with a null id stay."""
-    gone = near_duplicates(docs, id_col=id_col, **options).where(f"class_id <> `{id_col}`").select(F.col(id_col).alias("__gone"))
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs without the documents whose class has a smaller id; rows with a null id stay, and so do all rows of an id that stays."""
+    found = near_duplicates(docs.select(F.col(f"`{id_col}`").alias("__nd_id"), F.col(f"`{text_col}`").alias("__nd_text")), id_col="__nd_id", text_col="__nd_text", **options)
+    gone = found.where("class_id <> __nd_id").select(F.col("__nd_id").alias("__gone"))
     return docs.join(gone, F.col(f"`{id_col}`").cast("bigint") == F.col("__gone"), "left_anti")
