@@ -157,3 +157,23 @@ def test_queries_over_documents(spark, tmp_path):
     ranks = {x.state: x.rank for x in queries.QUERIES["start_candidates_documents"](spark, str(tmp_path)).collect()}
     states = sorted({f"the {w[i + 1]}" for w in runs for i in range(len(w) - 1) if w[i] == "the"} | {"___BEGIN__ the" for w in runs if w[0] == "the"}, key=lambda s: hashlib.md5(f"{queries.SEED}:{s}".encode()).hexdigest())
     assert ranks == {s: k for k, s in enumerate(states)}
+
+
+def test_start_states_are_tried_in_growing_groups(spark, monkeypatch):
+    monkeypatch.setattr(generate, "FIRST_STARTS", 1)
+    words = [("a", x, "z") if x == "k" else ("a", x, *["y"] * 9) for x in "bcdefghijk"]
+    m = MarkovModel.from_sentences(spark.createDataFrame([(["s", *w],) for w in words], "words array<string>"), 2)
+    limits = generate.Limits(tries=2, test_output=False, max_words=3)
+    assert m.make_sentence_with_start("a", False, 5, limits).collect()[0].sentence == "a k z"
+    assert m.make_sentence_with_start("a", False, 5, generate.Limits(tries=1, test_output=False, max_words=1)).collect()[0].sentence is None
+
+
+def test_table_function_and_parsed_sentences(spark):
+    docs = spark.createDataFrame([(1, "One two three. Two three four!"), (2, "One three.")], "doc_id bigint, text string")
+    m = MarkovModel.from_text(docs, 1, temperature=1.5)
+    m.register("own_walks")
+    got = {r.walk_id: (r.words, r.status) for r in spark.sql("select * from own_walks(5, 20, 3)").collect()}
+    want = {r.walk_id: (r.words, r.status) for r in m.walk(25, 3).where("walk_id >= 5").collect()}
+    assert got == want
+    assert sorted((r.doc_id, r.pos, r.words) for r in m.parsed_sentences.collect()) == [(1, 0, ["One", "two", "three."]), (1, 1, ["Two", "three", "four!"]), (2, 0, ["One", "three."])]
+    assert MarkovModel.from_text(docs, 1, retain=False).parsed_sentences is None

@@ -17,6 +17,10 @@ from tokenweave.operators.walk import walk
 from tokenweave.sources.shared import written
 
 
+#: Start states that are tried at first; each further group is eight times as large.
+FIRST_STARTS = 64
+
+
 @dataclass(frozen=True)
 class Limits:
     """Defaults of a generated sentence's constraints; None is no limit."""
@@ -92,7 +96,19 @@ def start_states(model: DataFrame, k: int, beginning: list[str], strict: bool =
 
 
 def sentence_with_start(model: DataFrame, k: int, beginning: list[str], source: DataFrame | None, join, strict: bool = True, limits: Limits = Limits(), temperature: float = 1.0, seed: int = 0, max_steps: int = 1000, strategy: str = "auto") -> DataFrame:
-    """One row: the sentence of the first start state, in their order, that gives an acceptable one; else null."""
-    starts = start_states(model, k, beginning, strict, seed).select(F.col("rank").alias("walk_id"), F.col("state").alias("init"))
-    got = make_sentences(starts, model, k, source, join, limits, temperature, seed, max_steps, strategy)
-    return got.where("sentence is not null").agg(F.min_by("sentence", "walk_id").alias("sentence"))
+    """One row: the sentence of the first start state, in their order, that gives an acceptable one; else null.
+
+    The states are tried in groups of growing size, and none after the group with the first success.
+    """
+    starts = written(start_states(model, k, beginning, strict, seed).select(F.col("rank").alias("walk_id"), F.col("state").alias("init")), "starts")
+    n, lo, size = starts.count(), 0, FIRST_STARTS
+    while True:
+        some = starts.where(F.col("walk_id").between(lo, lo + size - 1))
+        got = make_sentences(some, model, k, source, join, limits, temperature, seed, max_steps, strategy)
+        best = got.where("sentence is not null").agg(F.min_by("sentence", "walk_id").alias("sentence"))
+        lo, size = lo + size, size * 8
+        if lo >= n:
+            return best
+        best = written(best, "sentence")
+        if best.first().sentence is not None:
+            return best

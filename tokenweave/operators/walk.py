@@ -111,6 +111,21 @@ def broadcast_walk(requests: DataFrame, model: DataFrame, k: int, temperature: f
     return requests.select("walk_id", "attempt", "init").mapInPandas(go, SCHEMA)
 
 
+def register(spark, name: str, model: DataFrame, k: int, temperature: float = 1.0, max_steps: int = 1000) -> None:
+    """Register the table function name(first bigint, n bigint, seed bigint) for SQL; the model is broadcast, so its size is checked."""
+    if model.limit(BROADCAST_TRANSITIONS + 1).count() > BROADCAST_TRANSITIONS:
+        raise ValueError(f"a model of more than {BROADCAST_TRANSITIONS} transitions can't be broadcast")
+    sent = spark.sparkContext.broadcast(Table(hashed(model).toArrow(), k, temperature))
+
+    class Walks:
+        def eval(self, first: int, n: int, seed: int):
+            for i in range(first, first + n):
+                words, status = sent.value.walk(seed, i, 0, None, max_steps)
+                yield i, words, status
+
+    spark.udtf.register(name, F.udtf(Walks, returnType="walk_id bigint, words array<string>, status string"))
+
+
 def superstep_walk(requests: DataFrame, model: DataFrame, k: int, temperature: float, seed: int, max_steps: int, begin: str = BEGIN, end: str = END) -> DataFrame:
     """One equi-join on the state a step for all live walks; each step is written, so lineage stays short.
 

@@ -24,6 +24,8 @@ class MarkovModel:
     temperature: float = 1.0
     source: DataFrame | None = None
     tokenizer: Tokenizer = field(default=PROSE)
+    #: The tokenized sentences that the model was trained on (key, pos, words), if they are retained.
+    parsed_sentences: DataFrame | None = None
 
     def __post_init__(self):
         chain.check_state_size(self.state_size)
@@ -35,7 +37,7 @@ class MarkovModel:
         tok = tokenizer or (PROSE_NORMALIZED if normalize else PROSE)
         sentences = runs(docs, tok, text_col, (key,))
         model = chain.count(chain.transitions(sentences, state_size))
-        return MarkovModel(model, state_size, temperature, overlap.rejoined(sentences, key) if retain else None, tok)
+        return MarkovModel(model, state_size, temperature, overlap.rejoined(sentences, key) if retain else None, tok, sentences if retain else None)
 
     @staticmethod
     def from_lines(docs: DataFrame, state_size: int = 2, **options) -> MarkovModel:
@@ -84,6 +86,10 @@ class MarkovModel:
     def walk(self, n: int, seed: int = 0, **options) -> DataFrame:
         return walk.walk(walk.requests(self.spark, n), self.transitions, self.state_size, self.temperature, seed, **options)
 
+    def register(self, name: str, max_steps: int = 1000) -> None:
+        """Make name(first, n, seed) a table function of SQL: walks first to first + n - 1 from the beginning, as walk gives them."""
+        walk.register(self.spark, name, self.transitions, self.state_size, self.temperature, max_steps)
+
     def walk_from(self, requests: DataFrame, seed: int = 0, **options) -> DataFrame:
         return walk.walk(requests, self.transitions, self.state_size, self.temperature, seed, **options)
 
