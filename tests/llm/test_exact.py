@@ -779,3 +779,10 @@ def test_graph_of_cells_finds_links_without_all_pairs():
     s = (x @ x.T) >= 0.98
     np.fill_diagonal(s, False)
     assert s[a, b].all() and len(a) >= 0.99 * s.sum() > 0
+
+
+def test_filter_segments_travel_as_places_or_bits():
+    for n in (0, 5, 1 << 13, 1 << 16):
+        at = np.unique(np.random.default_rng(n).integers(0, 1 << linededup.SEGMENT, n)).astype(np.uint64)
+        raw = linededup._packed(at)
+        assert len(raw) <= 1 << linededup.SEGMENT - 3 and (linededup._unpacked(raw) == at.astype(np.int64)).all()

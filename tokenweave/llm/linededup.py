@@ -1,8 +1,8 @@
 """Line dedup by two Bloom filters, of line keys seen once and seen twice.
 
 1. Every task sets the filter bits of the distinct line keys of its texts: a key's bits go to its "once" filter and,
-   from the second document on, also to its "twice" filter. Tasks send only the positions of their bits, by segment of
-   the filter; a segment's bits of two tasks or of a task's "twice" filter make the final "twice" filter.
+   from the second document on, also to its "twice" filter. Tasks send the positions of their bits by segment of the
+   filter, or the segment itself where it is full (64 KB); a segment's bits of two tasks or of a task's "twice" filter make the final "twice" filter.
 2. Lines whose key hits the "twice" filter are suspected repeats. Only they are shuffled: keys with one count per
    document, summed before the shuffle, with the first occurrence. A false hit of the filter ends here.
 3. Confirmed keys go to a last narrow pass over the texts, by broadcast up to ``broadcast_bytes`` of keys and by a join
@@ -52,6 +52,19 @@ def _bits(h: np.ndarray, bits: int) -> np.ndarray:
     return np.stack([(seg << np.uint64(SEGMENT)) | ((h >> np.uint64(19 * k)) & np.uint64(width)) for k in range(HASHES)])
 
 
+def _packed(at: np.ndarray) -> bytes:
+    """Distinct bits of a segment: their places, or the whole segment as bits where that is shorter."""
+    if 4 * len(at) < 1 << SEGMENT - 3:
+        return at.astype("<u4").tobytes()
+    flags = np.zeros(1 << SEGMENT, bool)
+    flags[at.astype(np.int64)] = True
+    return np.packbits(flags).tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, "<u4") if len(raw) < 1 << SEGMENT - 3 else np.flatnonzero(np.unpackbits(np.frombuffer(raw, np.uint8)))
+
+
 def _distinct_by_text(h: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Indices of the first line of each hash in each text."""
     doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
@@ -97,13 +110,13 @@ def repeated_keys(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
             seg = (pos >> np.uint64(SEGMENT)).astype(np.int32)
             cuts = np.flatnonzero(np.diff(seg, prepend=-1))
             for a, z in zip(cuts, [*cuts[1:], len(pos)]):
-                yield pa.RecordBatch.from_arrays([pa.array([seg[a]], pa.int32()), pa.array([kind], pa.int32()), pa.array([(pos[a:z] & np.uint64((1 << SEGMENT) - 1)).astype("<u4").tobytes()])], names=["seg", "kind", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array([seg[a]], pa.int32()), pa.array([kind], pa.int32()), pa.array([_packed(pos[a:z] & np.uint64((1 << SEGMENT) - 1))])], names=["seg", "kind", "pos"])
 
     def merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << SEGMENT, np.uint8)
         for b in batches:
             for kind, pos in zip(b.column("kind"), b.column("pos")):
-                at = np.frombuffer(pos.as_py(), "<u4")
+                at = _unpacked(pos.as_py())
                 seen[at] = np.minimum(seen[at], 1) + 1 if not kind.as_py() else 2
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.packbits(seen > 1).tobytes()])], names=["seg", "bits"])
 
