@@ -1,0 +1,236 @@
+"""Source mixing, fill-in-middle and the conversation trie against brute force."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from tokenweave.llm import convtrie, fim, mixture
+
+# ---- mixing
+
+DOCS = "doc_id bigint, text string, source string, target string, h string"
+
+
+def mix_docs(seed, n=400):
+    r = random.Random(seed)
+    out = []
+    for i in range(n):
+        k = r.choice([0, 1, 2, 5, 9, 30, 200]) if r.random() < 0.98 else 3000
+        source = r.choice(["a", "a", "a", "b", "é", "Z", None])
+        out.append((i if r.random() < 0.97 else None, r.choice([" ", "\t", " x "]).join(["w"] * k) if k else r.choice([None, "", " \n"]), source, "t", "h"))
+    return out + out[:7]
+
+
+def fill_by_force(sizes, weights, budget, most):
+    """Targets by clamping whatever is above its cap until nothing is."""
+    out, free = {}, set(sizes)
+    while free:
+        left, total = budget - sum(out.values()), sum(weights[s] for s in free)
+        over = {s for s in free if not total or weights[s] * left / total > most * sizes[s]}
+        if not over:
+            return out | {s: weights[s] * left / total for s in free}
+        out |= {s: most * sizes[s] for s in over}
+        free -= over
+    return out
+
+
+@pytest.mark.parametrize("seed, small, most", [(1, True, 3.0), (2, False, 3.0), (3, True, 1.5)])
+def test_mix(spark, monkeypatch, seed, small, most):
+    monkeypatch.setattr(mixture, "BROADCAST_SOURCES", 1000 if small else 0)
+    rows = mix_docs(seed)
+    docs = spark.createDataFrame(rows, DOCS)
+    got = mixture.plan(docs, mixture.n_words(F.col("text")), max_epochs=most, seed=5).collect()
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    assert sorted((str(r.doc_id), r.text or "", r.size) for r in got) == sorted((str(i), t or "", size(t)) for i, t, *_ in rows)
+    assert all(r.h == "h" for r in got)
+    sizes = collections.Counter()
+    for _, t, s, *_ in rows:
+        sizes[s] += size(t)
+    order = sorted(s for s in sizes if s is not None) + [None]
+    weights = {s: k % 3 + 1 for k, s in enumerate(order)}
+    want = fill_by_force(sizes, weights, sum(sizes.values()), most)
+    taken = collections.Counter()
+    for r in got:
+        assert r.source_size == sizes[r.source] and abs(r.target - want[r.source]) < 1e-6
+        whole = int(want[r.source] / sizes[r.source] + 1e-9)
+        assert r.repeats - whole in (0, 1) and r.repeats <= most + 1
+        assert r.size == 0 or r.size * r.repeats <= (int(most) + (most % 1 > 0)) * r.size
+        taken[r.source] += r.size * r.repeats
+    for s in sizes:  # some 60 documents each: nearer than half of the longest one's 3,000 words
+        assert abs(want[s] - taken[s]) <= 1500
+    again = mixture.plan(docs.repartition(7), mixture.n_words(F.col("text")), max_epochs=most, seed=5)
+    key = lambda r: (str(r.doc_id), r.text or "", str(r.source), r.repeats)
+    assert sorted(map(key, got)) == sorted(map(key, again.collect()))
+    other = mixture.plan(docs, mixture.n_words(F.col("text")), max_epochs=most, seed=6).collect()
+    assert sorted(map(key, got)) != sorted(map(key, other))
+
+
+def test_mix_orders_within_the_crossing_bucket(spark):
+    """Rows of one hashed bucket are told apart one by one: equal to a plain running sum in the order of the hashes."""
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), (F.col("id") % 7).alias("n"))
+    got = {r.doc_id: r.repeats for r in mixture.plan(docs, F.col("n"), share=0.37, seed=1, rounds=1).collect()}
+    place = lambda i: (int(hashlib.md5(f"1:{i}".encode()).hexdigest()[:15], 16), str(i), i % 7)
+    need, run, want, last = 0.37 * sum(i % 7 for i in range(3000)), 0, {}, 0
+    for i in sorted((i for i in range(3000) if i % 7), key=place):
+        run += i % 7
+        want[i] = int(run <= need)
+        last = need - run if run <= need else last
+    rest = min((abs(i % 7 - last), place(i)) for i in range(3000) if i % 7 and not want[i])
+    if rest[0] < last:
+        want[int(rest[1][1])] = 1
+    assert got == {i: want.get(i, 0) for i in range(3000)}
+    assert mixture.mixed(mixture.plan(docs, F.col("n"), share=2.5, seed=1)).groupBy("doc_id").count().agg(F.max("count")).first()[0] == 3
+
+
+def test_mix_of_nothing_and_bad_parameters(spark):
+    none = spark.createDataFrame([], DOCS)
+    assert mixture.plan(none, mixture.n_words(F.col("text"))).count() == 0
+    empty = spark.createDataFrame([(1, None, None, "t", "h"), (2, "", "a", "t", "h")], DOCS)
+    assert [(r.target, r.repeats) for r in mixture.plan(empty, mixture.n_words(F.col("text"))).collect()] == [(0.0, 0)] * 2
+    weights = spark.createDataFrame([("a", 1.0)], "source string, weight double")
+    got = mixture.plan(spark.createDataFrame([(1, "x y", None, "t", "h"), (2, "x", "a", "t", "h")], DOCS), mixture.n_words(F.col("text")), weights=weights)
+    assert {r.source: r.target for r in got.collect()} == {None: 0.0, "a": 3.0}
+    for bad in ({"max_epochs": 0}, {"share": -1}, {"rounds": 0}):
+        with pytest.raises(ValueError):
+            mixture.plan(none, F.lit(1), **bad)
+
+
+# ---- fill-in-middle
+
+
+def fim_by_force(doc_id, text):
+    text = text or ""
+    units = re.findall(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+", text)
+    digest = hashlib.sha256(f"42:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+    h = [int(digest[8 * i : 8 * i + 8], 16) for i in range(4)]
+    n = len(units)
+    a, z = sorted((h[0] % (n + 1), h[1] % (n + 1)))
+    if not text or any(m in text for m in ("<P>", "<S>", "<M>")) or h[2] % 100 >= 50:
+        return n, "plain", None, None, text
+    p, m, s = "".join(units[:a]), "".join(units[a:z]), "".join(units[z:])
+    if h[3] % 100 < 80:
+        return n, "spm", len(p), len(m), f"<S>{s}<P>{p}<M>{m}"
+    return n, "psm", len(p), len(m), f"<P>{p}<S>{s}<M>{m}"
+
+
+def fim_texts():
+    r = random.Random(4)
+    say = lambda k: "".join(r.choice(["a", "bé", "😀", "<", "<P", "S>", " ", "\\"]) * r.randrange(1, 4) + r.choice([" ", "\n\n", "\t ", "\x0b", ""]) for _ in range(k))
+    return [None, "", " ", " \n\t", "x", "a <S> b", "w " * 9000 + " " * 500, *(say(r.choice([1, 3, 30, 70, 300])) for _ in range(250))]
+
+
+def test_fim(spark):
+    rows = [(i if i != 40 else None, t, f"f{i}", i) for i, t in enumerate(fim_texts())]
+    rows += rows[10:30] + [(9, "other text", "f", 0), (9, "and one more", "f", 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, form string, ordinal int")
+    out = fim.fim(docs)
+    got = out.withColumn("back", fim.restore(F.col("form"), F.col("output"))).collect()
+    show = lambda i, t, n, f, p, m, o, x: repr((i, t, n, f, p, m, o, x))
+    assert sorted(show(r.doc_id, r.text, r.n_units, r.form, r.prefix_chars, r.middle_chars, r.output, r.ordinal) for r in got) == sorted(show(i, t, *fim_by_force(i, t), x) for i, t, _, x in rows)
+    assert all(r.back == (r.text or "") for r in got)
+    assert {r.form for r in got} == {"plain", "psm", "spm"}
+
+
+def test_fim_percentages_and_nothing(spark):
+    docs = spark.createDataFrame([(i, f"a b c {i}") for i in range(50)], "doc_id bigint, text string")
+    assert {r.form for r in fim.fim(docs, fim_percent=100, spm_percent=0).collect()} == {"psm"}
+    assert {r.form for r in fim.fim(docs, fim_percent=100, spm_percent=100).collect()} == {"spm"}
+    assert {r.form for r in fim.fim(docs, fim_percent=0).collect()} == {"plain"}
+    assert fim.fim(docs.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        fim.fim(docs, fim_percent=101)
+
+
+# ---- conversation trie
+
+
+def trie_by_force(rows):
+    own = collections.defaultdict(list)
+    sha = lambda r, t: hashlib.sha256(f"{len(r.encode())}:{r}{t}".encode()).hexdigest()
+    for c, turn, role, text in rows:
+        if c is not None:
+            own[c].append(((turn is not None, turn or 0, sha(role or "", text or "")), (role or "", text or "")))
+    own = {c: [x for _, x in sorted(v)] for c, v in own.items()}
+    rebuilt = {}
+    for c, v in own.items():
+        h = zlib.crc32(str(c).encode()) % 6
+        rebuilt[c] = tuple(own.get(c - c % 100, [])[:h] + v[h:])
+    nodes = collections.defaultdict(list)
+    for c, v in rebuilt.items():
+        for d in range(len(v) + 1):
+            nodes[v[:d]].append(c)
+    kids = collections.defaultdict(list)
+    for p in nodes:
+        if p:
+            kids[p[:-1]].append(p)
+    sums = {}
+    for p in sorted(nodes, key=len, reverse=True):
+        saved = (len(nodes[p]) - 1) * len(p[-1][1]) if p else 0
+        sums[p] = (1 if not kids[p] else sum(sums[k][0] for k in kids[p]), saved + sum(sums[k][1] for k in kids[p]))
+    out = []
+    for p, m in nodes.items():
+        ends = ",".join(map(str, sorted(c for c in m if len(rebuilt[c]) == len(p))))
+        out.append((min(m), len(p), min(nodes[p[:-1]]) if p else None, len(m), len(kids[p]), *sums[p], hashlib.sha256(ends.encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def chats(seed, n=260):
+    r = random.Random(seed)
+    out = []
+    long = [("user", f"deep {i}") for i in range(40)]
+    for c in range(n):
+        c = c * r.choice([1, 1, 1, 3])
+        turns = [("user", "hello")] if r.random() < 0.6 else []
+        turns += [(r.choice(["user", "assistant", None]), r.choice(["a", "bé", "", None, f"x{r.randrange(5)}"])) for _ in range(r.randrange(9))]
+        if r.random() < 0.2:
+            turns = long[: r.randrange(30, 41)]
+        for t, (role, text) in enumerate(turns):
+            out.append((c, t if r.random() < 0.95 else r.choice([None, 0, 3]), role, text))
+    r.shuffle(out)
+    return out + [(None, 0, "user", "lost")] + out[:5]
+
+
+@pytest.mark.parametrize("local, chunk", [(100_000, 100_000), (60, 50), (1, 1)])
+def test_trie(spark, monkeypatch, local, chunk):
+    monkeypatch.setattr(convtrie, "LOCAL_TURNS", chunk)
+    rows = chats(8)
+    df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id bigint, turn bigint, role string, text string, depth string").repartition(5)
+    got = convtrie.trie(convtrie.grafted(convtrie.encoded(df)), local_turns=local)
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == trie_by_force(rows)
+
+
+def test_trie_without_a_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(convtrie, "BROADCAST_NODES", 0)
+    rows = chats(9, 90)
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    got = convtrie.trie(convtrie.grafted(convtrie.encoded(df)), local_turns=40)
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == trie_by_force(rows)
+
+
+def test_trie_of_few_and_of_none(spark):
+    schema = "conv_id bigint, turn bigint, role string, text string"
+    run = lambda rows: sorted((tuple(r) for r in convtrie.trie(convtrie.grafted(convtrie.encoded(spark.createDataFrame(rows, schema)))).collect()), key=repr)
+    assert run([]) == []
+    assert run([(None, 1, "user", "x")]) == []
+    few = [(203, 0, "user", "one"), (299, 0, "user", "two"), (7, 1, None, None)]
+    assert run(few) == trie_by_force(few)
+
+
+def test_trie_chunks_keep_buckets_whole(monkeypatch):
+    """Batches cut a bucket anywhere; its nodes come out as if it were one batch."""
+    seqs = [([5, 1, 2], 2, 10), ([5, 1], 1, 11), ([5, 3], 1, 12), ([6], 3, 13), ([6, 6, 6], 1, 14)]
+    make = lambda part: pa.record_batch([pa.array([0] * len(part)), pa.array([10] * len(part)), pa.array([s[0][0] for s in part]), pa.array([s[0] for s in part], pa.list_(pa.int64())), pa.array([[1] * len(s[0]) for s in part], pa.list_(pa.int32())), pa.array([s[1] for s in part]), pa.array([s[2] for s in part]), pa.array(["e"] * len(part))], ["depth", "parent", "digit", "ids", "chars", "n", "low", "ends"])
+    want = None
+    for limit in (1, 3, 100):
+        monkeypatch.setattr(convtrie, "LOCAL_TURNS", limit)
+        for size in (1, 2, 3, 5):
+            got = [r for b in convtrie.finish(iter([make(seqs[i : i + size]) for i in range(0, 5, size)])) for r in b.to_pylist()]
+            got = sorted(map(repr, got))
+            want = want or got
+            assert got == want and len(got) == 7

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenweave.llm import chat, decontam, licenses, linededup, neardup, quality, repair, suffixdedup, unigram, vectordedup
-from tokenweave.llm.common import table
+from tokenweave.llm import chat, convtrie, decontam, fim, licenses, linededup, mixture, neardup, quality, repair, suffixdedup, unigram, vectordedup
+from tokenweave.llm.common import table, written
 
 
 def tokenizer_file(spark: SparkSession, name: str) -> str:
@@ -78,4 +78,21 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_suffix_dedup, op3_chat_windows, op4_line_dedup, op5_near_dedup, op6_license_scan, op7_token_shards, op8_vector_dedup, op9_decontamination, op10_quality_classifier)}
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixture.n_words(F.col("text")).alias("words"))
+    out = mixture.plan(written(docs, "mix-words"), F.col("words"), max_epochs=3.0, share=1.0, seed=11)
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fim.fim(table(spark, sf_dir, "documents").select("doc_id", "text"), seed=42, fim_percent=50, spm_percent=80)
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return out.select("doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(fim.restore(F.col("form"), F.col("output"))).alias("restored_sha256"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = convtrie.encoded(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    return convtrie.trie(convtrie.grafted(convs, base_every=100, heads=6))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_suffix_dedup, op3_chat_windows, op4_line_dedup, op5_near_dedup, op6_license_scan, op7_token_shards, op8_vector_dedup, op9_decontamination, op10_quality_classifier, op11_source_mix, op12_fill_in_middle, op13_conversation_trie)}

@@ -101,4 +101,83 @@ SELECT doc_id, license, coalesce(score, 0.0)::DOUBLE AS score, coalesce(n_units,
 FROM documents LEFT JOIN best USING (doc_id)
 """
 
-ORACLE = {"op8_vector_dedup": OP8, "op6_license_scan": OP6, "op2_suffix_dedup": OP2, "op4_line_dedup": OP4, "op9_decontamination": OP9}
+def _mix_rounds(rounds: int) -> str:
+    one = """
+r{p} AS (
+  SELECT * EXCLUDE (got, open, need, run), got OR (open AND run <= need) AS got FROM (
+    SELECT *, sum(CASE WHEN open THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY h, tie, size) AS run FROM (
+      SELECT *, size > 0 AND size <= need * {part}::DOUBLE AND NOT got AS open FROM (
+        SELECT *, target - whole * source_size - sum(CASE WHEN got THEN size ELSE 0 END) OVER (PARTITION BY source) AS need FROM r{q})))
+)"""
+    return ",".join(one.format(p=p, q=p - 1, part=0.25 if p < rounds - 1 else 1.0) for p in range(1, rounds + 1))
+
+
+OP11 = f"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size, coalesce(doc_id::VARCHAR, '') AS tie,
+         ('0x' || substr(md5('11:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h
+  FROM documents
+),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS w FROM d GROUP BY source),
+f AS (
+  SELECT *, coalesce(sum(3::DOUBLE * source_size) OVER (ORDER BY 3::DOUBLE * source_size / w, w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0::DOUBLE) AS below,
+         sum(w) OVER (ORDER BY 3::DOUBLE * source_size / w, w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS free
+  FROM s
+),
+level AS (SELECT max(((SELECT sum(source_size) FROM s)::DOUBLE - below) / free) AS level FROM f),
+g AS (SELECT source, source_size, least(w * level, 3::DOUBLE * source_size) AS target FROM s, level),
+r0 AS (
+  SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS whole, FALSE AS got
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source
+),{_mix_rounds(5)}
+,
+z AS (
+  SELECT *, dense_rank() OVER (PARTITION BY source ORDER BY open DESC, abs(n - need), h, tie, size) = 1 AND open AS last FROM (
+    SELECT *, size > 0 AND NOT got AND n < 2 * need AS open FROM (
+      SELECT *, sum(size) OVER (PARTITION BY source, h, tie, size) AS n, target - whole * source_size - sum(CASE WHEN got THEN size ELSE 0 END) OVER (PARTITION BY source) AS need FROM r5))
+)
+SELECT doc_id, size, source_size, target, size * (whole + (got OR last)::BIGINT) AS taken FROM z
+"""
+
+OP12 = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS u,
+         sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+),
+r AS (
+  SELECT doc_id, t, u, len(u)::BIGINT AS n, ('0x' || substr(h, 1, 8))::BIGINT % (len(u) + 1) AS a, ('0x' || substr(h, 9, 8))::BIGINT % (len(u) + 1) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 50 THEN 'plain'
+              WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM d
+),
+p AS (
+  SELECT doc_id, t, n, form, array_to_string(u[1 : least(a, b)], '') AS head, array_to_string(u[least(a, b) + 1 : greatest(a, b)], '') AS mid, array_to_string(u[greatest(a, b) + 1 :], '') AS tail FROM r
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(head) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || head || '<S>' || tail || '<M>' || mid ELSE '<S>' || tail || '<P>' || head || '<M>' || mid END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
+
+_CRC = "list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda y, i: xor(y >> 1, 3988292384 * (y & 1))))"
+
+OP13 = f"""
+WITH RECURSIVE o AS (
+  SELECT conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST, sha256(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS x
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+),
+h AS (SELECT conv_id, x, (4294967295 - {_CRC.format("conv_id::VARCHAR")}) % 6 AS h FROM o),
+c AS (SELECT h.conv_id, list_concat(coalesce(b.x, [])[1 : h], h.x[h + 1 :]) AS x FROM h LEFT JOIN o b ON b.conv_id = h.conv_id - h.conv_id % 100),
+e AS (SELECT conv_id, d, x[1 : d] AS p, len(x) AS n FROM (SELECT conv_id, x, unnest(range(0, len(x) + 1)) AS d FROM c)),
+v AS (SELECT p, d, min(conv_id) AS low, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE n = d), '')) AS ends FROM e GROUP BY p, d),
+k AS (SELECT v.*, CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * length(p[d].t) END AS own, CASE WHEN d = 0 THEN NULL ELSE p[1 : d - 1] END AS up FROM v),
+kids AS (SELECT up AS p, count(*) AS n_children FROM k WHERE d > 0 GROUP BY up),
+w AS (SELECT k.*, coalesce(n_children, 0) AS n_children FROM k LEFT JOIN kids ON k.p = kids.p),
+under AS (SELECT DISTINCT a.low AS alow, a.d AS ad, z.low AS zlow, z.d AS zd FROM e ea JOIN v a ON ea.p = a.p JOIN e ez ON ea.conv_id = ez.conv_id AND ez.d >= ea.d JOIN v z ON ez.p = z.p),
+sums AS (SELECT alow, ad, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(own) AS saved FROM under JOIN w ON w.low = zlow AND w.d = zd GROUP BY alow, ad)
+SELECT w.low AS conv_id, w.d::BIGINT AS depth, pa.low AS parent_conv_id, w.n_convs::BIGINT AS n_convs, w.n_children::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves,
+       saved::BIGINT AS saved_tokens, w.ends AS ends_sha256
+FROM w JOIN sums ON alow = w.low AND ad = w.d LEFT JOIN v pa ON pa.p = w.up
+"""
+
+ORACLE = {"op8_vector_dedup": OP8, "op6_license_scan": OP6, "op2_suffix_dedup": OP2, "op4_line_dedup": OP4, "op9_decontamination": OP9, "op11_source_mix": OP11, "op12_fill_in_middle": OP12, "op13_conversation_trie": OP13}
