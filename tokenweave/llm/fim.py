@@ -5,7 +5,7 @@ lengths get running sums by a window, the requested cuts are joined to them by u
 for each document, and the pieces are substrings of its text at these offsets.
 
 Before the shuffle, the lengths of units that are in no block of 32 units with a cut are summed by block, so that a document of
-n units sends n / 32 + 96 rows at most. Texts move once, to meet their offsets.
+n units sends n / 32 + 96 rows at most. Texts that are cut move once, to meet their offsets; plain ones don't move.
 
 Which cuts: h1 to h4 are the first four 8-digit groups of the hex sha256 of ``seed:id``. The prefix has the smaller of
 h1 % (n + 1) and h2 % (n + 1) units, prefix and middle together the larger. The form is ``plain`` (the text itself) for an empty text, a text
@@ -49,27 +49,26 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, seed: int, fim_percent:
     return docs.withColumns({"__t": text, "__k": key, "__form": form})
 
 
-def _requests(keyed: DataFrame, id_col: str, seed: int) -> DataFrame:
-    """(__k, n, which, ordinal): the two cuts of each text; of a plain one, no ordinals."""
+def _requests(cut: DataFrame, id_col: str, seed: int) -> DataFrame:
+    """(__k, n, which, ordinal): the two cuts of each text."""
     h1, h2, _, _ = _rolls(F.col(id_col), seed)
-    n = F.size(_units(F.col("__t"))).cast("bigint")
-    counted = keyed.select("__k", "__form", n.alias("n"), h1.alias("__h1"), h2.alias("__h2"))
-    ends = F.array(F.least(F.col("__h1") % (F.col("n") + 1), F.col("__h2") % (F.col("n") + 1)), F.greatest(F.col("__h1") % (F.col("n") + 1), F.col("__h2") % (F.col("n") + 1)))
-    return counted.select("__k", "n", F.posexplode_outer(F.when(F.col("__form") != "plain", ends)).alias("which", "ordinal"))
+    counted = cut.select("__k", F.size(_units(F.col("__t"))).cast("bigint").alias("n"), h1.alias("h1"), h2.alias("h2"))
+    ends = F.expr("array(least(h1 % (n + 1), h2 % (n + 1)), greatest(h1 % (n + 1), h2 % (n + 1)))")
+    return counted.select("__k", "n", F.posexplode(ends).alias("which", "ordinal"))
 
 
-def _running(keyed: DataFrame, id_col: str, seed: int) -> DataFrame:
-    """(__k, ordinal, offset): code points before the unit of that ordinal, for all units of blocks with a cut and the first of other blocks."""
+def _running(cut: DataFrame, id_col: str, seed: int) -> DataFrame:
+    """(__k, start, offset): code points before the unit of that ordinal, for all units of blocks with a cut and the first of other blocks."""
     h1, h2, _, _ = _rolls(F.col(id_col), seed)
-    rows = keyed.where("__form <> 'plain'").select("__k", _units(F.col("__t")).alias("u"), h1.alias("__h1"), h2.alias("__h2"))
+    rows = cut.select("__k", _units(F.col("__t")).alias("u"), h1.alias("__h1"), h2.alias("__h2"))
     blocks = [F.expr(f"__{h} % (size(u) + 1) div {BLOCK}").alias(f"__{h}") for h in ("h1", "h2")]
     units = rows.select("__k", *blocks, F.posexplode(F.array_append("u", F.lit(""))).alias("i", "unit"))  # the last one stands for the end of the text
     start = F.expr(f"if(i div {BLOCK} in (__h1, __h2), i, i div {BLOCK} * {BLOCK})").cast("bigint")
-    lengths = units.select("__k", "i", start.alias("ordinal"), F.length("unit").alias("n"))
+    lengths = units.select("__k", "i", start.alias("start"), F.length("unit").alias("n"))
     # Rows of equal id and text are counted in full each, and each has the first unit of a block once.
-    sums = lengths.groupBy("__k", "ordinal").agg(F.expr("sum(n) div count_if(i = ordinal)").alias("n"))
-    before = Window.partitionBy("__k").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
-    return sums.select("__k", "ordinal", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    sums = lengths.groupBy("__k", "start").agg(F.expr("sum(n) div count_if(i = start)").alias("n"))
+    before = Window.partitionBy("__k").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    return sums.select("__k", "start", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
 
 
 def fim(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", seed: int = 42, fim_percent: int = 50, spm_percent: int = 80) -> DataFrame:
@@ -77,16 +76,21 @@ def fim(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", seed
     if not (0 <= fim_percent <= 100 and 0 <= spm_percent <= 100):
         raise ValueError("percentages are from 0 to 100")
     keyed = _keyed(docs, id_col, text_col, seed, fim_percent, spm_percent)
-    cuts = _requests(keyed, id_col, seed).join(_running(keyed, id_col, seed), ["__k", "ordinal"], "left")
+    cut = keyed.where("__form <> 'plain'")
+    asked, running = _requests(cut, id_col, seed), _running(cut, id_col, seed).withColumnRenamed("__k", "__k2")
+    # Written as a difference, the ordinals are no partitioning keys of the join: the running sums stay where their window was.
+    met = asked.join(running, (F.col("__k") == F.col("__k2")) & (F.col("ordinal") - F.col("start") == 0))
     at = lambda which: F.max(F.when(F.col("which") == which, F.col("offset")))
-    offsets = cuts.groupBy("__k").agg(F.max("n").alias("__n"), at(0).alias("__a"), at(1).alias("__z"))
-    found = keyed.drop(*[c for c in NEW if c not in (id_col, text_col)]).join(offsets.hint("shuffle_hash"), "__k")
+    offsets = met.groupBy("__k").agg(F.max("n").alias("__n"), at(0).alias("__a"), at(1).alias("__z"))
+    put, old = lambda **new: [new[c].alias(c) for c in NEW], [c for c in docs.columns if c not in NEW or c in (id_col, text_col)]
+    plain = keyed.where("__form = 'plain'").select(*old, *put(n_units=F.size(_units(F.col("__t"))).cast("bigint"), form=F.col("__form"), prefix_chars=F.lit(None).cast("bigint"), middle_chars=F.lit(None).cast("bigint"), output=F.col("__t")))
+    found = cut.join(offsets.hint("shuffle_hash"), "__k")
     t, a, z, one = F.col("__t"), F.col("__a"), F.col("__z"), F.lit(1)
     head, mid, tail = F.substring(t, one, a), F.substring(t, a + 1, z - a), F.substring(t, z + 1, F.length(t))
-    put = {"psm": F.concat(F.lit(PREFIX), head, F.lit(SUFFIX), tail, F.lit(MIDDLE), mid), "spm": F.concat(F.lit(SUFFIX), tail, F.lit(PREFIX), head, F.lit(MIDDLE), mid)}
-    output = F.when(F.col("__form") == "psm", put["psm"]).when(F.col("__form") == "spm", put["spm"]).otherwise(t)
-    new = {"n_units": F.col("__n"), "form": F.col("__form"), "prefix_chars": a.cast("bigint"), "middle_chars": (z - a).cast("bigint"), "output": output}
-    return found.withColumns(new).drop("__t", "__k", "__form", "__n", "__a", "__z")
+    psm = F.concat(F.lit(PREFIX), head, F.lit(SUFFIX), tail, F.lit(MIDDLE), mid)
+    spm = F.concat(F.lit(SUFFIX), tail, F.lit(PREFIX), head, F.lit(MIDDLE), mid)
+    moved = found.select(*old, *put(n_units=F.col("__n"), form=F.col("__form"), prefix_chars=a.cast("bigint"), middle_chars=(z - a).cast("bigint"), output=F.when(F.col("__form") == "psm", psm).otherwise(spm)))
+    return plain.unionByName(moved)
 
 
 def restore(form: Column, output: Column) -> Column:
