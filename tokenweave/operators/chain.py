@@ -77,6 +77,14 @@ def state_text(state: Column) -> Column:
     return F.concat(F.lit("("), F.array_join(state, ", "), F.lit(")"))
 
 
+def state_key(state: Column) -> Column:
+    """A state as one text: its words joined by spaces, with spaces and backslashes inside words escaped, so that different states have different keys.
+
+    Words without either, such as all of the tokenizers here, stay as they are; the key of a state's first words and a space begins its key.
+    """
+    return F.array_join(F.transform(state, lambda w: F.replace(F.replace(w, F.lit("\\"), F.lit("\\\\")), F.lit(" "), F.lit("\\s"))), " ")
+
+
 def totals(model: DataFrame) -> DataFrame:
     return model.agg(F.count_distinct("state").alias("n_states"), F.count(F.lit(1)).alias("n_pairs"), F.sum("n").alias("n_transitions"))
 
@@ -114,6 +122,42 @@ def encode(model: DataFrame, vocab: DataFrame, k: int) -> DataFrame:
     return out.select(F.array(*[f"i{j}" for j in range(k)]).alias("key"), F.col(f"i{k}").alias("follow_id"), "n")
 
 
+#: Bits of the two integers that hold a packed state: 63 each, so that they stay positive.
+PACKED_BITS = 126
+
+
+def id_bits(largest: int) -> int:
+    """Bits of an id when ids go up to largest."""
+    return max(1, int(largest).bit_length())
+
+
+def packed(encoded: DataFrame, k: int, bits: int) -> DataFrame:
+    """encoded (column key: k ids) with the state in two integers hi and lo instead of key, and, if there is a column follow_id, the successor's next_hi and next_lo.
+
+    The ids stand one after the other, the newest in the lowest bits of lo; lo has 63 bits and hi what is above, so states that
+    fit in 63 bits have hi 0. A successor is the state shifted by one id, by integer operations alone. Sorting by (hi, lo)
+    is sorting by the ids.
+    """
+    if k * bits > PACKED_BITS:
+        raise ValueError(f"{k} ids of {bits} bits don't fit into {PACKED_BITS}")
+    low = (1 << 63) - 1
+
+    def pushed(hi: Column, lo: Column, id_: Column) -> tuple[Column, Column]:
+        up = F.shiftleft(hi, bits).bitwiseOR(F.shiftrightunsigned(lo, 63 - bits)) if bits < 63 else lo
+        lo = F.shiftleft(lo, bits).bitwiseAND(F.lit(low)).bitwiseOR(id_) if bits < 63 else id_
+        keep = max(0, k * bits - 63)
+        return (up.bitwiseAND(F.lit((1 << keep) - 1)) if keep else F.lit(0).cast("bigint")), (lo if k * bits >= 63 else lo.bitwiseAND(F.lit((1 << (k * bits)) - 1)))
+
+    hi, lo = F.lit(0).cast("bigint"), F.lit(0).cast("bigint")
+    for j in range(k):
+        hi, lo = pushed(hi, lo, F.col("key")[j].cast("bigint"))
+    out = encoded.select(*[c for c in encoded.columns if c != "key"], hi.alias("hi"), lo.alias("lo"))
+    if "follow_id" not in encoded.columns:
+        return out
+    next_hi, next_lo = pushed(F.col("hi"), F.col("lo"), F.col("follow_id").cast("bigint"))
+    return out.withColumns({"next_hi": next_hi, "next_lo": next_lo})
+
+
 def csr(encoded: DataFrame, weight=None) -> DataFrame:
     """(key, state_id, row_start, degree, followers array<struct<follow_id, n>>): compressed sparse rows.
 

@@ -1,9 +1,9 @@
-"""Walks through a model: by broadcast of a small model, or by one join a step.
+"""Walks through a model: by broadcast of a small model, or by joins.
 
 A request table has ``walk_id, attempt, init`` (init: a state, or null for the beginning). Steps draw
-``roll(seed, walk_id, attempt, step)``, so both ways give the same walks on any partitioning. Results have
+``roll(seed, walk_id, attempt, step)``, so all ways give the same walks on any partitioning. Results have
 ``walk_id, attempt, words, status``: status is ``end``, ``dead`` (a state that the model lacks) or ``cut`` (after
-``max_steps`` words). words are those drawn, without the initial state's.
+``max_steps`` words). words are those drawn, without the initial state's. Words may be ids instead of strings.
 """
 
 from __future__ import annotations
@@ -12,127 +12,135 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokenweave.operators.chain import BEGIN, END, shift
+from tokenweave.operators.chain import BEGIN, END, PACKED_BITS, id_bits, packed, shift, state_key
+from tokenweave.operators.frozen import Frozen
 from tokenweave.operators.sampling import cdf, move, roll
 from tokenweave.sources.shared import written
 
-#: Transitions of a model that may be broadcast; a larger one is joined step by step.
-BROADCAST_TRANSITIONS = 3_000_000
+#: Bytes of a frozen model that may be broadcast; a larger model stays in its partitions.
+BROADCAST_BYTES = 192 << 20
+#: Bytes of a transition in it: an entry (16), and a row (24) if each state has one follower.
+ENTRY_BYTES = 40
 #: Live walks that are broadcast to a larger model's rows.
 BROADCAST_WALKS = 100_000
-SCHEMA = "walk_id bigint, attempt int, words array<string>, status string"
+SCHEMA = "walk_id bigint, attempt int, words array<{}>, status string"
 
 
-class Unknown(Exception):
-    """A state whose rows are not at hand."""
+def word_type(model: DataFrame) -> str:
+    return dict(model.dtypes)["follow"]
 
 
-class Table:
-    """A model's rows by hashed state, as flat arrays: the payload of the broadcast walker."""
-
-    def __init__(self, rows, k: int, temperature: float, begin: str = BEGIN, end: str = END):
-        high, low = rows.column("high").to_numpy(), rows.column("low").to_numpy()
-        enc = rows.column("follow").combine_chunks().dictionary_encode()
-        order = np.lexsort((low, high))
-        self.k, self.begin, self.end, self.power = k, begin, end, 1.0 / temperature
-        self.words, self.follow, self.n = enc.dictionary.to_pylist(), np.asarray(enc.indices)[order], rows.column("n").to_numpy()[order]
-        high, low = high[order], low[order]
-        self.first = np.flatnonzero(np.concatenate(([True], (high[1:] != high[:-1]) | (low[1:] != low[:-1])))) if len(high) else np.zeros(0, np.int64)
-        self.high, self.low, self.stop = high[self.first], low[self.first], np.append(self.first[1:], len(high))
-        self.opened: dict = {}
-
-    def _rows(self, state: tuple[str, ...]):
-        digest = hashlib.md5("\x1f".join(state).encode()).hexdigest()
-        high, low = int(digest[:15], 16), int(digest[15:30], 16)
-        a, z = np.searchsorted(self.high, high, "left"), np.searchsorted(self.high, high, "right")
-        at = a + np.flatnonzero(self.low[a:z] == low)
-        if not len(at):
-            return None
-        part = slice(self.first[at[0]], self.stop[at[0]])
-        return [self.words[i] for i in self.follow[part]], self.n[part]
+def schema(model: DataFrame) -> str:
+    return SCHEMA.format(word_type(model))
 
-    def followers(self, state: tuple[str, ...]):
-        """(words in their order, cumulative weights) of a state, or None; summed once for each state that is met."""
-        if state not in self.opened:
-            got = self._rows(state)
-            if got is not None:
-                words, n = got
-                order = sorted(range(len(words)), key=words.__getitem__)
-                n = n[order].astype(np.float64)
-                got = [words[i] for i in order], np.cumsum(n if self.power == 1.0 else n**self.power)
-            self.opened[state] = got
-        return self.opened[state]
 
-    def walk(self, seed: int, walk_id, attempt: int, init, max_steps: int, out: list[str] | None = None) -> tuple[list[str], str]:
-        """The words drawn, after those of out, and the status; "open" if a state is not at hand."""
-        out = list(out) if out else []
-        state = ((*init,) if init is not None else (self.begin,) * self.k) + tuple(out)
-        state = state[len(state) - self.k :]
-        for step in range(len(out), max_steps + 1):
-            try:
-                got = self.followers(state)
-            except Unknown:
-                return out, "open"
-            if got is None:
-                return out, "dead"
-            words, hi = got
-            word = words[0]
-            if len(words) > 1:  # of one, any roll picks it
-                u = int(hashlib.md5(f"{seed}:{walk_id}:{attempt}:{step}".encode()).hexdigest()[:13], 16) / 4503599627370496
-                word = words[min(int(np.searchsorted(hi, u * hi[-1], "right")), len(words) - 1)]
-            if word == self.end:
-                return out, "end"
-            if step == max_steps:
-                break
-            out.append(word)
-            state = (*state[1:], word)
-        return out, "cut"
+def payload_bytes(model: DataFrame) -> int:
+    """A bound of the bytes of the frozen model, from one aggregate: its transitions, and all its followers' texts as if each were new."""
+    words = F.octet_length("follow") if word_type(model) == "string" else F.lit(4)
+    row = model.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(words), F.lit(0)).alias("w")).first()
+    return ENTRY_BYTES * row.n + row.w
 
 
-def hashed(model: DataFrame) -> DataFrame:
-    """high, low (60 bits of the state's digest each), follow, n: what the broadcast walker takes."""
-    digest = F.md5(F.array_join("state", "\x1f"))
-    part = lambda at: F.conv(F.substring("d", at, 15), 16, 10).cast("bigint")
-    return model.select(digest.alias("d"), "follow", F.col("n").cast("bigint").alias("n")).select(part(1).alias("high"), part(16).alias("low"), "follow", "n")
+def digests(state: Column, hi: str, lo: str) -> list[Column]:
+    """Two integers of 60 bits from a state's digest."""
+    d = F.md5(state_key(state))
+    return [F.conv(F.substring(d, at, 15), 16, 10).cast("bigint").alias(name) for name, at in ((hi, 1), (lo, 16))]
 
 
-def broadcast_walk(requests: DataFrame, model: DataFrame, k: int, temperature: float, seed: int, max_steps: int, begin: str = BEGIN, end: str = END) -> DataFrame:
-    sent = requests.sparkSession.sparkContext.broadcast(Table(hashed(model).toArrow(), k, temperature, begin, end))
+def freeze(model: DataFrame, k: int, temperature: float = 1.0, end: str = END) -> Frozen:
+    """The payload of a model of words, whose size is to be checked before; states are known by their digests."""
+    state, after = F.col("state"), shift(F.col("state"), F.col("follow"), k)
+    rows = model.select(*digests(state, "hi", "lo"), "follow", F.col("n").cast("bigint").alias("n"), *digests(after, "next_hi", "next_lo")).toArrow().combine_chunks()
+    get = lambda c: rows.column(c).to_numpy()
+    if not rows.num_rows:
+        none = np.zeros(0, np.int64)
+        return Frozen(none, none, np.zeros(1, np.int64), none, np.zeros(0), none, pa.array([], pa.string()))
+    coded = rows.column("follow").combine_chunks().dictionary_encode()
+    order = pc.array_sort_indices(coded.dictionary).to_numpy()  # by bytes, as Spark orders strings
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    words = coded.dictionary.take(pa.array(order))
+    at = pc.index(words, end).as_py()
+    return Frozen.build(get("hi"), get("lo"), rank[np.asarray(coded.indices)], get("n"), get("next_hi"), get("next_lo"), at, 1.0 / temperature, words)
+
+
+def freeze_ids(encoded: DataFrame, k: int, bits: int, end_id: int, temperature: float = 1.0) -> Frozen:
+    """The payload of a model of word ids (key, follow_id, n), whose states are packed into integers."""
+    rows = packed(encoded, k, bits).select("hi", "lo", "follow_id", F.col("n").cast("bigint").alias("n"), "next_hi", "next_lo").toArrow()
+    return Frozen.build(*(rows.column(c).to_numpy() for c in ("hi", "lo", "follow_id", "n", "next_hi", "next_lo")), end_id, 1.0 / temperature)
 
-    def go(frames):
-        table = sent.value
-        for f in frames:
-            got = [table.walk(seed, w, int(a), i, max_steps) for w, a, i in zip(f["walk_id"], f["attempt"], f["init"])]
-            yield pd.DataFrame({"walk_id": f["walk_id"], "attempt": f["attempt"].astype("int32"), "words": [g[0] for g in got], "status": [g[1] for g in got]})
 
-    return requests.select("walk_id", "attempt", "init").mapInPandas(go, SCHEMA)
+def frozen_walk(requests: DataFrame, frozen: Frozen, seed: int, max_steps: int, keys: list[Column], words: str = "string") -> DataFrame:
+    """Walks of requests through a broadcast frozen model; keys: the two integers of a request's first state."""
+    sent = requests.sparkSession.sparkContext.broadcast(frozen)
+
+    def go(batches):
+        table = sent.value
+        for b in batches:
+            ids, attempt, hi, lo = (np.asarray(b.column(i)) for i in range(4))
+            yield table.walk(seed, ids, attempt, table.rows(hi, lo), max_steps)
+
+    return requests.select("walk_id", "attempt", *keys).mapInArrow(go, SCHEMA.format(words))
+
+
+def broadcast_walk(requests: DataFrame, model: DataFrame, k: int, temperature: float, seed: int, max_steps: int, begin=BEGIN, end=END) -> DataFrame:
+    first = F.coalesce("init", F.array_repeat(F.lit(begin), k))
+    if word_type(model) == "string":
+        return frozen_walk(requests, freeze(model, k, temperature, end), seed, max_steps, digests(first, "hi", "lo"))
+    bits = id_bits(model.agg(F.max(F.greatest("follow", F.array_max("state")))).first()[0] or 0)
+    if k * bits > PACKED_BITS:
+        raise ValueError(f"{k} ids of {bits} bits don't fit into two integers")
+    frozen = freeze_ids(model.select(F.col("state").alias("key"), F.col("follow").alias("follow_id"), "n"), k, bits, end, temperature)
+    asked = packed(requests.select("walk_id", "attempt", first.alias("key")), k, bits)
+    return frozen_walk(asked, frozen, seed, max_steps, [F.col("hi"), F.col("lo")], word_type(model))
+
+
+def csr_walk(requests: DataFrame, rows: DataFrame, k: int, begin_id: int, end_id: int, seed: int = 0, max_steps: int = 1000) -> DataFrame:
+    """Walks from the beginning through compressed sparse rows with sums (chain.csr with a weight): words is array<bigint>."""
+    entries = rows.select("key", "state_id", F.explode("followers").alias("f")).select("key", "state_id", "f.follow_id", "f.n", "f.cum")
+    bits = id_bits(entries.agg(F.max(F.greatest("follow_id", F.array_max("key")))).first()[0] or 0)
+    if entries.count() * ENTRY_BYTES > BROADCAST_BYTES:
+        raise ValueError("rows of this size can't be broadcast; walk the model itself")
+    got = packed(entries, k, bits).select("state_id", "hi", "lo", "follow_id", "cum", "next_hi", "next_lo").toArrow()
+    get = {c: got.column(c).to_numpy() for c in got.column_names}
+    frozen = Frozen.build(get["hi"], get["lo"], get["follow_id"], np.ones(len(get["hi"])), get["next_hi"], get["next_lo"], end_id, 1.0)
+    order = np.lexsort((get["follow_id"], get["lo"], get["hi"]))
+    frozen.cum = get["cum"][order]  # as the rows have them
+    asked = packed(requests.select("walk_id", "attempt", F.array_repeat(F.lit(begin_id).cast("bigint"), k).alias("key")), k, bits)
+    return frozen_walk(asked, frozen, seed, max_steps, [F.col("hi"), F.col("lo")], "bigint")
 
 
 def register(spark, name: str, model: DataFrame, k: int, temperature: float = 1.0, max_steps: int = 1000) -> None:
     """Register the table function name(first bigint, n bigint, seed bigint) for SQL; the model is broadcast, so its size is checked."""
-    if model.limit(BROADCAST_TRANSITIONS + 1).count() > BROADCAST_TRANSITIONS:
-        raise ValueError(f"a model of more than {BROADCAST_TRANSITIONS} transitions can't be broadcast")
-    sent = spark.sparkContext.broadcast(Table(hashed(model).toArrow(), k, temperature))
+    if payload_bytes(model) > BROADCAST_BYTES:
+        raise ValueError(f"a model of more than {BROADCAST_BYTES} bytes can't be broadcast")
+    sent = spark.sparkContext.broadcast(freeze(model, k, temperature))
+    begin = spark.range(1).select(*digests(F.array_repeat(F.lit(BEGIN), k), "hi", "lo")).first()
 
     class Walks:
         def eval(self, first: int, n: int, seed: int):
-            for i in range(first, first + n):
-                words, status = sent.value.walk(seed, i, 0, None, max_steps)
-                yield i, words, status
+            table = sent.value
+            row = table.rows(np.array([begin.hi]), np.array([begin.lo]))
+            for i in range(first, first + n, 1024):
+                ids = np.arange(i, min(i + 1024, first + n))
+                got = table.walk(seed, ids, np.zeros(len(ids), np.int32), np.repeat(row, len(ids)), max_steps)
+                yield from zip(*(got.column(c).to_pylist() for c in (0, 2, 3)))
 
     spark.udtf.register(name, F.udtf(Walks, returnType="walk_id bigint, words array<string>, status string"))
 
 
-def superstep_walk(requests: DataFrame, model: DataFrame, k: int, temperature: float, seed: int, max_steps: int, begin: str = BEGIN, end: str = END) -> DataFrame:
+def superstep_walk(requests: DataFrame, model: DataFrame, k: int, temperature: float, seed: int, max_steps: int, begin=BEGIN, end=END) -> DataFrame:
     """One equi-join on the state a step for all live walks; each step is written, so lineage stays short.
 
     As long as at most BROADCAST_WALKS walks are live they go to the model's rows, which then don't move.
     """
     table = written(cdf(model, temperature).select("state", "follow", "lo", "hi", "total"), "cdf")
-    live = requests.select("walk_id", "attempt", F.coalesce("init", F.array_repeat(F.lit(begin), k)).alias("state"), F.array().cast("array<string>").alias("words"))
+    live = requests.select("walk_id", "attempt", F.coalesce("init", F.array_repeat(F.lit(begin), k)).alias("state"), F.array().cast(f"array<{word_type(model)}>").alias("words"))
     live = written(live, "walk-step")
     done = None
     for step in range(max_steps + 1):
@@ -151,16 +159,54 @@ def superstep_walk(requests: DataFrame, model: DataFrame, k: int, temperature: f
     return done
 
 
-class Pages(Table):
+class Unknown(Exception):
+    """A state whose rows are not at hand."""
+
+
+class Pages:
     """The rows of the states met so far, of a model that stays in its tables."""
 
     def __init__(self, k: int, temperature: float, begin: str = BEGIN, end: str = END):
         self.k, self.begin, self.end, self.power, self.rows, self.opened = k, begin, end, 1.0 / temperature, {}, {}
 
-    def _rows(self, state):
-        if state not in self.rows:
-            raise Unknown
-        return self.rows[state]
+    def followers(self, state: tuple[str, ...]):
+        """(words in their order, cumulative weights) of a state, or None; summed once for each state that is met."""
+        if state not in self.opened:
+            if state not in self.rows:
+                raise Unknown
+            got = self.rows[state]
+            if got is not None:
+                words, n = got
+                order = sorted(range(len(words)), key=words.__getitem__)
+                n = n[order].astype(np.float64)
+                got = [words[i] for i in order], np.cumsum(n if self.power == 1.0 else n**self.power)
+            self.opened[state] = got
+        return self.opened[state]
+
+    def walk(self, seed: int, walk_id, attempt: int, init, max_steps: int, out: list[str] | None = None) -> tuple[list[str], str]:
+        """The words drawn, after those of out, and the status; "open" if a state is not at hand."""
+        out = list(out) if out else []
+        state = ((*init,) if init is not None else (self.begin,) * self.k) + tuple(out)
+        state = state[len(state) - self.k :]
+        for step in range(len(out), max_steps + 1):
+            try:
+                got = self.followers(state)
+            except Unknown:
+                return out, "open"
+            if got is None:
+                return out, "dead"
+            words, hi = got
+            word = words[0]
+            if len(words) > 1:  # of one, any roll picks it
+                u = int(hashlib.md5(f"{seed}:{walk_id}:{attempt}:{step}".encode()).hexdigest()[:13], 16) / 4503599627370496
+                word = words[min(int(np.searchsorted(hi, u * hi[-1], "right")), len(words) - 1)]
+            if word == self.end:
+                return out, "end"
+            if step == max_steps:
+                break
+            out.append(word)
+            state = (*state[1:], word)
+        return out, "cut"
 
 
 def paged_walk(requests: DataFrame, look_up, k: int, temperature: float, seed: int, max_steps: int, begin: str = BEGIN, end: str = END) -> DataFrame:
@@ -169,7 +215,7 @@ def paged_walk(requests: DataFrame, look_up, k: int, temperature: float, seed: i
     look_up(states DataFrame (state)) gives the rows (state, follow, n) of these states. What is broadcast are the rows
     of the states that the walks of these requests have met.
     """
-    spark, pages, done, schema = requests.sparkSession, Pages(k, temperature, begin, end), None, f"{SCHEMA}, init array<string>"
+    spark, pages, done, schema = requests.sparkSession, Pages(k, temperature, begin, end), None, SCHEMA.format("string") + ", init array<string>"
     live = requests.select("walk_id", F.col("attempt").cast("int").alias("attempt"), F.array().cast("array<string>").alias("words"), F.lit("open").alias("status"), F.col("init").cast("array<string>").alias("init"))
     while True:
         whole = F.concat(F.coalesce("init", F.array_repeat(F.lit(begin), k)), "words")
@@ -203,17 +249,15 @@ def id_walk(requests: DataFrame, encoded: DataFrame, k: int, begin_id: int, end_
 
     Ids that are ranks of the words give the walks that the words' own model gives.
     """
-    text = lambda c: F.lpad(c.cast("string"), 19, "0")  # noqa: E731  in the order of the numbers
-    model = encoded.select(F.transform("key", text).alias("state"), text(F.col("follow_id")).alias("follow"), "n")
-    asked = requests.withColumn("init", F.transform("init", text)) if dict(requests.dtypes)["init"] != "array<string>" else requests
-    ends = {"begin": str(begin_id).zfill(19), "end": str(end_id).zfill(19)}
-    return walk(asked, model, k, temperature, seed, max_steps, strategy, **ends).withColumn("words", F.transform("words", lambda w: w.cast("bigint")))
+    model = encoded.select(F.col("key").alias("state"), F.col("follow_id").alias("follow"), "n")
+    asked = requests.withColumn("init", F.col("init").cast("array<bigint>"))
+    return walk(asked, model, k, temperature, seed, max_steps, strategy, begin=begin_id, end=end_id)
 
 
-def walk(requests: DataFrame, model: DataFrame, k: int, temperature: float = 1.0, seed: int = 0, max_steps: int = 1000, strategy: str = "auto", **ends: str) -> DataFrame:
+def walk(requests: DataFrame, model: DataFrame, k: int, temperature: float = 1.0, seed: int = 0, max_steps: int = 1000, strategy: str = "auto", **ends) -> DataFrame:
     """Walks of all requests; strategy: "broadcast", "superstep", or by the counted size of the model; ends: other sentinels."""
     if strategy == "auto":
-        strategy = "broadcast" if model.limit(BROADCAST_TRANSITIONS + 1).count() <= BROADCAST_TRANSITIONS else "superstep"
+        strategy = "broadcast" if payload_bytes(model) <= BROADCAST_BYTES else "superstep"
     if strategy == "broadcast":
         return broadcast_walk(requests, model, k, temperature, seed, max_steps, **ends)
     if strategy == "superstep":

@@ -190,7 +190,8 @@ r AS (SELECT id, unnest(range(0, 6 + floor({roll(42, "'n'", "id")} * 11)::INTEGE
 SELECT id AS run, pos, 'w' || i AS word FROM r JOIN c ON {roll(42, "id", "pos")} * total >= lo AND {roll(42, "id", "pos")} * total < hi""",
 }
 SQL |= {f"transitions_k{k}": f"SELECT doc_id, pos, i, array_to_string(state, ' ') AS state, follow FROM ({transitions(DOCS, k)})" for k in (1, 2, 3)}
-SQL["walk_int_ids"] = SQL["walk_begin"]
+SQL["walk_int_ids"] = SQL["walk_csr"] = SQL["walk_begin"]
+SQL["model_packed"] = f"{IDS}, b AS (SELECT (1::BIGINT << length(bin(max(word_id)))) AS base FROM v) SELECT id0 * base + id1 AS lo, follow_id, id1 * base + follow_id AS next_lo, n FROM enc, b"
 SQL |= {f"model_k{k}": flat(model(DOCS, k)) for k in (1, 2, 3)}
 SQL |= {"combine_default": combined(1.0, 1.0), "combine_weighted": combined(1.0, 2.0), "combine_fractional": combined(0.5, 1.5)}
 SQL |= {name: f"SELECT array_to_string(state, ' ') AS state, follow, round(lo, 5) AS lo, round(hi, 5) AS hi, round(total, 5) AS total FROM ({cdf(model(DOCS, 2), t)})" for name, t in (("cdf_t1", 1.0), ("cdf_t0_5", 0.5), ("cdf_t2", 2.0))}

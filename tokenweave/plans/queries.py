@@ -162,15 +162,39 @@ def model_int_ids(spark, sf_dir):
 
 def walk_int_ids(spark, sf_dir):
     """The walks of walk_begin, over word ids."""
+    enc, vocab, begin, end = _coded(spark, sf_dir)
+    return _worded(walk.id_walk(walk.requests(spark, WALKS), enc, 2, begin, end, TEMPERATURE, SEED), vocab)
+
+
+def _coded(spark, sf_dir) -> tuple[DataFrame, DataFrame, int, int]:
+    """The model's encoded form, its vocabulary, and the ids of the sentinels."""
     m = written(model(spark, sf_dir, 2), "model")
     vocab = written(chain.vocabulary(m), "vocabulary")
     ends = {r.word: r.word_id for r in vocab.where(F.col("word").isin(chain.BEGIN, chain.END)).collect()}
-    got = walk.id_walk(walk.requests(spark, WALKS), chain.encode(m, vocab, 2), 2, ends[chain.BEGIN], ends[chain.END], TEMPERATURE, SEED)
+    return chain.encode(m, vocab, 2), vocab, ends[chain.BEGIN], ends[chain.END]
+
+
+def _worded(got: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Walks over ids as sentences."""
     words = got.select("walk_id", "status", F.posexplode_outer("words").alias("i", "word_id")).join(vocab, "word_id", "left")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "word"))), lambda x: x["word"]), " ")
     return words.groupBy("walk_id", "status").agg(text.alias("sentence"), F.count("word").alias("n_words")).select("walk_id", "sentence", "n_words", "status")
 
 
+def model_packed(spark, sf_dir):
+    """The model with its states packed into integers, and the states that follow."""
+    enc, vocab, _, _ = _coded(spark, sf_dir)
+    bits = chain.id_bits(vocab.agg(F.max("word_id")).first()[0])
+    return chain.packed(enc, 2, bits).select("lo", "follow_id", "next_lo", "n")
+
+
+def walk_csr(spark, sf_dir):
+    """The walks of walk_begin, through compressed sparse rows."""
+    enc, vocab, begin, end = _coded(spark, sf_dir)
+    rows = chain.csr(enc, lambda n: sampling.weight(n, TEMPERATURE))
+    return _worded(walk.csr_walk(walk.requests(spark, WALKS), rows, 2, begin, end, SEED), vocab)
+
+
 def csr_rows(spark, sf_dir):
     m = written(model(spark, sf_dir, 2), "model")
     out = chain.csr(chain.encode(m, chain.vocabulary(m), 2))
@@ -398,7 +422,7 @@ def zipf_corpus(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     split_sentences, split_lines, split_words, split_words_normalized, rejoin_sentences, model_normalized_k2, train_text_k2, train_newline_k1, train_from_sentences,
     chain_events_k1, chain_orders_k2, followers_nested, follower_lookup, state_stats, begin_followers, successor_states, state_repr, model_totals, vocab_encode,
-    model_int_ids, walk_int_ids, csr_rows, combine_sources, prune_2, prune_removed, dangling_after_prune, weights_t1_5, move_grid, move_missing, walk_begin, walk_from_state, walk_mapped,
+    model_int_ids, walk_int_ids, csr_rows, model_packed, walk_csr, combine_sources, prune_2, prune_removed, dangling_after_prune, weights_t1_5, move_grid, move_missing, walk_begin, walk_from_state, walk_mapped,
     make_sentence, make_sentence_bounded, make_short_sentence, make_sentence_mapped, make_short_mapped, start_candidates, start_strict, start_loose, overlap_grams,
     overlap_reject, source_rejoined, json_roundtrip, json_model_meta, mapped_state_lookup, binary_roundtrip, mapped_roundtrip, stream_equals_batch, zipf_corpus,
 )}

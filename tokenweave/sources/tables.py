@@ -7,20 +7,17 @@ from pyspark.sql import functions as F
 
 from tokenweave.functions.tokenize import PROSE, Tokenizer
 from tokenweave.operators import generate
+from tokenweave.operators.chain import state_key
 from tokenweave.operators.walk import paged_walk
 from tokenweave.plans.model import MarkovModel
 
-VERSION = 1
-
-
-def key_text(state):
-    """A state as a sort key: words have no white space, so the join is one to one."""
-    return F.array_join(state, " ")
+#: 2: keys are escaped, so that words may hold spaces.
+VERSION = 2
 
 
 def save(model: MarkovModel, path: str, partitions: int | None = None) -> None:
     """transitions sorted by state (column key) and the meta data, under path."""
-    rows = model.transitions.withColumn("key", key_text(F.col("state")))
+    rows = model.transitions.withColumn("key", state_key(F.col("state")))
     rows = rows.repartitionByRange(partitions, "key") if partitions else rows.repartitionByRange("key")
     rows.sortWithinPartitions("key", "follow").write.mode("overwrite").parquet(f"{path}/transitions")
     meta = model.spark.createDataFrame([(VERSION, model.state_size, float(model.temperature))], "version int, state_size int, temperature double")
@@ -39,7 +36,7 @@ def load(spark: SparkSession, path: str, with_source: bool = False) -> MarkovMod
 
 def lookup(spark: SparkSession, path: str, state: list[str]) -> DataFrame:
     """The followers of one state: the filter on the sorted key reaches the scan."""
-    return spark.read.parquet(f"{path}/transitions").where(F.col("key") == " ".join(state)).select("state", "follow", "n")
+    return spark.read.parquet(f"{path}/transitions").where(F.col("key") == state_key(F.array(*map(F.lit, state)))).select("state", "follow", "n")
 
 
 #: Keys that a lookup names in its filter; more are joined.
@@ -49,7 +46,7 @@ NAMED_KEYS = 1000
 def lookup_all(spark: SparkSession, path: str, states: DataFrame) -> DataFrame:
     """The rows of the given states (column state), from the tables."""
     rows = spark.read.parquet(f"{path}/transitions")
-    keys = states.select(key_text(F.col("state")).alias("key")).distinct()
+    keys = states.select(state_key(F.col("state")).alias("key")).distinct()
     some = [r.key for r in keys.limit(NAMED_KEYS + 1).collect()]
     found = rows.where(F.col("key").isin(some)) if len(some) <= NAMED_KEYS else rows.join(keys, "key", "left_semi")
     return found.select("state", "follow", "n")
