@@ -122,11 +122,34 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Longest span that is hashed as one polynomial: modulo 2**64 there are known pairs of strings of 1,024 places with one value for every base.
+PLAIN = 512
+MORE = U64(0xD1B54A32D192ED03)
+
+
 def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the spans [starts, ends) from prefix_hash: equal strings have equal hashes wherever they are."""
+    """64-bit hashes of the spans [starts, ends) from prefix_hash: equal strings have equal hashes wherever they are.
+
+    Spans of more than PLAIN places are hashed in pieces of PLAIN, whose mixed hashes are chained.
+    """
     _, down = powers(len(prefix))
-    with np.errstate(over="ignore"):
-        return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(U64) * U64(0x2545F4914F6CDD1D))
+
+    def plain(a: np.ndarray, z: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mix((prefix[z] - prefix[a]) * down[a] + (z - a).astype(U64) * U64(0x2545F4914F6CDD1D))
+
+    if not len(starts) or int((ends - starts).max()) <= PLAIN:
+        return plain(starts, ends)
+    out = plain(starts, np.minimum(ends, starts + PLAIN))
+    at = np.flatnonzero(ends - starts > PLAIN)
+    a = starts[at] + PLAIN
+    while len(at):
+        z = np.minimum(a + PLAIN, ends[at])
+        with np.errstate(over="ignore"):
+            out[at] = mix(out[at] * MORE + plain(a, z))
+        on = z < ends[at]
+        at, a = at[on], z[on]
+    return out
 
 
 def strings_hash(arr) -> np.ndarray:

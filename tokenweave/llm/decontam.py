@@ -9,11 +9,12 @@ the test suffixes. Matches of a whole window go on, in the tests' full suffix ar
 never cross documents. No shuffle, one pass over whole texts.
 
 The test side is read in blocks of at most ``block_bytes`` of text and each block is broadcast by itself; with more than
-one block, documents' hit spans are united by document id afterwards.
+one block, the hits of equal rows (of one id and one text) are united afterwards.
 
 Defined results: a null text has no words; an item without words has no window; an item of fewer than ``window`` words
 is one window; equal items count apiece; spans are the matches of a window's words at least, as long as they go, and the
-occurrences of shorter items, without those that lie in another; an item and its place of several is named; rows with equal ids are judged apiece by one block, and together beyond it.
+occurrences of shorter items, without those that lie in another; an item and its place of several is named; every row is judged
+by its own text, whatever other rows have its id.
 """
 
 from __future__ import annotations
@@ -127,6 +128,17 @@ def _common(tests: Tests, prefix: np.ndarray, p: np.ndarray, size: np.ndarray, q
     return lo
 
 
+def _verbatim(a: np.ndarray, p: np.ndarray, b: np.ndarray, q: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """How many of the first size words at a[p] and b[q] are equal, word by word: hashes only proposed them."""
+    differ = a[C.ranges(p, size)] != b[C.ranges(q, np.minimum(size, len(b) - q))] if (q + size <= len(b)).all() else None
+    if differ is None:
+        return np.array([int(np.argmin(np.append(a[i : i + n] == b[j : j + n] if j + n <= len(b) else False, False))) for i, j, n in zip(p, q, size)], np.int64)
+    start = np.cumsum(size) - size
+    bad = np.flatnonzero(differ)
+    first = np.append(bad, len(differ))[np.searchsorted(bad, start)]
+    return np.minimum(first - start, size)
+
+
 def _lower(tests: Tests, ids: np.ndarray, prefix: np.ndarray, p: np.ndarray, size: np.ndarray) -> np.ndarray:
     """First places in the tests' suffix array whose suffix is not before the training suffix at p, cut to size."""
     lo, hi = np.zeros(len(p), np.int64), np.full(len(p), len(tests.sa), np.int64)
@@ -140,15 +152,15 @@ def _lower(tests: Tests, ids: np.ndarray, prefix: np.ndarray, p: np.ndarray, siz
     return lo
 
 
-def search(tests: Tests, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[set], np.ndarray, np.ndarray, list[list[dict]]]:
-    """Of the texts of one shard: number of words, hit word numbers, items hit, length of the longest match up to the window and in full, spans."""
+def search(tests: Tests, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[set], np.ndarray, list[list[dict]]]:
+    """Of the texts of one shard: number of words, hit word numbers, items hit, length of the longest match, spans."""
     low, starts, ends, before = C.words(data, off)
     n_texts, w = len(off) - 1, tests.window
-    hits, items, longest = [np.zeros(0, np.int64)] * n_texts, [set() for _ in range(n_texts)], np.zeros(n_texts, np.int64)
+    hits, items = [np.zeros(0, np.int64)] * n_texts, [set() for _ in range(n_texts)]
     full, spans = np.zeros(n_texts, np.int64), [[] for _ in range(n_texts)]
     n_words = np.diff(before)
     if not len(starts) or not len(tests.windows):
-        return n_words, hits, items, longest, full, spans
+        return n_words, hits, items, full, spans
     h = C.span_hash(C.prefix_hash(low), starts, ends)
     at = np.minimum(np.searchsorted(tests.word_hash, h), len(tests.word_hash) - 1)
     ids = np.where(tests.word_hash[at] == h, tests.word_id[at], 0)
@@ -165,7 +177,7 @@ def search(tests: Tests, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray,
     suf = np.flatnonzero(ok & (tests.grams[lead_at] == lead))
     np.maximum.at(full, doc, (ids[:-w] > 0).astype(np.int64))
     if not len(suf):
-        return n_words, hits, items, longest, full, spans
+        return n_words, hits, items, full, spans
     rows = ids[suf[:, None] + np.arange(w)]
     rows[np.arange(w) >= left[suf][:, None]] = 0
     keys = tests.pack(rows)
@@ -179,7 +191,6 @@ def search(tests: Tests, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray,
         okn = (near >= 0) & (near < len(tests.sufs))
         same = (tests.sufs[np.clip(near, 0, len(tests.sufs) - 1)] == rows) & (rows > 0)
         best = np.maximum(best, np.where(okn, np.cumprod(same, 1).sum(1), 0))
-    np.maximum.at(longest, doc[sa], best)
     # What matches a whole window goes on as far as known words of the text do.
     long = np.flatnonzero(best == w)
     prefix, p = C.prefix_hash(ids), sa[long]
@@ -189,7 +200,8 @@ def search(tests: Tests, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray,
     for near in (place - 1, place):
         n = _common(tests, prefix, p, known, tests.sa[np.clip(near, 0, len(tests.sa) - 1)])
         best[long] = np.maximum(best[long], n)
-    np.maximum.at(full, doc[sa], best)
+    short_of = best < w
+    np.maximum.at(full, doc[sa[short_of]], best[short_of])
     size = np.zeros(len(doc), np.int64)
     size[p] = best[long]
     lo, hi = lo[tests.win_at], hi[tests.win_at]
@@ -206,11 +218,14 @@ def search(tests: Tests, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray,
     np.maximum.at(size, hit_at[short], tests.win_len[which[short]])
     end = np.maximum.accumulate(np.arange(len(doc)) + size)
     p = np.flatnonzero((size > 0) & (np.diff(end, prepend=-1) > 0))
-    q = tests.sa[_lower(tests, ids, prefix, p, size[p])]
+    q = tests.sa[np.minimum(_lower(tests, ids, prefix, p, size[p]), len(tests.sa) - 1)]
+    size[p] = _verbatim(ids, p, tests.flat, q, size[p])
+    p, q = p[size[p] > 0], q[size[p] > 0]
+    np.maximum.at(full, doc[p], size[p])
     item = np.searchsorted(tests.starts, q, "right") - 1
     for d, a, n, k, b in zip(doc[p].tolist(), (p - before[doc[p]]).tolist(), size[p].tolist(), item.tolist(), (q - tests.starts[item]).tolist()):
         spans[d].append({"start": a, "n_words": n, "item": tests.names[k], "item_start": b})
-    return n_words, hits, items, longest, full, spans
+    return n_words, hits, items, full, spans
 
 
 def _digest(items: list) -> str:
@@ -244,14 +259,13 @@ def blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = 4 << 20, prefix: str = "") -> DataFrame:
-    """docs with columns (each named prefix + name) n_words, n_hit, n_items, items_sha256, contaminated, longest_match, longest_span, spans.
+    """docs with columns (each named prefix + name) n_words, n_hit, n_items, items_sha256, contaminated, longest_match, spans.
 
-    longest_span is the longest verbatim match with a benchmark text, in words; longest_match the same up to the window,
-    and 0 for single words where no item is one. spans has the matches as (start, n_words, item, item_start), in words.
+    longest_match is the longest verbatim match with a benchmark text, in words. spans has the matches as (start, n_words, item, item_start), in words.
     """
     spark = docs.sparkSession
     sent = [spark.sparkContext.broadcast(Tests(b, window)) for b in blocks(benchmark, item_col, item_text_col, block_bytes)]
-    names = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match", "longest_span", "spans"]
+    names = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match", "spans"]
     text = F.col(f"`{text_col}`")
 
     def shards(col, tests):
@@ -262,32 +276,32 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     if len(sent) <= 1:
         tests = sent[0] if sent else spark.sparkContext.broadcast(Tests([], window))
 
-        @F.arrow_udf("struct<n_words: bigint, n_hit: bigint, n_items: bigint, items_sha256: string, contaminated: boolean, longest_match: bigint, longest_span: bigint, spans: " + SPANS + ">")
+        @F.arrow_udf("struct<n_words: bigint, n_hit: bigint, n_items: bigint, items_sha256: string, contaminated: boolean, longest_match: bigint, spans: " + SPANS + ">")
         def judge(col: pa.Array) -> pa.Array:
             cols = [[] for _ in names]
-            for n_words, hits, items, longest, full, spans in shards(col, tests.value):
-                for c, v in zip(cols, (n_words.tolist(), [len(h) for h in hits], [len(i) for i in items], [_digest(list(i)) for i in items], [len(h) > 0 for h in hits], longest.tolist(), full.tolist(), spans)):
+            for n_words, hits, items, full, spans in shards(col, tests.value):
+                for c, v in zip(cols, (n_words.tolist(), [len(h) for h in hits], [len(i) for i in items], [_digest(list(i)) for i in items], [len(h) > 0 for h in hits], full.tolist(), spans)):
                     c += v
-            return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), _SPANS))], names)
+            return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), _SPANS))], names)
 
         out = docs.withColumn("__judged", judge(text))
         return out.withColumns({prefix + n: F.col(f"__judged.{n}") for n in names}).drop("__judged")
 
-    @F.arrow_udf("struct<hits: array<bigint>, items: array<string>, longest: bigint, full: bigint, spans: " + SPANS + ">")
+    @F.arrow_udf("struct<hits: array<bigint>, items: array<string>, full: bigint, spans: " + SPANS + ">")
     def part(col: pa.Array, block: pa.Array) -> pa.Array:
-        cols = [[], [], [], [], []]
+        cols = [[], [], [], []]
         if len(col):
-            for _, hits, items, longest, full, spans in shards(col, sent[block[0].as_py()].value):
-                for c, v in zip(cols, ([h.tolist() for h in hits], [sorted(map(str, i)) for i in items], longest.tolist(), full.tolist(), spans)):
+            for _, hits, items, full, spans in shards(col, sent[block[0].as_py()].value):
+                for c, v in zip(cols, ([h.tolist() for h in hits], [sorted(map(str, i)) for i in items], full.tolist(), spans)):
                     c += v
-        return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.list_(pa.int64()), pa.list_(pa.string()), pa.int64(), pa.int64(), _SPANS))], ["hits", "items", "longest", "full", "spans"])
+        return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.list_(pa.int64()), pa.list_(pa.string()), pa.int64(), _SPANS))], ["hits", "items", "full", "spans"])
 
-    ident = F.col(f"`{id_col}`")
+    ident = F.struct(F.col(f"`{id_col}`"), F.sha2(text, 256))  # equal rows have equal results
     some = None
     for k in range(len(sent)):
         one = docs.select(ident.alias("__i"), part(text, F.lit(k)).alias("p")).where("p.full > 0")
         some = one if some is None else some.unionAll(one)
-    by_doc = some.groupBy("__i").agg(F.array_distinct(F.flatten(F.collect_list("p.hits"))).alias("__dc_h"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("p.items")))).alias("__dc_it"), F.max("p.longest").alias("__dc_l"), F.max("p.full").alias("__dc_f"), F.flatten(F.collect_list("p.spans")).alias("__dc_s"))
+    by_doc = some.groupBy("__i").agg(F.array_distinct(F.flatten(F.collect_list("p.hits"))).alias("__dc_h"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("p.items")))).alias("__dc_it"), F.max("p.full").alias("__dc_f"), F.flatten(F.collect_list("p.spans")).alias("__dc_s"))
 
     @F.arrow_udf(SPANS)
     def outer(col: pa.Array) -> pa.Array:
@@ -298,8 +312,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
         return pa.array([n for lo, hi in C.pieces(col) for n in np.diff(C.words(*C.texts(col.slice(lo, hi - lo)))[3]).tolist()], pa.int64())
 
     both = docs.join(by_doc, ident.eqNullSafe(F.col("__i")), "left")
-    made = {"n_words": count(text), "n_hit": F.coalesce(F.size("__dc_h"), F.lit(0)).cast("bigint"), "n_items": F.coalesce(F.size("__dc_it"), F.lit(0)).cast("bigint"), "items_sha256": F.sha2(F.coalesce(F.array_join("__dc_it", ","), F.lit("")), 256), "contaminated": F.coalesce(F.size("__dc_h"), F.lit(0)) > 0, "longest_match": F.coalesce("__dc_l", F.lit(0)), "longest_span": F.coalesce("__dc_f", F.lit(0)), "spans": outer(F.col("__dc_s"))}
-    return both.withColumns({prefix + n: made[n] for n in names}).drop("__i", "__dc_h", "__dc_it", "__dc_l", "__dc_f", "__dc_s")
+    made = {"n_words": count(text), "n_hit": F.coalesce(F.size("__dc_h"), F.lit(0)).cast("bigint"), "n_items": F.coalesce(F.size("__dc_it"), F.lit(0)).cast("bigint"), "items_sha256": F.sha2(F.coalesce(F.array_join("__dc_it", ","), F.lit("")), 256), "contaminated": F.coalesce(F.size("__dc_h"), F.lit(0)) > 0, "longest_match": F.coalesce("__dc_f", F.lit(0)), "spans": outer(F.col("__dc_s"))}
+    return both.withColumns({prefix + n: made[n] for n in names}).drop("__i", "__dc_h", "__dc_it", "__dc_f", "__dc_s")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

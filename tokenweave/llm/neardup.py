@@ -1,6 +1,6 @@
 """Near-duplicates by ProbMinHash over weighted word shingles, banding and exact verification.
 
-1. One pass makes each text's shingles (``words`` consecutive words, weighted by their number of occurrences), a digest
+1. One pass makes each text's shingles (``words`` consecutive words, weighted by their number of occurrences), a SHA-256
    of its words and a ProbMinHash signature: each shingle is a Poisson process of rate its weight, whose arrivals fall
    on random registers; a register keeps the shingle that arrives first. A shingle's process ends as soon as it is later
    than all registers. Registers of two texts agree with the probability Jaccard of their weighted shingles.
@@ -19,6 +19,8 @@ no class (null) ; class_id is the smallest id of the class. Other columns are no
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,19 +32,32 @@ from tokenweave.llm.components import components
 BANDS, ROWS = 25, 5
 
 
-def shingles(data: np.ndarray, off: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of texts: text number, hash and weight of each distinct shingle (by text), and a digest of each text's words (len, 2)."""
+def word_digests(data: np.ndarray, off: np.ndarray) -> list[bytes]:
+    """The first half of the SHA-256 of each text's words, lower-cased and joined by spaces."""
+    low, starts, ends, before = C.words(data, off)
+    inside = np.zeros(len(low) + 1, bool)
+    inside[C.ranges(starts, ends - starts)] = True
+    inside[ends] = True  # the byte after a word stands for the space; between two texts it is stripped
+    spaced = low.copy()
+    spaced[ends[ends < len(low)]] = 32
+    out = []
+    for t in range(len(off) - 1):
+        a, z = before[t], before[t + 1]
+        if a == z:
+            out.append(hashlib.sha256().digest()[:16])
+            continue
+        lo, hi = starts[a], ends[z - 1]
+        out.append(hashlib.sha256(spaced[lo:hi][inside[lo:hi]].tobytes()).digest()[:16])
+    return out
+
+
+def shingles(data: np.ndarray, off: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts: text number, hash and weight of each distinct shingle (by text)."""
     low, starts, ends, before = C.words(data, off)
     count = np.diff(before)
     h = C.span_hash(C.prefix_hash(low), starts, ends)
     n = len(count)
-    up, _ = C.powers(len(h) + 1)
-    digest = np.zeros((n, 2), np.uint64)
     with np.errstate(over="ignore"):
-        place = np.arange(len(h)) - np.repeat(before[:-1], count)
-        for k, salt in enumerate((0x9E6C63D0876A9A47, 0xB5AD4ECEDA1CE2A9)):
-            part = np.concatenate((np.zeros(1, np.uint64), np.cumsum(C.mix(h ^ np.uint64(salt)) * up[place], dtype=np.uint64)))
-            digest[:, k] = C.mix(part[before[1:]] - part[before[:-1]] + count.astype(np.uint64))
         grams = np.maximum(count - n_words + 1, np.minimum(count, 1))
         doc = np.repeat(np.arange(n), grams)
         at = C.ranges(before[:-1], grams)
@@ -56,7 +71,7 @@ def shingles(data: np.ndarray, off: np.ndarray, n_words: int) -> tuple[np.ndarra
     head = np.ones(len(g), bool)
     head[1:] = (g[1:] != g[:-1]) | (doc[1:] != doc[:-1])
     first = np.flatnonzero(head)
-    return doc[first], g[first], np.diff(np.concatenate((first, [len(g)]))).astype(np.float64), digest
+    return doc[first], g[first], np.diff(np.concatenate((first, [len(g)]))).astype(np.float64)
 
 
 def prob_minhash(doc: np.ndarray, key: np.ndarray, weight: np.ndarray, n: int, registers: int) -> np.ndarray:
@@ -110,13 +125,14 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, n_words: int, bands:
     def sign(batches):
         for b in batches:
             for lo, hi in C.pieces(b.column(1)):
-                doc, key, weight, digest = shingles(*C.texts(b.column(1).slice(lo, hi - lo)), n_words)
-                n = hi - lo
+                data, off = C.texts(b.column(1).slice(lo, hi - lo))
+                doc, key, weight = shingles(data, off, n_words)
+                digest, n = np.frombuffer(b"".join(word_digests(data, off)), np.int64).reshape(-1, 2), hi - lo
                 keys = band_keys(prob_minhash(doc, key, weight, n, bands * rows), bands, rows)
                 full = np.bincount(doc, minlength=n) > 0
                 some = np.flatnonzero(full)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * bands, pa.int32()), pa.array(keys[some].ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, n).take(pa.array(some)), pa.array(digest[some, 0].view(np.int64)), pa.array(digest[some, 1].view(np.int64)), lists], names=["i", "d1", "d2", "bands"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, n).take(pa.array(some)), pa.array(digest[some, 0]), pa.array(digest[some, 1]), lists], names=["i", "d1", "d2", "bands"])
 
     src = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("i"), F.col(f"`{text_col}`").alias("t")).where("i is not null")
     return src.mapInArrow(sign, "i bigint, d1 bigint, d2 bigint, bands array<bigint>")
@@ -132,7 +148,7 @@ def verify(pairs: DataFrame, cand: DataFrame, n_words: int, threshold: float) ->
             for a, z in C.pieces(y.slice(lo, hi - lo)):  # neither side's texts are long together
                 sides = []
                 for col in (x.slice(lo + a, z - a), y.slice(lo + a, z - a)):
-                    doc, key, weight, _ = shingles(*C.texts(col), n_words)
+                    doc, key, weight = shingles(*C.texts(col), n_words)
                     cut = np.searchsorted(doc, np.arange(len(col) + 1))
                     sides.append([(key[p:q], weight[p:q]) for p, q in zip(cut[:-1], cut[1:])])
                 out += [probability_jaccard(p, q) for p, q in zip(*sides)]
@@ -229,7 +245,7 @@ def large_groups(named: DataFrame, cand: DataFrame, n_words: int, threshold: flo
             sets, at = [], 0
             arr = text.combine_chunks() if isinstance(text, pa.ChunkedArray) else text
             for lo, hi in C.pieces(arr):
-                doc, key, weight, _ = shingles(*C.texts(arr.slice(lo, hi - lo)), n_words)
+                doc, key, weight = shingles(*C.texts(arr.slice(lo, hi - lo)), n_words)
                 at = np.searchsorted(doc, np.arange(hi - lo + 1))
                 sets += [(key[p:q], weight[p:q]) for p, q in zip(at[:-1], at[1:])]
             i, c = t.column("i").to_numpy(), t.column("c").to_numpy()

@@ -67,7 +67,7 @@ def op8_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return decontam.contamination(docs, table(spark, sf_dir, "benchmark"), window=10).drop("text", "longest_match", "longest_span", "spans")
+    return decontam.contamination(docs, table(spark, sf_dir, "benchmark"), window=10).drop("text", "longest_match", "spans")
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

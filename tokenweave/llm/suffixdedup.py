@@ -19,7 +19,8 @@ Sorting all suffixes of a corpus would move each byte many times, so only suffix
 5. Removed spans are united by document and cut from the texts.
 
 No group is larger than a document: what a third of all texts share is summed by piece and split between buckets.
-Windows are compared by 64-bit hashes in steps 2 and 3 and by their bytes in step 4.
+Rows are equal in steps 2 and 3 if two 64-bit hashes of different bytes are (of the anchor or the common part, and of the region), in step
+4 if their bytes are.
 
 Defined results: texts are UTF-8 bytes, null is empty; matches never cross documents; texts shorter than ``length`` lose
 nothing; a null id comes before all others; rows with one id are one document with several texts: equal texts of it
