@@ -78,36 +78,44 @@ class Frozen:
         found[found] = self.lo[at[found]] == lo[found]
         return np.where(found, at, LACKS)
 
-    def walk(self, seed: int, walk_id: np.ndarray, attempt: np.ndarray, row: np.ndarray, max_steps: int) -> pa.RecordBatch:
-        """walk_id, attempt, words, status of walks that begin in the given rows; one roll a step, of which states with one follower need none."""
+    def run(self, seed: int, walk_id: np.ndarray, attempt: np.ndarray, row: np.ndarray, step: np.ndarray, max_steps: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All walks, each at a row and a step, until they end, are cut or come to a state that is not here: (walk, follower id) of all words in order, and the status of each walk.
+
+        One roll a step, of which states with one follower need none.
+        """
         status = np.full(len(row), 1, np.int8)
         live = np.flatnonzero(row >= 0)
-        at, went, said = row[live].astype(np.int64), [], []
-        for step in range(max_steps + 1):
-            if not len(live):
-                break
+        at, step, went, said = row[live].astype(np.int64), step[live], [], []
+        while len(live):
             first, stop = self.start[at], self.start[at + 1]
             pick, many = first.copy(), np.flatnonzero(stop - first > 1)
             if len(many):
                 who = live[many]
-                digests = (hashlib.md5(b"%d:%d:%d:%d" % (seed, w, a, step)).digest() for w, a in zip(walk_id[who].tolist(), attempt[who].tolist()))
+                digests = (hashlib.md5(b"%d:%d:%d:%d" % (seed, w, a, s)).digest() for w, a, s in zip(walk_id[who].tolist(), attempt[who].tolist(), step[many].tolist()))
                 u = np.fromiter((int.from_bytes(d[:7], "big") >> 4 for d in digests), np.float64, len(who)) / 4503599627370496
                 last = stop[many] - 1
                 pick[many] = np.minimum(bisect(self.cum, first[many], stop[many], u * self.cum[last], True), last)
             after = self.after[pick]
             status[live[after == ENDS]] = 0
-            on = after != ENDS
-            if step == max_steps:
-                status[live[on]] = 2
-                break
-            live, at, pick = live[on], after[on].astype(np.int64), pick[on]
+            cut = (after != ENDS) & (step >= max_steps)
+            status[live[cut]] = 2
+            on = (after != ENDS) & ~cut
+            live, at, pick, step = live[on], after[on].astype(np.int64), pick[on], step[on] + 1
             went.append(live)
             said.append(self.follow[pick])
-            live, at = live[at >= 0], at[at >= 0]
-        went = np.concatenate(went) if went else np.zeros(0, np.int64)
-        said = np.concatenate(said) if said else np.zeros(0, self.follow.dtype)
+            live, at, step = live[at >= 0], at[at >= 0], step[at >= 0]
+        if not went:
+            return np.zeros(0, np.int64), np.zeros(0, self.follow.dtype), status
+        went, said = np.concatenate(went), np.concatenate(said)
         order = np.argsort(went, kind="stable")
-        ids = pa.array(said[order])
+        return went[order], said[order], status
+
+    def named(self, ids: np.ndarray) -> pa.Array:
+        return self.words.take(pa.array(ids)) if self.words is not None else pa.array(ids, pa.int64())
+
+    def walk(self, seed: int, walk_id: np.ndarray, attempt: np.ndarray, row: np.ndarray, max_steps: int) -> pa.RecordBatch:
+        """walk_id, attempt, words, status of walks that begin in the given rows."""
+        went, said, status = self.run(seed, walk_id, attempt, row, np.zeros(len(row), np.int64), max_steps)
         offsets = np.concatenate(([0], np.cumsum(np.bincount(went, minlength=len(row)))))
-        words = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), self.words.take(ids) if self.words is not None else ids.cast(pa.int64()))
+        words = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), self.named(said))
         return pa.record_batch([pa.array(walk_id, pa.int64()), pa.array(attempt, pa.int32()), words, STATUS.take(pa.array(status))], ["walk_id", "attempt", "words", "status"])

@@ -5,6 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tokenweave.sources.shared import written
+
+#: Followers of a state beyond which its running sums are spread over partitions; and rows that may be broadcast to join them.
+HOT_FOLLOWERS = 500_000
+BROADCAST_ROWS = 100_000
+#: Followers of a segment.
+SEGMENT = 4096
+
 
 def check_temperature(t: float) -> None:
     if t <= 0:
@@ -17,13 +25,54 @@ def weight(n: Column, temperature: float) -> Column:
     return n.cast("double") if temperature == 1.0 else F.pow(n, F.lit(1.0 / temperature))
 
 
+def _joined(rows: DataFrame, few: DataFrame, on: list[str], how: str) -> DataFrame:
+    return rows.join(F.broadcast(few) if few.count() <= BROADCAST_ROWS else few, on, how)
+
+
+def _summed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with lo, hi: running sums of w in order of follow, and r, the row's number, within keys."""
+    by = Window.partitionBy(*keys).orderBy("follow")
+    out = rows.withColumn("hi", F.sum("w").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("r", F.row_number().over(by))
+    return out.withColumn("lo", F.coalesce(F.lag("hi").over(by), F.lit(0.0)))
+
+
+def _numbered_cdf(model: DataFrame, temperature: float) -> DataFrame:
+    """state, follow, n, w, lo, hi, total, p, r: cdf, and the number of each row within the part p of its state.
+
+    A state with more than HOT_FOLLOWERS followers is no single task: its rows are ranged by follower, summed within each
+    partition, and the sums of the partitions before are carried into it. The parts of all other states are 0.
+    """
+    rows = model.withColumn("w", weight(F.col("n"), temperature))
+    whole = lambda keys: Window.partitionBy(*keys).orderBy("follow").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    plain = lambda some: _summed(some, ["state"]).withColumns({"total": F.last("hi").over(whole(["state"])), "p": F.lit(0)})
+    rows = written(rows, "weights")
+    if rows.agg(F.approx_count_distinct("follow", 0.02)).first()[0] < 0.9 * HOT_FOLLOWERS:  # no state can have so many
+        return plain(rows)
+    hot = written(rows.groupBy("state").agg(F.count(F.lit(1)).alias("d")).where(F.col("d") > HOT_FOLLOWERS).select("state"), "hot-states")
+    if hot.isEmpty():
+        return plain(rows)
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    parts = written(_joined(rows, hot, ["state"], "left_semi").repartitionByRange(cores, "state", "follow").withColumn("p", F.spark_partition_id()), "hot-rows")
+    local = _summed(parts, ["state", "p"])
+    sums = local.groupBy("state", "p").agg(F.max("hi").alias("s"))  # the last of the running sums, so parts join without a gap
+    before = Window.partitionBy("state").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    carry = sums.withColumn("before", F.coalesce(F.sum("s").over(before), F.lit(0.0)))
+    carry = written(carry.withColumn("total", F.max(F.col("before") + F.col("s")).over(Window.partitionBy("state"))).drop("s"), "hot-sums")
+    spread = _joined(local, carry, ["state", "p"], "inner").withColumns({"lo": F.col("lo") + F.col("before"), "hi": F.col("hi") + F.col("before")}).drop("before")
+    return plain(_joined(rows, hot, ["state"], "left_anti")).unionByName(spread)
+
+
 def cdf(model: DataFrame, temperature: float = 1.0) -> DataFrame:
     """state, follow, n, w, lo, hi, total: half-open ranges [lo, hi) of each follower, in order of follow."""
-    w = Window.partitionBy("state").orderBy("follow").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = model.withColumn("w", weight(F.col("n"), temperature)).withColumn("hi", F.sum("w").over(w))
-    out = out.withColumn("lo", F.coalesce(F.lag("hi").over(Window.partitionBy("state").orderBy("follow")), F.lit(0.0)))
-    whole = Window.partitionBy("state").orderBy("follow").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return out.withColumn("total", F.last("hi").over(whole))
+    return _numbered_cdf(model, temperature).drop("p", "r")
+
+
+def segments(model: DataFrame, temperature: float = 1.0) -> DataFrame:
+    """state, lo, hi, total, degree, follows, his: the cdf in rows of at most SEGMENT followers, so that a row is bounded whatever its state; degree: followers of the row."""
+    rows = _numbered_cdf(model, temperature).withColumn("b", F.floor((F.col("r") - 1) / SEGMENT))
+    entry = F.array_sort(F.collect_list(F.struct("hi", "follow")))  # his ascend, and follows break no ties: weights are positive
+    out = rows.groupBy("state", "p", "b").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.first("total").alias("total"), entry.alias("e"))
+    return out.select("state", "lo", "hi", "total", F.size("e").alias("degree"), F.transform("e", lambda x: x["follow"]).alias("follows"), F.transform("e", lambda x: x["hi"]).alias("his"))
 
 
 def roll(seed: Column | int, *parts: Column) -> Column:

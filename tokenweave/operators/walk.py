@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from tokenweave.operators.chain import BEGIN, END, PACKED_BITS, id_bits, packed, shift, state_key
 from tokenweave.operators.frozen import Frozen
 from tokenweave.operators.sampling import cdf, move, roll
+from tokenweave.operators.travel import travel_walk
 from tokenweave.sources.shared import written
 
 #: Bytes of a frozen model that may be broadcast; a larger model stays in its partitions.
@@ -255,14 +256,16 @@ def id_walk(requests: DataFrame, encoded: DataFrame, k: int, begin_id: int, end_
 
 
 def walk(requests: DataFrame, model: DataFrame, k: int, temperature: float = 1.0, seed: int = 0, max_steps: int = 1000, strategy: str = "auto", **ends) -> DataFrame:
-    """Walks of all requests; strategy: "broadcast", "superstep", or by the counted size of the model; ends: other sentinels."""
+    """Walks of all requests; strategy: "broadcast", "travel", "superstep", or by the counted size of the model; ends: other sentinels."""
     if strategy == "auto":
-        strategy = "broadcast" if payload_bytes(model) <= BROADCAST_BYTES else "superstep"
+        strategy = "broadcast" if payload_bytes(model) <= BROADCAST_BYTES else "travel" if word_type(model) == "string" else "superstep"
     if strategy == "broadcast":
         return broadcast_walk(requests, model, k, temperature, seed, max_steps, **ends)
     if strategy == "superstep":
         return superstep_walk(requests, model, k, temperature, seed, max_steps, **ends)
-    raise ValueError("strategy is 'auto', 'broadcast' or 'superstep'")
+    if strategy == "travel":
+        return travel_walk(requests, model, k, temperature, seed, max_steps, **ends)
+    raise ValueError("strategy is 'auto', 'broadcast', 'travel' or 'superstep'")
 
 
 def requests(spark, n: int, tries: int = 1) -> DataFrame:
