@@ -145,4 +145,4 @@ def test_state_keys_differ(spark):
     states = [["a b", "c"], ["a", "b c"], ["a\\", "sb c"], ["a\\s", "b"], ["a ", "b"], ["a", " b"], ["a\\sb", "c"]]
     df = spark.createDataFrame([(s,) for s in states], "state array<string>")
     keys = [r.k for r in df.select(chain.state_key(F.col("state")).alias("k")).collect()]
-    assert len(set(keys)) == len(states) and keys == [" ".join(map(travel.escaped, s)) for s in states]
+    assert len(set(keys)) == len(states) and keys == [" ".join(map(chain.escaped, s)) for s in states]

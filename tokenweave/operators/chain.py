@@ -85,6 +85,11 @@ def state_key(state: Column) -> Column:
     return F.array_join(F.transform(state, lambda w: F.replace(F.replace(w, F.lit("\\"), F.lit("\\\\")), F.lit(" "), F.lit("\\s"))), " ")
 
 
+def escaped(word: str) -> str:
+    """A word as it stands in a state's key."""
+    return word.replace("\\", "\\\\").replace(" ", "\\s")
+
+
 def totals(model: DataFrame) -> DataFrame:
     return model.agg(F.count_distinct("state").alias("n_states"), F.count(F.lit(1)).alias("n_pairs"), F.sum("n").alias("n_transitions"))
 

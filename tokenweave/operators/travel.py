@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenweave.operators.chain import BEGIN, END, shift, state_key
+from tokenweave.operators.chain import BEGIN, END, escaped, shift, state_key
 from tokenweave.operators.frozen import bisect
 from tokenweave.operators.sampling import roll, segments
 from tokenweave.sources.shared import new_path, written
@@ -38,10 +38,6 @@ BROADCAST_WALKS = 100_000
 LIVE = "walk_id bigint, attempt int, words array<string>, status string, state array<string>, key string, part int"
 
 
-def escaped(word: str) -> str:
-    return word.replace("\\", "\\\\").replace(" ", "\\s")
-
-
 def _digest(state: list[str]) -> tuple[str, int, int]:
     """A state's key and the two integers of its digest, as the columns chain.state_key and walk.digests have them."""
     key = " ".join(map(escaped, state))

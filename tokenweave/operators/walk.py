@@ -14,13 +14,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenweave.operators.chain import BEGIN, END, PACKED_BITS, id_bits, packed, shift, state_key
 from tokenweave.operators.frozen import Frozen
 from tokenweave.operators.sampling import cdf, move, roll
-from tokenweave.operators.travel import travel_walk
+from tokenweave.operators.travel import ranges, travel_walk
 from tokenweave.sources.shared import written
 
 #: Bytes of a frozen model that may be broadcast; a larger model stays in its partitions.
@@ -76,9 +77,9 @@ def freeze_ids(encoded: DataFrame, k: int, bits: int, end_id: int, temperature:
     return Frozen.build(*(rows.column(c).to_numpy() for c in ("hi", "lo", "follow_id", "n", "next_hi", "next_lo")), end_id, 1.0 / temperature)
 
 
-def frozen_walk(requests: DataFrame, frozen: Frozen, seed: int, max_steps: int, keys: list[Column], words: str = "string") -> DataFrame:
+def frozen_walk(requests: DataFrame, frozen: Frozen | Broadcast, seed: int, max_steps: int, keys: list[Column], words: str = "string") -> DataFrame:
     """Walks of requests through a broadcast frozen model; keys: the two integers of a request's first state."""
-    sent = requests.sparkSession.sparkContext.broadcast(frozen)
+    sent = frozen if isinstance(frozen, Broadcast) else requests.sparkSession.sparkContext.broadcast(frozen)
 
     def go(batches):
         table = sent.value
@@ -268,6 +269,26 @@ def walk(requests: DataFrame, model: DataFrame, k: int, temperature: float = 1.0
     raise ValueError("strategy is 'auto', 'broadcast', 'travel' or 'superstep'")
 
 
+def walker(model: DataFrame, k: int, temperature: float = 1.0, seed: int = 0, max_steps: int = 1000, strategy: str = "auto"):
+    """A function from requests to walks for several calls: the model's size is counted, and the model frozen or ranged, once."""
+    ready: dict = {}
+
+    def again(asked: DataFrame) -> DataFrame:
+        if "way" not in ready:
+            ready["way"] = strategy if strategy != "auto" else "broadcast" if payload_bytes(model) <= BROADCAST_BYTES else "travel"
+        if ready["way"] == "broadcast":
+            if "frozen" not in ready:
+                ready["frozen"] = model.sparkSession.sparkContext.broadcast(freeze(model, k, temperature))
+            return frozen_walk(asked, ready["frozen"], seed, max_steps, digests(F.coalesce("init", F.array_repeat(F.lit(BEGIN), k)), "hi", "lo"))
+        if ready["way"] == "travel":
+            if "ranges" not in ready:
+                ready["ranges"] = ranges(model, k, temperature)
+            return travel_walk(asked, ready["ranges"], k, temperature, seed, max_steps)
+        return walk(asked, model, k, temperature, seed, max_steps, ready["way"])
+
+    return again
+
+
 def requests(spark, n: int, tries: int = 1) -> DataFrame:
     """n walks from the beginning, with attempts 0 to tries - 1 each."""
     ids = spark.range(n).select(F.col("id").alias("walk_id"))

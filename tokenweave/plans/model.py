@@ -58,7 +58,10 @@ class MarkovModel:
 
     @staticmethod
     def combine(models: list[MarkovModel], weights: list[float] | None = None) -> MarkovModel:
-        """Weighted sum at temperature 1; the sources are kept if all models have theirs."""
+        """Weighted sum at temperature 1; the sources, and the parsed sentences, are kept if all models have theirs.
+
+        Sentences of the combination have the number of their model (column part) before their key, which becomes a string.
+        """
         if models and len({m.state_size for m in models}) > 1:
             raise ValueError("all models must have the same state size")
         table = algebra.combine([m.transitions for m in models], weights)
@@ -67,7 +70,15 @@ class MarkovModel:
             source = models[0].source.select("source")
             for m in models[1:]:
                 source = source.unionAll(m.source.select("source"))
-        return MarkovModel(table, models[0].state_size, 1.0, source, models[0].tokenizer)
+        parsed = None
+        if all(m.parsed_sentences is not None for m in models):
+            for i, m in enumerate(models):
+                rows = m.parsed_sentences
+                key = next(c for c in rows.columns if c not in ("part", "pos", "words"))
+                part = F.concat(F.lit(f"{i}."), F.col("part")) if "part" in rows.columns else F.lit(str(i))
+                rows = rows.select(part.alias("part"), F.col(key).cast("string").alias("key"), "pos", "words")
+                parsed = rows if parsed is None else parsed.unionByName(rows)
+        return MarkovModel(table, models[0].state_size, 1.0, source, models[0].tokenizer, parsed)
 
     def persist(self) -> MarkovModel:
         return replace(self, transitions=self.transitions.persist())

@@ -190,7 +190,18 @@ r AS (SELECT id, unnest(range(0, 6 + floor({roll(42, "'n'", "id")} * 11)::INTEGE
 SELECT id AS run, pos, 'w' || i AS word FROM r JOIN c ON {roll(42, "id", "pos")} * total >= lo AND {roll(42, "id", "pos")} * total < hi""",
 }
 SQL |= {f"transitions_k{k}": f"SELECT doc_id, pos, i, array_to_string(state, ' ') AS state, follow FROM ({transitions(DOCS, k)})" for k in (1, 2, 3)}
-SQL["walk_int_ids"] = SQL["walk_csr"] = SQL["walk_begin"]
+SQL["walk_int_ids"] = SQL["walk_csr"] = SQL["walk_travel"] = SQL["walk_begin"]
+SQL["state_segments"] = f"""
+WITH c AS MATERIALIZED ({cdf(model(DOCS, 1), 1.5)}), r AS (SELECT *, (row_number() OVER (PARTITION BY state ORDER BY follow) - 1) // 4096 AS b FROM c)
+SELECT array_to_string(state, ' ') AS state, round(min(lo), 5) AS lo, round(max(hi), 5) AS hi, round(any_value(total), 5) AS total, count(*)::BIGINT AS degree, min(follow) AS first_follow FROM r GROUP BY r.state, b"""
+SQL["start_candidates_indexed"] = f"SELECT array_to_string(state, ' ') AS state, rank FROM ({LOOSE.replace(model(BENCH, 2), model(DOCS, 2))})"
+SQL["start_loose_saved"] = SQL["start_loose"]
+SQL["overlap_positions"] = SQL["overlap_reject"]
+SQL["source_chunks"] = f"""
+WITH s AS MATERIALIZED (SELECT string_agg(array_to_string(w, ' ') || ' ', '' ORDER BY doc_id, pos) AS t FROM ({DOCS}))
+SELECT c AS chunk, length(x)::BIGINT AS n_chars, md5(x) AS digest FROM (
+  SELECT c, substr(t, greatest(c * 100000 - 1000, 0) + 1, (c + 1) * 100000 - greatest(c * 100000 - 1000, 0)) AS x
+  FROM (SELECT t, unnest(range(0, (length(t) + 99999) // 100000)) AS c FROM s))"""
 SQL["model_packed"] = f"{IDS}, b AS (SELECT (1::BIGINT << length(bin(max(word_id)))) AS base FROM v) SELECT id0 * base + id1 AS lo, follow_id, id1 * base + follow_id AS next_lo, n FROM enc, b"
 SQL |= {f"model_k{k}": flat(model(DOCS, k)) for k in (1, 2, 3)}
 SQL |= {"combine_default": combined(1.0, 1.0), "combine_weighted": combined(1.0, 2.0), "combine_fractional": combined(0.5, 1.5)}

@@ -264,6 +264,18 @@ def walk_begin(spark, sf_dir):
     return got.select("walk_id", F.array_join("words", " ").alias("sentence"), F.size("words").cast("bigint").alias("n_words"), "status")
 
 
+def walk_travel(spark, sf_dir):
+    """The walks of walk_begin, through the model in its ranges."""
+    got = walk.walk(walk.requests(spark, WALKS), model(spark, sf_dir, 2), 2, TEMPERATURE, SEED, strategy="travel")
+    return got.select("walk_id", F.array_join("words", " ").alias("sentence"), F.size("words").cast("bigint").alias("n_words"), "status")
+
+
+def state_segments(spark, sf_dir):
+    """The sampling table in rows of bounded size."""
+    out = sampling.segments(model(spark, sf_dir, 1), TEMPERATURE)
+    return out.select(F.array_join("state", " ").alias("state"), F.round("lo", 5).alias("lo"), F.round("hi", 5).alias("hi"), F.round("total", 5).alias("total"), F.col("degree").cast("bigint").alias("degree"), F.get("follows", F.lit(0)).alias("first_follow"))
+
+
 def walk_from_state(spark, sf_dir):
     m = written(model(spark, sf_dir, 2), "model")
     top = m.where(~F.array_contains("state", chain.BEGIN)).groupBy("state").agg(F.sum("n").alias("t")).orderBy(F.col("t").desc(), F.array_join("state", " ")).limit(20)
@@ -343,6 +355,20 @@ def start_loose(spark, sf_dir, of="benchmark"):
     return m.make_sentence_with_start("the", False, SEED, generate.Limits(tries=3, test_output=False, max_words=12))
 
 
+def start_candidates_indexed(spark, sf_dir):
+    """The loose start states of the corpus' model, from one range of its saved start index."""
+    path = new_path(spark, "started")
+    tables.save(MarkovModel(written(model(spark, sf_dir, 2), "model"), 2), path)
+    return tables.starts(spark, path, ["the"], False, SEED).select(F.array_join("state", " ").alias("state"), "rank")
+
+
+def start_loose_saved(spark, sf_dir):
+    """start_loose, from tables."""
+    path = new_path(spark, "started")
+    tables.save(MarkovModel.from_text(read(spark, sf_dir, "benchmark"), 2, key="item_id", retain=False), path)
+    return tables.make_sentence_with_start(spark, path, ["the"], False, SEED, generate.Limits(tries=3, test_output=False, max_words=12))
+
+
 def _tried(spark, sf_dir, of: str) -> tuple[MarkovModel, DataFrame]:
     m = _retained(spark, sf_dir, of)
     got = walk.walk(walk.requests(spark, WALKS), m.transitions, 1, 1.0, SEED)
@@ -361,6 +387,26 @@ def overlap_reject(spark, sf_dir, of="benchmark"):
     return got.select("walk_id").join(bad.withColumn("rejected", F.lit(True)), "walk_id", "left").select("walk_id", F.coalesce("rejected", F.lit(False)).alias("rejected"))
 
 
+def overlap_positions(spark, sf_dir):
+    """overlap_reject, by positions of rare words instead of scans."""
+    m, got = _tried(spark, sf_dir, "benchmark")
+    bad = overlap.rejected_by_positions(got, overlap.positions(m.parsed_sentences, "item_id"), ["walk_id"])
+    return got.select("walk_id").join(bad.withColumn("rejected", F.lit(True)), "walk_id", "left").select("walk_id", F.coalesce("rejected", F.lit(False)).alias("rejected"))
+
+
+def overlap_positions_documents(spark, sf_dir):
+    """The same over the corpus, as model and as source; equal to overlap_reject_documents, which scans."""
+    m, got = _tried(spark, sf_dir, "documents")
+    bad = overlap.rejected_by_positions(got, overlap.positions(written(m.parsed_sentences, "sentences")), ["walk_id"])
+    return got.select("walk_id").join(bad.withColumn("rejected", F.lit(True)), "walk_id", "left").select("walk_id", F.coalesce("rejected", F.lit(False)).alias("rejected"))
+
+
+def source_chunks(spark, sf_dir):
+    """The corpus' rejoined text, cut into chunks that carry over what a gram may need."""
+    out = overlap.chunks(doc_runs(spark, sf_dir), 100_000, 1000)
+    return out.select("chunk", F.length("source").cast("bigint").alias("n_chars"), F.md5("source").alias("digest"))
+
+
 def source_rejoined(spark, sf_dir):
     return overlap.rejoined(doc_runs(spark, sf_dir))
 
@@ -422,7 +468,7 @@ def zipf_corpus(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     split_sentences, split_lines, split_words, split_words_normalized, rejoin_sentences, model_normalized_k2, train_text_k2, train_newline_k1, train_from_sentences,
     chain_events_k1, chain_orders_k2, followers_nested, follower_lookup, state_stats, begin_followers, successor_states, state_repr, model_totals, vocab_encode,
-    model_int_ids, walk_int_ids, csr_rows, model_packed, walk_csr, combine_sources, prune_2, prune_removed, dangling_after_prune, weights_t1_5, move_grid, move_missing, walk_begin, walk_from_state, walk_mapped,
+    model_int_ids, walk_int_ids, csr_rows, model_packed, walk_csr, walk_travel, state_segments, start_candidates_indexed, start_loose_saved, overlap_positions, overlap_positions_documents, source_chunks, combine_sources, prune_2, prune_removed, dangling_after_prune, weights_t1_5, move_grid, move_missing, walk_begin, walk_from_state, walk_mapped,
     make_sentence, make_sentence_bounded, make_short_sentence, make_sentence_mapped, make_short_mapped, start_candidates, start_strict, start_loose, overlap_grams,
     overlap_reject, source_rejoined, json_roundtrip, json_model_meta, mapped_state_lookup, binary_roundtrip, mapped_roundtrip, stream_equals_batch, zipf_corpus,
 )}

@@ -8,18 +8,20 @@ from pyspark.sql import functions as F
 from tokenweave.functions.tokenize import PROSE, Tokenizer
 from tokenweave.operators import generate
 from tokenweave.operators.chain import state_key
+from tokenweave.operators.sampling import check_temperature
 from tokenweave.operators.walk import paged_walk
 from tokenweave.plans.model import MarkovModel
 
-#: 2: keys are escaped, so that words may hold spaces.
+#: 2: keys are escaped, so that words may hold spaces; there is a start index.
 VERSION = 2
 
 
 def save(model: MarkovModel, path: str, partitions: int | None = None) -> None:
-    """transitions sorted by state (column key) and the meta data, under path."""
+    """transitions sorted by state (column key), the start index sorted by what the states say, and the meta data, under path."""
     rows = model.transitions.withColumn("key", state_key(F.col("state")))
     rows = rows.repartitionByRange(partitions, "key") if partitions else rows.repartitionByRange("key")
     rows.sortWithinPartitions("key", "follow").write.mode("overwrite").parquet(f"{path}/transitions")
+    generate.start_index(model.transitions).repartitionByRange("said").sortWithinPartitions("said").write.mode("overwrite").parquet(f"{path}/starts")
     meta = model.spark.createDataFrame([(VERSION, model.state_size, float(model.temperature))], "version int, state_size int, temperature double")
     meta.coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
     if model.source is not None:
@@ -52,14 +54,37 @@ def lookup_all(spark: SparkSession, path: str, states: DataFrame) -> DataFrame:
     return found.select("state", "follow", "n")
 
 
-def walk(spark: SparkSession, path: str, requests: DataFrame, seed: int = 0, max_steps: int = 1000) -> DataFrame:
-    """Walks through the tables of a model: states are looked up as the walks meet them, the model is not loaded."""
+def _meta(spark: SparkSession, path: str, temperature: float | None):
+    """(state_size, temperature): the stored temperature unless another is given."""
     meta = spark.read.parquet(f"{path}/meta").first()
-    return paged_walk(requests, lambda states: lookup_all(spark, path, states), meta.state_size, meta.temperature, seed, max_steps)
+    if temperature is not None:
+        check_temperature(temperature)
+    return meta.state_size, meta.temperature if temperature is None else temperature
+
 
+def walk(spark: SparkSession, path: str, requests: DataFrame, seed: int = 0, max_steps: int = 1000, temperature: float | None = None) -> DataFrame:
+    """Walks through the tables of a model: states are looked up as the walks meet them, the model is not loaded."""
+    k, t = _meta(spark, path, temperature)
+    return paged_walk(requests, lambda states: lookup_all(spark, path, states), k, t, seed, max_steps)
 
-def make_sentences(spark: SparkSession, path: str, n: int = 1, seed: int = 0, limits: generate.Limits = generate.Limits(), tokenizer: Tokenizer = PROSE, max_steps: int = 1000) -> DataFrame:
+
+def make_sentences(spark: SparkSession, path: str, n: int = 1, seed: int = 0, limits: generate.Limits = generate.Limits(), tokenizer: Tokenizer = PROSE, max_steps: int = 1000, temperature: float | None = None) -> DataFrame:
     """walk_id, sentence of n requests, generated from the tables; overlap is tested against the saved source, if there is one."""
     requests = spark.range(n).select(F.col("id").alias("walk_id"), F.lit(None).cast("array<string>").alias("init"))
     source = load(spark, path, True).source if limits.test_output else None
-    return generate.make_sentences(requests, None, 0, source, tokenizer.join, limits, seed=seed, walker=lambda tried: walk(spark, path, tried, seed, max_steps))
+    return generate.make_sentences(requests, None, 0, source, tokenizer.join, limits, seed=seed, walker=lambda tried: walk(spark, path, tried, seed, max_steps, temperature))
+
+
+def starts(spark: SparkSession, path: str, beginning: list[str], strict: bool = True, seed: int = 0) -> DataFrame:
+    """(state, rank): the states with this beginning, read from one range of the start index."""
+    k, _ = _meta(spark, path, None)
+    return generate.start_states(spark.read.parquet(f"{path}/transitions"), k, beginning, strict, seed, spark.read.parquet(f"{path}/starts"))
+
+
+def make_sentence_with_start(spark: SparkSession, path: str, beginning: list[str], strict: bool = True, seed: int = 0, limits: generate.Limits = generate.Limits(), tokenizer: Tokenizer = PROSE, max_steps: int = 1000, temperature: float | None = None) -> DataFrame:
+    """One row: a sentence with this beginning, from the tables: the start states are one range of the index, and walks look states up."""
+    k, t = _meta(spark, path, temperature)
+    source = load(spark, path, True).source if limits.test_output else None
+    walker = lambda tried: walk(spark, path, tried, seed, max_steps, t)
+    rows = spark.read.parquet(f"{path}/transitions")
+    return generate.sentence_with_start(rows, k, beginning, source, tokenizer.join, strict, limits, t, seed, max_steps, starts=spark.read.parquet(f"{path}/starts"), walker=walker)
