@@ -112,6 +112,25 @@ def vocabulary(model: DataFrame) -> DataFrame:
     return ranked(words, "word", "word_id")
 
 
+def count_first(pairs: DataFrame, order: tuple[str, ...] = ("doc_id", "pos", "i")) -> DataFrame:
+    """The model with first, where each transition was seen first: a minimum that is carried along with the count, so it costs no shuffle of its own."""
+    return pairs.groupBy("state", "follow").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*order)).alias("first"))
+
+
+def followers_by_sight(model: DataFrame) -> DataFrame:
+    """(state, followers array<struct<follow, n>>, first): followers in the order in which they were first seen, of a model with first."""
+    seen = model.groupBy("state").agg(F.array_sort(F.collect_list(F.struct("first", "follow", "n"))).alias("x"), F.min("first").alias("first"))
+    return seen.select("state", F.transform("x", lambda e: F.struct(e["follow"].alias("follow"), e["n"].alias("n"))).alias("followers"), "first")
+
+
+def vocabulary_by_sight(runs: DataFrame, order: tuple[str, ...] = ("doc_id", "pos")) -> DataFrame:
+    """(word, word_id): the sentinels 0 and 1, then the words of runs in the order in which they are first seen, by ranges; a word equal to a sentinel is that."""
+    seen = runs.select(*order, F.posexplode("words").alias("i", "word")).where(~F.col("word").isin(BEGIN, END))
+    first = seen.groupBy("word").agg(F.min(F.struct(*order, "i")).alias("first"))
+    ends = runs.sparkSession.createDataFrame([(BEGIN, 0), (END, 1)], "word string, word_id bigint")
+    return ends.unionAll(ranked(first, "first", "rank").select("word", (F.col("rank") + 2).cast("bigint").alias("word_id")))
+
+
 #: Words of a vocabulary that may be broadcast; a larger one is joined by shuffles.
 BROADCAST_WORDS = 500_000
 

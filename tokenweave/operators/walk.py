@@ -9,6 +9,7 @@ A request table has ``walk_id, attempt, init`` (init: a state, or null for the b
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -269,6 +270,34 @@ def walk(requests: DataFrame, model: DataFrame, k: int, temperature: float = 1.0
     raise ValueError("strategy is 'auto', 'broadcast', 'travel' or 'superstep'")
 
 
+def recursive_sql(model_view: str, requests_view: str, seed: int, max_steps: int) -> str:
+    """Walks as one recursive query over two views: a sampling table (sampling.cdf) and requests (walk_id, attempt, state).
+
+    A step is the equi-join of the walks' states with the table; its places in line are bounded by max_steps, and so is the recursion.
+    """
+    u = f"(cast(conv(substring(md5(concat_ws(':', '{int(seed)}', cast(w.walk_id as string), cast(w.attempt as string), cast(w.step as string))), 1, 13), 16, 10) as double) / 4503599627370496D)"
+    return f"""
+WITH RECURSIVE walks(walk_id, attempt, step, state, words, status) MAX RECURSION LEVEL {int(max_steps) + 2} AS (
+  SELECT walk_id, attempt, 0, state, cast(array() AS array<string>), cast(NULL AS string) FROM {requests_view}
+  UNION ALL
+  SELECT w.walk_id, w.attempt, w.step + 1,
+         CASE WHEN c.follow IS NULL THEN w.state ELSE array_append(slice(w.state, 2, size(w.state)), c.follow) END,
+         CASE WHEN c.follow IS NULL OR c.follow = '{END}' OR w.step = {int(max_steps)} THEN w.words ELSE array_append(w.words, c.follow) END,
+         CASE WHEN c.follow IS NULL THEN 'dead' WHEN c.follow = '{END}' THEN 'end' WHEN w.step = {int(max_steps)} THEN 'cut' END
+  FROM walks w LEFT JOIN {model_view} c ON w.state = c.state AND {u} * c.total >= c.lo AND {u} * c.total < c.hi
+  WHERE w.status IS NULL
+)
+SELECT walk_id, attempt, words, status FROM walks WHERE status IS NOT NULL"""
+
+
+def sql_walk(asked: DataFrame, model: DataFrame, k: int, temperature: float = 1.0, seed: int = 0, max_steps: int = 1000) -> DataFrame:
+    """Walks by recursive_sql, for models and requests that are small: each step is planned and run by itself."""
+    spark, tag = asked.sparkSession, uuid.uuid4().hex
+    written(cdf(model, temperature).select("state", "follow", "lo", "hi", "total"), "cdf").createOrReplaceTempView(f"cdf_{tag}")
+    asked.select("walk_id", F.col("attempt").cast("int").alias("attempt"), F.coalesce("init", F.array_repeat(F.lit(BEGIN), k)).alias("state")).createOrReplaceTempView(f"asked_{tag}")
+    return spark.sql(recursive_sql(f"cdf_{tag}", f"asked_{tag}", seed, max_steps))
+
+
 def walker(model: DataFrame, k: int, temperature: float = 1.0, seed: int = 0, max_steps: int = 1000, strategy: str = "auto"):
     """A function from requests to walks for several calls: the model's size is counted, and the model frozen or ranged, once."""
     ready: dict = {}

@@ -191,6 +191,13 @@ SELECT id AS run, pos, 'w' || i AS word FROM r JOIN c ON {roll(42, "id", "pos")}
 }
 SQL |= {f"transitions_k{k}": f"SELECT doc_id, pos, i, array_to_string(state, ' ') AS state, follow FROM ({transitions(DOCS, k)})" for k in (1, 2, 3)}
 SQL["walk_int_ids"] = SQL["walk_csr"] = SQL["walk_travel"] = SQL["walk_begin"]
+SQL["walk_sql"] = SQL["walk_mapped"]
+SQL["vocab_by_sight"] = f"""
+SELECT word, row_number() OVER (ORDER BY first) + 1 AS word_id FROM (SELECT word, min([doc_id, pos, i]) AS first FROM (SELECT doc_id, pos, unnest(range(0, len(w))) AS i, unnest(w) AS word FROM ({DOCS})) GROUP BY word)
+WHERE word NOT IN ({B}, {E}) UNION ALL VALUES ({B}, 0), ({E}, 1)"""
+SQL["followers_by_sight"] = f"""
+WITH p AS (SELECT state, follow, count(*) AS n, min([doc_id, pos, i]) AS first FROM ({transitions(DOCS, 2)}) GROUP BY state, follow)
+SELECT array_to_string(state, ' ') AS state, string_agg(follow || '=' || n, ',' ORDER BY first) AS followers, min(first)[1] AS doc_id, min(first)[2] AS pos, min(first)[3] AS i FROM p GROUP BY state"""
 SQL["state_segments"] = f"""
 WITH c AS MATERIALIZED ({cdf(model(DOCS, 1), 1.5)}), r AS (SELECT *, (row_number() OVER (PARTITION BY state ORDER BY follow) - 1) // 4096 AS b FROM c)
 SELECT array_to_string(state, ' ') AS state, round(min(lo), 5) AS lo, round(max(hi), 5) AS hi, round(any_value(total), 5) AS total, count(*)::BIGINT AS degree, min(follow) AS first_follow FROM r GROUP BY r.state, b"""

@@ -166,6 +166,15 @@ def walk_int_ids(spark, sf_dir):
     return _worded(walk.id_walk(walk.requests(spark, WALKS), enc, 2, begin, end, TEMPERATURE, SEED), vocab)
 
 
+def vocab_by_sight(spark, sf_dir):
+    return chain.vocabulary_by_sight(doc_runs(spark, sf_dir))
+
+
+def followers_by_sight(spark, sf_dir):
+    out = chain.followers_by_sight(chain.count_first(chain.transitions(doc_runs(spark, sf_dir), 2)))
+    return out.select(F.array_join("state", " ").alias("state"), F.array_join(F.transform("followers", lambda x: F.concat(x["follow"], F.lit("="), x["n"].cast("string"))), ",").alias("followers"), "first.doc_id", *[F.col(f"first.{c}").cast("bigint").alias(c) for c in ("pos", "i")])
+
+
 def _coded(spark, sf_dir) -> tuple[DataFrame, DataFrame, int, int]:
     """The model's encoded form, its vocabulary, and the ids of the sentinels."""
     m = written(model(spark, sf_dir, 2), "model")
@@ -264,6 +273,12 @@ def walk_begin(spark, sf_dir):
     return got.select("walk_id", F.array_join("words", " ").alias("sentence"), F.size("words").cast("bigint").alias("n_words"), "status")
 
 
+def walk_sql(spark, sf_dir):
+    """The walks of walk_mapped, as one recursive query."""
+    got = walk.sql_walk(walk.requests(spark, WALKS), benchmark_model(spark, sf_dir, 1), 1, TEMPERATURE, SEED)
+    return got.select("walk_id", F.array_join("words", " ").alias("sentence"), "status")
+
+
 def walk_travel(spark, sf_dir):
     """The walks of walk_begin, through the model in its ranges."""
     got = walk.walk(walk.requests(spark, WALKS), model(spark, sf_dir, 2), 2, TEMPERATURE, SEED, strategy="travel")
@@ -447,18 +462,14 @@ def mapped_roundtrip(spark, sf_dir):
 
 
 def stream_equals_batch(spark, sf_dir):
-    """The model of a stream over the conversations; its SQL is the batch model."""
-    import uuid
-
-    name = f"stream_{uuid.uuid4().hex}"
+    """The model of a stream over the conversations, whose batches are entered once each; its SQL is the batch model."""
     path = f"{sf_dir}/conversations.parquet"
     batch = spark.read.parquet(path)
     # A stream reads folders; a single file is matched by its own name.
-    src = spark.readStream.schema(batch.schema).parquet(path if len(batch.inputFiles()) > 1 else path.rsplit("/", 1)[0] + "/conversations.parque[t]")
-    out = train.stream_counts(src.select("text"), 1)
-    q = out.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).option("checkpointLocation", new_path(spark, "stream")).start()
-    q.awaitTermination()
-    return flat(spark.table(name))
+    src = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 8).parquet(path if len(batch.inputFiles()) > 1 else path.rsplit("/", 1)[0] + "/conversations.parque[t]")
+    out = new_path(spark, "trained")
+    train.train_durably(src.select("text"), out, 1, new_path(spark, "stream")).awaitTermination()
+    return flat(train.Trained(spark, out).model())
 
 
 def zipf_corpus(spark, sf_dir):
@@ -468,7 +479,7 @@ def zipf_corpus(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     split_sentences, split_lines, split_words, split_words_normalized, rejoin_sentences, model_normalized_k2, train_text_k2, train_newline_k1, train_from_sentences,
     chain_events_k1, chain_orders_k2, followers_nested, follower_lookup, state_stats, begin_followers, successor_states, state_repr, model_totals, vocab_encode,
-    model_int_ids, walk_int_ids, csr_rows, model_packed, walk_csr, walk_travel, state_segments, start_candidates_indexed, start_loose_saved, overlap_positions, overlap_positions_documents, source_chunks, combine_sources, prune_2, prune_removed, dangling_after_prune, weights_t1_5, move_grid, move_missing, walk_begin, walk_from_state, walk_mapped,
+    model_int_ids, walk_int_ids, csr_rows, model_packed, walk_csr, walk_travel, walk_sql, vocab_by_sight, followers_by_sight, state_segments, start_candidates_indexed, start_loose_saved, overlap_positions, overlap_positions_documents, source_chunks, combine_sources, prune_2, prune_removed, dangling_after_prune, weights_t1_5, move_grid, move_missing, walk_begin, walk_from_state, walk_mapped,
     make_sentence, make_sentence_bounded, make_short_sentence, make_sentence_mapped, make_short_mapped, start_candidates, start_strict, start_loose, overlap_grams,
     overlap_reject, source_rejoined, json_roundtrip, json_model_meta, mapped_state_lookup, binary_roundtrip, mapped_roundtrip, stream_equals_batch, zipf_corpus,
 )}
