@@ -425,17 +425,91 @@ def test_audit_goes_on_until_vectors_are_linked(spark):
 def test_last_audit_round_takes_all_centroids(spark, monkeypatch):
     seen, shards = [], vectordedup._shards
 
-    def spy(own, sent, threshold, overlap, margin, *more):
+    def spy(own, sent, threshold, overlap, margin, slack, block, exact=False):
         seen.append((overlap, margin))
-        links, stars = shards(own, sent, threshold, overlap, margin, *more)
-        return links.withColumn("n", F.lit(0).cast("bigint")), stars
+        links, stars = shards(own, sent, threshold, overlap, margin, slack, block, exact)
+        return (links, stars) if exact else (links.withColumn("n", F.lit(0).cast("bigint")), stars)
 
     monkeypatch.setattr(vectordedup, "_shards", spy)
     x = np.random.default_rng(13).normal(size=(20, 16))
     df = spark.createDataFrame([(i, "l", v) for i, v in enumerate(np.concatenate((x, x * 2 + 0.01)).tolist())], "vec_id bigint, label string, embedding array<double>")
     with pytest.warns(RuntimeWarning, match="below 0.95"):
-        vectordedup.near_vectors(df).count()
-    assert seen == [(3, 0.15), (6, np.inf)]
+        got = vectordedup.near_vectors(df, max_block=7).collect()
+    assert seen == [(3, 0.15), (6, np.inf), (1, np.inf)]
+    assert all((g.n_links, g.component_id) == (1, g.vec_id % 20) for g in got)  # found by comparing all
+
+
+def test_links_as_bits_equal_pairs():
+    r = np.random.default_rng(17)
+    for n, share in ((1, 0), (70, 0.05), (1500, 0.002), (1100, 0.9)):
+        found = r.random((n, n)) < share
+        np.fill_diagonal(found, False)
+        apart, times, smaller = r.integers(0, 2, n), r.integers(0, 4, n), r.integers(0, 256, (n, 1)).astype(np.uint8) & 5
+        for group in (None, apart):
+            links = vectordedup.Links(n, [(np.arange(a, min(a + 256, n)), found[a : a + 256]) for a in range(0, n, 256)], group)
+            both = found | found.T
+            if group is not None:
+                both &= apart[:, None] != apart[None, :]
+            assert (np.concatenate([links.rows(a, min(a + 999, n)) for a in range(0, n, 999)]) == both).all()
+            assert (links.counts(times, smaller) == (both & ((smaller & smaller.T) == 0)) @ times).all()
+            assert (links.counts(times, smaller[:, :0]) == both @ times).all()
+            real, low = times > 0, np.arange(n)
+            between = both & real[None, :] & real[:, None]
+            for _ in range(n):
+                new = np.minimum(low, np.where(between, low[None, :], n).min(1, initial=n))
+                if (new == low).all():
+                    break
+                low = new
+            assert (links.roots(real) == low).all()
+
+
+def test_a_dense_group_is_bounded_in_time_and_memory():
+    import resource
+    import time
+
+    r = np.random.default_rng(18)
+    x = np.concatenate((r.normal(size=(1, 64)) + r.normal(size=(6000, 64)) * 0.05, r.normal(size=(2000, 64))))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.time()
+    links = vectordedup.Links(len(x), vectordedup.near_rows(x, vectordedup.build_graph(x), np.arange(len(x)), 0.98, 0.02))
+    assert (links.counts(np.ones(len(x), np.int64), np.zeros((len(x), 0), np.uint8)) == ((x @ x.T) >= 0.98).sum(1) - 1).mean() > 0.999
+    assert (links.roots(np.ones(len(x), bool))[:6000] == 0).all()
+    assert time.time() - began < 120 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_500_000  # KB; 36 million directed links
+
+
+def test_vectors_equal_sql_where_there_are_links(spark, tmp_path):
+    import duckdb
+
+    from tokenweave.llm import queries, sql
+
+    r = np.random.default_rng(19)
+    rows = []
+    for label in (1, 2, None):
+        for _ in range(25):
+            c = r.normal(size=24)
+            rows += [([float(v) for v in c + r.normal(size=24) * 0.1], label) for _ in range(r.integers(1, 8))]
+    hot = r.normal(size=24)
+    rows += [([float(v) for v in hot + r.normal(size=24) * 0.09], 1) for _ in range(80)]
+    rows += [(rows[0][0], 1), ([2 * v for v in rows[0][0]], 1), ([0.0] * 24, 1), (None, 2)]
+    data = [(k * 7 % 1009, v, lab) for k, (v, lab) in enumerate(rows)]
+    spark.createDataFrame(data, "vec_id bigint, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    db = duckdb.connect()
+    db.sql(f"create view embeddings as select * from read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    want = sorted(db.sql(f"select vec_id, n_links, component_id, kept from ({sql.OP8})").fetchall())
+    got = sorted((x.vec_id, x.n_links, x.component_id, x.kept) for x in queries.op8_vector_dedup(spark, str(tmp_path)).collect())
+    assert got == want and sum(w[1] for w in want) > 1000 and len({w[2] for w in want}) > 50
+
+
+def test_probes_measure_recall_where_no_vector_has_links(spark):
+    x = np.random.default_rng(20).normal(size=(60, 16)).tolist()
+    own = spark.createDataFrame([("a", v, i + 5, 1) for i, v in enumerate(x)] + [("b", [1.0], 99, 1)], "l string, v array<double>, i bigint, times bigint")
+    probes = vectordedup._probes(own, 0.98, 64)
+    rows = probes.collect()
+    assert len(rows) == 60 and max(p.i for p in rows) == 4 and {p.times for p in rows} == {0}
+    assert set(vectordedup._brute(own, probes.toArrow(), 0.98).values()) == {1}
+    df = own.selectExpr("i as vec_id", "l as label", "v as embedding")
+    assert all(g.n_links == 0 and g.kept for g in vectordedup.near_vectors(df, shard_size=5).collect())
+    assert vectordedup._probes(own.limit(0), 0.98, 64).count() == 0
 
 
 def test_graph_search_recall():

@@ -12,13 +12,15 @@
    the smallest shard that both are in and nowhere else.
 4. Links of a shard become a star for each of its components; stars of all shards are joined to components.
 5. Audit: for a hashed sample of vectors, links are counted by brute force over all rows. The sample grows, to 16 times
-   its size at most, until ``LINKED`` of its vectors outside dense groups (more than ``shard_size`` links) have links.
-   Recall is the mean over vectors with links, by itself for those in dense groups and for the others; the lower one
-   counts. If it is below ``least_recall``, the shards are built anew with more overlap, in the last round with all
-   centroids of the label and no margin. What stays below, or could not be measured, is reported as a warning.
+   its size at most, until ``LINKED`` of its vectors outside dense groups (more than ``shard_size`` links) have links. As many
+   probes, each a little nearer than the threshold to a sampled vector, are searched with the others and audited like them, so recall is
+   always measured, links whose ends share no shard included. Recall is the mean over vectors with links, by itself for those in
+   dense groups and for the others; the lower one counts. If it is below ``least_recall``, the shards are built anew with more
+   overlap, in the last round with all centroids of the label and no margin; if it is below even then, all vectors of a
+   label are compared with each other in blocks (a warning says so).
 
 A shard of more than ``max_block`` vectors is cut into blocks by hash, and each pair of blocks is a task of its own, so
-no task holds more than two blocks. Pairs of vectors are never emitted.
+no task holds more than two blocks. Pairs of vectors are never emitted, and in a task links are bits of a matrix, however dense a group is.
 
 Defined results: null ids are kept, with no links and a null component; null labels, and vectors that are null, empty,
 zero or hold null or non-finite components, link with nothing; vectors of different lengths don't link; rows of one id
@@ -117,10 +119,13 @@ def _expand(off, dst, q, node):
     return np.repeat(q, n), dst[C.ranges(off[node], n)]
 
 
-def search(x: np.ndarray, graph, queries: np.ndarray, threshold: float, slack: float) -> tuple[np.ndarray, np.ndarray]:
-    """(query, other) with cosine >= threshold that the graph search finds."""
+def near_rows(x: np.ndarray, graph, queries: np.ndarray, threshold: float, slack: float):
+    """(queries, others) in chunks: which vectors the graph search finds at a cosine >= threshold, as a matrix of flags.
+
+    Where a chunk's neighbourhoods turn out to be a good part of all vectors, following edges costs more than comparing: the chunk is compared with all.
+    """
     off, dst, medoid = graph
-    n, out_q, out_o = len(x), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    n = len(x)
     for a in range(0, len(queries), 256):
         ids = queries[a : a + 256]
         k = len(ids)
@@ -152,41 +157,89 @@ def search(x: np.ndarray, graph, queries: np.ndarray, threshold: float, slack: f
             beam_n, beam_s, open_ = (np.take_along_axis(v, top, 1) for v in (all_n, all_s, all_o))
         # Range expansion from what is near enough.
         seen[:] = False
-        seen[np.arange(k), ids] = True
         q, c = np.nonzero(beam_s >= threshold - slack)
-        o = beam_n[q, c]
-        q, o = np.concatenate((q, np.arange(k))), np.concatenate((o, ids))
+        q, o = np.concatenate((q, np.arange(k))), np.concatenate((beam_n[q, c], ids))
         seen[q, o] = True
         frontier = np.unique(q * n + o)
-        found = [frontier]
+        near = np.zeros((k, n), bool)
+        near[q, o] = np.einsum("id,id->i", x[ids[q]], x[o]) >= threshold
         while len(frontier):
+            if len(frontier) > k * max(32, n >> 6):
+                near = (x[ids] @ x.T) >= threshold
+                break
             q, o = _expand(off, dst, frontier // n, frontier % n)
             new = ~seen[q, o]
             code = np.unique(q[new] * n + o[new])
             q, o = code // n, code % n
             seen[q, o] = True
             s = np.concatenate([np.einsum("id,id->i", x[ids[q[b : b + 100_000]]], x[o[b : b + 100_000]]) for b in range(0, len(q), 100_000)] or [np.zeros(0)])
+            near[q, o] = s >= threshold
             frontier = code[s >= threshold - slack]
-            found.append(frontier)
-        code = np.concatenate(found)
-        q, o = code // n, code % n
-        s = np.concatenate([np.einsum("id,id->i", x[ids[q[b : b + 100_000]]], x[o[b : b + 100_000]]) for b in range(0, len(q), 100_000)] or [np.zeros(0)])
-        ok = (s >= threshold) & (ids[q] != o)
-        out_q.append(ids[q[ok]])
-        out_o.append(o[ok])
-    return np.concatenate(out_q), np.concatenate(out_o)
-
-
-def _roots(n: int, a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Smallest id of each node's component."""
-    low = ids.copy()
-    while len(a):
-        before = low.copy()
-        np.minimum.at(low, a, low[b])
-        np.minimum.at(low, b, low[a])
-        if (before == low).all():
-            break
-    return low
+        near[np.arange(k), ids] = False
+        yield ids, near
+
+
+def search(x: np.ndarray, graph, queries: np.ndarray, threshold: float, slack: float) -> tuple[np.ndarray, np.ndarray]:
+    """(query, other) with cosine >= threshold that the graph search finds, as pairs: for few vectors."""
+    parts = [(ids[q], o) for ids, near in near_rows(x, graph, queries, threshold, slack) for q, o in [np.nonzero(near)]]
+    return tuple(np.concatenate(p) if parts else np.zeros(0, np.int64) for p in (list(zip(*parts)) if parts else ((), ())))
+
+
+def compared(x: np.ndarray, threshold: float):
+    """The same by comparing all with all."""
+    for a in range(0, len(x), 256):
+        near = (x[a : a + 256] @ x.T) >= threshold
+        near[np.arange(len(near)), np.arange(a, a + len(near))] = False
+        yield np.arange(a, a + len(near)), near
+
+
+#: Rows of flags that are unpacked at once.
+FLAGS = 1024
+
+
+class Links:
+    """Links among n vectors as rows of bits, however dense: n * n / 8 bytes and no pairs."""
+
+    def __init__(self, n: int, chunks, apart: np.ndarray | None = None):
+        """chunks: as near_rows gives them; a link found from either end is one; apart: group numbers, only links between different ones count."""
+        self.n = n
+        self.bits = np.zeros((n, -(-n // 8)), np.uint8)
+        for ids, near in chunks:
+            self.bits[ids] = np.packbits(near, axis=1)
+        for a in range(0, n, FLAGS):
+            z = min(a + FLAGS, n)
+            near = self.rows(a, z) | np.unpackbits(self.bits[:, a >> 3 : -(-z >> 3)], axis=1, count=z - a).astype(bool).T
+            if apart is not None:
+                near &= apart[a:z, None] != apart[None, :]
+            self.bits[a:z] = np.packbits(near, axis=1)
+
+    def rows(self, a: int, z: int) -> np.ndarray:
+        return np.unpackbits(self.bits[a:z], axis=1, count=self.n).astype(bool)
+
+    def counts(self, times: np.ndarray, smaller: np.ndarray) -> np.ndarray:
+        """The vectors linked to each, with their times, but those that share a smaller shard (bits) with it."""
+        shared, out = np.unpackbits(smaller, axis=1).astype(np.float32), np.zeros(self.n, np.int64)
+        for a in range(0, self.n, FLAGS):
+            z = min(a + FLAGS, self.n)
+            near = self.rows(a, z)
+            if shared.shape[1]:
+                near &= (shared[a:z] @ shared.T) == 0
+            out[a:z] = near @ times
+        return out
+
+    def roots(self, real: np.ndarray) -> np.ndarray:
+        """The smallest number in each vector's component, by links between real vectors."""
+        low = np.arange(self.n, dtype=np.int32)
+        while True:
+            before = low.copy()
+            for a in range(0, self.n, FLAGS):
+                z = min(a + FLAGS, self.n)
+                near = self.rows(a, z) & real[None, :] & real[a:z, None]
+                if near.any():
+                    low[a:z] = np.minimum(low[a:z], np.where(near, low[None, :], self.n).min(1))
+            low = low[low]
+            if (low == before).all():
+                return low
 
 
 def _units(m: np.ndarray) -> np.ndarray:
@@ -217,16 +270,19 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
     sent = spark.sparkContext.broadcast(centroids)
     most = max([len(m) for m in centroids.values()], default=1)
     exact = _audited(own, n, threshold, audit_queries, shard_size)
-    if not any(exact.values()) and len(exact) < n:
-        warnings.warn(f"recall is not measured: none of {len(exact)} sampled vectors has links", RuntimeWarning, stacklevel=2)
+    probes = _probes(own, threshold, audit_queries)
+    exact |= _brute(own, probes.toArrow(), threshold)
+    searched = own.unionByName(probes)
 
     while True:
-        links, stars = _shards(own, sent, threshold, overlap, margin, slack, max_block)
-        recall = _recall(exact, {r.i: r.n for r in links.where(F.col("i").isin(list(exact))).collect()}, shard_size) if exact else 1.0
+        links, stars = _shards(searched, sent, threshold, overlap, margin, slack, max_block)
+        found = links.join(F.broadcast(spark.createDataFrame([(i,) for i in exact], "i bigint")), "i").collect()  # sampled vectors and probes
+        recall = _recall(exact, {r.i: r.n for r in found}, shard_size)
         if recall >= least_recall:
             break
         if overlap >= most and margin == np.inf:
-            warnings.warn(f"recall of links is {recall:.4f}, below {least_recall}, with all centroids", RuntimeWarning, stacklevel=2)
+            warnings.warn(f"recall of links is {recall:.4f}, below {least_recall}, with all centroids: all vectors of a label are compared", RuntimeWarning, stacklevel=2)
+            links, stars = _shards(own, spark.sparkContext.broadcast({}), threshold, 1, np.inf, slack, max_block, True)
             break
         overlap, margin = overlap * 2, margin * 2
         if overlap >= most:
@@ -240,6 +296,24 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
     return out.select(F.col("i").alias(id_col), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"), F.coalesce("component_id", "i").alias("component_id"), (F.col("i") == F.coalesce("component_id", "i")).alias("kept"))
 
 
+def _probes(own: DataFrame, threshold: float, size: int) -> DataFrame:
+    """Vectors (l, v, i, times 0) each a little nearer than the threshold to one of a hashed sample, with ids of their own: what the search must find, also where no sampled vector has links.
+
+    Their links count for them alone: with times 0 they add to no other's, and they join no components.
+    """
+    low, high = own.agg(F.min("i"), F.max("i")).first()
+    sample = own.orderBy(F.xxhash64("i", F.lit(31)), "i").limit(size).select("l", "v").toArrow()
+    rng, near, rows = np.random.default_rng(31), threshold + (1 - threshold) / 4, []
+    for label, v in zip(sample.column("l").to_pylist(), sample.column("v").to_pylist()):
+        if len(v) > 1:
+            u = _units(np.array([v]))[0]
+            w = rng.normal(size=len(v))
+            w -= (w @ u) * u
+            rows.append((label, (near * u + np.sqrt(1 - near * near) * w / np.sqrt(w @ w)).tolist()))
+    first = low - len(rows) if rows and low > -(1 << 63) + len(rows) else (high or 0) + 1
+    return own.sparkSession.createDataFrame([(label, v, first + k, 0) for k, (label, v) in enumerate(rows)], "l string, v array<double>, i bigint, times bigint")
+
+
 def _audited(own: DataFrame, n: int, threshold: float, size: int, dense: int) -> dict[int, int]:
     """Exact links of a hashed sample that has LINKED vectors with some, outside groups of more than dense links."""
     exact, done = {}, 0
@@ -310,8 +384,8 @@ def _smaller(shards, shard: int) -> np.ndarray:
     return bits
 
 
-def _shards(own: DataFrame, sent, threshold: float, overlap: int, margin: float, slack: float, max_block: int) -> tuple[DataFrame, DataFrame]:
-    """(i, n) links of each vector, and (i, root) stars."""
+def _shards(own: DataFrame, sent, threshold: float, overlap: int, margin: float, slack: float, max_block: int, exact: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(i, n) links of each vector, and (i, root) stars; exact: by comparing all vectors of a shard."""
 
     def assign(batches):
         for b in batches:
@@ -348,28 +422,24 @@ def _shards(own: DataFrame, sent, threshold: float, overlap: int, margin: float,
         off, dst, _ = build_graph(_units(np.array(t.column("v").to_pylist())))
         return pa.table({"node": pa.array(node, pa.int64()), "near": pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(node[dst], pa.int64()))})
 
-    graph = rows.groupBy(*keys, "p", "q").applyInArrow(build, "node bigint, near array<bigint>")
-    united = graph.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # lists of one vector, in the few shards it is in
+    if exact:
+        united = None
+    else:
+        graph = rows.groupBy(*keys, "p", "q").applyInArrow(build, "node bigint, near array<bigint>")
+        united = graph.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # lists of one vector, in the few shards it is in
 
     def one(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         t = t.combine_chunks().sort_by([("i", "ascending"), ("node", "ascending")])
         x = _units(np.array(t.column("v").to_pylist()))
         ids, times, block, node = (t.column(c).to_numpy() for c in ("i", "times", "block", "node"))
-        smaller = _smaller(t.column("shards"), key[2].as_py())
-        a, b = search(x, _local(node, t.column("near")) + (int(np.argmax(x @ x.mean(0))),), np.arange(len(x)), threshold, slack)
-        if key[3] != key[4]:
-            cross = block[a] != block[b]
-            a, b = a[cross], b[cross]
-        root = _roots(len(x), a, b, ids)
-        code = np.unique(np.minimum(a, b) * len(x) + np.maximum(a, b))
-        n, step = np.zeros(len(x)), max(1, (16 << 20) // max(1, smaller.shape[1]))
-        for c in range(0, len(code), step):
-            a, b = code[c : c + step] // len(x), code[c : c + step] % len(x)
-            here = ~(smaller[a] & smaller[b]).any(1)
-            a, b = a[here], b[here]
-            n += np.bincount(a, times[b], len(x)) + np.bincount(b, times[a], len(x))
-        return pa.table({"i": pa.array(ids, pa.int64()), "root": pa.array(root, pa.int64()), "n": pa.array(n.astype(np.int64), pa.int64())})
-
-    rows = rows.join(united, "node")
+        if exact:
+            chunks = compared(x, threshold)
+        else:
+            chunks = near_rows(x, _local(node, t.column("near")) + (int(np.argmax(x @ x.mean(0))),), np.arange(len(x)), threshold, slack)
+        links = Links(len(x), chunks, block if key[3] != key[4] else None)
+        n, root = links.counts(times, _smaller(t.column("shards"), key[2].as_py())), ids[links.roots(times > 0)]
+        return pa.table({"i": pa.array(ids, pa.int64()), "root": pa.array(root, pa.int64()), "n": pa.array(n, pa.int64())})
+
+    rows = rows if exact else rows.join(united, "node")
     found = C.written(rows.groupBy(*keys, "p", "q").applyInArrow(one, "i bigint, root bigint, n bigint"), "vector-links")
     return found.groupBy("i").agg(F.sum("n").alias("n")), found.where("i <> root").select("i", "root")
