@@ -7,8 +7,9 @@ from itertools import accumulate
 import pytest
 from pyspark.sql import functions as F
 
+from tests.test_walks import walk_by_force
 from tokenweave import MarkovModel
-from tokenweave.operators import generate, overlap
+from tokenweave.operators import chain, generate, overlap
 from tokenweave.operators.generate import Limits
 from tokenweave.plans import queries
 
@@ -154,6 +155,28 @@ def test_queries_over_documents(spark, tmp_path):
     made = lambda name: {x.walk_id: x.sentence for x in queries.QUERIES[name](spark, str(tmp_path)).collect()}
     assert made("make_sentence_documents") == {i: first(i, lambda w: not bad(w)) for i in range(50)}
     assert made("make_short_mapped_documents") == {i: first(i, lambda w: 30 <= len(" ".join(w)) <= 80) for i in range(50)}
+    bounded = {i: [walk(i, a) for a in range(5)] for i in range(50)}
+    assert made("make_sentence_bounded_documents") == {i: next((" ".join(w) for w in bounded[i] if 8 <= len(w) <= 16 and not bad(w)), None) for i in range(50)}
+    assert made("make_short_sentence_documents") == {i: first(i, lambda w: 20 <= len(" ".join(w)) <= 60 and not bad(w)) for i in range(50)}
+    assert made("make_sentence_mapped_documents") == {i: first(i, lambda w: len(w) <= 12) for i in range(50)}
+    grams = {(x.walk_id, x.i): x.gram for x in queries.QUERIES["overlap_grams_documents"](spark, str(tmp_path)).collect()}
+    over = lambda w: min(15, int(len(w) * 0.7 + 0.5))
+    assert grams == {(n, i): " ".join(w[i : i + over(w) + 1]) for n in range(queries.WALKS) for w in [walk(n, 0)] for i in range(max(len(w) - over(w), 1))}
+    assert {x.walk_id: x.rejected for x in queries.QUERIES["overlap_positions_documents"](spark, str(tmp_path)).collect()} == got
+    rows1 = [([chain.BEGIN if s == "" else s], chain.END if f == "\0" else f, n) for s, fs in model.items() for f, n in fs.items()]
+    said = {x.walk_id: (x.sentence, x.status) for x in queries.QUERIES["walk_mapped_documents"](spark, str(tmp_path)).collect()}
+    assert said == {i: (" ".join(w), s) for i in range(queries.WALKS) for w, s in [walk_by_force(rows1, 1, queries.TEMPERATURE, queries.SEED, i, 0, None, 1000)]}
+    pairs = collections.Counter((tuple(it[i : i + 2]), it[i + 2]) for w in runs for it in [[chain.BEGIN] * 2 + w + [chain.END]] for i in range(len(w) + 1))
+    rows2 = [(list(s), f, n) for (s, f), n in pairs.items()]
+    tried = lambda i, a, init: walk_by_force(rows2, 2, 1.0, queries.SEED, i, a, init, 1000)
+    strict = next((" ".join(["The", *w]) for w, s in (tried(0, a, [chain.BEGIN, "The"]) for a in range(10)) if s == "end"), None)
+    assert queries.QUERIES["start_strict_documents"](spark, str(tmp_path)).first().sentence == strict is not None
+    order = sorted({s for s, _, _ in map(lambda r: (tuple(r[0]), r[1], r[2]), rows2) if [x for x in s if x != chain.BEGIN][:1] == ["the"]}, key=lambda s: hashlib.md5(f"{queries.SEED}:{' '.join(s)}".encode()).hexdigest())
+    loose = None
+    for i, state in enumerate(order):
+        prefix = [x for x in state if x != chain.BEGIN]
+        loose = loose or next((" ".join(prefix + w) for w, s in (tried(i, a, list(state)) for a in range(3)) if s == "end" and len(prefix + w) <= 12), None)
+    assert queries.QUERIES["start_loose_documents"](spark, str(tmp_path)).first().sentence == loose is not None
     ranks = {x.state: x.rank for x in queries.QUERIES["start_candidates_documents"](spark, str(tmp_path)).collect()}
     states = sorted({f"the {w[i + 1]}" for w in runs for i in range(len(w) - 1) if w[i] == "the"} | {"___BEGIN__ the" for w in runs if w[0] == "the"}, key=lambda s: hashlib.md5(f"{queries.SEED}:{s}".encode()).hexdigest())
     assert ranks == {s: k for k, s in enumerate(states)}

@@ -113,3 +113,12 @@ def test_merge_of_batches(spark):
     df = [spark.createDataFrame([(s.split(),)], "words array<string>") for s in ("a b", "a c")]
     merged = train.merge_batch(train.merge_batch(None, train.sentence_counts(df[0], 1)), train.sentence_counts(df[1], 1))
     assert rows(merged) == rows(train.sentence_counts(df[0].union(df[1]), 1))
+
+
+def test_json_elements_are_told_apart_by_their_strings(spark):
+    rows = [(["a],{", "b"], "x", 1), (["\\", '"],{"'], '"}', 2), (["[", "]"], "[]{}", 3), (["", "\n\u2028"], ",{", 4), (["é😀\\\"", "{"], "y", 5)]
+    df = spark.createDataFrame(rows, "state array<string>, follow string, n bigint")
+    back = json_model.from_rows(json_model.to_rows(df))
+    assert sorted((r.state, r.follow, r.n) for r in back.collect()) == sorted(rows)
+    loose = spark.createDataFrame([(' [ [ "p" , "q]" ] , { "r" : 7 , "s" : 8 } ] ',)], "json string")
+    assert sorted((r.state, r.follow, r.n) for r in json_model.from_rows(loose).collect()) == [(["p", "q]"], "r", 7), (["p", "q]"], "s", 8)]

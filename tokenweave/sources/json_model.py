@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenweave.operators import chain
@@ -17,11 +17,18 @@ def to_rows(model: DataFrame) -> DataFrame:
     return nested.select("state", F.concat(F.lit("["), F.to_json("state"), F.lit(","), F.to_json("followers"), F.lit("]")).alias("json"))
 
 
+#: An element of the chain array: its list of words, whose strings may hold brackets and escapes, and its object.
+ELEMENT = r'^\s*\[\s*(\[(?:[^"\[\]]*+"(?:[^"\\]++|\\.)*+")*+[^"\[\]]*+\])\s*,\s*(?=\{)(.*)\]\s*$'
+
+
+def _pair(element: Column) -> Column:
+    """struct<s, m>: the state and the followers of an element, parsed at once; an element of another shape is null."""
+    return F.from_json(F.regexp_replace(element, "(?s)" + ELEMENT, '{"s":$1,"m":$2}'), "s array<string>, m map<string,bigint>")
+
+
 def from_rows(rows: DataFrame, json_col: str = "json") -> DataFrame:
     """The model of rows that are elements of the chain array."""
-    parts = F.from_json(json_col, "array<string>")
-    pair = rows.select(F.from_json(parts[0], "array<string>").alias("state"), F.from_json(parts[1], "map<string,bigint>").alias("m"))
-    return pair.select("state", F.explode("m").alias("follow", "n"))
+    return rows.select(_pair(F.col(json_col)).alias("p")).select(F.col("p.s").alias("state"), F.explode("p.m").alias("follow", "n"))
 
 
 def model_json(model: MarkovModel) -> DataFrame:
@@ -34,11 +41,11 @@ def model_json(model: MarkovModel) -> DataFrame:
 def parse_json(docs: DataFrame, json_col: str = "json") -> DataFrame:
     """(state_size, temperature, state, follow, n): documents' transitions; state_size is the first state's length and a
     missing temperature is 1."""
-    doc = docs.select(F.from_json(json_col, "temperature double, chain array<array<string>>").alias("d"))
-    first = F.size(F.from_json(F.get(F.get("d.chain", F.lit(0)), F.lit(0)), "array<string>"))
+    doc = docs.select(F.from_json(json_col, "temperature double, chain array<string>").alias("d"))
+    first = F.size(_pair(F.get("d.chain", F.lit(0)))["s"])
     flat = doc.select(first.alias("state_size"), F.coalesce("d.temperature", F.lit(1.0)).alias("temperature"), F.explode("d.chain").alias("c"))
-    pair = flat.select("state_size", "temperature", F.from_json(F.col("c")[0], "array<string>").alias("state"), F.from_json(F.col("c")[1], "map<string,bigint>").alias("m"))
-    return pair.select("state_size", "temperature", "state", F.explode("m").alias("follow", "n"))
+    pair = flat.select("state_size", "temperature", _pair(F.col("c")).alias("p"))
+    return pair.select("state_size", "temperature", F.col("p.s").alias("state"), F.explode("p.m").alias("follow", "n"))
 
 
 def save(model: MarkovModel, path: str) -> None:
