@@ -1,3 +1,4 @@
+import random
 import struct
 
 import pytest
@@ -122,3 +123,26 @@ def test_json_elements_are_told_apart_by_their_strings(spark):
     assert sorted((r.state, r.follow, r.n) for r in back.collect()) == sorted(rows)
     loose = spark.createDataFrame([(' [ [ "p" , "q]" ] , { "r" : 7 , "s" : 8 } ] ',)], "json string")
     assert sorted((r.state, r.follow, r.n) for r in json_model.from_rows(loose).collect()) == [(["p", "q]"], "r", 7), (["p", "q]"], "s", 8)]
+
+
+def test_mapped_file_in_parallel_is_byte_equal(spark, tmp_path):
+    from tokenweave.sources import mapped
+
+    r = random.Random(9)
+    words = ["a", "b c", "é", "\uffee", "😀", "zz", "", "\ue000x"]
+    runs = [([r.choice(words) for _ in range(r.randrange(0, 9))],) for _ in range(300)]
+    m = MarkovModel.from_sentences(spark.createDataFrame(runs, "words array<string>").repartition(5), 2, temperature=1.5)
+    path = str(tmp_path / "m.bin")
+    size = mapped.save(m, "file://" + path)
+    raw = open(path, "rb").read()
+    assert len(raw) == size and raw == files.encode_mapped(files.states_of(m.transitions), 2, 1.5)
+    want = sorted((x.state, x.follow, x.n) for x in m.transitions.collect())
+    for states in (7, 10_000):
+        back = mapped.load(spark, path, states)
+        assert (back.state_size, back.temperature) == (2, 1.5)
+        assert sorted((x.state, x.follow, x.n) for x in back.transitions.collect()) == want
+    assert back.transitions.rdd.getNumPartitions() == 1 and mapped.load(spark, path, 7).transitions.rdd.getNumPartitions() > 5
+    mapped.save(MarkovModel(m.transitions.limit(0), 3), path)
+    assert open(path, "rb").read() == files.encode_mapped([], 3, 1.0) and mapped.load(spark, path).transitions.count() == 0
+    with pytest.raises(ValueError):
+        mapped.save(m, "s3://bucket/x")

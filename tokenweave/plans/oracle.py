@@ -191,6 +191,7 @@ SELECT id AS run, pos, 'w' || i AS word FROM r JOIN c ON {roll(42, "id", "pos")}
 }
 SQL |= {f"transitions_k{k}": f"SELECT doc_id, pos, i, array_to_string(state, ' ') AS state, follow FROM ({transitions(DOCS, k)})" for k in (1, 2, 3)}
 SQL["walk_int_ids"] = SQL["walk_csr"] = SQL["walk_travel"] = SQL["walk_begin"]
+SQL["mapped_file_documents"] = flat(model(DOCS, 2))
 SQL["walk_sql"] = SQL["walk_mapped"]
 SQL["vocab_by_sight"] = f"""
 SELECT word, row_number() OVER (ORDER BY first) + 1 AS word_id FROM (SELECT word, min([doc_id, pos, i]) AS first FROM (SELECT doc_id, pos, unnest(range(0, len(w))) AS i, unnest(w) AS word FROM ({DOCS})) GROUP BY word)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tokenweave.functions import tokenize as T
 from tokenweave.operators import algebra, chain, generate, overlap, sampling, walk
 from tokenweave.plans.model import MarkovModel
-from tokenweave.sources import files, json_model, tables, zipf
+from tokenweave.sources import files, json_model, mapped, tables, zipf
 from tokenweave.sources.shared import new_path, written
 from tokenweave.streaming import train
 
@@ -458,6 +458,13 @@ def mapped_roundtrip(spark, sf_dir):
     return flat(files.transitions_of(_blob(spark, benchmark_model(spark, sf_dir, 2), True)))
 
 
+def mapped_file_documents(spark, sf_dir):
+    """The corpus' model through the random-access file, written and read by many tasks."""
+    path = new_path(spark, "mapped-file")
+    mapped.save(MarkovModel(model(spark, sf_dir, 2), 2, TEMPERATURE), path)
+    return flat(mapped.transitions(spark, path, 20_000))
+
+
 # ---- streams and synthetic data
 
 
@@ -481,7 +488,7 @@ QUERIES = {f.__name__: f for f in (
     chain_events_k1, chain_orders_k2, followers_nested, follower_lookup, state_stats, begin_followers, successor_states, state_repr, model_totals, vocab_encode,
     model_int_ids, walk_int_ids, csr_rows, model_packed, walk_csr, walk_travel, walk_sql, vocab_by_sight, followers_by_sight, state_segments, start_candidates_indexed, start_loose_saved, overlap_positions, overlap_positions_documents, source_chunks, combine_sources, prune_2, prune_removed, dangling_after_prune, weights_t1_5, move_grid, move_missing, walk_begin, walk_from_state, walk_mapped,
     make_sentence, make_sentence_bounded, make_short_sentence, make_sentence_mapped, make_short_mapped, start_candidates, start_strict, start_loose, overlap_grams,
-    overlap_reject, source_rejoined, json_roundtrip, json_model_meta, mapped_state_lookup, binary_roundtrip, mapped_roundtrip, stream_equals_batch, zipf_corpus,
+    overlap_reject, source_rejoined, json_roundtrip, json_model_meta, mapped_state_lookup, binary_roundtrip, mapped_roundtrip, mapped_file_documents, stream_equals_batch, zipf_corpus,
 )}
 QUERIES |= {f"transitions_k{k}": partial(transitions_k, k) for k in (1, 2, 3)} | {f"model_k{k}": partial(model_k, k) for k in (1, 2, 3)}
 QUERIES |= {"combine_default": partial(combine_with, None), "combine_weighted": partial(combine_with, [1.0, 2.0]), "combine_fractional": partial(combine_with, [0.5, 1.5])}
