@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tokenweave.sources.shared import written
+from tokenweave.sources.shared import running_sums, written
 
 #: The sentinels around a run.
 BEGIN, END = "___BEGIN__", "___END__"
@@ -103,7 +103,7 @@ def ranked(df: DataFrame, col: str, out: str) -> DataFrame:
     local = parts.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(col)))
     sizes = local.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
     before = sizes.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
-    return local.join(before, "__p").withColumn(out, F.col("__b") + F.col("__r") - 1).drop("__p", "__r", "__b")
+    return local.join(F.broadcast(before), "__p").withColumn(out, F.col("__b") + F.col("__r") - 1).drop("__p", "__r", "__b")
 
 
 def vocabulary(model: DataFrame) -> DataFrame:
@@ -191,9 +191,5 @@ def csr(encoded: DataFrame, weight=None) -> DataFrame:
     if weight is not None:
         upto = F.sum(weight(F.col("n")).cast("double")).over(Window.partitionBy("key").orderBy("follow_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
         encoded, entry = encoded.withColumn("cum", upto), [*entry, "cum"]
-    rows = encoded.groupBy("key").agg(F.array_sort(F.collect_list(F.struct(*entry))).alias("followers"))
-    rows = ranked(rows.withColumn("degree", F.size("followers").cast("bigint")), "key", "state_id")
-    parts = rows.withColumn("__b", F.expr("state_id div 65536"))
-    sums = parts.groupBy("__b").agg(F.sum("degree").alias("__n")).withColumn("__s", F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inner = F.coalesce(F.sum("degree").over(Window.partitionBy("__b").orderBy("state_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return parts.withColumn("__i", inner).join(sums.select("__b", "__s"), "__b").withColumn("row_start", F.col("__s") + F.col("__i")).drop("__b", "__i", "__s")
+    rows = encoded.groupBy("key").agg(F.array_sort(F.collect_list(F.struct(*entry))).alias("followers")).withColumn("degree", F.size("followers").cast("bigint"))
+    return running_sums(rows.withColumn("__one", F.lit(1).cast("bigint")), ["key"], {"__one": "state_id", "degree": "row_start"}, "rows").drop("__one")

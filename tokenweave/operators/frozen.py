@@ -46,6 +46,25 @@ def row_sums(weights: np.ndarray, start: np.ndarray) -> np.ndarray:
     return out
 
 
+def row_order(hi: np.ndarray, lo: np.ndarray, follow: np.ndarray) -> np.ndarray:
+    """Order by (hi, lo, follow). One of hi and lo mostly tells all: digests differ in hi, small packed states have hi 0."""
+    first, second = (lo, hi) if len(hi) and (hi == hi[0]).all() else (hi, lo)
+    order = np.argsort(follow, kind="stable")
+    order = order[np.argsort(first[order], kind="stable")]
+    a, b = first[order], second[order]
+    return order if not ((a[1:] == a[:-1]) & (b[1:] != b[:-1])).any() else np.lexsort((follow, lo, hi))
+
+
+def halves(digests: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Two positive integers from 16-byte digests."""
+    if isinstance(digests, pa.ChunkedArray):
+        digests = digests.combine_chunks()
+    off = np.frombuffer(digests.buffers()[1], np.int32)[digests.offset :][: len(digests) + 1] if len(digests) else np.zeros(1, np.int32)
+    raw = np.frombuffer(digests.buffers()[2], ">u8", count=2 * len(digests), offset=int(off[0])) if len(digests) else np.zeros(0, ">u8")
+    both = (raw.astype(np.uint64) >> np.uint64(1)).astype(np.int64).reshape(-1, 2)
+    return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
+
+
 class Frozen:
     """The payload of the broadcast walker. words: the words by id, or None where ids are what is wanted."""
 
@@ -55,7 +74,7 @@ class Frozen:
     @staticmethod
     def build(hi, lo, follow, n, next_hi, next_lo, end, power: float, words=None) -> Frozen:
         """From one entry a transition, in any order: the state's and its successor's keys, the follower's id (in the order in which followers are summed) and count."""
-        order = np.lexsort((follow, lo, hi))
+        order = row_order(hi, lo, follow)
         hi, lo, follow, n = hi[order], lo[order], follow[order], n[order]
         new = np.flatnonzero(np.concatenate(([True], (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])))) if len(hi) else np.zeros(0, np.int64)
         start = np.append(new, len(hi)).astype(np.int64)
@@ -72,10 +91,16 @@ class Frozen:
 
     def rows(self, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
         """The row of each state, LACKS if there is none."""
-        a, z = np.searchsorted(self.hi, hi, "left"), np.searchsorted(self.hi, hi, "right")
-        at = bisect(self.lo, a, z, lo, False)
-        found = at < z
-        found[found] = self.lo[at[found]] == lo[found]
+        first, second, q, q2 = (self.hi, self.lo, hi, lo) if len(self.hi) and self.hi[0] != self.hi[-1] else (self.lo, self.hi, lo, hi)
+        order = np.argsort(q)  # in order, the search stays in the cache
+        at = np.empty(len(q), np.int64)
+        at[order] = np.searchsorted(first, q[order], "left")
+        if len(first) and (first[1:] == first[:-1]).any():  # several states share the first integer
+            z = np.empty(len(q), np.int64)
+            z[order] = np.searchsorted(first, q[order], "right")
+            at = bisect(second, at, z, q2, False)
+        found = at < len(first)
+        found[found] = (first[at[found]] == q[found]) & (second[at[found]] == q2[found])
         return np.where(found, at, LACKS)
 
     def run(self, seed: int, walk_id: np.ndarray, attempt: np.ndarray, row: np.ndarray, step: np.ndarray, max_steps: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

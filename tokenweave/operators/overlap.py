@@ -27,7 +27,7 @@ def chunks(runs: DataFrame, size: int, carry: int, order: tuple[str, ...] = ("do
     if size < 1 or carry < 0:
         raise ValueError("a chunk has at least one character, and carry is not negative")
     lines = runs.select(*order, F.concat(F.array_join("words", " "), F.lit(" ")).alias("s")).withColumn("n", F.length("s").cast("bigint"))
-    placed = running_sums(lines, list(order), "n", "at", "chunk-places")
+    placed = running_sums(lines, list(order), {"n": "at"}, "chunk-places")
     last = F.expr(f"(at + n - 1 + {carry}) div {size}")
     total = placed.agg(F.max(F.col("at") + F.col("n"))).first()[0] or 0
     parts = placed.withColumn("chunk", F.explode(F.sequence(F.expr(f"at div {size}"), F.least(last, F.lit((total - 1) // size if total else 0).cast("bigint")))))

@@ -86,3 +86,11 @@ def move(rolls: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:
     t = table.select(F.col("state").alias("__s"), "follow", "lo", "hi", "total")
     x = F.col("u") * F.col("total")
     return rolls.join(t, (F.col("state") == F.col("__s")) & (x >= F.col("lo")) & (x < F.col("hi")), how).drop("__s", "lo", "hi", "total")
+
+
+def move_all(model: DataFrame, rolls: list[float], temperature: float = 1.0) -> DataFrame:
+    """(state, u, follow): what each of some fixed rolls picks in every state, within the rows of segments and without a join."""
+    grid = segments(model, temperature).withColumn("u", F.explode(F.array(*[F.lit(float(u)) for u in rolls])))
+    x = F.col("u") * F.col("total")
+    at = F.size(F.filter("his", lambda h: h <= x)) + 1
+    return grid.where((x >= F.col("lo")) & (x < F.col("hi"))).select("state", "u", F.element_at("follows", at).alias("follow"))

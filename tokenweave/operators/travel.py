@@ -39,10 +39,10 @@ LIVE = "walk_id bigint, attempt int, words array<string>, status string, state a
 
 
 def _digest(state: list[str]) -> tuple[str, int, int]:
-    """A state's key and the two integers of its digest, as the columns chain.state_key and walk.digests have them."""
+    """A state's key and the two integers of its digest, as chain.state_key and frozen.halves have them."""
     key = " ".join(map(escaped, state))
-    d = hashlib.md5(key.encode()).hexdigest()
-    return key, int(d[:15], 16), int(d[15:30], 16)
+    d = hashlib.md5(key.encode()).digest()
+    return key, int.from_bytes(d[:8], "big") >> 1, int.from_bytes(d[8:], "big") >> 1
 
 
 class Ranges:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenweave.operators.chain import BEGIN, END, PACKED_BITS, id_bits, packed, shift, state_key
-from tokenweave.operators.frozen import Frozen
+from tokenweave.operators.frozen import Frozen, halves, row_order
 from tokenweave.operators.sampling import cdf, move, roll
 from tokenweave.operators.travel import ranges, travel_walk
 from tokenweave.sources.shared import written
@@ -49,17 +49,15 @@ def payload_bytes(model: DataFrame) -> int:
     return ENTRY_BYTES * row.n + row.w
 
 
-def digests(state: Column, hi: str, lo: str) -> list[Column]:
-    """Two integers of 60 bits from a state's digest."""
-    d = F.md5(state_key(state))
-    return [F.conv(F.substring(d, at, 15), 16, 10).cast("bigint").alias(name) for name, at in ((hi, 1), (lo, 16))]
+def digest(state: Column) -> Column:
+    """16 bytes by which a state is known in a frozen model (frozen.halves)."""
+    return F.unhex(F.md5(state_key(state)))
 
 
 def freeze(model: DataFrame, k: int, temperature: float = 1.0, end: str = END) -> Frozen:
     """The payload of a model of words, whose size is to be checked before; states are known by their digests."""
     state, after = F.col("state"), shift(F.col("state"), F.col("follow"), k)
-    rows = model.select(*digests(state, "hi", "lo"), "follow", F.col("n").cast("bigint").alias("n"), *digests(after, "next_hi", "next_lo")).toArrow().combine_chunks()
-    get = lambda c: rows.column(c).to_numpy()
+    rows = model.select(digest(state).alias("d"), "follow", F.col("n").cast("bigint").alias("n"), digest(after).alias("next")).toArrow()
     if not rows.num_rows:
         none = np.zeros(0, np.int64)
         return Frozen(none, none, np.zeros(1, np.int64), none, np.zeros(0), none, pa.array([], pa.string()))
@@ -69,7 +67,7 @@ def freeze(model: DataFrame, k: int, temperature: float = 1.0, end: str = END) -
     rank[order] = np.arange(len(order), dtype=np.int32)
     words = coded.dictionary.take(pa.array(order))
     at = pc.index(words, end).as_py()
-    return Frozen.build(get("hi"), get("lo"), rank[np.asarray(coded.indices)], get("n"), get("next_hi"), get("next_lo"), at, 1.0 / temperature, words)
+    return Frozen.build(*halves(rows.column("d")), rank[np.asarray(coded.indices)], rows.column("n").to_numpy(), *halves(rows.column("next")), at, 1.0 / temperature, words)
 
 
 def freeze_ids(encoded: DataFrame, k: int, bits: int, end_id: int, temperature: float = 1.0) -> Frozen:
@@ -79,13 +77,14 @@ def freeze_ids(encoded: DataFrame, k: int, bits: int, end_id: int, temperature:
 
 
 def frozen_walk(requests: DataFrame, frozen: Frozen | Broadcast, seed: int, max_steps: int, keys: list[Column], words: str = "string") -> DataFrame:
-    """Walks of requests through a broadcast frozen model; keys: the two integers of a request's first state."""
+    """Walks of requests through a broadcast frozen model; keys: the digest of a request's first state, or the two integers of a packed one."""
     sent = frozen if isinstance(frozen, Broadcast) else requests.sparkSession.sparkContext.broadcast(frozen)
 
     def go(batches):
         table = sent.value
         for b in batches:
-            ids, attempt, hi, lo = (np.asarray(b.column(i)) for i in range(4))
+            ids, attempt = np.asarray(b.column(0)), np.asarray(b.column(1))
+            hi, lo = halves(b.column(2)) if b.num_columns == 3 else (np.asarray(b.column(2)), np.asarray(b.column(3)))
             yield table.walk(seed, ids, attempt, table.rows(hi, lo), max_steps)
 
     return requests.select("walk_id", "attempt", *keys).mapInArrow(go, SCHEMA.format(words))
@@ -94,7 +93,7 @@ def frozen_walk(requests: DataFrame, frozen: Frozen | Broadcast, seed: int, max_
 def broadcast_walk(requests: DataFrame, model: DataFrame, k: int, temperature: float, seed: int, max_steps: int, begin=BEGIN, end=END) -> DataFrame:
     first = F.coalesce("init", F.array_repeat(F.lit(begin), k))
     if word_type(model) == "string":
-        return frozen_walk(requests, freeze(model, k, temperature, end), seed, max_steps, digests(first, "hi", "lo"))
+        return frozen_walk(requests, freeze(model, k, temperature, end), seed, max_steps, [digest(first)])
     bits = id_bits(model.agg(F.max(F.greatest("follow", F.array_max("state")))).first()[0] or 0)
     if k * bits > PACKED_BITS:
         raise ValueError(f"{k} ids of {bits} bits don't fit into two integers")
@@ -112,7 +111,7 @@ def csr_walk(requests: DataFrame, rows: DataFrame, k: int, begin_id: int, end_id
     got = packed(entries, k, bits).select("state_id", "hi", "lo", "follow_id", "cum", "next_hi", "next_lo").toArrow()
     get = {c: got.column(c).to_numpy() for c in got.column_names}
     frozen = Frozen.build(get["hi"], get["lo"], get["follow_id"], np.ones(len(get["hi"])), get["next_hi"], get["next_lo"], end_id, 1.0)
-    order = np.lexsort((get["follow_id"], get["lo"], get["hi"]))
+    order = row_order(get["hi"], get["lo"], get["follow_id"])
     frozen.cum = get["cum"][order]  # as the rows have them
     asked = packed(requests.select("walk_id", "attempt", F.array_repeat(F.lit(begin_id).cast("bigint"), k).alias("key")), k, bits)
     return frozen_walk(asked, frozen, seed, max_steps, [F.col("hi"), F.col("lo")], "bigint")
@@ -123,12 +122,12 @@ def register(spark, name: str, model: DataFrame, k: int, temperature: float = 1.
     if payload_bytes(model) > BROADCAST_BYTES:
         raise ValueError(f"a model of more than {BROADCAST_BYTES} bytes can't be broadcast")
     sent = spark.sparkContext.broadcast(freeze(model, k, temperature))
-    begin = spark.range(1).select(*digests(F.array_repeat(F.lit(BEGIN), k), "hi", "lo")).first()
+    begin = halves(spark.range(1).select(digest(F.array_repeat(F.lit(BEGIN), k)).alias("d")).toArrow().column("d"))
 
     class Walks:
         def eval(self, first: int, n: int, seed: int):
             table = sent.value
-            row = table.rows(np.array([begin.hi]), np.array([begin.lo]))
+            row = table.rows(*begin)
             for i in range(first, first + n, 1024):
                 ids = np.arange(i, min(i + 1024, first + n))
                 got = table.walk(seed, ids, np.zeros(len(ids), np.int32), np.repeat(row, len(ids)), max_steps)
@@ -308,7 +307,7 @@ def walker(model: DataFrame, k: int, temperature: float = 1.0, seed: int = 0, ma
         if ready["way"] == "broadcast":
             if "frozen" not in ready:
                 ready["frozen"] = model.sparkSession.sparkContext.broadcast(freeze(model, k, temperature))
-            return frozen_walk(asked, ready["frozen"], seed, max_steps, digests(F.coalesce("init", F.array_repeat(F.lit(BEGIN), k)), "hi", "lo"))
+            return frozen_walk(asked, ready["frozen"], seed, max_steps, [digest(F.coalesce("init", F.array_repeat(F.lit(BEGIN), k)))])
         if ready["way"] == "travel":
             if "ranges" not in ready:
                 ready["ranges"] = ranges(model, k, temperature)

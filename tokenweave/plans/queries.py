@@ -257,9 +257,7 @@ def cdf_t(t: float, spark, sf_dir):
 
 def move_grid(spark, sf_dir):
     """Every state of the model meets four fixed rolls."""
-    m = written(sampling.cdf(model(spark, sf_dir, 2), 1.0), "cdf")
-    rolls = m.select("state").distinct().withColumn("u", F.explode(F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.999)))))
-    return sampling.move(rolls, m).select(F.array_join("state", " ").alias("state"), "u", "follow")
+    return sampling.move_all(model(spark, sf_dir, 2), [0.0, 0.25, 0.5, 0.999]).select(F.array_join("state", " ").alias("state"), "u", "follow")
 
 
 def move_missing(spark, sf_dir):

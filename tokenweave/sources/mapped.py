@@ -54,7 +54,7 @@ def save(model: MarkovModel, path: str) -> int:
     m = written(model.transitions.select("state", "follow", F.col("n").cast("bigint").alias("n")), "model")
     words = m.select(F.explode(F.array_append("state", F.col("follow"))).alias("word")).distinct()
     words = words.withColumn("o", F.encode("word", "UTF-16BE")).withColumn("size", F.octet_length("word").cast("bigint"))
-    words = written(chain.ranked(running_sums(words, ["o"], "size", "start", "word-places"), "o", "rank"), "words")
+    words = written(running_sums(words.withColumn("one", F.lit(1)), ["o"], {"size": "start", "one": "rank"}, "word-places"), "words")
     rows = written(chain.csr(chain.encode(m, words.select("word", F.col("rank").alias("word_id")), k)), "states")
     n_words, data = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     n_states, n_followers = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("degree"), F.lit(0))).first()

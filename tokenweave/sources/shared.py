@@ -32,10 +32,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def running_sums(df: DataFrame, order: list[str], value: str, out: str, name: str = "running") -> DataFrame:
-    """df with out, the sum of value over all rows before in the given order (a total order), by range partitions and carried sums; no task sorts all rows."""
+def running_sums(df: DataFrame, order: list[str], sums: dict[str, str], name: str = "running") -> DataFrame:
+    """df with the sums of columns over all rows before in the given order (a total order), as sums names them: by range partitions and carried sums, so no task sorts all rows."""
     parts = written(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()), name)  # partition numbers differ between two runs of a plan
-    local = Window.partitionBy("__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    sums = parts.groupBy("__p").agg(F.sum(value).alias("__s"))  # one row a partition
-    before = sums.select("__p", F.coalesce(F.sum("__s").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
-    return parts.withColumn("__l", F.coalesce(F.sum(value).over(local), F.lit(0))).join(F.broadcast(before), "__p").withColumn(out, F.col("__b") + F.col("__l")).drop("__p", "__l", "__b")
+    by = Window.partitionBy("__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    every = parts.groupBy("__p").agg(*[F.sum(c).alias(f"__s_{c}") for c in sums])  # one row a partition
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    carried = every.select("__p", *[F.coalesce(F.sum(f"__s_{c}").over(before), F.lit(0)).alias(f"__b_{c}") for c in sums])
+    out = parts.withColumns({f"__l_{c}": F.coalesce(F.sum(c).over(by), F.lit(0)) for c in sums}).join(F.broadcast(carried), "__p")
+    return out.withColumns({to: F.col(f"__b_{c}") + F.col(f"__l_{c}") for c, to in sums.items()}).drop("__p", *[f"__{x}_{c}" for x in "bl" for c in sums])
