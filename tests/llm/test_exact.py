@@ -348,6 +348,18 @@ def test_license_scan(spark):
         licenses.license_scan(docs_of(spark, texts), templates={"x": ["one"]})
 
 
+def test_license_texts(spark, tmp_path):
+    names, texts = zip(*[(k, t) for k, ts in licenses.TEMPLATES.items() for t in ts])
+    assert len(set(names)) >= 25 and max(len(t.split()) for t in texts) > 200
+    assert all(len(licenses.normalise(t).split()) > 4 for t in texts)
+    whole = [f"Copyright 2020 somebody\n\n{t}" for t in texts] + list(texts)
+    got = licenses.license_scan(docs_of(spark, whole)).orderBy("doc_id").collect()
+    assert [(r.license, r.score, r.n_units) for r in got] == [licenses_by_force(t, licenses.TEMPLATES, 0.8) for t in whole]
+    assert [r.license for r in got[len(texts) :]] == list(names) and {r.score for r in got[len(texts) :]} == {1.0}
+    (tmp_path / "t").write_text("# remark\n== A-1\none two three\n--\nfour five\n== B\nsix seven\n")
+    assert licenses.read_templates(str(tmp_path / "t")) == {"A-1": ["one two three", "four five"], "B": ["six seven"]}
+
+
 # ---- embeddings
 
 

@@ -16,6 +16,7 @@ rows give repeated results, and rows of one id with different texts are scored a
 
 from __future__ import annotations
 
+import os
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 MAX_TEMPLATE_BIGRAMS = 200_000
 
-#: Short license notices and license texts, by SPDX identifier.
+#: Short license notices and license texts, by SPDX identifier; longer ones are in license_texts.txt.
 TEMPLATES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."],
     "BSD-2-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."],
@@ -35,6 +36,21 @@ TEMPLATES = {
     "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
 }
+
+
+def read_templates(path: str) -> dict[str, list[str]]:
+    """Texts by license of a template file: "== ID" begins a license, "--" another of its texts, lines with # at the start of the file are remarks."""
+    out: dict[str, list[str]] = {}
+    with open(path, encoding="utf-8") as f:
+        blocks = re.split(r"(?m)^== *", f.read())[1:]
+    for block in blocks:
+        name, _, texts = block.partition("\n")
+        out.setdefault(name.strip(), []).extend(t.strip() for t in re.split(r"(?m)^--$", texts) if t.strip())
+    return out
+
+
+for _name, _texts in read_templates(os.path.join(os.path.dirname(__file__), "license_texts.txt")).items():
+    TEMPLATES.setdefault(_name, []).extend(_texts)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -51,7 +67,7 @@ def template_rows(templates: dict[str, list[str]], threshold: float) -> list[tup
             words = normalise(text).split()
             pairs = [f"{a} {b}" for a, b in zip(words, words[1:])]
             for p in sorted(set(pairs)):
-                out.append((name, number, p, pairs.count(p), len(pairs), len(pairs) * threshold / (2 - threshold), len(pairs) * (2 - threshold) / threshold))
+                out.append((name, number, p, pairs.count(p), len(pairs), len(pairs) * threshold / (2 - threshold) - 1e-9, len(pairs) * (2 - threshold) / threshold + 1e-9))  # a size at a bound is inside
             number += 1
     if not out:
         raise ValueError("the templates have no bigrams")
