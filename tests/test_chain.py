@@ -238,3 +238,30 @@ def test_own_tokenizer_in_training_and_generation(spark):
     assert {(r.state[0], r.follow): r.n for r in m.transitions.collect()} == {(chain.BEGIN, "a"): 2, ("a", "b"): 2, ("b", "c"): 1, ("b", "d"): 1, ("c", chain.END): 1, ("d", chain.END): 1}
     said = {r.sentence for r in m.make_sentences(5, limits=generate.Limits(test_output=False)).collect()}
     assert said <= {"a-b-c", "a-b-d"} and said
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 4])
+def test_train_counts_what_transitions_list(spark, k):
+    import random
+
+    rnd = random.Random(k)
+    rows = [(d, p, [rnd.choice(["a", "b", "c d", "", None]) for _ in range(rnd.choice([0, 1, 2, 5, 9]))]) for d in range(12) for p in range(3)]
+    runs = spark.createDataFrame([*rows, (99, 0, None), (98, 0, ["x"] * 3000)], "n long, i2 int, words array<string>")
+    want = {}
+    for d, p, words in sorted([*rows, (98, 0, ["x"] * 3000)], key=lambda r: r[:2]):
+        items = [B] * k + words + [E]
+        for i in range(len(words) + 1):
+            key = (tuple(items[i : i + k]), items[i + k])
+            n, first = want.get(key, (0, (d, p, i)))
+            want[key] = (n + 1, first)
+    listed = {(tuple(r.state), r.follow): r.n for r in chain.count(chain.transitions(runs.select("words"), k)).collect()}
+    assert listed == {key: n for key, (n, _) in want.items()}
+    trained = {(tuple(r.state), r.follow): (r.n, tuple(r.first)) for r in chain.train(runs, k, first=("n", "i2")).collect()}
+    assert trained == want
+    assert chain.train(runs.where("false"), k).collect() == []
+
+
+def test_training_has_no_lambda_and_one_shuffle(spark):
+    runs = spark.createDataFrame([(["a", "b"],)], "words array<string>")
+    plan = chain.train(runs, 2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "lambda" not in plan

@@ -23,17 +23,41 @@ def check_state_size(k: int) -> None:
         raise ValueError("state size must be at least 1")
 
 
-def windows(words: Column, k: int) -> Column:
-    """array<struct<i, state, follow>> of a run of words: as many as it has words, and one for the end."""
+def _slots(k: int) -> list[str]:
+    return [f"__w{j}" for j in range(k + 1)]
+
+
+def _windows(runs: DataFrame, k: int, words_col: str, keep: list[str]) -> DataFrame:
+    """keep, i and the k + 1 words of each window of the runs, one column a word: as many windows as a run has words, and one for the end.
+
+    Shifted slices of a run zip into its windows, so all of it is generated code, without a lambda or an array a window.
+    """
     check_state_size(k)
-    items = F.concat(begin_state(k), words, F.array(F.lit(END)))
-    return F.transform(F.sequence(F.lit(0), F.size(words)), lambda i: F.struct(i.alias("i"), F.slice(items, i + 1, k).alias("state"), F.get(items, i + k).alias("follow")))
+    items = F.concat(begin_state(k), F.col(words_col), F.array(F.lit(END)))
+    padded = runs.select(*keep, items.alias("__x"))
+    n = F.size("__x") - k
+    zipped = F.arrays_zip(F.sequence(F.lit(0), n - 1), *[F.slice("__x", j + 1, n) for j in range(k + 1)])
+    return padded.where("__x is not null").select(*keep, F.inline(zipped).alias("i", *_slots(k)))
+
+
+def _state(k: int) -> Column:
+    return F.array(*_slots(k)[:k])
 
 
 def transitions(runs: DataFrame, k: int, words_col: str = "words") -> DataFrame:
     """All columns of runs but the words, and i, state, follow; one row a transition. Null runs have none."""
     keep = [c for c in runs.columns if c != words_col]
-    return runs.select(*keep, F.explode(windows(F.col(words_col), k)).alias("t")).select(*keep, "t.i", "t.state", "t.follow")
+    return _windows(runs, k, words_col, keep).select(*keep, "i", _state(k).alias("state"), F.col(_slots(k)[k]).alias("follow"))
+
+
+def train(runs: DataFrame, k: int, words_col: str = "words", first: tuple[str, ...] = ()) -> DataFrame:
+    """The model of runs: count(transitions(runs, k)), but counted by the words themselves, as flat columns; the states become arrays after the shuffle.
+
+    With first, the names of columns that order the runs, the model also has first, where each transition was seen first.
+    """
+    more = [F.min(F.struct(*first, "i")).alias("first")] if first else []
+    counted = _windows(runs, k, words_col, list(first)).groupBy(*_slots(k)).agg(F.count(F.lit(1)).alias("n"), *more)
+    return counted.select(_state(k).alias("state"), F.col(_slots(k)[k]).alias("follow"), "n", *[c for c in ("first",) if first])
 
 
 def keyed_transitions(rows: DataFrame, k: int, key: str, order: list[str], token: str) -> DataFrame:

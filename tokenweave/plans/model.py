@@ -36,7 +36,7 @@ class MarkovModel:
     def from_text(docs: DataFrame, state_size: int = 2, *, text_col: str = "text", key: str = "doc_id", retain: bool = True, normalize: bool = False, temperature: float = 1.0, tokenizer: Tokenizer | None = None) -> MarkovModel:
         tok = tokenizer or (PROSE_NORMALIZED if normalize else PROSE)
         sentences = runs(docs, tok, text_col, (key,))
-        model = chain.count(chain.transitions(sentences, state_size))
+        model = chain.train(sentences, state_size)
         return MarkovModel(model, state_size, temperature, overlap.rejoined(sentences, key) if retain else None, tok, sentences if retain else None)
 
     @staticmethod
@@ -47,7 +47,7 @@ class MarkovModel:
     def from_sentences(sentences: DataFrame, state_size: int = 2, *, words_col: str = "words", temperature: float = 1.0, keep_empty: bool = False) -> MarkovModel:
         """From token arrays; empty runs are dropped unless keep_empty. No source is retained."""
         some = sentences.where(F.col(words_col).isNotNull()) if keep_empty else sentences.where(F.size(words_col) > 0)
-        return MarkovModel(chain.count(chain.transitions(some.select(words_col), state_size, words_col)), state_size, temperature)
+        return MarkovModel(chain.train(some, state_size, words_col), state_size, temperature)
 
     # ---- algebra
     def with_temperature(self, temperature: float) -> MarkovModel:

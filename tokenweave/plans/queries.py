@@ -34,7 +34,7 @@ def doc_runs(spark, sf_dir, tok=T.PROSE) -> DataFrame:
 
 
 def model(spark, sf_dir, k: int, tok=T.PROSE) -> DataFrame:
-    return chain.count(chain.transitions(doc_runs(spark, sf_dir, tok).select("words"), k))
+    return chain.train(doc_runs(spark, sf_dir, tok), k)
 
 
 def long(*names: str) -> list:
@@ -48,7 +48,7 @@ def flat(m: DataFrame, *more: str) -> DataFrame:
 
 
 def benchmark_model(spark, sf_dir, k: int) -> DataFrame:
-    return chain.count(chain.transitions(T.runs(read(spark, sf_dir, "benchmark"), T.PROSE, "text", ("item_id",)).select("words"), k))
+    return chain.train(T.runs(read(spark, sf_dir, "benchmark"), T.PROSE, "text", ("item_id",)), k)
 
 
 # ---- tokenizers
@@ -171,7 +171,7 @@ def vocab_by_sight(spark, sf_dir):
 
 
 def followers_by_sight(spark, sf_dir):
-    out = chain.followers_by_sight(chain.count_first(chain.transitions(doc_runs(spark, sf_dir), 2)))
+    out = chain.followers_by_sight(chain.train(doc_runs(spark, sf_dir), 2, first=("doc_id", "pos")))
     return out.select(F.array_join("state", " ").alias("state"), F.array_join(F.transform("followers", lambda x: F.concat(x["follow"], F.lit("="), x["n"].cast("string"))), ",").alias("followers"), "first.doc_id", *[F.col(f"first.{c}").cast("bigint").alias(c) for c in ("pos", "i")])
 
 
@@ -215,7 +215,7 @@ def csr_rows(spark, sf_dir):
 
 def labelled(spark, sf_dir, quality: int, k: int = 2) -> DataFrame:
     some = read(spark, sf_dir, "labels").where(F.col("quality") == quality).select("doc_id").distinct()
-    return chain.count(chain.transitions(T.runs(read(spark, sf_dir, "documents").select("doc_id", "text").join(some, "doc_id", "left_semi")).select("words"), k))
+    return chain.train(T.runs(read(spark, sf_dir, "documents").select("doc_id", "text").join(some, "doc_id", "left_semi")), k)
 
 
 def combine_with(weights, spark, sf_dir):

@@ -14,12 +14,12 @@ from tokenweave.operators import algebra, chain
 def stream_counts(docs: DataFrame, k: int, tokenizer: Tokenizer = PROSE, text_col: str = "text") -> DataFrame:
     """A streaming model of a streaming table of texts; write it in update or complete mode."""
     sentences = docs.select(F.explode(tokenizer.split(F.col(text_col))).alias("s")).select(tokenizer.words(F.col("s")).alias("words")).where(F.size("words") > 0)
-    return chain.count(chain.transitions(sentences, k))
+    return chain.train(sentences, k)
 
 
 def sentence_counts(sentences: DataFrame, k: int, words_col: str = "words") -> DataFrame:
     """The same for a stream of token arrays."""
-    return chain.count(chain.transitions(sentences.where(F.size(words_col) > 0).select(words_col), k, words_col))
+    return chain.train(sentences.where(F.size(words_col) > 0), k, words_col)
 
 
 def merge_batch(old: DataFrame | None, batch: DataFrame) -> DataFrame:
