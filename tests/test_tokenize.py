@@ -55,3 +55,21 @@ def test_runs_keep_positions_and_drop_empty_sentences(spark):
     df = spark.createDataFrame([(5, "A b. C! D e? 7 --")], "doc_id bigint, text string")
     got = [(r.pos, r.words) for r in T.runs(df, T.PROSE_NORMALIZED).orderBy("pos").collect()]
     assert got == [(0, ["a", "b"]), (1, ["c"]), (2, ["d", "e"]), (3, ["7"])]
+
+
+def test_white_space_is_the_unicode_class(spark):
+    """Every character that the class of white space has, and its neighbours, alone and in runs, at ends and inside."""
+    chars = spark.range(0x10000).where("id not between 55296 and 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 4, "0")), "UTF-16BE").alias("c"))
+    got = chars.select("c", F.rlike("c", F.lit(f"^{T.WS}$")).alias("is"), T.trim(F.concat("c", F.lit("a"), "c", F.lit("b"), "c")).alias("t"), T.word_array(F.concat("c", F.lit("a"), "c", "c", F.lit("b c"), "c")).alias("w"))
+    rows = got.where("is or c = '\\u180e' or c = '\\u200b'").collect()
+    assert {r.c for r in rows if r["is"]} == set(T.SPACES)
+    for r in rows:
+        assert (r.t, r.w) == ((f"a{r.c}b", ["a", "b", "c"]) if r["is"] else (f"{r.c}a{r.c}b{r.c}", [f"{r.c}a{r.c}{r.c}b", f"c{r.c}"]))
+
+
+def test_words_are_made_once(spark):
+    """The filter on empty runs does not make the words a second time: one split at spaces in the plan."""
+    docs = spark.createDataFrame([(1, "One two. Three  four.  ?")], "doc_id bigint, text string")
+    runs = T.runs(docs)
+    assert runs._jdf.queryExecution().optimizedPlan().toString().count(",  , -1)") == 1
+    assert [(r.pos, r.words) for r in runs.collect()] == [(0, ["One", "two."]), (1, ["Three", "four.", "?"])]

@@ -10,29 +10,34 @@ from pyspark.sql import functions as F
 #: Unicode white space, and where a sentence ends.
 WS = r"[\t\n\x0B\f\r\x{85}\p{Z}]"
 BOUNDARY = rf"""(?<=[.!?]){WS}+(?=["'(\[]?[A-Z0-9])"""
+#: The characters of WS, and those of them that are no space; the latter are tested after "no visible ASCII", as most characters are that.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0 " + "".join(map(chr, range(0x2000, 0x200B))) + "    　"
+OTHER_WS = r"[[^ -~]&&[\t-\r\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]]"
 
 
 def trim(c: Column) -> Column:
     """c without Unicode white space at both ends."""
-    return F.regexp_replace(c, rf"^{WS}+|{WS}+$", "")
+    return F.trim(c, F.lit(SPACES))
 
 
 def sentence_array(text: Column) -> Column:
     """Trimmed, non-empty sentences; a null text has none."""
-    return F.filter(F.transform(F.split(text, BOUNDARY, -1), trim), lambda s: s != "")
+    return F.array_remove(F.transform(F.split(text, BOUNDARY, -1), trim), "")
 
 
 def line_array(text: Column) -> Column:
     """Trimmed, non-blank lines."""
-    return F.filter(F.transform(F.split(text, "\n", -1), trim), lambda s: s != "")
+    return F.array_remove(F.transform(F.split(text, "\n", -1), trim), "")
 
 
 def word_array(sentence: Column, normalize: bool = False) -> Column:
-    """Words of a sentence; normalize lower-cases, deletes all but ASCII letters and digits, and drops empty words."""
-    cut = trim(sentence)
-    words = F.when(cut == "", F.array().cast("array<string>")).otherwise(F.split(cut, f"{WS}+", -1))
+    """Words of a sentence; normalize lower-cases, deletes all but ASCII letters and digits, and drops empty words.
+
+    All white space becomes spaces, at which a split needs no regular expression (one would be compiled for each sentence).
+    """
+    words = F.array_remove(F.split(F.regexp_replace(sentence, OTHER_WS, " "), " ", -1), "")
     if normalize:
-        words = F.filter(F.transform(words, lambda w: F.regexp_replace(F.lower(w), "[^A-Za-z0-9]", "")), lambda w: w != "")
+        words = F.array_remove(F.transform(words, lambda w: F.regexp_replace(F.lower(w), "[^A-Za-z0-9]", "")), "")
     return words
 
 
@@ -59,6 +64,9 @@ def units(docs: DataFrame, text_col: str, split, keys: list[str]) -> DataFrame:
 
 
 def runs(docs: DataFrame, tokenizer: Tokenizer = PROSE, text_col: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """(keys, pos, words): tokenized sentences with at least one word."""
-    out = units(docs, text_col, tokenizer.split, list(keys)).withColumn("words", tokenizer.words(F.col("s"))).drop("s")
-    return out.where(F.size("words") > 0)
+    """(keys, pos, words): tokenized sentences with at least one word.
+
+    The words are made before the texts are exploded: made after it, the filter on them would be pushed below and make them twice.
+    """
+    split = F.transform(tokenizer.split(F.col(text_col)), lambda s: tokenizer.words(s))
+    return docs.select(*keys, F.posexplode(split).alias("pos", "words")).where(F.size("words") > 0)
