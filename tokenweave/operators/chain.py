@@ -50,14 +50,45 @@ def transitions(runs: DataFrame, k: int, words_col: str = "words") -> DataFrame:
     return _windows(runs, k, words_col, keep).select(*keep, "i", _state(k).alias("state"), F.col(_slots(k)[k]).alias("follow"))
 
 
+def _coded(words: Column) -> Column:
+    """Words as they stand in a window's key, so that none holds a space: those of a run with spaces, backslashes or nulls in its words are escaped."""
+    plain = F.array_join(words, "", "\\")
+    odd = F.contains(plain, F.lit(" ")) | F.contains(plain, F.lit("\\"))
+    escape = lambda w: F.coalesce(F.replace(F.replace(w, F.lit("\\"), F.lit("\\b")), F.lit(" "), F.lit("\\s")), F.lit("\\n"))
+    return F.when(odd, F.transform(words, escape)).otherwise(words)
+
+
+def _decoded(words: Column) -> Column:
+    """The words that _coded made these of. Each backslash is followed by b, s or n, so one after the other can be undone."""
+    return F.transform(words, lambda w: F.when(w != "\\n", F.replace(F.replace(w, F.lit("\\s"), F.lit(" ")), F.lit("\\b"), F.lit("\\"))))
+
+
+def joined(state: Column) -> Column:
+    """A state as one text, from which split_state has it back."""
+    return F.array_join(_coded(state), " ")
+
+
+def split_state(key: Column) -> Column:
+    words = F.split(key, " ", -1)
+    return F.when(F.contains(key, F.lit("\\")), _decoded(words)).otherwise(words)
+
+
+def _counted(runs: DataFrame, k: int, words_col: str, first: tuple[str, ...] = ()) -> DataFrame:
+    """key, n and, with first, first: how often each window occurs, by its words joined by spaces. One short text a window makes the shuffle far smaller than a column a word."""
+    more = [F.min(F.struct(*first, "i")).alias("first")] if first else []
+    windows = _windows(runs.withColumn(words_col, _coded(F.col(words_col))), k, words_col, list(first))
+    return windows.select(*first, "i", F.concat_ws(" ", *_slots(k)).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"), *more)
+
+
 def train(runs: DataFrame, k: int, words_col: str = "words", first: tuple[str, ...] = ()) -> DataFrame:
-    """The model of runs: count(transitions(runs, k)), but counted by the words themselves, as flat columns; the states become arrays after the shuffle.
+    """The model of runs: count(transitions(runs, k)), but counted by the words of a window as one text; the states become arrays after the shuffle.
 
     With first, the names of columns that order the runs, the model also has first, where each transition was seen first.
     """
-    more = [F.min(F.struct(*first, "i")).alias("first")] if first else []
-    counted = _windows(runs, k, words_col, list(first)).groupBy(*_slots(k)).agg(F.count(F.lit(1)).alias("n"), *more)
-    return counted.select(_state(k).alias("state"), F.col(_slots(k)[k]).alias("follow"), "n", *[c for c in ("first",) if first])
+    odd = F.contains("key", F.lit("\\"))
+    state, last = F.split(F.substring_index("key", " ", k), " ", -1), F.substring_index("key", " ", -1)
+    follow = F.when(odd, F.get(_decoded(F.array(last)), F.lit(0))).otherwise(last)
+    return _counted(runs, k, words_col, first).select(F.when(odd, _decoded(state)).otherwise(state).alias("state"), follow.alias("follow"), "n", *[c for c in ("first",) if first])
 
 
 def keyed_transitions(rows: DataFrame, k: int, key: str, order: list[str], token: str) -> DataFrame:
