@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tokenweave.operators.chain import joined, split_state
 from tokenweave.sources.shared import written
 
 #: Followers of a state beyond which its running sums are spread over partitions; and rows that may be broadcast to join them.
@@ -29,6 +30,20 @@ def _joined(rows: DataFrame, few: DataFrame, on: list[str], how: str) -> DataFra
     return rows.join(F.broadcast(few) if few.count() <= BROADCAST_ROWS else few, on, how)
 
 
+#: One in so many followers, by a hash, tells which states are hot.
+HOT_SAMPLE = 64
+
+
+def hot_states(rows: DataFrame, key: str) -> DataFrame:
+    """(key) of the states with about HOT_FOLLOWERS followers or more, counted on those followers that a hash picks, so little of the model moves.
+
+    Which states are hot decides where rows go, never what comes out.
+    """
+    some = rows if HOT_FOLLOWERS < 16 * HOT_SAMPLE else rows.where(F.pmod(F.xxhash64("follow"), F.lit(HOT_SAMPLE)) == 0)
+    least = HOT_FOLLOWERS if HOT_FOLLOWERS < 16 * HOT_SAMPLE else HOT_FOLLOWERS // HOT_SAMPLE
+    return some.groupBy(key).agg(F.count(F.lit(1)).alias("d")).where(F.col("d") > least).select(key)
+
+
 def _summed(rows: DataFrame, keys: list[str]) -> DataFrame:
     """rows with lo, hi: running sums of w in order of follow, and r, the row's number, within keys."""
     by = Window.partitionBy(*keys).orderBy("follow")
@@ -37,29 +52,32 @@ def _summed(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _numbered_cdf(model: DataFrame, temperature: float) -> DataFrame:
-    """state, follow, n, w, lo, hi, total, p, r: cdf, and the number of each row within the part p of its state.
+    """state, follow, n, w, lo, hi, total, p, r: cdf, the part of its state that a row was summed in, and the row's number within its state, from 1.
 
-    A state with more than HOT_FOLLOWERS followers is no single task: its rows are ranged by follower, summed within each
-    partition, and the sums of the partitions before are carried into it. The parts of all other states are 0.
+    A state with more than about HOT_FOLLOWERS followers is no single task: its rows are ranged by follower, summed within each
+    partition, and the sums and numbers of the partitions before are carried into it. Rows move by the state's key, a text, and get
+    the state back after it.
     """
-    rows = model.withColumn("w", weight(F.col("n"), temperature))
+    check_temperature(temperature)
+    named = dict(model.dtypes)["follow"] == "string"
+    w = lambda some: some.withColumn("w", weight(F.col("n"), temperature))
+    rows = model.select((joined(F.col("state")) if named else F.col("state")).alias("key"), "follow", "n")
     whole = lambda keys: Window.partitionBy(*keys).orderBy("follow").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    plain = lambda some: _summed(some, ["state"]).withColumns({"total": F.last("hi").over(whole(["state"])), "p": F.lit(0)})
-    rows = written(rows, "weights")
-    if rows.agg(F.approx_count_distinct("follow", 0.02)).first()[0] < 0.9 * HOT_FOLLOWERS:  # no state can have so many
-        return plain(rows)
-    hot = written(rows.groupBy("state").agg(F.count(F.lit(1)).alias("d")).where(F.col("d") > HOT_FOLLOWERS).select("state"), "hot-states")
+    plain = lambda some: _summed(w(some), ["key"]).withColumns({"total": F.last("hi").over(whole(["key"])), "p": F.lit(0)})
+    columns = [(split_state(F.col("key")) if named else F.col("key")).alias("state"), "follow", "n", "w", "lo", "hi", "total", "p", "r"]
+    hot = written(hot_states(rows, "key"), "hot-states")
     if hot.isEmpty():
-        return plain(rows)
+        return plain(rows).select(*columns)
+    rows = written(rows, "weights")
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    parts = written(_joined(rows, hot, ["state"], "left_semi").repartitionByRange(cores, "state", "follow").withColumn("p", F.spark_partition_id()), "hot-rows")
-    local = _summed(parts, ["state", "p"])
-    sums = local.groupBy("state", "p").agg(F.max("hi").alias("s"))  # the last of the running sums, so parts join without a gap
-    before = Window.partitionBy("state").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    carry = sums.withColumn("before", F.coalesce(F.sum("s").over(before), F.lit(0.0)))
-    carry = written(carry.withColumn("total", F.max(F.col("before") + F.col("s")).over(Window.partitionBy("state"))).drop("s"), "hot-sums")
-    spread = _joined(local, carry, ["state", "p"], "inner").withColumns({"lo": F.col("lo") + F.col("before"), "hi": F.col("hi") + F.col("before")}).drop("before")
-    return plain(_joined(rows, hot, ["state"], "left_anti")).unionByName(spread)
+    parts = written(w(_joined(rows, hot, ["key"], "left_semi")).repartitionByRange(cores, "key", "follow").withColumn("p", F.spark_partition_id()), "hot-rows")
+    local = _summed(parts, ["key", "p"])
+    sums = local.groupBy("key", "p").agg(F.max("hi").alias("s"), F.max("r").alias("m"))  # the last of the running sums, so parts join without a gap
+    before = Window.partitionBy("key").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    carry = sums.withColumns({"before": F.coalesce(F.sum("s").over(before), F.lit(0.0)), "above": F.coalesce(F.sum("m").over(before), F.lit(0))})
+    carry = written(carry.withColumn("total", F.max(F.col("before") + F.col("s")).over(Window.partitionBy("key"))).drop("s", "m"), "hot-sums")
+    spread = _joined(local, carry, ["key", "p"], "inner").withColumns({"lo": F.col("lo") + F.col("before"), "hi": F.col("hi") + F.col("before"), "r": F.col("r") + F.col("above")})
+    return plain(_joined(rows, hot, ["key"], "left_anti")).select(*columns).unionByName(spread.select(*columns))
 
 
 def cdf(model: DataFrame, temperature: float = 1.0) -> DataFrame:
@@ -71,7 +89,7 @@ def segments(model: DataFrame, temperature: float = 1.0) -> DataFrame:
     """state, lo, hi, total, degree, follows, his: the cdf in rows of at most SEGMENT followers, so that a row is bounded whatever its state; degree: followers of the row."""
     rows = _numbered_cdf(model, temperature).withColumn("b", F.floor((F.col("r") - 1) / SEGMENT))
     entry = F.array_sort(F.collect_list(F.struct("hi", "follow")))  # his ascend, and follows break no ties: weights are positive
-    out = rows.groupBy("state", "p", "b").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.first("total").alias("total"), entry.alias("e"))
+    out = rows.groupBy("state", "b").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.first("total").alias("total"), entry.alias("e"))
     return out.select("state", "lo", "hi", "total", F.size("e").alias("degree"), F.transform("e", lambda x: x["follow"]).alias("follows"), F.transform("e", lambda x: x["hi"]).alias("his"))
 
 
