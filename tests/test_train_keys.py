@@ -52,3 +52,23 @@ def test_hot_states_by_a_sample(spark, monkeypatch):
     monkeypatch.setattr(sampling, "HOT_FOLLOWERS", 2048)
     rows = spark.range(9000).select(F.when(F.col("id") < 8000, "hot").otherwise("cold").alias("key"), F.concat(F.lit("w"), "id").alias("follow"))
     assert [r.key for r in sampling.hot_states(rows, "key").collect()] == ["hot"]
+
+
+def test_large_rows_of_ids_are_walked_in_ranges(spark, monkeypatch):
+    """Sparse rows and coded models that are too large for a broadcast give the walks of the broadcast ones."""
+    from tokenweave.operators import travel, walk
+
+    monkeypatch.setattr(travel, "HOT_STATES", 3)
+    runs = [([f"w{(i * i + j * 7 + i * j) % 11}" for j in range(4 + i % 5)],) for i in range(60)]
+    model = chain.train(spark.createDataFrame(runs, "words array<string>"), 2).localCheckpoint()
+    vocab = chain.vocabulary(model).localCheckpoint()
+    ends = {r.word: r.word_id for r in vocab.collect()}
+    enc = chain.encode(model, vocab, 2).localCheckpoint()
+    begin, end = ends[chain.BEGIN], ends[chain.END]
+    rows = chain.csr(enc, lambda n: sampling.weight(n, 1.5)).localCheckpoint()
+    get = lambda df: {(r.walk_id, r.status, tuple(r.words)) for r in df.collect()}
+    asked = walk.requests(spark, 30)
+    want = get(walk.csr_walk(asked, rows, 2, begin, end, 7))
+    monkeypatch.setattr(walk, "BROADCAST_BYTES", 1000)
+    assert get(walk.csr_walk(asked, rows, 2, begin, end, 7, temperature=1.5)) == want
+    assert get(walk.id_walk(asked, enc, 2, begin, end, 1.5, 7)) == want

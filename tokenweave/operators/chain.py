@@ -109,7 +109,9 @@ def count(pairs: DataFrame) -> DataFrame:
 
 def nested(model: DataFrame) -> DataFrame:
     """(state, followers array<struct<follow, n>> in order of follow, total)."""
-    return model.groupBy("state").agg(F.array_sort(F.collect_list(F.struct("follow", "n"))).alias("followers"), F.sum("n").alias("total"))
+    named = dict(model.dtypes)["state"] == "array<string>"
+    rows = model.groupBy((joined(F.col("state")) if named else F.col("state")).alias("key")).agg(F.array_sort(F.collect_list(F.struct("follow", "n"))).alias("followers"), F.sum("n").alias("total"))
+    return rows.select((split_state(F.col("key")) if named else F.col("key")).alias("state"), "followers", "total")
 
 
 def follower_map(model: DataFrame) -> DataFrame:
@@ -174,7 +176,8 @@ def count_first(pairs: DataFrame, order: tuple[str, ...] = ("doc_id", "pos", "i"
 
 def followers_by_sight(model: DataFrame) -> DataFrame:
     """(state, followers array<struct<follow, n>>, first): followers in the order in which they were first seen, of a model with first."""
-    seen = model.groupBy("state").agg(F.array_sort(F.collect_list(F.struct("first", "follow", "n"))).alias("x"), F.min("first").alias("first"))
+    seen = model.groupBy(joined(F.col("state")).alias("key")).agg(F.array_sort(F.collect_list(F.struct("first", "follow", "n"))).alias("x"))
+    seen = seen.select(split_state(F.col("key")).alias("state"), "x", F.get("x", F.lit(0))["first"].alias("first"))  # the first of the first seen
     return seen.select("state", F.transform("x", lambda e: F.struct(e["follow"].alias("follow"), e["n"].alias("n"))).alias("followers"), "first")
 
 

@@ -52,7 +52,7 @@ def _summed(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _numbered_cdf(model: DataFrame, temperature: float) -> DataFrame:
-    """state, follow, n, w, lo, hi, total, p, r: cdf, the part of its state that a row was summed in, and the row's number within its state, from 1.
+    """key, state, follow, n, w, lo, hi, total, p, r: cdf, the text by which the rows of a state have moved, the part of its state that a row was summed in, and the row's number within its state, from 1.
 
     A state with more than about HOT_FOLLOWERS followers is no single task: its rows are ranged by follower, summed within each
     partition, and the sums and numbers of the partitions before are carried into it. Rows move by the state's key, a text, and get
@@ -64,7 +64,7 @@ def _numbered_cdf(model: DataFrame, temperature: float) -> DataFrame:
     rows = model.select((joined(F.col("state")) if named else F.col("state")).alias("key"), "follow", "n")
     whole = lambda keys: Window.partitionBy(*keys).orderBy("follow").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     plain = lambda some: _summed(w(some), ["key"]).withColumns({"total": F.last("hi").over(whole(["key"])), "p": F.lit(0)})
-    columns = [(split_state(F.col("key")) if named else F.col("key")).alias("state"), "follow", "n", "w", "lo", "hi", "total", "p", "r"]
+    columns = ["key", (split_state(F.col("key")) if named else F.col("key")).alias("state"), "follow", "n", "w", "lo", "hi", "total", "p", "r"]
     hot = written(hot_states(rows, "key"), "hot-states")
     if hot.isEmpty():
         return plain(rows).select(*columns)
@@ -82,15 +82,16 @@ def _numbered_cdf(model: DataFrame, temperature: float) -> DataFrame:
 
 def cdf(model: DataFrame, temperature: float = 1.0) -> DataFrame:
     """state, follow, n, w, lo, hi, total: half-open ranges [lo, hi) of each follower, in order of follow."""
-    return _numbered_cdf(model, temperature).drop("p", "r")
+    return _numbered_cdf(model, temperature).drop("key", "p", "r")
 
 
 def segments(model: DataFrame, temperature: float = 1.0) -> DataFrame:
     """state, lo, hi, total, degree, follows, his: the cdf in rows of at most SEGMENT followers, so that a row is bounded whatever its state; degree: followers of the row."""
     rows = _numbered_cdf(model, temperature).withColumn("b", F.floor((F.col("r") - 1) / SEGMENT))
     entry = F.array_sort(F.collect_list(F.struct("hi", "follow")))  # his ascend, and follows break no ties: weights are positive
-    out = rows.groupBy("state", "b").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.first("total").alias("total"), entry.alias("e"))
-    return out.select("state", "lo", "hi", "total", F.size("e").alias("degree"), F.transform("e", lambda x: x["follow"]).alias("follows"), F.transform("e", lambda x: x["hi"]).alias("his"))
+    out = rows.groupBy("key", "b").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.first("total").alias("total"), entry.alias("e"))
+    state = (split_state(F.col("key")) if dict(model.dtypes)["follow"] == "string" else F.col("key")).alias("state")
+    return out.select(state, "lo", "hi", "total", F.size("e").alias("degree"), F.transform("e", lambda x: x["follow"]).alias("follows"), F.transform("e", lambda x: x["hi"]).alias("his"))
 
 
 def roll(seed: Column | int, *parts: Column) -> Column:

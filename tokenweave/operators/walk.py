@@ -31,6 +31,8 @@ BROADCAST_BYTES = 192 << 20
 ENTRY_BYTES = 40
 #: Live walks that are broadcast to a larger model's rows.
 BROADCAST_WALKS = 100_000
+#: Digits of an id where ids are texts: as many as a bigint may have.
+ID_DIGITS = 19
 SCHEMA = "walk_id bigint, attempt int, words array<{}>, status string"
 
 
@@ -102,12 +104,18 @@ def broadcast_walk(requests: DataFrame, model: DataFrame, k: int, temperature: f
     return frozen_walk(asked, frozen, seed, max_steps, [F.col("hi"), F.col("lo")], word_type(model))
 
 
-def csr_walk(requests: DataFrame, rows: DataFrame, k: int, begin_id: int, end_id: int, seed: int = 0, max_steps: int = 1000) -> DataFrame:
-    """Walks from the beginning through compressed sparse rows with sums (chain.csr with a weight): words is array<bigint>."""
+def csr_walk(requests: DataFrame, rows: DataFrame, k: int, begin_id: int, end_id: int, seed: int = 0, max_steps: int = 1000, temperature: float | None = None) -> DataFrame:
+    """Walks from the beginning through compressed sparse rows with sums (chain.csr with a weight): words is array<bigint>.
+
+    Rows that are too large for a broadcast are walked in their ranges, for which the temperature of their sums must be given.
+    """
     entries = rows.select("key", "state_id", F.explode("followers").alias("f")).select("key", "state_id", "f.follow_id", "f.n", "f.cum")
-    bits = id_bits(entries.agg(F.max(F.greatest("follow_id", F.array_max("key")))).first()[0] or 0)
-    if entries.count() * ENTRY_BYTES > BROADCAST_BYTES:
-        raise ValueError("rows of this size can't be broadcast; walk the model itself")
+    size = entries.agg(F.max(F.greatest("follow_id", F.array_max("key"))).alias("largest"), F.count(F.lit(1)).alias("n")).first()
+    if size.n * ENTRY_BYTES > BROADCAST_BYTES:
+        if temperature is None:
+            raise ValueError("rows of this size can't be broadcast; give their temperature, or walk the model itself")
+        return id_walk(requests, entries.select("key", "follow_id", "n"), k, begin_id, end_id, temperature, seed, max_steps, "travel")
+    bits = id_bits(size.largest or 0)
     got = packed(entries, k, bits).select("state_id", "hi", "lo", "follow_id", "cum", "next_hi", "next_lo").toArrow()
     get = {c: got.column(c).to_numpy() for c in got.column_names}
     frozen = Frozen.build(get["hi"], get["lo"], get["follow_id"], np.ones(len(get["hi"])), get["next_hi"], get["next_lo"], end_id, 1.0)
@@ -253,6 +261,14 @@ def id_walk(requests: DataFrame, encoded: DataFrame, k: int, begin_id: int, end_
     """
     model = encoded.select(F.col("key").alias("state"), F.col("follow_id").alias("follow"), "n")
     asked = requests.withColumn("init", F.col("init").cast("array<bigint>"))
+    if strategy == "auto":
+        strategy = "broadcast" if payload_bytes(model) <= BROADCAST_BYTES else "travel"
+    if strategy == "travel":  # ids as texts of one length have the order of the ids
+        text = lambda i: F.lpad(i.cast("string"), ID_DIGITS, "0")
+        model = model.select(F.transform("state", text).alias("state"), text(F.col("follow")).alias("follow"), "n")
+        asked = asked.withColumn("init", F.transform("init", text))
+        got = travel_walk(asked, model, k, temperature, seed, max_steps, begin=str(begin_id).zfill(ID_DIGITS), end=str(end_id).zfill(ID_DIGITS))
+        return got.select("walk_id", "attempt", F.col("words").cast("array<bigint>").alias("words"), "status")
     return walk(asked, model, k, temperature, seed, max_steps, strategy, begin=begin_id, end=end_id)
 
 

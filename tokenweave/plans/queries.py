@@ -201,7 +201,7 @@ def walk_csr(spark, sf_dir):
     """The walks of walk_begin, through compressed sparse rows."""
     enc, vocab, begin, end = _coded(spark, sf_dir)
     rows = chain.csr(enc, lambda n: sampling.weight(n, TEMPERATURE))
-    return _worded(walk.csr_walk(walk.requests(spark, WALKS), rows, 2, begin, end, SEED), vocab)
+    return _worded(walk.csr_walk(walk.requests(spark, WALKS), rows, 2, begin, end, SEED, temperature=TEMPERATURE), vocab)
 
 
 def csr_rows(spark, sf_dir):
