@@ -72,3 +72,10 @@ def test_large_rows_of_ids_are_walked_in_ranges(spark, monkeypatch):
     monkeypatch.setattr(walk, "BROADCAST_BYTES", 1000)
     assert get(walk.csr_walk(asked, rows, 2, begin, end, 7, temperature=1.5)) == want
     assert get(walk.id_walk(asked, enc, 2, begin, end, 1.5, 7)) == want
+
+
+def test_totals_make_no_row_twice(spark):
+    model = spark.createDataFrame([(["a", "b"], "x", 2), (["a", "b"], "y", 3), (["a b", ""], "x", 1)], "state array<string>, follow string, n bigint")
+    got = chain.totals(model)
+    assert got.first() == (2, 3, 6) and "Expand" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert chain.totals(model.where("n > 9")).first() == (0, 0, None)

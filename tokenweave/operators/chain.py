@@ -50,34 +50,38 @@ def transitions(runs: DataFrame, k: int, words_col: str = "words") -> DataFrame:
     return _windows(runs, k, words_col, keep).select(*keep, "i", _state(k).alias("state"), F.col(_slots(k)[k]).alias("follow"))
 
 
-def _coded(words: Column) -> Column:
-    """Words as they stand in a window's key, so that none holds a space: those of a run with spaces, backslashes or nulls in its words are escaped."""
+def _odd(words: Column) -> Column:
+    """Whether a word holds a space or a backslash, or is null."""
     plain = F.array_join(words, "", "\\")
-    odd = F.contains(plain, F.lit(" ")) | F.contains(plain, F.lit("\\"))
-    escape = lambda w: F.coalesce(F.replace(F.replace(w, F.lit("\\"), F.lit("\\b")), F.lit(" "), F.lit("\\s")), F.lit("\\n"))
-    return F.when(odd, F.transform(words, escape)).otherwise(words)
+    return F.contains(plain, F.lit(" ")) | F.contains(plain, F.lit("\\"))
 
 
-def _decoded(words: Column) -> Column:
-    """The words that _coded made these of. Each backslash is followed by b, s or n, so one after the other can be undone."""
-    return F.transform(words, lambda w: F.when(w != "\\n", F.replace(F.replace(w, F.lit("\\s"), F.lit(" ")), F.lit("\\b"), F.lit("\\"))))
+def _code(w: Column) -> Column:
+    """A word as it stands in a key of several: without spaces, null as a code of its own."""
+    return F.coalesce(F.replace(F.replace(w, F.lit("\\"), F.lit("\\b")), F.lit(" "), F.lit("\\s")), F.lit("\\n"))
+
+
+def _decode(w: Column) -> Column:
+    """The word that _code made w of. Each backslash is followed by b, s or n, so one after the other can be undone."""
+    return F.when(w != "\\n", F.replace(F.replace(w, F.lit("\\s"), F.lit(" ")), F.lit("\\b"), F.lit("\\")))
 
 
 def joined(state: Column) -> Column:
     """A state as one text, from which split_state has it back."""
-    return F.array_join(_coded(state), " ")
+    return F.array_join(F.when(_odd(state), F.transform(state, _code)).otherwise(state), " ")
 
 
 def split_state(key: Column) -> Column:
     words = F.split(key, " ", -1)
-    return F.when(F.contains(key, F.lit("\\")), _decoded(words)).otherwise(words)
+    return F.when(F.contains(key, F.lit("\\")), F.transform(words, _decode)).otherwise(words)
 
 
 def _counted(runs: DataFrame, k: int, words_col: str, first: tuple[str, ...] = ()) -> DataFrame:
     """key, n and, with first, first: how often each window occurs, by its words joined by spaces. One short text a window makes the shuffle far smaller than a column a word."""
     more = [F.min(F.struct(*first, "i")).alias("first")] if first else []
-    windows = _windows(runs.withColumn(words_col, _coded(F.col(words_col))), k, words_col, list(first))
-    return windows.select(*first, "i", F.concat_ws(" ", *_slots(k)).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"), *more)
+    windows = _windows(runs.withColumn("__odd", _odd(F.col(words_col))), k, words_col, [*first, "__odd"])
+    key = F.when(F.col("__odd"), F.concat_ws(" ", *[_code(F.col(w)) for w in _slots(k)])).otherwise(F.concat_ws(" ", *_slots(k)))
+    return windows.select(*first, "i", key.alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"), *more)
 
 
 def train(runs: DataFrame, k: int, words_col: str = "words", first: tuple[str, ...] = ()) -> DataFrame:
@@ -87,8 +91,9 @@ def train(runs: DataFrame, k: int, words_col: str = "words", first: tuple[str, .
     """
     odd = F.contains("key", F.lit("\\"))
     state, last = F.split(F.substring_index("key", " ", k), " ", -1), F.substring_index("key", " ", -1)
-    follow = F.when(odd, F.get(_decoded(F.array(last)), F.lit(0))).otherwise(last)
-    return _counted(runs, k, words_col, first).select(F.when(odd, _decoded(state)).otherwise(state).alias("state"), follow.alias("follow"), "n", *[c for c in ("first",) if first])
+    state = F.when(odd, F.array(*[_decode(F.get(state, F.lit(j))) for j in range(k)])).otherwise(state)
+    follow = F.when(odd, _decode(last)).otherwise(last)
+    return _counted(runs, k, words_col, first).select(state.alias("state"), follow.alias("follow"), "n", *[c for c in ("first",) if first])
 
 
 def keyed_transitions(rows: DataFrame, k: int, key: str, order: list[str], token: str) -> DataFrame:
@@ -148,7 +153,9 @@ def escaped(word: str) -> str:
 
 
 def totals(model: DataFrame) -> DataFrame:
-    return model.agg(F.count_distinct("state").alias("n_states"), F.count(F.lit(1)).alias("n_pairs"), F.sum("n").alias("n_transitions"))
+    key = joined(F.col("state")) if dict(model.dtypes)["state"] == "array<string>" else F.col("state")
+    states = model.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("d"), F.sum("n").alias("t"))  # one plain count, no row twice for a distinct one
+    return states.agg(F.count(F.lit(1)).alias("n_states"), F.coalesce(F.sum("d"), F.lit(0)).alias("n_pairs"), F.sum("t").alias("n_transitions"))
 
 
 # ---- dictionary-encoded forms -----------------------------------------------------------------------------------
