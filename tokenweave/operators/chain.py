@@ -147,6 +147,13 @@ def state_key(state: Column) -> Column:
     return F.array_join(F.transform(state, lambda w: F.replace(F.replace(w, F.lit("\\"), F.lit("\\\\")), F.lit(" "), F.lit("\\s"))), " ")
 
 
+def key_words(key: Column) -> Column:
+    """The state of a state_key. Each backslash in it is followed by another or by an s, so pairs are taken away first."""
+    words = F.split(key, " ", -1)
+    word = lambda w: F.replace(F.replace(F.replace(w, F.lit("\\\\"), F.lit("\\b")), F.lit("\\s"), F.lit(" ")), F.lit("\\b"), F.lit("\\"))
+    return F.when(F.contains(key, F.lit("\\")), F.transform(words, word)).otherwise(words)
+
+
 def escaped(word: str) -> str:
     """A word as it stands in a state's key."""
     return word.replace("\\", "\\\\").replace(" ", "\\s")

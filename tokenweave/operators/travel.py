@@ -1,182 +1,37 @@
-"""Walks that travel to a model which stays in its partitions.
+"""Walks that travel to a model which stays in its ranges.
 
-The model becomes a table of states: segments of followers with running sums (sampling.segments), ranged and sorted by the
-state's key, one folder for each range. Two things keep the rounds far below the walks' steps:
-
-- the states that are met most, up to ``HOT_ENTRIES`` transitions, are frozen and broadcast, and walks pass through them where they are;
-- a state with one follower holds the words that are forced from it on, up to ``2 ** DOUBLINGS``, found by joining forced steps to
-  themselves, so a walk gets through all of them at once.
-
-A round: each live walk waits at a state that is not hot. The keys' splitters say in which range it is; only the folders with
-waiting walks are read, the walks go there, each takes its state's row away, and goes on until it ends or waits again.
+The model becomes sorted files, one range of its states each, and nothing else is made of it: the tasks that walk look up
+the states that they meet (``stored``). Where the tasks can't open the shared folder themselves, the walks take a join a step instead.
 """
 
 from __future__ import annotations
 
-import bisect as b
-import hashlib
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenweave.operators.chain import BEGIN, END, escaped, shift, state_key
-from tokenweave.operators.frozen import bisect
-from tokenweave.operators.sampling import roll, segments
-from tokenweave.sources.shared import new_path, written
+from tokenweave.operators.chain import BEGIN, END, key_words, state_key
+from tokenweave.operators.sampling import check_temperature
+from tokenweave.operators.stored import HOT_STATES, Stored, files_of, readable, stored_walk, write_sorted  # noqa: F401
+from tokenweave.sources.shared import new_path
 
-#: States that may be broadcast, and transitions of all of them.
-HOT_STATES, HOT_ENTRIES = 50_000, 500_000
-#: Forced words of a state: 2 ** DOUBLINGS at most.
-DOUBLINGS = 4
 #: Rows of a range.
 RANGE_ROWS = 250_000
-#: Live walks that are broadcast to the ranges; more meet them by a shuffle.
-BROADCAST_WALKS = 100_000
-
-LIVE = "walk_id bigint, attempt int, words array<string>, status string, state array<string>, key string, part int"
-
-
-def _digest(state: list[str]) -> tuple[str, int, int]:
-    """A state's key and the two integers of its digest, as chain.state_key and frozen.halves have them."""
-    key = " ".join(map(escaped, state))
-    d = hashlib.md5(key.encode()).digest()
-    return key, int.from_bytes(d[:8], "big") >> 1, int.from_bytes(d[8:], "big") >> 1
-
-
-class Ranges:
-    """The model as a table of states in ranges: path, the ranges' first keys, and the frozen hot states."""
-
-    def __init__(self, path: str, first: list[str], hot, k: int, begin: str, end: str):
-        self.path, self.first, self.hot, self.k, self.begin, self.end = path, first, hot, k, begin, end
-
-    def part(self, key: str) -> int:
-        return max(0, b.bisect_right(self.first, key.encode()) - 1)
-
-
-def forced(table: DataFrame, k: int, end: str) -> DataFrame:
-    """(key, path, after): of states with one follower, the words that must follow and the key of the state then (null after the end)."""
-    last = F.get("follows", F.lit(0))
-    one = table.where((F.col("degree") == 1) & (F.col("lo") == 0) & (F.col("hi") == F.col("total")))
-    steps = written(one.select("key", F.array(last).alias("path"), F.when(last != end, state_key(shift(F.col("state"), last, k))).alias("after")), "forced")
-    for _ in range(DOUBLINGS):
-        more = steps.select(F.col("key").alias("after"), F.col("path").alias("p2"), F.col("after").alias("a2"))
-        joined = steps.join(more, "after", "left")
-        steps = written(joined.select("key", F.concat("path", F.coalesce("p2", F.array().cast("array<string>"))).alias("path"), F.when(F.col("p2").isNull(), F.col("after")).otherwise(F.col("a2")).alias("after")), "forced")
-    return steps.select("key", "path")
-
-
-def ranges(model: DataFrame, k: int, temperature: float = 1.0, begin: str = BEGIN, end: str = END) -> Ranges:
-    """Write the table of a model's states."""
-    from tokenweave.operators.walk import freeze  # it knows this module as one of its ways
-
-    spark = model.sparkSession
-    model = written(model.select("state", "follow", F.col("n").cast("bigint").alias("n")), "model")
-    table = written(segments(model, temperature).withColumn("key", state_key(F.col("state"))), "segments")
-    table = table.join(forced(table, k, end), "key", "left")
-    n = max(1, -(-model.count() // RANGE_ROWS))
-    path = new_path(spark, "ranges")
-    table.repartitionByRange(n, "key", "lo").withColumn("part", F.spark_partition_id()).sortWithinPartitions("key", "lo").write.partitionBy("part").parquet(path)
-    saved = spark.read.parquet(path)
-    edges = saved.groupBy("part").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).orderBy("part").collect()  # one row a range
-    top = model.groupBy("state").agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("d")).where(F.col("d") <= HOT_ENTRIES // 4)
-    top = written(top.orderBy(F.col("t").desc(), "state").limit(HOT_STATES), "hot")
-    used, least = 0, None
-    for r in top.select("t", "d").orderBy(F.col("t").desc()).toLocalIterator():  # HOT_STATES rows at most
-        used += r.d
-        if used > HOT_ENTRIES:
-            break
-        least = r.t
-    hot = model.join(F.broadcast(top.where(F.col("t") > (least or 0) if used > HOT_ENTRIES else F.lit(True)).select("state")), "state", "left_semi")
-    out = Ranges(path, [r.lo.encode() for r in edges], freeze(hot, k, temperature, end), k, begin, end)
-    out.parts = [r.part for r in edges]
-    # A key may go on in the next range, when its segments are many.
-    out.goes_on = {i for i in range(len(edges) - 1) if edges[i].hi == edges[i + 1].lo}
-    return out
-
-
-def _go_on(table: Ranges, seed: int, max_steps: int, ids, attempts, words: list[list[str]], states: list[list[str]], status: list[str | None]) -> pa.RecordBatch:
-    """Open walks (status None) through the hot states, until each ends or waits at another."""
-    on = [i for i, s in enumerate(status) if s is None]
-    found = [_digest(states[i]) for i in on]
-    row = table.hot.rows(np.array([f[1] for f in found], np.int64), np.array([f[2] for f in found], np.int64))
-    step = np.array([len(words[i]) for i in on], np.int64)
-    went, said, ended = table.hot.run(seed, np.asarray(ids)[on], np.asarray(attempts)[on], row, step, max_steps)
-    cut = np.searchsorted(went, np.arange(len(on) + 1))
-    named = table.hot.named(said).to_pylist()
-    keys, parts = [None] * len(status), [None] * len(status)
-    for n, i in enumerate(on):
-        new = named[cut[n] : cut[n + 1]]
-        words[i] = words[i] + new
-        states[i] = (states[i] + new)[-table.k :]
-        status[i] = ("end", "open", "cut")[ended[n]]
-        if status[i] == "open":
-            keys[i] = found[n][0] if not new else " ".join(map(escaped, states[i]))
-            parts[i] = table.parts[table.part(keys[i])]
-    cols = [pa.array(ids, pa.int64()), pa.array(attempts, pa.int32()), pa.array(words, pa.list_(pa.string())), pa.array(status, pa.string()), pa.array(states, pa.list_(pa.string())), pa.array(keys, pa.string()), pa.array(parts, pa.int32())]
-    return pa.record_batch(cols, ["walk_id", "attempt", "words", "status", "state", "key", "part"])
-
-
-def travel_walk(requests: DataFrame, model: DataFrame | Ranges, k: int, temperature: float, seed: int, max_steps: int, begin: str = BEGIN, end: str = END, rounds: list | None = None) -> DataFrame:
-    """walk_id, attempt, words, status of all requests; model: transitions, or the ranges of them. rounds, if given, gets the number of live walks and of ranges read of each round."""
-    spark = requests.sparkSession
-    table = model if isinstance(model, Ranges) else ranges(model, k, temperature, begin, end)
-    sent = spark.sparkContext.broadcast(table)
 
-    def start(batches):
-        for x in batches:
-            state = x.column(2).to_pylist()
-            yield _go_on(sent.value, seed, max_steps, x.column(0).to_pylist(), x.column(1).to_pylist(), [[] for _ in state], state, [None] * len(state))
 
-    def take(batches):
-        """Rows with the segment of their state that their roll is in."""
-        for x in batches:
-            col = {c: x.column(i) for i, c in enumerate(x.schema.names)}
-            off = np.asarray(col["his"].offsets).astype(np.int64)
-            his = np.asarray(col["his"].values)
-            at = np.minimum(bisect(his, off[:-1], off[1:], np.asarray(col["x"]), True), off[1:] - 1)
-            pick = col["follows"].values.take(pa.array(at - off[0] + np.asarray(col["follows"].offsets)[0])).to_pylist()
-            words, states, status = col["words"].to_pylist(), col["state"].to_pylist(), []
-            for i, path in enumerate(col["path"].to_pylist()):
-                new = path or [pick[i]]
-                status.append(None)
-                if sent.value.end in new:
-                    new, status[i] = new[: new.index(sent.value.end)], "end"
-                if len(words[i]) + len(new) > max_steps:
-                    new, status[i] = new[: max_steps - len(words[i])], "cut"
-                words[i] = words[i] + new
-                states[i] = (states[i] + new)[-k:]
-            yield _go_on(sent.value, seed, max_steps, col["walk_id"].to_pylist(), col["attempt"].to_pylist(), words, states, status)
+def ranges(model: DataFrame, k: int, temperature: float = 1.0, begin: str = BEGIN, end: str = END) -> Stored:
+    """Write a model's rows in ranges of its states: one shuffle and one write of the model."""
+    check_temperature(temperature)
+    path = new_path(model.sparkSession, "ranges")
+    write_sorted(model.select(state_key(F.col("state")).alias("key"), "follow", F.col("n").cast("bigint").alias("n")), path, file_rows=RANGE_ROWS)
+    return Stored(files_of(model.sparkSession.read.parquet(path)), k, temperature, begin, end)
 
-    first = requests.select("walk_id", F.col("attempt").cast("int").alias("attempt"), F.coalesce("init", F.array_repeat(F.lit(begin), k)).alias("state"))
-    moved, done = written(first.mapInArrow(start, LIVE), "travel"), None
-    while True:
-        ended = moved.where("status <> 'open'").select("walk_id", "attempt", "words", "status")
-        done = ended if done is None else done.unionByName(ended)
-        live = moved.where("status = 'open'").drop("status")
-        at = {r.part: r.n for r in live.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a range
-        if rounds is not None and at:
-            rounds.append((sum(at.values()), len(at)))
-        if not at:
-            sent.unpersist()
-            return done
-        read = {p for q in at for p in _reach(table, q)}
-        rows = spark.read.parquet(table.path).where(F.col("part").isin(sorted(read))).select(F.col("key").alias("k2"), "lo", "hi", "total", "follows", "his", "path")
-        rolled = live.withColumn("u", roll(seed, F.col("walk_id"), F.col("attempt"), F.size("words")))
-        rolled = F.broadcast(rolled) if sum(at.values()) <= BROADCAST_WALKS else rolled
-        x = F.col("u") * F.col("total")
-        met = rows.join(rolled, (F.col("key") == F.col("k2")) & (x >= F.col("lo")) & (x < F.col("hi"))).withColumn("x", x)
-        gone = written(met.select("walk_id", "attempt", "words", "state", "follows", "his", "path", "x").mapInArrow(take, LIVE), "travel")
-        dead = live.join(gone.select("walk_id", "attempt"), ["walk_id", "attempt"], "left_anti").select("walk_id", "attempt", "words", F.lit("dead").alias("status"))
-        done, moved = done.unionByName(dead), gone
 
+def travel_walk(requests: DataFrame, model: DataFrame | Stored, k: int, temperature: float, seed: int, max_steps: int, begin: str = BEGIN, end: str = END, rounds: list | None = None) -> DataFrame:
+    """walk_id, attempt, words, status of all requests; model: transitions, or the ranges of them. rounds: as of stored_walk."""
+    table = model if isinstance(model, Stored) else ranges(model, k, temperature, begin, end)
+    if not readable(table.parts):
+        from tokenweave.operators.walk import superstep_walk  # it knows this module as one of its ways
 
-def _reach(table: Ranges, part: int) -> list[int]:
-    """The ranges in which a key of this range may have segments."""
-    i = table.parts.index(part)
-    out = [part]
-    while i - 1 in table.goes_on:
-        i -= 1
-        out.append(table.parts[i])
-    return out
+        rows = requests.sparkSession.read.parquet(*table.parts).select(key_words(F.col("key")).alias("state"), "follow", "n")
+        return superstep_walk(requests, rows, k, table.temperature, seed, max_steps, table.begin, table.end)
+    return stored_walk(requests, table, seed, max_steps, rounds)
