@@ -234,3 +234,22 @@ def test_trie_chunks_keep_buckets_whole(monkeypatch):
             got = sorted(map(repr, got))
             want = want or got
             assert got == want and len(got) == 7
+
+
+def test_descent_holds_no_second_copy_of_its_rows():
+    """pipeline: the fit is on the driver, so what it holds beside the rows stays below them."""
+    import tracemalloc
+
+    import numpy as np
+
+    from tokenweave.llm import quality
+
+    r = np.random.default_rng(1)
+    rows = [np.sort(r.choice(1 << 16, 8192, replace=False)).astype(np.int32) for _ in range(400)]
+    y = np.where(np.arange(400) % 2, 1.0, -1.0)
+    values = r.random(1 << 16)
+    tracemalloc.start()
+    w, bias = quality.dual_descent(rows, values, y, np.ones(400), 3, 7)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < sum(x.nbytes for x in rows) / 2 and np.isfinite(w).all() and np.isfinite(bias)

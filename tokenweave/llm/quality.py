@@ -96,18 +96,18 @@ def dual_descent(rows: list[np.ndarray], values: np.ndarray, y: np.ndarray, cost
     """
     w, bias, alpha = np.zeros(len(values)), 0.0, np.zeros(len(rows))
     norms = [float(np.sqrt((values[r] ** 2).sum())) or 1.0 for r in rows]
-    xs = [values[r] / n for r, n in zip(rows, norms)]
-    q = np.array([float(x @ x) + 1.0 for x in xs])
+    q = np.array([float(x @ x) + 1.0 for x in (values[r] / n for r, n in zip(rows, norms))])
     rng = np.random.default_rng(seed)
     for _ in range(rounds):
         worst = 0.0
         for i in rng.permutation(len(rows)):
-            g = y[i] * (float(w[rows[i]] @ xs[i]) + bias) - 1.0
+            x = values[rows[i]] / norms[i]  # made again in each round: all rows' values would be twice as large as the rows
+            g = y[i] * (float(w[rows[i]] @ x) + bias) - 1.0
             new = min(max(alpha[i] - g / q[i], 0.0), cost[i])
             if new != alpha[i]:
                 step = (new - alpha[i]) * y[i]
                 worst = max(worst, abs(step))
-                w[rows[i]] += step * xs[i]
+                w[rows[i]] += step * x
                 bias += step
                 alpha[i] = new
         if worst < 1e-4:
@@ -153,8 +153,9 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column | None = None, *, id_co
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["y", "f"])
 
     found = docs.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").alias("t")).join(F.broadcast(some), "i").select("y", "t").mapInArrow(featurise, "y int, f binary").orderBy(F.xxhash64("f"), "y").limit(2 * per_class).toArrow()
-    feats = [unpack(f.as_py()) for f in found.column("f")]
-    return fit_rows(feats, found.column("y").to_numpy().astype(int))
+    feats, known_as = [unpack(f.as_py()) for f in found.column("f")], found.column("y").to_numpy().astype(int)
+    del found
+    return fit_rows(feats, known_as)
 
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", out: str = "score") -> DataFrame:
