@@ -170,11 +170,12 @@ def totals(model: DataFrame) -> DataFrame:
 
 def ranked(df: DataFrame, col: str, out: str) -> DataFrame:
     """df (distinct in col) with the 0-based rank of col, without one task sorting all: ranks by range, then offsets."""
-    parts = written(df.repartitionByRange(col).withColumn("__p", F.spark_partition_id()), "ranked")  # partition numbers differ between two runs of a plan
-    local = parts.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(col)))
+    numbered = df.repartitionByRange(col).sortWithinPartitions(col).withColumn("__i", F.monotonically_increasing_id())  # partition, and row in its 33 lower bits
+    places = {"__p": F.shiftright("__i", 33), "__r": F.col("__i").bitwiseAND(F.lit((1 << 33) - 1))}
+    local = written(numbered.withColumns(places).drop("__i"), "ranked")  # partition numbers differ between two runs of a plan
     sizes = local.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
     before = sizes.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
-    return local.join(F.broadcast(before), "__p").withColumn(out, F.col("__b") + F.col("__r") - 1).drop("__p", "__r", "__b")
+    return local.join(F.broadcast(before), "__p").withColumn(out, (F.col("__b") + F.col("__r")).cast("bigint")).drop("__p", "__r", "__b")
 
 
 def vocabulary(model: DataFrame) -> DataFrame:
@@ -183,6 +184,12 @@ def vocabulary(model: DataFrame) -> DataFrame:
     return ranked(words, "word", "word_id")
 
 
+def vocabulary_of_runs(runs: DataFrame, words_col: str = "words") -> DataFrame:
+    """vocabulary(train(runs, k)) of any k, without training: all words of the runs, and the sentinels around them."""
+    words = runs.where(F.col(words_col).isNotNull()).select(F.explode(F.concat(words_col, F.array(F.lit(BEGIN), F.lit(END)))).alias("word")).distinct()
+    return ranked(words, "word", "word_id")
+
+
 def count_first(pairs: DataFrame, order: tuple[str, ...] = ("doc_id", "pos", "i")) -> DataFrame:
     """The model with first, where each transition was seen first: a minimum that is carried along with the count, so it costs no shuffle of its own."""
     return pairs.groupBy("state", "follow").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*order)).alias("first"))
@@ -203,19 +210,39 @@ def vocabulary_by_sight(runs: DataFrame, order: tuple[str, ...] = ("doc_id", "po
     return ends.unionAll(ranked(first, "first", "rank").select("word", (F.col("rank") + 2).cast("bigint").alias("word_id")))
 
 
-#: Words of a vocabulary that may be broadcast; a larger one is joined by shuffles.
+#: Words that may be broadcast; of a larger vocabulary these are common ones, and transitions with others are joined by shuffles.
 BROADCAST_WORDS = 500_000
+#: One in so many transitions, by a hash, tells which words are common.
+COMMON_SAMPLE = 32
 
 
 def encode(model: DataFrame, vocab: DataFrame, k: int) -> DataFrame:
-    """(key array<bigint>, follow_id, n): the model with word ids. A counted, small vocabulary is broadcast, and the model doesn't move."""
+    """(key array<bigint>, follow_id, n): the model with word ids. A counted, small vocabulary is broadcast, and the model doesn't move.
+
+    Of a larger one the common words are broadcast, and only transitions with another word move. Which words are common is told by a
+    sample; it decides how a transition gets its ids, never which.
+    """
     vocab = written(vocab.select("word", F.col("word_id").cast("bigint").alias("word_id")), "vocabulary")
-    if vocab.count() <= BROADCAST_WORDS:
-        vocab = F.broadcast(vocab)
     out = model.select(*[F.col("state")[j].alias(f"w{j}") for j in range(k)], F.col("follow").alias(f"w{k}"), "n")
-    for j in range(k + 1):
-        out = out.join(vocab.select(F.col("word").alias(f"w{j}"), F.col("word_id").alias(f"i{j}")), f"w{j}")
-    return out.select(F.array(*[f"i{j}" for j in range(k)]).alias("key"), F.col(f"i{k}").alias("follow_id"), "n")
+    slots, ids = [f"w{j}" for j in range(k + 1)], [f"i{j}" for j in range(k + 1)]
+
+    def with_ids(rows: DataFrame, words: DataFrame, how: str) -> DataFrame:
+        for w, i in zip(slots, ids):
+            rows = rows.join(words.select(F.col("word").alias(w), F.col("word_id").alias(i)), w, how)
+        return rows.select(*slots, *ids, "n")
+
+    if vocab.count() <= BROADCAST_WORDS:
+        out = with_ids(out, F.broadcast(vocab), "inner")
+    else:
+        some = out.where(F.pmod(F.xxhash64(*slots), F.lit(COMMON_SAMPLE)) == 0).select(F.explode(F.array(*slots)).alias("word"))
+        seen = some.groupBy("word").agg(F.count(F.lit(1)).alias("c")).orderBy(F.col("c").desc()).limit(BROADCAST_WORDS)
+        common = written(vocab.join(seen, "word", "left_semi"), "common-words")
+        first = with_ids(out, F.broadcast(common), "left")
+        rare = F.lit(False)
+        for i in ids:
+            rare |= F.col(i).isNull()
+        out = first.where(~rare).unionByName(with_ids(first.where(rare).select(*slots, "n"), vocab, "inner"))
+    return out.select(F.array(*ids[:k]).alias("key"), F.col(ids[k]).alias("follow_id"), "n")
 
 
 #: Bits of the two integers that hold a packed state: 63 each, so that they stay positive.
@@ -260,8 +287,9 @@ def csr(encoded: DataFrame, weight=None) -> DataFrame:
     With weight, a function of the column n, the followers also hold cum, the sum of the weights up to them.
     """
     entry = ["follow_id", "n"]
+    encoded = encoded.repartitionByRange("key")  # for the sums, the rows and their places alike
     if weight is not None:
         upto = F.sum(weight(F.col("n")).cast("double")).over(Window.partitionBy("key").orderBy("follow_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
         encoded, entry = encoded.withColumn("cum", upto), [*entry, "cum"]
     rows = encoded.groupBy("key").agg(F.array_sort(F.collect_list(F.struct(*entry))).alias("followers")).withColumn("degree", F.size("followers").cast("bigint"))
-    return running_sums(rows.withColumn("__one", F.lit(1).cast("bigint")), ["key"], {"__one": "state_id", "degree": "row_start"}, "rows").drop("__one")
+    return running_sums(rows.withColumn("__one", F.lit(1).cast("bigint")), ["key"], {"__one": "state_id", "degree": "row_start"}, "rows", ranged=True).drop("__one")

@@ -151,7 +151,7 @@ def model_totals(spark, sf_dir):
 
 
 def vocab_encode(spark, sf_dir):
-    return chain.vocabulary(model(spark, sf_dir, 2)).select("word", F.col("word_id").cast("bigint").alias("word_id"))
+    return chain.vocabulary_of_runs(doc_runs(spark, sf_dir)).select("word", F.col("word_id").cast("bigint").alias("word_id"))
 
 
 def model_int_ids(spark, sf_dir):
