@@ -43,9 +43,11 @@ def _put(path: str, places: list[tuple[int, bytes]]) -> int:
     return sum(len(raw) for _, raw in places)
 
 
-def _follow_on(ranks: np.ndarray) -> None:
-    if len(ranks) and int(ranks[-1]) - int(ranks[0]) + 1 != len(ranks):
-        raise ValueError("records of a batch do not follow one another")
+def _follow_on(batches):
+    """The batches in pieces whose records (column 0: rank) follow one another; a batch may go on in another range."""
+    for b in batches:
+        cut = [0, *(np.flatnonzero(np.diff(np.asarray(b.column(0))) != 1) + 1).tolist(), b.num_rows]
+        yield from (b.slice(x, z - x) for x, z in zip(cut, cut[1:]) if z > x)
 
 
 def save(model: MarkovModel, path: str) -> int:
@@ -54,8 +56,8 @@ def save(model: MarkovModel, path: str) -> int:
     m = written(model.transitions.select("state", "follow", F.col("n").cast("bigint").alias("n")), "model")
     words = m.select(F.explode(F.array_append("state", F.col("follow"))).alias("word")).distinct()
     words = words.withColumn("o", F.encode("word", "UTF-16BE")).withColumn("size", F.octet_length("word").cast("bigint"))
-    words = written(running_sums(words.withColumn("one", F.lit(1)), ["o"], {"size": "start", "one": "rank"}, "word-places"), "words")
-    rows = written(chain.csr(chain.encode(m, words.select("word", F.col("rank").alias("word_id")), k)), "states")
+    words = running_sums(words.withColumn("one", F.lit(1)), ["o"], {"size": "start", "one": "rank"}, "word-places")
+    rows = chain.csr(chain.encode(m, words.select("word", F.col("rank").alias("word_id")), k))
     n_words, data = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     n_states, n_followers = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("degree"), F.lit(0))).first()
     record = 4 * k + 12
@@ -69,28 +71,25 @@ def save(model: MarkovModel, path: str) -> int:
     _put(path, [(0, header), (at_data - 8, struct.pack("<q", data))])
 
     def put_words(batches):
-        for b in batches:
+        for b in _follow_on(batches):
             rank, start = np.asarray(b.column(0)), np.asarray(b.column(1))
-            _follow_on(rank)
-            if len(rank):
-                raw = b"".join(w.encode() for w in b.column(2).to_pylist())
-                yield _written(_put(path, [(HEADER_BYTES + 8 * int(rank[0]), start.astype("<i8").tobytes()), (at_data + int(start[0]), raw)]))
+            raw = b"".join(w.encode() for w in b.column(2).to_pylist())
+            yield _written(_put(path, [(HEADER_BYTES + 8 * int(rank[0]), start.astype("<i8").tobytes()), (at_data + int(start[0]), raw)]))
 
     shape = np.dtype([("key", "<i4", (k,)), ("start", "<i8"), ("count", "<i4")])
 
     def put_states(batches):
-        for b in batches:
+        for b in _follow_on(batches):
             rank, start, degree = (np.asarray(b.column(i)) for i in (0, 1, 2))
-            _follow_on(rank)
-            if len(rank):
-                out = np.zeros(len(rank), shape)
-                out["key"], out["start"], out["count"] = np.asarray(b.column(3).flatten()).reshape(-1, k), start, degree
-                each = b.column(4).flatten()
-                pairs = np.stack([np.asarray(each.field(0)), np.asarray(each.field(1))], 1).astype("<i4")
-                yield _written(_put(path, [(at_states + record * int(rank[0]), out.tobytes()), (at_followers + 8 * int(start[0]), pairs.tobytes())]))
-
-    done = words.select("rank", "start", "word").repartitionByRange("rank").sortWithinPartitions("rank").mapInArrow(put_words, "n bigint")
-    done = done.unionAll(rows.select("state_id", "row_start", "degree", "key", "followers").repartitionByRange("state_id").sortWithinPartitions("state_id").mapInArrow(put_states, "n bigint"))
+            out = np.zeros(len(rank), shape)
+            out["key"], out["start"], out["count"] = np.asarray(b.column(3).flatten()).reshape(-1, k), start, degree
+            each = b.column(4).flatten()
+            pairs = np.stack([np.asarray(each.field(0)), np.asarray(each.field(1))], 1).astype("<i4")
+            yield _written(_put(path, [(at_states + record * int(rank[0]), out.tobytes()), (at_followers + 8 * int(start[0]), pairs.tobytes())]))
+
+    # Both are tables in ranges of their ranks already (running_sums), so nothing moves.
+    done = words.select("rank", "start", "word").mapInArrow(put_words, "n bigint")
+    done = done.unionAll(rows.select("state_id", "row_start", "degree", "key", "followers").mapInArrow(put_states, "n bigint"))
     put = done.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     if put != size - HEADER_BYTES - 8:
         raise OSError(f"{put} of {size - HEADER_BYTES - 8} bytes were written")
