@@ -70,3 +70,9 @@ def runs(docs: DataFrame, tokenizer: Tokenizer = PROSE, text_col: str = "text",
     """
     split = F.transform(tokenizer.split(F.col(text_col)), lambda s: tokenizer.words(s))
     return docs.select(*keys, F.posexplode(split).alias("pos", "words")).where(F.size("words") > 0)
+
+
+def texts(docs: DataFrame, tokenizer: Tokenizer = PROSE, text_col: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(keys, words): the words of each text, end to end. A row is a text of its own, so nothing moves; a text without words has an empty or null array."""
+    split = F.transform(tokenizer.split(F.col(text_col)), lambda s: tokenizer.words(s))
+    return docs.select(*keys, F.flatten(split).alias("words"))

@@ -156,19 +156,24 @@ def found_by_positions(grams_: DataFrame, texts: DataFrame) -> DataFrame:
     ends = F.endswith(F.get(part, F.lit(0)), F.get("g", F.lit(0))) & F.startswith(F.element_at(part, -1), F.element_at("g", -1))
     out = met.where(same & ends).select("gram")
 
-    # Two words.
+    # Two words. The first ends a word of the texts; only pairs that begin with such a word are made distinct.
     two = wanted.where("m = 2").select("gram", F.get("g", F.lit(0)).alias("a"), F.get("g", F.lit(1)).alias("b"), F.length(F.get("g", F.lit(0))).alias("la"))
     sizes = [r.la for r in two.select("la").distinct().orderBy("la").collect()]  # lengths of words
     if sizes:
-        pairs = texts.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("words")), lambda i: F.struct(F.get("words", i - 1).alias("x"), F.coalesce(F.get("words", i), F.lit("")).alias("y")))).alias("w")).select("w.x", "w.y").distinct()
-        tails = pairs.select("y", F.explode(F.array_distinct(F.transform(F.filter(F.array(*map(F.lit, sizes)), lambda n: n <= F.length("x")), lambda n: F.right("x", n)))).alias("a"))
-        out = out.unionAll(two.join(tails, "a").where(F.startswith("y", "b")).select("gram"))
+        tails = seen.select(F.col("word").alias("x"), F.explode(F.array_distinct(F.transform(F.filter(F.array(*map(F.lit, sizes)), lambda n: n <= F.length("word")), lambda n: F.right("word", n)))).alias("a"))
+        tails = written(tails.join(two, "a").select("x", "gram", "b"), "word-tails")
+        following = F.arrays_zip(F.col("words").alias("x"), F.slice("words", F.lit(2), F.size("words")).alias("y"))
+        pairs = texts.select(F.inline(following).alias("x", "y")).join(tails.select("x").distinct(), "x", "left_semi").select("x", F.coalesce("y", F.lit("")).alias("y")).distinct()
+        out = out.unionAll(tails.join(pairs, "x").where(F.startswith("y", "b")).select("gram"))
 
-    # One word, or none: an empty gram is in any text.
+    # One word, or none: an empty gram is in any text. A word of the texts is found as it is, only others are looked for inside words.
     one = wanted.where("m = 1").select("gram", F.length("gram").alias("n"))
-    sizes = [r.n for r in one.select("n").distinct().orderBy("n").collect()]
+    words = seen.select(F.col("word").alias("gram"))
+    out = out.unionAll(one.join(words, "gram", "left_semi").select("gram"))
+    rest = written(one.join(words, "gram", "left_anti"), "parts-of-words")
+    sizes = [r.n for r in rest.select("n").distinct().orderBy("n").collect()]
     if sizes:
         word = seen.select("word", F.explode(F.filter(F.array(*map(F.lit, sizes)), lambda n: n <= F.length("word"))).alias("n"))
-        parts = word.select(F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("word") - F.col("n") + 1), lambda i: F.substring("word", i, F.col("n"))))).alias("gram")).distinct()
-        out = out.unionAll(one.join(parts, "gram").select("gram"))
+        parts = word.select(F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("word") - F.col("n") + 1), lambda i: F.substring("word", i, F.col("n"))))).alias("gram"))
+        out = out.unionAll(parts.join(rest, "gram", "left_semi"))
     return out.distinct()

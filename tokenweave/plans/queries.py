@@ -391,8 +391,9 @@ def start_loose_saved(spark, sf_dir):
 
 
 def _tried(spark, sf_dir, of: str) -> tuple[MarkovModel, DataFrame]:
-    m = _retained(spark, sf_dir, of)
-    got = walk.walk(walk.requests(spark, WALKS), m.transitions, 1, 1.0, SEED)
+    """The model's object, of which nothing is written but the ranges that are walked, and the walks."""
+    m = MarkovModel.from_text(_texts(spark, sf_dir, of), 1, key=KEYS[of])
+    got = walk.ranged_walk(walk.requests(spark, WALKS), m.transitions, 1, 1.0, SEED)
     return m, written(got, "candidates")
 
 
@@ -404,7 +405,7 @@ def overlap_grams(spark, sf_dir, of="benchmark"):
 def overlap_reject(spark, sf_dir, of="benchmark"):
     """Which candidates overlap the source."""
     m, got = _tried(spark, sf_dir, of)
-    bad = overlap.rejected(got, m.source, ["walk_id"])
+    bad = overlap.rejected(got, written(m.source, "source"), ["walk_id"])
     return got.select("walk_id").join(bad.withColumn("rejected", F.lit(True)), "walk_id", "left").select("walk_id", F.coalesce("rejected", F.lit(False)).alias("rejected"))
 
 
@@ -417,8 +418,8 @@ def overlap_positions(spark, sf_dir):
 
 def overlap_positions_documents(spark, sf_dir):
     """The same over the corpus, as model and as source; equal to overlap_reject_documents, which scans."""
-    m, got = _tried(spark, sf_dir, "documents")
-    bad = overlap.rejected_by_positions(got, overlap.positions(written(m.parsed_sentences, "sentences")), ["walk_id"])
+    _, got = _tried(spark, sf_dir, "documents")
+    bad = overlap.rejected_by_positions(got, written(T.texts(documents(spark, sf_dir)), "texts"), ["walk_id"])
     return got.select("walk_id").join(bad.withColumn("rejected", F.lit(True)), "walk_id", "left").select("walk_id", F.coalesce("rejected", F.lit(False)).alias("rejected"))
 
 
