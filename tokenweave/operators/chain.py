@@ -5,6 +5,8 @@ A model is a table ``state array<string>, follow string, n bigint`` with one row
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,24 +78,30 @@ def split_state(key: Column) -> Column:
     return F.when(F.contains(key, F.lit("\\")), F.transform(words, _decode)).otherwise(words)
 
 
-def _counted(runs: DataFrame, k: int, words_col: str, first: tuple[str, ...] = ()) -> DataFrame:
+def _counted(runs: DataFrame, k: int, words_col: str, first: tuple[str, ...] = (), states: DataFrame | None = None) -> DataFrame:
     """key, n and, with first, first: how often each window occurs, by its words joined by spaces. One short text a window makes the shuffle far smaller than a column a word."""
     more = [F.min(F.struct(*first, "i")).alias("first")] if first else []
     windows = _windows(runs.withColumn("__odd", _odd(F.col(words_col))), k, words_col, [*first, "__odd"])
+    if states is not None:
+        slots = _slots(k)[:k]
+        wanted = states.where(F.size("state") == k).select(*[F.col("state")[j].alias(f"__s{j}") for j in range(k)])
+        windows = windows.join(wanted, reduce(Column.__and__, [F.col(w).eqNullSafe(F.col(f"__s{j}")) for j, w in enumerate(slots)]), "left_semi")
     key = F.when(F.col("__odd"), F.concat_ws(" ", *[_code(F.col(w)) for w in _slots(k)])).otherwise(F.concat_ws(" ", *_slots(k)))
     return windows.select(*first, "i", key.alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"), *more)
 
 
-def train(runs: DataFrame, k: int, words_col: str = "words", first: tuple[str, ...] = ()) -> DataFrame:
+def train(runs: DataFrame, k: int, words_col: str = "words", first: tuple[str, ...] = (), states: DataFrame | None = None, keyed: bool = False) -> DataFrame:
     """The model of runs: count(transitions(runs, k)), but counted by the words of a window as one text; the states become arrays after the shuffle.
 
     With first, the names of columns that order the runs, the model also has first, where each transition was seen first.
+    With states (column state), it is the part of the model that begins with one of them: windows of other states are left out before they are counted.
+    With keyed, it also has key: joined(state), which is part of the window's text and needn't be made of the state again.
     """
     odd = F.contains("key", F.lit("\\"))
     state, last = F.split(F.substring_index("key", " ", k), " ", -1), F.substring_index("key", " ", -1)
     state = F.when(odd, F.array(*[_decode(F.get(state, F.lit(j))) for j in range(k)])).otherwise(state)
     follow = F.when(odd, _decode(last)).otherwise(last)
-    return _counted(runs, k, words_col, first).select(state.alias("state"), follow.alias("follow"), "n", *[c for c in ("first",) if first])
+    return _counted(runs, k, words_col, first, states).select(state.alias("state"), follow.alias("follow"), "n", *[c for c in ("first",) if first], *([F.substring_index("key", " ", k).alias("key")] if keyed else []))
 
 
 def keyed_transitions(rows: DataFrame, k: int, key: str, order: list[str], token: str) -> DataFrame:

@@ -262,8 +262,9 @@ def move_grid(spark, sf_dir):
 
 def move_missing(spark, sf_dir):
     """States of the benchmark's model in the documents' model: unknown ones give null."""
-    rolls = benchmark_model(spark, sf_dir, 2).select("state").distinct().withColumn("u", F.lit(0.5))
-    return sampling.move(rolls, sampling.cdf(model(spark, sf_dir, 2), 1.0), "left").select(F.array_join("state", " ").alias("state"), "follow")
+    rolls = written(benchmark_model(spark, sf_dir, 2).select("state").distinct().withColumn("u", F.lit(0.5)), "rolls")
+    met = written(chain.train(doc_runs(spark, sf_dir), 2, states=rolls), "met")
+    return sampling.move(rolls, sampling.cdf(met, 1.0), "left").select(F.array_join("state", " ").alias("state"), "follow")
 
 
 def walk_begin(spark, sf_dir):
