@@ -37,6 +37,12 @@ def model(spark, sf_dir, k: int, tok=T.PROSE) -> DataFrame:
     return chain.train(doc_runs(spark, sf_dir, tok), k)
 
 
+def told(spark, sf_dir, k: int) -> sampling.Hot:
+    """The hot states of the documents' model, by one in HOT_SAMPLE documents."""
+    some = documents(spark, sf_dir).where(F.pmod(F.xxhash64("doc_id"), F.lit(sampling.HOT_SAMPLE)) == 0)
+    return sampling.Hot(chain.train(T.runs(some), k, keyed=True), lambda states: chain.train(doc_runs(spark, sf_dir), k, states=states, keyed=True))
+
+
 def long(*names: str) -> list:
     """Columns as bigint."""
     return [F.col(n).cast("bigint").alias(n) for n in names]
@@ -251,13 +257,13 @@ def weights_t1_5(spark, sf_dir):
 
 
 def cdf_t(t: float, spark, sf_dir):
-    out = sampling.cdf(model(spark, sf_dir, 2), t)
+    out = sampling.cdf(chain.train(doc_runs(spark, sf_dir), 2, keyed=True), t, told(spark, sf_dir, 2))
     return out.select(F.array_join("state", " ").alias("state"), "follow", F.round("lo", 5).alias("lo"), F.round("hi", 5).alias("hi"), F.round("total", 5).alias("total"))
 
 
 def move_grid(spark, sf_dir):
     """Every state of the model meets four fixed rolls."""
-    return sampling.move_all(model(spark, sf_dir, 2), [0.0, 0.25, 0.5, 0.999]).select(F.array_join("state", " ").alias("state"), "u", "follow")
+    return sampling.move_all(chain.train(doc_runs(spark, sf_dir), 2, keyed=True), [0.0, 0.25, 0.5, 0.999], told=told(spark, sf_dir, 2)).select(F.array_join("state", " ").alias("state"), "u", "follow")
 
 
 def move_missing(spark, sf_dir):
