@@ -29,12 +29,24 @@ def documents(spark, sf_dir, spread: bool = True) -> DataFrame:
     return df.repartition(n, "doc_id") if spread and df.rdd.getNumPartitions() < n else df
 
 
+#: Bytes of text whose windows a task counts before the shuffle: their distinct windows take about 30 times that in memory, and more would be sorted on disk.
+PIECE_BYTES = 32 << 20
+
+
+def training_documents(spark, sf_dir) -> DataFrame:
+    """documents, in so many partitions that each has about PIECE_BYTES of text at most."""
+    docs = documents(spark, sf_dir, spread=False)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(spark.sparkContext.defaultParallelism, -(-size // PIECE_BYTES))
+    return docs.repartition(n, "doc_id") if docs.rdd.getNumPartitions() < n else docs
+
+
 def doc_runs(spark, sf_dir, tok=T.PROSE) -> DataFrame:
     return T.runs(documents(spark, sf_dir), tok)
 
 
-def model(spark, sf_dir, k: int, tok=T.PROSE) -> DataFrame:
-    return chain.train(doc_runs(spark, sf_dir, tok), k)
+def model(spark, sf_dir, k: int, tok=T.PROSE, **options) -> DataFrame:
+    return chain.train(T.runs(training_documents(spark, sf_dir), tok), k, **options)
 
 
 def told(spark, sf_dir, k: int) -> sampling.Hot:
@@ -257,13 +269,13 @@ def weights_t1_5(spark, sf_dir):
 
 
 def cdf_t(t: float, spark, sf_dir):
-    out = sampling.cdf(chain.train(doc_runs(spark, sf_dir), 2, keyed=True), t, told(spark, sf_dir, 2))
+    out = sampling.cdf(model(spark, sf_dir, 2, keyed=True), t, told(spark, sf_dir, 2))
     return out.select(F.array_join("state", " ").alias("state"), "follow", F.round("lo", 5).alias("lo"), F.round("hi", 5).alias("hi"), F.round("total", 5).alias("total"))
 
 
 def move_grid(spark, sf_dir):
     """Every state of the model meets four fixed rolls."""
-    return sampling.move_all(chain.train(doc_runs(spark, sf_dir), 2, keyed=True), [0.0, 0.25, 0.5, 0.999], told=told(spark, sf_dir, 2)).select(F.array_join("state", " ").alias("state"), "u", "follow")
+    return sampling.move_all(model(spark, sf_dir, 2, keyed=True), [0.0, 0.25, 0.5, 0.999], told=told(spark, sf_dir, 2)).select(F.array_join("state", " ").alias("state"), "u", "follow")
 
 
 def move_missing(spark, sf_dir):
@@ -399,7 +411,8 @@ def start_loose_saved(spark, sf_dir):
 
 def _tried(spark, sf_dir, of: str) -> tuple[MarkovModel, DataFrame]:
     """The model's object, of which nothing is written but the ranges that are walked, and the walks."""
-    m = MarkovModel.from_text(_texts(spark, sf_dir, of), 1, key=KEYS[of])
+    texts = training_documents(spark, sf_dir) if of == "documents" else _texts(spark, sf_dir, of)
+    m = MarkovModel.from_text(texts, 1, key=KEYS[of])
     got = walk.ranged_walk(walk.requests(spark, WALKS), m.transitions, 1, 1.0, SEED)
     return m, written(got, "candidates")
 
