@@ -253,3 +253,40 @@ def test_descent_holds_no_second_copy_of_its_rows():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < sum(x.nbytes for x in rows) / 2 and np.isfinite(w).all() and np.isfinite(bias)
+
+
+def test_components_plan_one_small_step_at_a_time(spark, monkeypatch):
+    """pipeline: plans and rounds are the driver's memory; edges that are stars take no round, and no step is planned twice."""
+    from tokenweave.llm import common as C
+    from tokenweave.llm.components import components
+
+    exchanges, written = [], C.written
+
+    def counted(df, name):
+        exchanges.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange"))
+        return written(df, name)
+
+    monkeypatch.setattr(C, "written", counted)
+
+    def found(edges):
+        exchanges.clear()
+        return {(r.id, r.component) for r in components(spark.createDataFrame(edges, "a bigint, b bigint"), "a", "b").collect()}
+
+    assert found([(2, 1), (3, 1), (8, 9), (7, 7), (None, 4)]) == {(1, 1), (2, 1), (3, 1), (8, 8), (9, 8)}
+    assert len(exchanges) == 1
+    chain = [(i, i + 1) for i in range(20)] + [(30, 40), (40, 35), (30, 35)]
+    assert found(chain) == {(i, 0) for i in range(21)} | {(30, 30), (35, 30), (40, 30)}
+    assert len(exchanges) <= 11 and max(exchanges) <= 4
+
+
+def test_fit_gives_its_memory_back(spark, monkeypatch):
+    """pipeline: the driver's Python goes on without the rows that the classifier was fitted on."""
+    from tokenweave.llm import common as C
+    from tokenweave.llm import quality
+
+    docs = spark.createDataFrame([(i, f"{'good words' if i % 2 else 'BUY NOW'} {i}") for i in range(40)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, quality int")
+    calls = []
+    monkeypatch.setattr(C, "release", lambda: calls.append(1))
+    model = quality.fit(docs, labels)
+    assert calls and model.w.any()

@@ -8,29 +8,33 @@ from pyspark.sql import functions as F
 from tokenweave.llm import common as C
 
 
-def _star(sym: DataFrame, small: bool) -> DataFrame:
-    """Edges (u, v) after one step; sym has both directions (large star) or v < u only (small star)."""
-    least = sym.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    joined = sym.join(least, "u")
-    if small:
-        out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
-    else:
-        out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return out.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Edges (u, v), v < u, after each node has tied its larger neighbours to its least one, or to itself."""
+    both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("m"))
+    return edges.join(least, "v").select("u", F.col("m").alias("v")).distinct()  # m <= the old v < u
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Edges (u, v), v < u, after each node has tied itself and its smaller neighbours to the least of these."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    return edges.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether each node that has a smaller neighbour has only that one neighbour: then the steps change nothing more."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").count() == 0
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(id, component): the smallest id reachable by edges, for every id that has an edge to another; nulls have none.
 
-    Every round writes its edges to the shared folder, so a lost executor costs a round at most, and it ends when the
-    edges no longer change. Only edges move; hubs are summed before the shuffle and their joins can be split.
+    Every step writes its edges to the shared folder, so a lost executor costs a step at most and the driver plans one
+    step at a time. It ends when the edges are stars, the only edges that the steps leave as they are. Only edges move;
+    hubs are summed before the shuffle and their joins can be split.
     """
     now = C.written(edges.where(f"{a} <> {b}").select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
-    mark = None
-    while True:
-        both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        now = C.written(_star(_star(both, False), True), "edges")
-        found = now.agg(F.count("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(found) == mark:
-            return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
-        mark = tuple(found)
+    while not _stars(now):
+        now = C.written(_small_star(C.written(_large_star(now), "edges")), "edges")
+    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

@@ -297,7 +297,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     pairs = C.written(pairs.select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
     more = C.written(verify(pairs, cand, n_words, threshold).unionAll(large_groups(open_.where(F.col("m") > SMALL).drop("m"), cand, n_words, threshold)), "links")
     if not more.isEmpty():
-        label = components(links.unionAll(more), "a", "b")
+        label = components(label.toDF("a", "b").unionAll(more), "a", "b")  # the stars that the links became
     classes = member.join(label.select(F.col("id").alias("rep"), "component"), "rep", "left").select("i", F.coalesce("component", "rep").alias("class_id")).groupBy("i").agg(F.min("class_id").alias("class_id"))
     return ids.distinct().join(classes, "i", "left").select(F.col("i").alias(id_col), F.coalesce("class_id", "i").alias("class_id"))
 

@@ -155,7 +155,10 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column | None = None, *, id_co
     found = docs.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").alias("t")).join(F.broadcast(some), "i").select("y", "t").mapInArrow(featurise, "y int, f binary").orderBy(F.xxhash64("f"), "y").limit(2 * per_class).toArrow()
     feats, known_as = [unpack(f.as_py()) for f in found.column("f")], found.column("y").to_numpy().astype(int)
     del found
-    return fit_rows(feats, known_as)
+    model = fit_rows(feats, known_as)
+    del feats
+    C.release()  # the driver goes on without the rows
+    return model
 
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", out: str = "score") -> DataFrame:
