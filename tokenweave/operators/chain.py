@@ -173,6 +173,42 @@ def totals(model: DataFrame) -> DataFrame:
     return states.agg(F.count(F.lit(1)).alias("n_states"), F.coalesce(F.sum("d"), F.lit(0)).alias("n_pairs"), F.sum("t").alias("n_transitions"))
 
 
+def _coded_slots(k: int) -> list[Column]:
+    """The words of a window as they stand in a key; of runs without odd words (column __odd) they are the words."""
+    return [F.when(F.col("__odd"), _code(F.col(w))).otherwise(F.col(w)) for w in _slots(k)]
+
+
+def totals_upto(runs: DataFrame, k: int, parts: int, words_col: str = "words") -> DataFrame:
+    """(k, n_states, n_pairs, n_transitions) of the models of order 1 to k: totals(train(runs, j)) of each, with one shuffle of windows for all.
+
+    The windows of order k move by their last two words, so that the shorter ones that end them, which are the windows of the lower orders, are
+    there as well. States of order j + 1 are the windows of order j that end with a word of a run, and the beginning.
+    """
+    check_state_size(k)
+    texts = runs.withColumns({"__odd": _odd(F.col(words_col)), "__m": F.size(words_col)})
+    words = _coded_slots(k)
+    windows = _windows(texts, k, words_col, ["__odd", "__m"]).select(
+        F.concat_ws(" ", *words[: k - 1]).alias("head"), F.concat_ws(" ", *words[k - 1 :]).alias("tail"), (F.col("i") < F.col("__m")).alias("real")
+    )
+    level = windows.repartition(parts, "tail").groupBy("tail", "head").agg(F.count(F.lit(1)).alias("n"), F.max("real").alias("real"))
+    sums: list[str] = []
+    for j in range(k, 0, -1):  # level: the windows of order j, and the sums of those above
+        begun = (F.col("head") == " ".join([BEGIN] * (j - 1))) & (F.col("tail") == f"{BEGIN} {BEGIN}")
+        level = level.withColumns({f"p{j}": F.lit(1).cast("bigint"), f"s{j + 1}": (F.col("real") & ~begun).cast("bigint")})
+        sums += [f"p{j}", f"s{j + 1}"]
+        if j > 1:
+            level = level.withColumn("head", F.substring_index("head", " ", 2 - j) if j > 2 else F.lit(""))
+            by = ["tail", "head"]
+        else:
+            level, by = level.select(F.substring_index("tail", " ", -1).alias("word"), "real", "n", *sums), ["word"]
+        level = level.groupBy(*by).agg(F.sum("n").alias("n"), F.max("real").alias("real"), *[F.sum(c).alias(c) for c in sums])
+    level = level.withColumn("s1", (F.col("real") & (F.col("word") != BEGIN)).cast("bigint"))
+    whole = level.agg(F.sum("n").alias("n"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in [*sums, "s1"]])
+    first = F.when(F.col("n").isNotNull(), F.lit(1)).otherwise(F.lit(0)).cast("bigint")  # the state of the beginning
+    rows = [F.struct(F.lit(j).alias("k"), (F.col(f"s{j}") + first).alias("n_states"), F.col(f"p{j}").alias("n_pairs"), F.col("n").alias("n_transitions")) for j in range(1, k + 1)]
+    return whole.select(F.inline(F.array(*rows)))
+
+
 # ---- dictionary-encoded forms -----------------------------------------------------------------------------------
 
 

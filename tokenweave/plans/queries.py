@@ -35,10 +35,19 @@ PIECE_BYTES = 32 << 20
 
 def training_documents(spark, sf_dir) -> DataFrame:
     """documents, in so many partitions that each has about PIECE_BYTES of text at most."""
+    return _in_pieces(spark, sf_dir)[0]
+
+
+def _in_pieces(spark, sf_dir) -> tuple[DataFrame, int]:
+    """training_documents, and the number of their pieces."""
     docs = documents(spark, sf_dir, spread=False)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(spark.sparkContext.defaultParallelism, -(-size // PIECE_BYTES))
-    return docs.repartition(n, "doc_id") if docs.rdd.getNumPartitions() < n else docs
+    n, has = max(spark.sparkContext.defaultParallelism, -(-size // PIECE_BYTES)), docs.rdd.getNumPartitions()
+    return (docs.repartition(n, "doc_id"), n) if has < n else (docs, has)
+
+
+#: Partitions for each piece where windows move uncounted: as many windows as 8 MB of text has are counted in one.
+SHARES = PIECE_BYTES // (8 << 20)
 
 
 def doc_runs(spark, sf_dir, tok=T.PROSE) -> DataFrame:
@@ -161,11 +170,8 @@ def state_repr(spark, sf_dir):
 
 
 def model_totals(spark, sf_dir):
-    out = None
-    for k in (1, 2, 3):
-        one = chain.totals(model(spark, sf_dir, k)).select(F.lit(k).alias("k"), "*")
-        out = one if out is None else out.unionAll(one)
-    return out
+    docs, n = _in_pieces(spark, sf_dir)
+    return chain.totals_upto(T.runs(docs), 3, n * SHARES)
 
 
 def vocab_encode(spark, sf_dir):
