@@ -162,6 +162,15 @@ def key_words(key: Column) -> Column:
     return F.when(F.contains(key, F.lit("\\")), F.transform(words, word)).otherwise(words)
 
 
+def counted_in_ranges(runs: DataFrame, k: int, parts: int, words_col: str = "words") -> DataFrame:
+    """(key, follow, n): the model of runs with the states' keys, in parts ranges of (key, follow), sorted; the windows move once, and are counted where they come to."""
+    slots = _slots(k)
+    windows = _windows(runs.withColumn("__odd", _odd(F.col(words_col))), k, words_col, ["__odd"])
+    key = F.when(F.col("__odd"), state_key(_state(k))).otherwise(F.concat_ws(" ", *slots[:k]))
+    ranged = windows.select(key.alias("key"), F.col(slots[k]).alias("follow")).repartitionByRange(parts, "key", "follow")
+    return ranged.groupBy("key", "follow").agg(F.count(F.lit(1)).alias("n")).sortWithinPartitions("key", "follow")
+
+
 def escaped(word: str) -> str:
     """A word as it stands in a state's key."""
     return word.replace("\\", "\\\\").replace(" ", "\\s")

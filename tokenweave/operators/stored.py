@@ -20,10 +20,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenweave.operators.chain import BEGIN, END, escaped, state_key
+from tokenweave.operators.chain import BEGIN, END, escaped, key_words, state_key
 from tokenweave.sources.shared import written
 
 #: Rows of a file, and of a row group, in which a state is looked up.
@@ -54,6 +54,40 @@ def files_of(rows: DataFrame) -> list[str]:
     return sorted(rows.inputFiles(), key=_in_order)
 
 
+def rows_of(spark: SparkSession, table: Stored) -> DataFrame:
+    """The rows (key, follow, n) of a table, in files."""
+    return spark.read.parquet(*table.parts)
+
+
+def heaviest(rows: DataFrame, top: int) -> DataFrame:
+    """(key, t): among others, the states without sentinels that have the top greatest sums of n, with all that equal the least of these; rows as rows_of gives them.
+
+    Rows of a state follow one another in the files, so a task has whole states but for those at the ends of what it reads at once, and
+    only its greatest sums and those at the ends move.
+    """
+    plain = ~F.contains("key", F.lit(BEGIN)) | ~F.array_contains(key_words(F.col("key")), BEGIN)
+    at = rows.where(plain).select("key", F.col("n").cast("bigint").alias("n"), F.col("_metadata.row_index").alias("at"))
+
+    def sums(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key, n, place = b.column(0), np.asarray(b.column(1)), np.asarray(b.column(2))
+            gap = np.diff(place) != 1  # another file, or rows that were left out
+            new = np.flatnonzero(np.concatenate(([True], gap | np.asarray(pc.not_equal(key[1:], key[:-1]).to_numpy(zero_copy_only=False), bool))))
+            total = np.add.reduceat(n, new)
+            edge = np.zeros(len(new), bool)
+            edge[[0, -1]] = True
+            cut = np.searchsorted(new, np.flatnonzero(gap) + 1)  # the first state after a gap; the one before it may go on elsewhere, too
+            edge[cut] = edge[cut - 1] = True
+            inner = total[~edge]
+            least = np.partition(inner, len(inner) - top)[len(inner) - top] if len(inner) > top else 0
+            some = np.flatnonzero(edge | (total >= least))
+            yield pa.record_batch([key.take(pa.array(new[some])), pa.array(total[some], pa.int64())], ["key", "t"])
+
+    return at.mapInArrow(sums, "key string, t bigint").groupBy("key").agg(F.sum("t").alias("t"))
+
+
 def readable(files: list[str]) -> bool:
     """Whether the tasks can open the files of a table themselves."""
     try:

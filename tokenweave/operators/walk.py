@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from tokenweave.operators.chain import BEGIN, END, PACKED_BITS, id_bits, key_words, packed, shift, state_key
 from tokenweave.operators.frozen import Frozen, halves, row_order
 from tokenweave.operators.sampling import cdf, move, roll
+from tokenweave.operators.stored import Stored, rows_of
 from tokenweave.operators.travel import ranges, travel_walk
 from tokenweave.sources.shared import written
 
@@ -285,10 +286,10 @@ def walk(requests: DataFrame, model: DataFrame, k: int, temperature: float = 1.0
     raise ValueError("strategy is 'auto', 'broadcast', 'travel' or 'superstep'")
 
 
-def ranged_walk(requests: DataFrame, model: DataFrame, k: int, temperature: float = 1.0, seed: int = 0, max_steps: int = 1000) -> DataFrame:
-    """What walk gives, of a model that is not written yet: it is written once, as its ranges, which are counted, and frozen if they are small."""
-    table = ranges(model, k, temperature)
-    rows = requests.sparkSession.read.parquet(*table.parts).select(key_words(F.col("key")).alias("state"), "follow", "n")
+def ranged_walk(requests: DataFrame, model: DataFrame | Stored, k: int, temperature: float = 1.0, seed: int = 0, max_steps: int = 1000) -> DataFrame:
+    """What walk gives, of a model that is not written yet: it is written once, as its ranges (or they are given), which are counted, and frozen if they are small."""
+    table = model if isinstance(model, Stored) else ranges(model, k, temperature)
+    rows = rows_of(requests.sparkSession, table).select(key_words(F.col("key")).alias("state"), "follow", "n")
     if payload_bytes(rows) <= BROADCAST_BYTES:
         return broadcast_walk(requests, rows, k, temperature, seed, max_steps)
     return travel_walk(requests, table, k, temperature, seed, max_steps)

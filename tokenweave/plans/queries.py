@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenweave.functions import tokenize as T
-from tokenweave.operators import algebra, chain, generate, overlap, sampling, walk
+from tokenweave.operators import algebra, chain, generate, overlap, sampling, stored, travel, walk
 from tokenweave.plans.model import MarkovModel
 from tokenweave.sources import files, json_model, mapped, tables, zipf
 from tokenweave.sources.shared import new_path, written
@@ -315,10 +315,11 @@ def state_segments(spark, sf_dir):
 
 
 def walk_from_state(spark, sf_dir):
-    m = written(model(spark, sf_dir, 2), "model")
-    top = m.where(~F.array_contains("state", chain.BEGIN)).groupBy("state").agg(F.sum("n").alias("t")).orderBy(F.col("t").desc(), F.array_join("state", " ")).limit(20)
+    docs, n = _in_pieces(spark, sf_dir)
+    table = travel.ranges_of_runs(T.runs(docs), 2, n * SHARES, TEMPERATURE)
+    top = stored.heaviest(stored.rows_of(spark, table), 20).select(chain.key_words(F.col("key")).alias("state"), "t").orderBy(F.col("t").desc(), F.array_join("state", " ")).limit(20)
     req = top.select((F.row_number().over(_by_total()) - 1).cast("bigint").alias("walk_id"), F.lit(0).alias("attempt"), F.col("state").alias("init"))
-    got = walk.walk(req, m, 2, TEMPERATURE, SEED)
+    got = walk.ranged_walk(written(req, "requests"), table, 2, TEMPERATURE, SEED)
     return got.select("walk_id", F.array_join("words", " ").alias("sentence"), "status")
 
 
