@@ -255,6 +255,46 @@ def followers_by_sight(model: DataFrame) -> DataFrame:
     return seen.select("state", F.transform("x", lambda e: F.struct(e["follow"].alias("follow"), e["n"].alias("n"))).alias("followers"), "first")
 
 
+def sight_bits(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> tuple[int, int] | None:
+    """Bits of a sentence's place in its text and of a window's in its sentence, if these and the text's number fit into one integer; else None.
+
+    A text has no more sentences, nor a sentence more words, than the text has bytes.
+    """
+    if dict(docs.dtypes)[key] not in ("tinyint", "smallint", "int", "bigint"):
+        return None
+    r = docs.agg(F.count(F.lit(1)).alias("n"), F.count(key).alias("m"), F.min(key).alias("lo"), F.max(key).alias("hi"), F.max(F.octet_length(text_col)).alias("size")).first()
+    each = int(r.size or 0).bit_length()
+    return (each, each) if r.n == r.m and (r.lo or 0) >= 0 and int(r.hi or 0).bit_length() + 2 * each <= 63 else None
+
+
+def runs_by_sight(runs: DataFrame, k: int, parts: int, order: tuple[str, str] = ("doc_id", "pos"), bits: tuple[int, int] | None = None, words_col: str = "words") -> DataFrame:
+    """followers_by_sight(train(runs, k, first=order)), with one shuffle of the windows, which move to their state and are counted there.
+
+    With bits (sight_bits), a place is one integer on the way. The windows that begin a run have one state; they are counted before they move.
+    """
+    key, pos = order
+    windows = _windows(runs.withColumn("__odd", _odd(F.col(words_col))), k, words_col, [key, pos, "__odd"])
+    if bits:
+        up, low = sum(bits), bits[1]
+        place = F.shiftleft(F.col(key).cast("bigint"), up).bitwiseOR(F.shiftleft(F.col(pos).cast("bigint"), low)).bitwiseOR(F.col("i").cast("bigint"))
+        part = lambda c, down, n: F.shiftright(c, down).bitwiseAND(F.lit((1 << n) - 1))
+        types = dict(windows.dtypes)
+        whole = lambda c: F.struct(F.shiftright(c, up).cast(types[key]).alias(key), part(c, low, bits[0]).cast(types[pos]).alias(pos), part(c, 0, low).cast(types["i"]).alias("i"))
+    else:
+        place, whole = F.struct(key, pos, "i"), lambda c: c
+    words = _coded_slots(k)
+    rows = windows.select(F.concat_ws(" ", *words[:k]).alias("key"), words[k].alias("follow"), place.alias("first"))
+    begun = F.col("key") == " ".join([BEGIN] * k)
+
+    def lists(some: DataFrame) -> DataFrame:
+        counted = some.groupBy("key", "follow").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first"))
+        return counted.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("first", "follow", "n"))).alias("x"))
+
+    seen = lists(rows.where(~begun).repartition(parts, "key")).unionByName(lists(rows.where(begun)))
+    follow = lambda e: F.when(F.contains(e["follow"], F.lit("\\")), _decode(e["follow"])).otherwise(e["follow"]).alias("follow")
+    return seen.select(split_state(F.col("key")).alias("state"), F.transform("x", lambda e: F.struct(follow(e), e["n"].alias("n"))).alias("followers"), whole(F.get("x", F.lit(0))["first"]).alias("first"))
+
+
 def vocabulary_by_sight(runs: DataFrame, order: tuple[str, ...] = ("doc_id", "pos")) -> DataFrame:
     """(word, word_id): the sentinels 0 and 1, then the words of runs in the order in which they are first seen, by ranges; a word equal to a sentinel is that."""
     seen = runs.select(*order, F.posexplode("words").alias("i", "word")).where(~F.col("word").isin(BEGIN, END))

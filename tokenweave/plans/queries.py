@@ -195,7 +195,8 @@ def vocab_by_sight(spark, sf_dir):
 
 
 def followers_by_sight(spark, sf_dir):
-    out = chain.followers_by_sight(chain.train(doc_runs(spark, sf_dir), 2, first=("doc_id", "pos")))
+    docs, n = _in_pieces(spark, sf_dir)
+    out = chain.runs_by_sight(T.runs(docs), 2, n * SHARES, bits=chain.sight_bits(documents(spark, sf_dir, spread=False)))
     return out.select(F.array_join("state", " ").alias("state"), F.array_join(F.transform("followers", lambda x: F.concat(x["follow"], F.lit("="), x["n"].cast("string"))), ",").alias("followers"), "first.doc_id", *[F.col(f"first.{c}").cast("bigint").alias(c) for c in ("pos", "i")])
 
 
