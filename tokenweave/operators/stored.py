@@ -28,12 +28,14 @@ from tokenweave.sources.shared import written
 
 #: Rows of a file, and of a row group, in which a state is looked up.
 FILE_ROWS, GROUP_ROWS = 1_000_000, 16_384
+#: Options of files in whose row groups a state is looked up.
+LOOKED_UP = {"parquet.block.row.count.limit": str(GROUP_ROWS)}
 #: Row groups that a task keeps at hand, and states, and transitions of all of these.
 GROUPS, HOT_STATES, HOT_ENTRIES = 32, 50_000, 500_000
 #: Words that a walk takes between two writes.
 STRIDE = 256
 
-LIVE = "walk_id bigint, attempt int, words array<string>, status string, init array<string>"
+LIVE = "walk_id bigint, attempt int, words array<{0}>, status string, init array<{0}>"
 
 
 def write_sorted(rows: DataFrame, path: str, partitions: int | None = None, file_rows: int = FILE_ROWS) -> None:
@@ -101,6 +103,8 @@ def readable(files: list[str]) -> bool:
 class Stored:
     """A model in sorted files. What a task has opened is its own, and doesn't travel."""
 
+    key, columns, word, lowest = "key", ["key", "follow", "n"], "string", b""
+
     def __init__(self, files: list[str], k: int, temperature: float = 1.0, begin: str = BEGIN, end: str = END):
         self.parts, self.k, self.begin, self.end, self.temperature = files, k, begin, end, temperature
         self._fresh()
@@ -121,36 +125,40 @@ class Stored:
             system, path = fs.FileSystem.from_uri(self.parts[i])
             with system.open_input_file(path) as f:
                 meta = pq.read_metadata(f)
-            self.feet[i] = system, path, meta, meta.schema.names.index("key") if meta.num_row_groups else 0
+            self.feet[i] = system, path, meta, meta.schema.names.index(self.key) if meta.num_row_groups else 0
         return self.feet[i]
 
     def _group(self, i: int, g: int) -> pa.Table:
         if (i, g) not in self.groups:
             system, path, meta, _ = self._foot(i)
             with system.open_input_file(path) as f:
-                self.groups[i, g] = pq.ParquetFile(f, metadata=meta).read_row_group(g, columns=["key", "follow", "n"], use_threads=False)
+                self.groups[i, g] = pq.ParquetFile(f, metadata=meta).read_row_group(g, columns=self.columns, use_threads=False)
             while len(self.groups) > GROUPS:
                 self.groups.popitem(last=False)
         self.groups.move_to_end((i, g))
         return self.groups[i, g]
 
-    def _bounds(self, i: int, g: int) -> tuple[bytes, bytes]:
+    def _raw(self, x):
+        """A key as keys are compared."""
+        return x if isinstance(x, bytes) else x.encode()
+
+    def _bounds(self, i: int, g: int) -> tuple:
         """First and last key of a row group, from the footer; from the rows where a key is too long for it."""
         _, _, meta, c = self._foot(i)
         s = meta.row_group(g).column(c).statistics
-        lo, hi = (s.min, s.max) if s is not None and s.has_min_max else (lambda x: (x[0].as_py(), x[-1].as_py()))(self._group(i, g).column("key"))
-        return tuple(x if isinstance(x, bytes) else x.encode() for x in (lo, hi))
+        lo, hi = (s.min, s.max) if s is not None and s.has_min_max else (lambda x: (x[0].as_py(), x[-1].as_py()))(self._group(i, g).column(self.key))
+        return self._raw(lo), self._raw(hi)
 
-    def _first(self, i: int) -> bytes:
-        return self._bounds(i, 0)[0] if self._foot(i)[2].num_row_groups else b""  # only the first file of a write may be empty
+    def _first(self, i: int):
+        return self._bounds(i, 0)[0] if self._foot(i)[2].num_row_groups else self.lowest  # only the first file of a write may be empty
 
-    def place(self, key: bytes) -> int:
+    def place(self, key) -> int:
         """The first file in which a key may be."""
         return max(0, bisect.bisect_left(range(len(self.parts)), key, key=self._first) - 1)
 
-    def rows(self, key: str) -> pa.Table | None:
-        """follow and n of a state's rows in order of follow, or None."""
-        raw, found = key.encode(), []
+    def rows(self, key) -> pa.Table | None:
+        """A state's rows in order of follow, without their key, or None."""
+        raw, found = self._raw(key), []
         for i in range(self.place(raw), len(self.parts)):
             if self._first(i) > raw:
                 break
@@ -159,20 +167,24 @@ class Stored:
                 if self._bounds(i, g)[0] > raw:
                     break
                 some = self._group(i, g)
-                some = some.filter(pc.equal(some.column("key"), key))
+                some = some.filter(pc.equal(some.column(self.key), key))
                 if len(some):
-                    found.append(some.select(["follow", "n"]))
+                    found.append(some.select(self.columns[1:]))
         return pa.concat_tables(found) if found else None
 
-    def followers(self, state: tuple[str, ...]):
+    def _key(self, state: tuple):
+        return " ".join(map(escaped, state))
+
+    def _opened(self, rows: pa.Table):
+        """(words in order, cumulative weights) of a state's rows."""
+        n = rows.column("n").to_numpy().astype(np.float64)
+        return rows.column("follow").combine_chunks(), np.cumsum(n if self.temperature == 1.0 else n ** (1.0 / self.temperature))
+
+    def followers(self, state: tuple):
         """(words in order, cumulative weights) of a state, or None."""
         if state not in self.met:
-            rows = self.rows(" ".join(map(escaped, state)))
-            got = None
-            if rows is not None:
-                n = rows.column("n").to_numpy().astype(np.float64)
-                got = rows.column("follow").combine_chunks(), np.cumsum(n if self.temperature == 1.0 else n ** (1.0 / self.temperature))
-            self.met[state] = got
+            rows = self.rows(self._key(state))
+            got = self.met[state] = None if rows is None else self._opened(rows)
             self.entries += len(got[1]) if got else 1
             while len(self.met) > 1 and (len(self.met) > HOT_STATES or self.entries > HOT_ENTRIES):
                 _, old = self.met.popitem(last=False)
@@ -204,26 +216,59 @@ class Stored:
         return out, "cut"
 
 
+class StoredIds(Stored):
+    """A model of word ids in files sorted by the state's ids in one integer of bits each (coded.one_key)."""
+
+    word, lowest = "bigint", -1
+
+    def __init__(self, files: list[str], k: int, bits: int, temperature: float, begin: int, end: int):
+        self.bits = bits
+        super().__init__(files, k, temperature, begin, end)
+
+    def __getstate__(self):
+        return super().__getstate__() | {"bits": self.bits}
+
+    def _raw(self, x):
+        return x
+
+    def _key(self, state: tuple):
+        out = 0
+        for i in state:
+            out = out << self.bits | i
+        return out
+
+
+class StoredRows(StoredIds):
+    """The same of compressed sparse rows with sums (coded.csr with a weight and bits), which say the temperature."""
+
+    key, columns = "one", ["one", "followers"]
+
+    def _opened(self, rows: pa.Table):
+        each = pa.Table.from_struct_array(pa.chunked_array([x.flatten() for x in rows.column("followers").chunks]))
+        return each.column("follow_id").combine_chunks(), each.column("cum").to_numpy()
+
+
 def stored_walk(requests: DataFrame, table: Stored, seed: int, max_steps: int, rounds: list | None = None) -> DataFrame:
     """walk_id, attempt, words, status of all requests, in rounds of STRIDE words; rounds, if given, gets the number of live walks and of the files where they wait of each."""
     spark = requests.sparkSession
     sent = spark.sparkContext.broadcast(table)
     n = spark.sparkContext.defaultParallelism
+    lists = pa.list_(pa.string() if table.word == "string" else pa.int64())
 
     def go(batches):
         stored = sent.value
         for b in batches:
             ids, attempts, words, inits = (b.column(i).to_pylist() for i in (0, 1, 2, 4))
             got = [stored.walk(seed, *x, max_steps, w) for *x, w in zip(ids, attempts, inits, words)]
-            cols = [b.column(0), b.column(1), pa.array([g[0] for g in got], pa.list_(pa.string())), pa.array([g[1] for g in got], pa.string()), b.column(4)]
+            cols = [b.column(0), b.column(1), pa.array([g[0] for g in got], lists), pa.array([g[1] for g in got], pa.string()), b.column(4)]
             yield pa.record_batch(cols, ["walk_id", "attempt", "words", "status", "init"])
 
     begin = F.array_repeat(F.lit(table.begin), table.k)
-    live, done = requests.select("walk_id", F.col("attempt").cast("int").alias("attempt"), F.array().cast("array<string>").alias("words"), F.lit("open").alias("status"), F.coalesce("init", begin).alias("init")), None
+    live, done = requests.select("walk_id", F.col("attempt").cast("int").alias("attempt"), F.array().cast(f"array<{table.word}>").alias("words"), F.lit("open").alias("status"), F.coalesce(F.col("init").cast(f"array<{table.word}>"), begin).alias("init")), None
     while True:
         if rounds is not None:
             rounds.append((live.count(), _waiting(live, table)))
-        moved = written(live.repartition(n, "walk_id", "attempt").mapInArrow(go, LIVE), "stored-walk")
+        moved = written(live.repartition(n, "walk_id", "attempt").mapInArrow(go, LIVE.format(table.word)), "stored-walk")
         ended = moved.where("status <> 'open'").select("walk_id", "attempt", "words", "status")
         done = ended if done is None else done.unionByName(ended)
         live = moved.where("status = 'open'")

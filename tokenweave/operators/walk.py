@@ -19,10 +19,11 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tokenweave.operators import coded
 from tokenweave.operators.chain import BEGIN, END, PACKED_BITS, id_bits, key_words, packed, shift, state_key
 from tokenweave.operators.frozen import Frozen, halves, row_order
 from tokenweave.operators.sampling import cdf, move, roll
-from tokenweave.operators.stored import Stored, rows_of
+from tokenweave.operators.stored import LOOKED_UP, Stored, StoredIds, StoredRows, files_of, readable, rows_of, stored_walk
 from tokenweave.operators.travel import ranges, travel_walk
 from tokenweave.sources.shared import written
 
@@ -105,11 +106,17 @@ def broadcast_walk(requests: DataFrame, model: DataFrame, k: int, temperature: f
     return frozen_walk(asked, frozen, seed, max_steps, [F.col("hi"), F.col("lo")], word_type(model))
 
 
-def csr_walk(requests: DataFrame, rows: DataFrame, k: int, begin_id: int, end_id: int, seed: int = 0, max_steps: int = 1000, temperature: float | None = None) -> DataFrame:
+def csr_walk(requests: DataFrame, rows: DataFrame, k: int, begin_id: int, end_id: int, seed: int = 0, max_steps: int = 1000, temperature: float | None = None, bits: int | None = None) -> DataFrame:
     """Walks from the beginning through compressed sparse rows with sums (chain.csr with a weight): words is array<bigint>.
 
-    Rows that are too large for a broadcast are walked in their ranges, for which the temperature of their sums must be given.
+    Rows that are too large for a broadcast are walked in their ranges, for which the temperature of their sums must be given;
+    rows with one (coded.csr), whose ids have so many bits, are looked up where they were written.
     """
+    if bits and "one" in rows.columns:
+        entries = rows.agg(F.coalesce(F.sum("degree"), F.lit(0))).first()[0]
+        files = files_of(rows) if entries * ENTRY_BYTES > BROADCAST_BYTES else []
+        if files and readable(files):
+            return stored_walk(requests, StoredRows(files, k, bits, temperature or 1.0, begin_id, end_id), seed, max_steps)
     entries = rows.select("key", "state_id", F.explode("followers").alias("f")).select("key", "state_id", "f.follow_id", "f.n", "f.cum")
     size = entries.agg(F.max(F.greatest("follow_id", F.array_max("key"))).alias("largest"), F.count(F.lit(1)).alias("n")).first()
     if size.n * ENTRY_BYTES > BROADCAST_BYTES:
@@ -273,6 +280,19 @@ def id_walk(requests: DataFrame, encoded: DataFrame, k: int, begin_id: int, end_
     return walk(asked, model, k, temperature, seed, max_steps, strategy, begin=begin_id, end=end_id)
 
 
+def coded_walk(requests: DataFrame, rows: DataFrame, k: int, bits: int, begin_id: int, end_id: int, temperature: float = 1.0, seed: int = 0, max_steps: int = 1000) -> DataFrame:
+    """id_walk of rows that coded.train gives: they are written once, in their ranges, where a large model's states are looked up."""
+    if k * bits > 63:
+        enc = written(rows.select(coded.key_of(k).alias("key"), "follow_id", "n"), "model")
+        return id_walk(requests, enc, k, begin_id, end_id, temperature, seed, max_steps)
+    table = coded.in_files(rows, k, bits, **LOOKED_UP)
+    files = files_of(table)
+    if payload_bytes(table) > BROADCAST_BYTES and readable(files):
+        return stored_walk(requests, StoredIds(files, k, bits, temperature, begin_id, end_id), seed, max_steps)
+    ids = [F.shiftright("key", bits * j).bitwiseAND(F.lit((1 << bits) - 1)) for j in range(k - 1, -1, -1)]
+    return id_walk(requests, table.select(F.array(*ids).alias("key"), F.col("follow").alias("follow_id"), "n"), k, begin_id, end_id, temperature, seed, max_steps)
+
+
 def walk(requests: DataFrame, model: DataFrame, k: int, temperature: float = 1.0, seed: int = 0, max_steps: int = 1000, strategy: str = "auto", **ends) -> DataFrame:
     """Walks of all requests; strategy: "broadcast", "travel", "superstep", or by the counted size of the model; ends: other sentinels."""
     if strategy == "auto":

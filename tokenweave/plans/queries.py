@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenweave.functions import tokenize as T
-from tokenweave.operators import algebra, chain, generate, overlap, sampling, stored, travel, walk
+from tokenweave.operators import algebra, chain, coded, generate, overlap, sampling, stored, travel, walk
 from tokenweave.plans.model import MarkovModel
 from tokenweave.sources import files, json_model, mapped, tables, zipf
 from tokenweave.sources.shared import new_path, written
@@ -184,10 +184,17 @@ def model_int_ids(spark, sf_dir):
     return out.select(F.col("key")[0].alias("id0"), F.col("key")[1].alias("id1"), "follow_id", "n")
 
 
+def _trained_ids(spark, sf_dir) -> tuple[DataFrame, DataFrame, int, int, int]:
+    """The model over word ids as coded.train gives it, its vocabulary, the ids of the sentinels, and the bits of an id."""
+    docs, n = _in_pieces(spark, sf_dir)
+    rows, vocab, ends = coded.train(T.runs(docs), 2, "doc_id", n * SHARES // 2, n * SHARES)
+    return rows, vocab, ends[chain.BEGIN], ends[chain.END], chain.id_bits(vocab.agg(F.max("word_id")).first()[0])
+
+
 def walk_int_ids(spark, sf_dir):
     """The walks of walk_begin, over word ids."""
-    enc, vocab, begin, end = _coded(spark, sf_dir)
-    return _worded(walk.id_walk(walk.requests(spark, WALKS), enc, 2, begin, end, TEMPERATURE, SEED), vocab)
+    rows, vocab, begin, end, bits = _trained_ids(spark, sf_dir)
+    return _worded(walk.coded_walk(walk.requests(spark, WALKS), rows, 2, bits, begin, end, TEMPERATURE, SEED), vocab)
 
 
 def vocab_by_sight(spark, sf_dir):

@@ -28,14 +28,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read back."""
+def written(df: DataFrame, name: str, **options) -> DataFrame:
+    """df as a Parquet table in the shared folder, read back; options: of its files."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def running_sums(df: DataFrame, order: list[str], sums: dict[str, str], name: str = "running", ranged: bool = False) -> DataFrame:
+def running_sums(df: DataFrame, order: list[str], sums: dict[str, str], name: str = "running", ranged: bool = False, **options) -> DataFrame:
     """df with the sums of integer columns over all rows before in the given order (a total order), as sums names them: by range partitions and carried sums, so no task sorts all rows.
 
     The rows move once, into their ranges, and not at all if df is ranged by the order already; they are summed there before they are written.
@@ -53,7 +53,7 @@ def running_sums(df: DataFrame, order: list[str], sums: dict[str, str], name: st
             yield pa.RecordBatch.from_arrays([*b.columns, *upto], names=[*b.schema.names, *[f"__l_{c}" for c in sums]])
 
     schema = StructType([*parts.schema.fields, *[StructField(f"__l_{c}", LongType()) for c in sums]])
-    parts = written(parts.mapInArrow(local, schema), name)  # partition numbers differ between two runs of a plan
+    parts = written(parts.mapInArrow(local, schema), name, **options)  # partition numbers differ between two runs of a plan
     every = parts.groupBy("__p").agg(*[F.sum(c).alias(f"__s_{c}") for c in sums])  # one row a partition
     before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     carried = every.select("__p", *[F.coalesce(F.sum(f"__s_{c}").over(before), F.lit(0)).alias(f"__b_{c}") for c in sums])
