@@ -231,9 +231,9 @@ def model_packed(spark, sf_dir):
 
 def walk_csr(spark, sf_dir):
     """The walks of walk_begin, through compressed sparse rows."""
-    enc, vocab, begin, end = _coded(spark, sf_dir)
-    rows = chain.csr(enc, lambda n: sampling.weight(n, TEMPERATURE))
-    return _worded(walk.csr_walk(walk.requests(spark, WALKS), rows, 2, begin, end, SEED, temperature=TEMPERATURE), vocab)
+    coded_rows, vocab, begin, end, bits = _trained_ids(spark, sf_dir)
+    rows = coded.csr(coded_rows, 2, lambda n: sampling.weight(n, TEMPERATURE), bits, **stored.LOOKED_UP)
+    return _worded(walk.csr_walk(walk.requests(spark, WALKS), rows, 2, begin, end, SEED, temperature=TEMPERATURE, bits=bits), vocab)
 
 
 def csr_rows(spark, sf_dir):
