@@ -503,7 +503,8 @@ def mapped_roundtrip(spark, sf_dir):
 def mapped_file_documents(spark, sf_dir):
     """The corpus' model through the random-access file, written and read by many tasks."""
     path = new_path(spark, "mapped-file")
-    mapped.save(MarkovModel(model(spark, sf_dir, 2), 2, TEMPERATURE), path)
+    docs, n = _in_pieces(spark, sf_dir)
+    mapped.save_runs(T.runs(docs), 2, path, "doc_id", n * SHARES // 2, n * SHARES, TEMPERATURE)
     return flat(mapped.transitions(spark, path, 20_000))
 
 

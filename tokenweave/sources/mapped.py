@@ -8,7 +8,6 @@ have under one path.
 
 from __future__ import annotations
 
-import mmap
 import struct
 
 import numpy as np
@@ -17,15 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from tokenweave.operators import chain
+from tokenweave.operators import chain, coded
 from tokenweave.plans.model import MarkovModel
 from tokenweave.sources.files import HEADER_BYTES, MAPPED_HEADER, MAPPED_MAGIC, MAPPED_VERSION, MappedFile
 from tokenweave.sources.shared import running_sums, written
 
 #: States that a task reads.
 READ_STATES = 50_000
-#: Words that a reading task remembers.
-REMEMBERED = 1 << 18
 
 
 def local(path: str) -> str:
@@ -54,10 +51,25 @@ def save(model: MarkovModel, path: str) -> int:
     """Write the file; the number of its bytes. Words are numbered in order of their UTF-16 units, states in order of their numbers."""
     path, k = local(path), model.state_size
     m = written(model.transitions.select("state", "follow", F.col("n").cast("bigint").alias("n")), "model")
-    words = m.select(F.explode(F.array_append("state", F.col("follow"))).alias("word")).distinct()
+    words = _places(m.select(F.explode(F.array_append("state", F.col("follow"))).alias("word")).distinct())
+    return _save(words, chain.csr(chain.encode(m, words.select("word", "word_id"), k)), k, model.temperature, path)
+
+
+def save_runs(runs: DataFrame, k: int, path: str, key: str, pieces: int, parts: int, temperature: float = 1.0) -> int:
+    """save of the model of runs (key, words; with words), which is trained on the words' numbers (coded.train): a transition moves once and meets no vocabulary."""
+    path = local(path)
+    rows, words, _ = coded.train(runs, k, key, pieces, parts, _places)
+    return _save(words, coded.csr(rows, k), k, temperature, path)
+
+
+def _places(words: DataFrame) -> DataFrame:
+    """(word, size, one, start, rank, word_id) of distinct words: their numbers, and where their bytes begin."""
     words = words.withColumn("o", F.encode("word", "UTF-16BE")).withColumn("size", F.octet_length("word").cast("bigint"))
-    words = running_sums(words.withColumn("one", F.lit(1)), ["o"], {"size": "start", "one": "rank"}, "word-places")
-    rows = chain.csr(chain.encode(m, words.select("word", F.col("rank").alias("word_id")), k))
+    places = running_sums(words.withColumn("one", F.lit(1)), ["o"], {"size": "start", "one": "rank"}, "word-places")
+    return places.drop("o").withColumn("word_id", F.col("rank"))
+
+
+def _save(words: DataFrame, rows: DataFrame, k: int, temperature: float, path: str) -> int:
     n_words, data = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     n_states, n_followers = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("degree"), F.lit(0))).first()
     record = 4 * k + 12
@@ -65,7 +77,7 @@ def save(model: MarkovModel, path: str) -> int:
     at_states = at_data + data
     at_followers = at_states + n_states * record
     size = at_followers + 8 * n_followers
-    header = MAPPED_HEADER.pack(MAPPED_MAGIC, MAPPED_VERSION, k, float(model.temperature), n_states, record, n_words, HEADER_BYTES, at_data, at_states, at_followers)
+    header = MAPPED_HEADER.pack(MAPPED_MAGIC, MAPPED_VERSION, k, float(temperature), n_states, record, n_words, HEADER_BYTES, at_data, at_states, at_followers)
     with open(path, "wb") as f:
         f.truncate(size)
     _put(path, [(0, header), (at_data - 8, struct.pack("<q", data))])
@@ -76,12 +88,10 @@ def save(model: MarkovModel, path: str) -> int:
             raw = b"".join(w.encode() for w in b.column(2).to_pylist())
             yield _written(_put(path, [(HEADER_BYTES + 8 * int(rank[0]), start.astype("<i8").tobytes()), (at_data + int(start[0]), raw)]))
 
-    shape = np.dtype([("key", "<i4", (k,)), ("start", "<i8"), ("count", "<i4")])
-
     def put_states(batches):
         for b in _follow_on(batches):
             rank, start, degree = (np.asarray(b.column(i)) for i in (0, 1, 2))
-            out = np.zeros(len(rank), shape)
+            out = np.zeros(len(rank), _shape(k))
             out["key"], out["start"], out["count"] = np.asarray(b.column(3).flatten()).reshape(-1, k), start, degree
             each = b.column(4).flatten()
             pairs = np.stack([np.asarray(each.field(0)), np.asarray(each.field(1))], 1).astype("<i4")
@@ -96,6 +106,11 @@ def save(model: MarkovModel, path: str) -> int:
     return size
 
 
+def _shape(k: int) -> np.dtype:
+    """A state's record."""
+    return np.dtype([("key", "<i4", (k,)), ("start", "<i8"), ("count", "<i4")])
+
+
 def _written(n: int) -> pa.RecordBatch:
     return pa.record_batch([pa.array([n], pa.int64())], ["n"])
 
@@ -125,26 +140,20 @@ class _Ranges(DataSourceReader):
 
     def read(self, partition):
         a, z = partition.value
-        with open(self.path, "rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as raw:
-            m, seen = MappedFile(raw), {}
-
-            def word(i: int) -> str:
-                if i not in seen:
-                    if len(seen) >= REMEMBERED:
-                        seen.clear()
-                    seen[i] = m.word(i)
-                return seen[i]
-
-            for lo in range(a, z, 4096):
-                keys, follows, counts = [], [], []
-                for i in range(lo, min(lo + 4096, z)):
-                    state = [word(w) for w in m.key(i)]
-                    start, n = struct.unpack_from("<qi", raw, m.at_states + i * m.record + 4 * m.k)
-                    for w, c in struct.iter_unpack("<ii", raw[m.at_followers + 8 * start : m.at_followers + 8 * (start + n)]):
-                        keys.append(state)
-                        follows.append(word(w))
-                        counts.append(c)
-                yield pa.record_batch([pa.array(keys, pa.list_(pa.string())), pa.array(follows, pa.string()), pa.array(counts, pa.int64())], ["state", "follow", "n"])
+        raw = pa.memory_map(self.path).read_buffer()
+        m = MappedFile(memoryview(raw))
+        words = pa.LargeStringArray.from_buffers(m.n_words, raw.slice(m.at_index, 8 * (m.n_words + 1)), raw.slice(m.at_data, m.at_states - m.at_data))
+        word = lambda ids: words.take(pa.array(ids)).cast(pa.string())
+        for lo in range(a, z, 4096):
+            n = min(4096, z - lo)
+            states = np.frombuffer(raw, _shape(m.k), n, m.at_states + lo * m.record)
+            start, count = states["start"], states["count"].astype(np.int64)
+            first, stop = int(start.min()), int((start + count).max())
+            pairs = np.frombuffer(raw, "<i4", 2 * (stop - first), m.at_followers + 8 * first).reshape(-1, 2)
+            pairs = pairs[np.arange(int(count.sum())) + np.repeat(start - first - (np.cumsum(count) - count), count)]
+            keys = word(np.repeat(states["key"], count, axis=0).ravel())
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(pairs) + 1, dtype=np.int32) * m.k), keys)
+            yield pa.record_batch([lists, word(np.ascontiguousarray(pairs[:, 0])), pa.array(pairs[:, 1].astype(np.int64))], ["state", "follow", "n"])
 
 
 def load(spark: SparkSession, path: str, states: int = READ_STATES) -> MarkovModel:
